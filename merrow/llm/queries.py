@@ -47,10 +47,44 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merrow.llm.line_dedup import dedup_lines
+
+    left = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op8_shards": op8_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": """
+with line as (
+  select doc_id, i, string_split(text, chr(10))[i] as line
+  from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)
+), marked as (
+  select *, ('0x' || substr(md5(line), 1, 7))::bigint as h, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 50 as long
+  from line
+), started as (
+  select *, case when i = 1 or long or lag(long) over w or (31 * lag(h) over w + h) % 3 = 0 then 1 else 0 end as starts
+  from marked window w as (partition by doc_id order by i)
+), numbered as (
+  select *, sum(starts) over (partition by doc_id order by i) as chunk from started
+), chunk as (
+  select doc_id, chunk, count(*) as lines, string_agg(line, chr(10) order by i) as body, bool_or(long) as long
+  from numbered group by all
+), repeatable as (
+  select *, (lines > 1 or long) and regexp_matches(body, '[^\\x20\\x09-\\x0D]') as may_go from chunk
+), decided as (
+  select *, may_go and row_number() over (partition by body, may_go order by doc_id, chunk) > 1 as gone from repeatable
+)
+select d.doc_id, sum(lines)::bigint as n_lines, count(*) as n_chunks, count(*) filter (gone) as n_removed_chunks,
+  coalesce(sum(lines) filter (gone), 0)::bigint as n_removed_lines,
+  sha256(coalesce(string_agg(body, chr(10) order by chunk) filter (not gone), '')) as text_sha256
+from decided d group by d.doc_id
+""",
+}
