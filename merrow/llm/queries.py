@@ -40,6 +40,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merrow.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merrow.llm.shards import shard_rows
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
     "op8_shards": op8_shards,
 }
 
@@ -86,5 +93,36 @@ select d.doc_id, sum(lines)::bigint as n_lines, count(*) as n_chunks, count(*) f
   coalesce(sum(lines) filter (gone), 0)::bigint as n_removed_lines,
   sha256(coalesce(string_agg(body, chr(10) order by chunk) filter (not gone), '')) as text_sha256
 from decided d group by d.doc_id
+""",
+    "op5_quality": """
+with doc as (
+  select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), word as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from doc
+), win as (
+  select doc_id, i, word || ' ' || lead(word, 1) over p || ' ' || lead(word, 2) over p as g from word window p as (partition by doc_id order by i)
+), again as (
+  select doc_id, i from win where g is not null qualify count(*) over (partition by doc_id, g) > 1
+), covered as (
+  select doc_id, count(distinct i + k) as n from again, (values (0), (1), (2)) as s(k) group by doc_id
+), line as (
+  select doc_id, source, text, unnest(string_split(text, chr(10))) as line from doc
+), normal as (
+  select doc_id, source, text, line, trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g')) as n from line where regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+), common as (
+  select source, n from normal group by source, n having count(distinct text) > 20
+), per_doc as (
+  select m.doc_id, count(*) - count(distinct line) as n_dup_lines,
+    coalesce(sum(len(string_split(m.n, ' '))) filter (c.n is not null), 0) as n_common_words
+  from normal m left join common c on m.source is not distinct from c.source and m.n = c.n group by m.doc_id
+), facts as (
+  select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(p.n_dup_lines, 0)::bigint as n_dup_lines,
+    coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(p.n_common_words, 0)::bigint as n_common_words
+  from doc d left join covered c using (doc_id) left join per_doc p using (doc_id)
+)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * (n_words - n_common_words) >= 50 * n_words as kept
+from facts
 """,
 }
