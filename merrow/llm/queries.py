@@ -46,6 +46,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merrow.llm.secrets import KINDS, find_secrets, written_out
+
+    found = find_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < KINDS.index("random"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written_out(base), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merrow.llm.shards import shard_rows
 
@@ -65,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
+    "op6_secrets": op6_secrets,
     "op8_shards": op8_shards,
 }
 
