@@ -62,6 +62,13 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merrow.llm.language import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return identify(docs, learn(docs), keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merrow.llm.line_dedup import dedup_lines
 
@@ -72,6 +79,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
+    "op3_language": op3_language,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
