@@ -76,6 +76,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merrow.llm.near_copies import link_near_copies
+
+    return link_near_copies(table(spark, sf_dir, "documents", "doc_id", "text"), size=3, num=90, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op8_shards": op8_shards,
+    "op10_near_copies": op10_near_copies,
 }
 
 ORACLE_SQL: dict[str, str] = {
