@@ -26,7 +26,7 @@ from merrow.llm.shared import arrow_map
 
 #: Characters of text that are cut into words at once, and words that a task remembers.
 PIECE_CHARS = 1 << 19
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: Up to here lower-casing and composition need no tables: no marks to compose, no final sigma.
 _PLAIN = re.compile(r"[^\x00-\x1b\x20-˿]")
 _SPACE = re.compile(r"\s")
@@ -194,25 +194,32 @@ def tokenizer(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the token ids of each whole text (special tokens' strings count as such; none
-    is added). ``path`` is a tokenizer file that every executor has, as installed with the library.
+    is added) and, if ``decoded_col`` is given, the text decoded from these ids as ``bpe_decode``
+    does. ``path`` is a tokenizer file that every executor has, as installed with the library.
 
     A null or empty text, or one of white space only, has no ids. Texts of any length are encoded
     whole, in pieces that end at white space. Other columns pass through (those in ``keep``); one
     with the name of ``ids_col`` is replaced. An empty table gives an empty result."""
 
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)]
+    if decoded_col:
+        fields.append(T.StructField(decoded_col, T.StringType(), False))
+
     def make():
         bpe = tokenizer(path)
+        tokens = pa.array(bpe.tokens)
 
         def work(texts):
             raw = bpe.encode([None if t is None else t.decode("utf-8", "replace") for t in texts])
             ends = np.cumsum([0, *(len(x) // 4 for x in raw)], dtype=np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))]
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+            return [ids, join_tokens(ids, tokens)] if decoded_col else [ids]
 
         return work
 
-    return arrow_map(docs, text_col, T.StructType([T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)]), make, keep)
+    return arrow_map(docs, text_col, T.StructType(fields), make, keep)
 
 
 def bpe_decode(docs: DataFrame, path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:

@@ -28,10 +28,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from merrow.llm.bpe import bpe_decode, bpe_encode
+    from merrow.llm.bpe import bpe_encode
 
-    path = _tokenizer_path()
-    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, keep=["doc_id"]), path)
+    coded = bpe_encode(table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer_path(), decoded_col="decoded", keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

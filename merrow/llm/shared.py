@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,18 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most about ``most`` bytes in a column (one row at least)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+        start = 0
+        while start < len(batch):
+            done = sizes[start - 1] if start else 0
+            end = max(start + 1, int(sizes.searchsorted(done + most, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def arrow_map(df: DataFrame, text_col: str, outputs: T.StructType, make: Callable[[], Callable], keep: list[str] | None = None) -> DataFrame:
     """``df`` with columns computed from whole texts by Arrow batches.
 
@@ -70,7 +83,7 @@ def arrow_map(df: DataFrame, text_col: str, outputs: T.StructType, make: Callabl
 
         fit = to_arrow_schema(schema)
         work = make()
-        for batch in batches:
+        for batch in slices(batches, n):
             made = work(batch.column(n).to_pylist())
             arrays = [*batch.columns[:n], *made]
             yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, fit, strict=True)], schema=fit)
