@@ -54,6 +54,14 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written_out(base), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from merrow.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merrow.llm.shards import shard_rows
 
@@ -75,6 +83,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merrow.llm.chat import calls_in, link_calls
+
+    calls, results = calls_in(table(spark, sf_dir, "conversations"))
+    linked = link_calls(calls, results)
+    return linked.select("conv_id", "turn", "call_id", "name", "level", "status", "n_results", "valid", F.array_join("errors", "; ").alias("errors"), "message")
+
+
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merrow.llm.near_copies import link_near_copies
 
@@ -88,7 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
+    "op7_token_counts": op7_token_counts,
     "op8_shards": op8_shards,
+    "op9_chat": op9_chat,
     "op10_near_copies": op10_near_copies,
 }
 
