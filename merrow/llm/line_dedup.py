@@ -16,6 +16,8 @@ from merrow.llm.shared import bind, written
 #: Of the line pairs, one in so many starts a chunk.
 DIVISOR = 3
 LONG_LINE_WORDS = 50
+#: Repeated hashes that are broadcast at most (64 MB); more are joined by a shuffle of the chunks.
+MOST_BROADCAST = 4_000_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,22 +76,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.drop(*added).withColumns({"__id": F.col(f"`{id_col}`"), "__text": F.col(f"`{text_col}`")}).withColumn("__digest", F.xxhash64("__text"))
     hashed = F.transform(chunks_of(F.col("__text"), divisor, long_words), lambda c, i: F.struct(i.alias("place"), F.when(c["repeatable"], F.xxhash64(c["text"])).alias("hash")))
     held = written(base.select("__id", "__digest", F.explode(F.filter(hashed, lambda c: c["hash"].isNotNull())).alias("c")).select("__id", "__digest", "c.*"), "chunks")
-    repeated = held.groupBy("hash").agg(F.count("*").alias("n"), F.min("__id").alias("stays_in")).where("n > 1").drop("n")
-    found = held.join(repeated, "hash").groupBy("__id", "__digest").agg(F.sort_array(F.collect_set(F.struct("hash", "place", "stays_in"))).alias("__found"))
-    found = found.select(F.col("__id").alias("__i"), F.col("__digest").alias("__d"), F.transform("__found", _decided).alias("__found"))
-    marked = written(_joined(base, found).select(*base.columns, "__found"), "marked")
-
-    pieces = marked.where("__found is not null").withColumn("cut", chunks_of(F.col("__text"), divisor, long_words))
-    texts = pieces.select("__id", "__digest", F.explode(F.transform("__found", lambda f: F.struct(f["hash"], f["place"], f["stays"], F.get(F.col("cut"), f["place"])["text"].alias("text")))).alias("f")).select("__id", "__digest", "f.*")
-    stay = texts.where("stays").groupBy("hash").agg(F.first("text").alias("kept_text"))
-    unequal = written(texts.where("not stays").join(stay, "hash").where("text <> kept_text").select("__id", "__digest", "place").distinct(), "unequal")
-    gone = F.transform(F.filter("__found", lambda f: ~f["stays"]), lambda f: f["place"])
-    none = F.array().cast("array<int>")
-    if unequal.isEmpty():
-        out = marked.withColumn("__gone", F.coalesce(gone, none))
-    else:
-        spared = unequal.groupBy(F.col("__id").alias("__i"), F.col("__digest").alias("__d")).agg(F.collect_set("place").alias("__spared"))
-        out = _joined(marked, spared).withColumn("__gone", F.coalesce(F.array_except(gone, F.coalesce("__spared", none)), none))
+    repeated = written(held.groupBy("hash").agg(F.count("*").alias("n"), F.min("__id").alias("stays_in")).where("n > 1").drop("n"), "repeated")
+    told = F.broadcast(repeated) if repeated.count() <= MOST_BROADCAST else repeated
+    found = held.join(told, "hash").groupBy("__id", "__digest").agg(F.sort_array(F.collect_set(F.struct("hash", "place", "stays_in"))).alias("__found"))
+    going = F.transform(F.filter(F.transform("__found", _decided), lambda f: ~f["stays"]), lambda f: f["place"])
+
+    cut = F.transform(chunks_of(F.col("__text"), divisor, long_words), lambda c, i: F.struct(i.alias("place"), F.when(c["repeatable"], F.xxhash64(c["text"])).alias("hash"), c["text"].alias("text")))
+    texts = base.select("__id", "__digest", F.explode(F.filter(cut, lambda c: c["hash"].isNotNull())).alias("c")).select("__id", "__digest", "c.*").join(told, "hash")
+    texts = written(texts, "repeated-texts")
+    stay = texts.where(F.col("__id").eqNullSafe(F.col("stays_in"))).groupBy("hash").agg(F.min(F.struct("place", "text"))["text"].alias("kept_text"))
+    unequal = written(texts.join(stay, "hash").where("text <> kept_text").select("__id", "__digest", "place").distinct(), "unequal")
+    gone = found.select(F.col("__id").alias("__i"), F.col("__digest").alias("__d"), going.alias("__gone"))
+    if not unequal.isEmpty():
+        spared = unequal.groupBy("__id", "__digest").agg(F.collect_set("place").alias("spared"))
+        same = gone["__d"].eqNullSafe(spared["__digest"]) & gone["__i"].eqNullSafe(spared["__id"])
+        gone = gone.join(spared, same, "left").select("__i", "__d", F.when(F.col("spared").isNull(), F.col("__gone")).otherwise(F.array_except("__gone", "spared")).alias("__gone"))
+    out = _joined(base, gone.where(F.size("__gone") > 0)).withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
     out = out.withColumn("__cut", chunks_of(F.col("__text"), divisor, long_words))
     stays = F.array_except(F.sequence(F.lit(0), F.size("__cut") - 1), F.col("__gone"))
     lines_gone = F.aggregate("__gone", F.lit(0), lambda n, p: n + F.get(F.col("__cut"), p)["lines"])

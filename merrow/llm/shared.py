@@ -33,7 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executor costs a read and not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/merrow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._merrow_path = path
     return out
