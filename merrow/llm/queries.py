@@ -12,7 +12,7 @@ from merrow.llm.shared import table
 N_SHARDS = 24
 
 
-def _tokenizer_path() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -30,7 +30,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merrow.llm.bpe import bpe_encode
 
-    coded = bpe_encode(table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer_path(), decoded_col="decoded", keep=["doc_id"])
+    return bpe_digests(bpe_encode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), decoded_col="decoded", keep=["doc_id"]))
+
+
+def bpe_digests(coded: DataFrame) -> DataFrame:
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -39,6 +42,20 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merrow.llm.language import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return identify(docs, learn(docs), keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merrow.llm.line_dedup import dedup_lines
+
+    left = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merrow.llm.quality import judge
 
@@ -69,20 +86,6 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from merrow.llm.language import held_out, identify, learn
-
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    return identify(docs, learn(docs), keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
-
-
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from merrow.llm.line_dedup import dedup_lines
-
-    left = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return left.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
-
-
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merrow.llm.chat import calls_in, link_calls
 

@@ -73,19 +73,21 @@ def arrow_map(df: DataFrame, text_col: str, outputs: T.StructType, make: Callabl
     all). A column that has the name of an output is replaced by it."""
     names = [f.name for f in outputs]
     kept = [f for f in df.schema if f.name not in names and (keep is None or f.name in keep)]
-    taken = f"__text_{uuid.uuid4().hex[:8]}"
-    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("binary").alias(taken))
-    schema = T.StructType([*kept, *outputs])
+    columns = [F.col(f"`{f.name}`") for f in kept]
     n = len(kept)
+    at = next((i for i, f in enumerate(kept) if f.name == text_col and f.dataType == T.StringType()), n)
+    if at == n:
+        columns.append(F.col(f"`{text_col}`").cast("binary").alias(f"__text_{uuid.uuid4().hex[:8]}"))
+    schema = T.StructType([*kept, *outputs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         fit = to_arrow_schema(schema)
         work = make()
-        for batch in slices(batches, n):
-            made = work(batch.column(n).to_pylist())
+        for batch in slices(batches, at):
+            made = work(batch.column(at).cast(pa.binary()).to_pylist())
             arrays = [*batch.columns[:n], *made]
             yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, fit, strict=True)], schema=fit)
 
-    return source.mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(run, schema)
