@@ -186,8 +186,18 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([T.StructField("node", docs.schema[0].dataType), T.StructField("shingles", T.BinaryType())]))
 
 
+def _verified(pairs: DataFrame, source: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose whole sets reach the threshold, from the texts in ``source``."""
+    pairs = written(pairs, "pairs")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    if needed.count() <= MOST_BROADCAST:
+        needed = F.broadcast(needed)
+    texts = source.withColumnRenamed("id", "node").join(needed, "node", "left_semi").select("node", "text")
+    sets = written(_sets(texts, size), "shingles")
+    return written(_linked(pairs, sets, num, den), "links")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
 
@@ -247,22 +257,16 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     inside = members.join(crowded, "gid").withColumns({"token": F.col("gid"), "place": F.lit(0).cast("long")})
     lists = written(lists.unionByName(inside.select(lists.columns)), "lists")
 
-    needed = written(lists.select("node").distinct(), "nodes")
-    if needed.count() <= MOST_BROADCAST:
-        needed = F.broadcast(needed)
-    texts = source.withColumnRenamed("id", "node").join(needed, "node", "left_semi")
-    sets = written(_sets(texts.select("node", "text"), size).dropDuplicates(["node"]), "shingles")
-
     hubs = lists.groupBy("token").agg(F.min(F.struct("place", "node", "n", "s0", "s1", "s2", "s3")).alias("h")).select("token", "h.*")
     stars = lists.alias("l").join(hubs.alias("h"), (F.col("l.token") == F.col("h.token")) & (F.col("l.node") != F.col("h.node")) & may_link("l", "h", num, den))
-    stars = stars.select(F.col("l.node").alias("a"), F.col("h.node").alias("b")).distinct()
-    links = written(_linked(stars, sets, num, den), "links")
+    stars = stars.select(F.least("l.node", "h.node").alias("a"), F.greatest("l.node", "h.node").alias("b")).distinct()
+    links = _verified(stars, source, size, num, den)
     roots = components(links)
     placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")
     on = (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root"))
     rest = placed.alias("l").join(placed.alias("r"), on & may_link("l", "r", num, den)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    links = links.unionByName(written(_linked(rest, sets, num, den), "links"))
+    links = links.unionByName(_verified(rest, source, size, num, den))
     roots = components(links)
     of_set = reps.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
     out = rows.join(of_set, ["hi", "lo"], "left")
