@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from merrow.config import FEEDBACK, RANKING, SCALE, STATE_TYPES, FeedbackConfig, RankingConfig
 from merrow.functions.fixedpoint import contribution, quantize
 from merrow.operators.ranking import Model, centroids, score_candidates, similarities, top_ranked
+from merrow.scratch import written
 
 
 def dimension() -> Column:
@@ -98,10 +99,15 @@ def effective_contexts(contexts: DataFrame, feedback: DataFrame) -> tuple[DataFr
     return out.where(~empty), out.where(empty).select("user_id", F.lit("insufficient_context").alias("reason"))
 
 
-def feedback_candidates(contexts: DataFrame, feedback: DataFrame, model: Model, config: FeedbackConfig = FEEDBACK, ranking: RankingConfig = RANKING) -> tuple[DataFrame, DataFrame]:
-    """All eligible candidates of the users with their adjusted units, and (user_id, n_base)."""
+def base_candidates(contexts: DataFrame, feedback: DataFrame, model: Model, ranking: RankingConfig = RANKING) -> DataFrame:
+    """The users' candidates by content, before any exclusion."""
     usable, _ = effective_contexts(contexts, feedback)
-    base = score_candidates(usable.withColumn("context_id", F.col("user_id")), model, ranking).withColumnRenamed("context_id", "user_id")
+    return score_candidates(usable.withColumn("context_id", F.col("user_id")), model, ranking).withColumnRenamed("context_id", "user_id")
+
+
+def feedback_candidates(contexts: DataFrame, feedback: DataFrame, model: Model, config: FeedbackConfig = FEEDBACK, ranking: RankingConfig = RANKING) -> DataFrame:
+    """All eligible candidates of the users with their adjusted units."""
+    base = base_candidates(contexts, feedback, model, ranking)
     sources = positive_sources(feedback, config).select("user_id", "slug")
     profile = centroids(sources, model.features.weights, "user_id")
     affinity = similarities(model.features.weights, profile, "user_id").select("user_id", "slug", quantize(F.col("similarity")).alias("affinity"))
@@ -116,17 +122,20 @@ def feedback_candidates(contexts: DataFrame, feedback: DataFrame, model: Model,
     rows = rows.withColumn("pre_played_units", F.col("base_contribution") + F.col("affinity_contribution"))
     rows = rows.withColumn("final_units", contribution(F.col("pre_played_units"), F.col("played_factor")))
     reasons = F.array_compact(F.array(F.when(with_profile, "feedback_affinity"), F.when(is_played, "played_adjustment")))
-    rows = rows.withColumns({"played_delta_units": F.col("final_units") - F.col("pre_played_units"), "adjustments": reasons}).drop("affinity", "has_profile", "is_played")
-    return rows, base.groupBy("user_id").agg(F.count("*").alias("n_base"))
+    rows = rows.withColumns({"played_delta_units": F.col("final_units") - F.col("pre_played_units"), "adjustments": reasons})
+    return rows.drop("affinity", "has_profile", "is_played")
 
 
 def feedback_recommend(contexts: DataFrame, feedback: DataFrame, model: Model, config: FeedbackConfig = FEEDBACK, ranking: RankingConfig = RANKING) -> DataFrame:
     """Ranked rows of all users under their feedback; a user without any has one row with a reason
     (no_content_support, no_eligible_candidates or insufficient_context)."""
-    candidates, n_base = feedback_candidates(contexts, feedback, model, config, ranking)
     order = ("final_units", "pre_played_units", "base_units", "affinity_units", "content_units", "popularity_units")
-    ranked = top_ranked(candidates, contexts, "user_id", order, ranking.most_top_k)
+    candidates = feedback_candidates(contexts, feedback, model, config, ranking)
+    ranked = written(top_ranked(candidates, contexts, "user_id", order, ranking.most_top_k), "ranked")
     _, lost = effective_contexts(contexts, feedback)
-    out = contexts.select("user_id").join(ranked, "user_id", "left").join(n_base, "user_id", "left").join(lost, "user_id", "left")
-    reason = F.when(F.col("slug").isNotNull(), "recommendations").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("n_base").isNull(), "no_content_support").otherwise("no_eligible_candidates")
-    return out.withColumn("reason", reason).drop("n_base")
+    # only the users without results are scored again, to tell why they have none
+    none = contexts.join(ranked.select("user_id").distinct(), "user_id", "left_anti")
+    supported = base_candidates(none, feedback, model, ranking).select("user_id").distinct().withColumn("supported", F.lit(True))
+    out = contexts.select("user_id").join(ranked, "user_id", "left").join(supported, "user_id", "left").join(lost, "user_id", "left")
+    reason = F.when(F.col("slug").isNotNull(), "recommendations").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("supported"), "no_eligible_candidates").otherwise("no_content_support")
+    return out.withColumn("reason", reason).drop("supported")

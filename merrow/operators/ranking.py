@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from merrow.config import RANKING, SCALE, RankingConfig
 from merrow.functions.fixedpoint import contribution, quantize
 from merrow.operators.features import Features, normalized, preference_vectors
+from merrow.scratch import written
 
 
 @dataclass
@@ -70,7 +71,8 @@ def similarities(weights: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 def score_candidates(contexts: DataFrame, model: Model, config: RankingConfig = RANKING) -> DataFrame:
     """Every candidate of every context: (context_id, slug, content_units, platform_units,
     popularity_units, base_units), without picked items and those of no content units."""
-    content = similarities(model.features.weights, user_vectors(contexts, model.features, config), "context_id")
+    vectors = written(user_vectors(contexts, model.features, config), "vectors")
+    content = similarities(model.features.weights, vectors, "context_id")
     content = content.select("context_id", "slug", quantize(F.col("similarity")).alias("content_units")).where("content_units > 0")
     picked = contexts.select("context_id", F.explode("selected").alias("slug"))
     facts = model.items.select("slug", F.transform("platforms", lambda p: p["slug"]).alias("has")).join(model.popularity.select("slug", quantize(F.col("popularity")).alias("popularity_units")), "slug")

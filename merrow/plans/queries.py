@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from merrow.functions import fixedpoint, identity, text
 from merrow.operators import catalog, features, feedback, lifecycle, popularity, preferences, quality, ranking
 from merrow.plans.sql import ORACLE_SQL as ORACLE_SQL
+from merrow.scratch import written
 from merrow.sources import events as event_log
 from merrow.sources import model_store
 from merrow.sources.views import CUTOFF, NOW, Views
@@ -120,17 +122,17 @@ def _known(v: Views) -> DataFrame:
 
 
 def _contexts(v: Views) -> DataFrame:
-    return preferences.contexts_of(preferences.without_stale(v.preferences(), _known(v)))
+    return written(preferences.contexts_of(preferences.without_stale(v.preferences(), _known(v))), "contexts")
 
 
 def _model(v: Views) -> ranking.Model:
     """Items with short texts: what a catalog shows, not whole documents."""
-    items = v.nested_items().withColumn("description", F.array_join(F.slice(F.split("description", " "), 1, 60), " "))
-    return model_store.build(items)
+    items = written(v.nested_items().withColumn("description", F.array_join(F.slice(F.split("description", " "), 1, 60), " ")), "items")
+    return model_store.held(model_store.build(items))
 
 
 def _feedback(v: Views) -> DataFrame:
-    return feedback.feedback_state(feedback.active_rows(feedback.supersede(v.interactions())), v.items())
+    return written(feedback.feedback_state(feedback.active_rows(feedback.supersede(v.interactions())), v.items()), "feedback")
 
 
 def content_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +143,7 @@ def content_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recommend_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
     contexts, model = _contexts(v), _model(v)
-    ranked = ranking.top_ranked(ranking.score_candidates(contexts, model), contexts)
+    ranked = written(ranking.top_ranked(ranking.score_candidates(contexts, model), contexts), "ranked")
     rows = ranking.with_evidence(ranked, contexts, model)
     return rows.select("context_id", "rank", "slug", "base_units", "similar", "matching_genres", "matching_tags", "matching_platforms", "components", "reasons", "summary")
 
@@ -321,8 +323,20 @@ def half_step_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", fixedpoint.half_step_rating(F.col("value")).alias("half_step"), fixedpoint.half_step_rating(F.col("value") + F.lit(0.25).cast("decimal(5,2)")).alias("quarter_more"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"catalog_page_{s}": _page(s) for s in catalog.SORTS} | {
-    f.__name__.removesuffix("_query"): f
+def _plain(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Decimals as doubles and dates as text, which every engine prints alike."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = query(spark, sf_dir)
+        casts = {c: F.col(c).cast("double" if kind.startswith("decimal") else "string") for c, kind in rows.dtypes if kind.startswith("decimal") or kind == "date"}
+        return rows.withColumns(casts) if casts else rows
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"catalog_page_{s}": _plain(_page(s)) for s in catalog.SORTS} | {
+    f.__name__.removesuffix("_query"): _plain(f)
     for f in (
         catalog_search_literal, catalog_filter_taxonomy, catalog_nested, catalog_item, catalog_scan, taxonomy_lists, resolve_ids, popularity_baseline, term_frequency,
         document_frequency_idf, tfidf_weights, content_documents, content_recommend, recommend_evidence, context_checks, active_feedback, feedback_pages,

@@ -1,3 +1,220 @@
-"""DuckDB SQL for the registered queries, over the same views."""
+"""DuckDB SQL for the registered queries, over the same views of the driver tables."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from merrow.sources.views import CUTOFF, NOW
+
+_VIEWS = {
+    "interactions": """
+  select event_id as id, user_id, json_extract(props, '$.k')::bigint as item_id, kind as interaction_type,
+    case when kind = 'rated' then (round(least(value, 100.0) / 5) / 2)::decimal(5,2) end as value, ts as occurred_at
+  from (select *, case event_type when 'view' then 'viewed' when 'click' then 'liked' when 'error' then 'disliked' when 'signup' then 'wishlisted'
+    else case when event_id % 2 = 0 then 'rated' else 'played' end end as kind from events)""",
+    "items": """
+  select d.doc_id as id, array_to_string(string_split(text, ' ')[1:4], ' ') as title, 'doc-' || d.doc_id as slug, text as description,
+    (date '2015-01-01' + (d.doc_id % 3650)::int)::date as release_date, source as developer,
+    (4 + 4 * quality - 2 * toxic + (d.doc_id % 10) / 10)::decimal(4,2) as average_rating, (n_chars % 5000)::int as rating_count,
+    (coalesce(c.n, 0) + (d.doc_id % 97) / 10)::decimal(10,4) as popularity_score, lang, source
+  from documents d left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id) l on l.doc_id = d.doc_id
+  left join (select item_id, count(*) as n from interactions group by item_id) c on c.item_id = d.doc_id""",
+    "taxonomy": """
+  select distinct * from (
+    select id, 'genre' as family, lang as slug from items union all select id, 'tag', source from items
+    union all select id, 'platform', 'p' || id % 4 from items union all select id, 'platform', 'p' || id % 6 from items)""",
+    "part_items": """
+  select p_partkey as id, p_name as title, 'part-' || p_partkey as slug, p_brand as developer, p_size as rating_count, p_retailprice::decimal(10,4) as popularity_score from part""",
+    "part_genres": "select p_partkey as id, lower(p_type) as slug, p_type as name from part",
+    "part_tags": "select distinct id, slug, slug as name from (select p_partkey as id, unnest(string_split(p_name, ' ')) as slug from part)",
+    "part_platforms": """
+  select distinct l_partkey as id, 'n' || s_nationkey as slug, 'n' || s_nationkey as name from lineitem join supplier on l_suppkey = s_suppkey where l_linenumber = 1""",
+    "preferences": """
+  select user_id, 'game' as preference_type, 'doc-' || item_id as value from (
+    select user_id, item_id, row_number() over (partition by user_id order by count(*) desc, item_id) as place from interactions
+    where interaction_type = 'viewed' group by user_id, item_id) where place <= 3
+  union all select user_id, t, v from (
+    select user_id, unnest(['genre', 'tag', 'platform', 'game']) as t,
+      unnest(['en', 'src' || user_id % 20, 'p' || user_id % 6, case when user_id % 10 = 0 then 'doc-999999999' end]) as v
+    from (select distinct user_id from events)) where v is not null""",
+    "known": "select distinct family, slug from taxonomy union all select 'game', slug from items",
+    "users": """
+  select user_id as id, created_at, case when not legacy then created_at end as consented_at,
+    case when not legacy then case when user_id % 5 = 0 then 'v0' else 'v1' end end as consent_version,
+    case when not legacy then created_at + to_days((user_id % 30 + 1)::int) end as expires_at,
+    case when legacy or user_id % 7 = 0 then created_at + to_days(10) end as revoked_at
+  from (select user_id, min(ts) as created_at, user_id % 11 = 0 as legacy from events group by user_id)""",
+    "rec_events": "select 'gen-' || event_id as generation_id, user_id, ts as generated_at from events where event_type = 'view'",
+    "log": """
+  select * exclude (dimension, newer), case when interaction_type <> 'viewed' and newer is not null then greatest(occurred_at, newer) end as superseded_at from (
+    select *, lag(occurred_at) over (partition by user_id, item_id, dimension order by occurred_at desc, id desc) as newer
+    from (select *, case when interaction_type in ('liked', 'disliked') then 'reaction' else interaction_type end as dimension from interactions))""",
+    "active": "select * from log where superseded_at is null and interaction_type <> 'viewed'",
+    "state": """
+  select user_id, item_id, max(interaction_type) filter (interaction_type in ('liked', 'disliked')) as reaction,
+    max(occurred_at) filter (interaction_type in ('liked', 'disliked')) as reaction_at,
+    bool_or(interaction_type = 'played') as played, bool_or(interaction_type = 'wishlisted') as wishlisted,
+    max(value) filter (interaction_type = 'rated') as rating, max(occurred_at) filter (interaction_type = 'rated') as rating_at,
+    max(occurred_at) as latest_at
+  from active group by user_id, item_id""",
+    "token": """
+  select doc_id, word, row_number() over (partition by doc_id order by i) as i from (
+    select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents))
+  where length(word) >= 2""",
+    "tf": """
+  select 'doc-' || doc_id as slug, term, count(*) as tf from (
+    select doc_id, word as term from token
+    union all select doc_id, word || ' ' || next from (select doc_id, word, lead(word) over (partition by doc_id order by i) as next from token) where next is not null)
+  group by all""",
+    "idf": "select term, count(*) as df, ln((1 + (select count(*) from documents)) / (1 + count(*))) + 1 as idf from tf group by term",
+    "baseline": """
+  select slug, (case when hb - lb <= 1e-15 then 0.5 else (blended - lb) / (hb - lb) end * 700000
+    + case when hs - ls <= 1e-15 then 0.5 else (signal - ls) / (hs - ls) end * 300000) / 1000000 as popularity
+  from (select *, min(blended) over () as lb, max(blended) over () as hb, min(signal) over () as ls, max(signal) over () as hs from (
+    select slug, popularity_score::double as signal,
+      rating_count::double / (rating_count + 50.0::double) * (coalesce(average_rating::double, m) / 10) + 50.0::double / (rating_count + 50.0::double) * (m / 10) as blended
+    from items, (select coalesce(sum(average_rating::double * rating_count) / nullif(sum(rating_count::double) filter (average_rating is not null), 0), 5.0) as m from items)))""",
+}
+# each view and what it reads
+_NEEDS = {"items": ["interactions"], "taxonomy": ["items"], "preferences": ["interactions"], "known": ["taxonomy", "items"], "log": ["interactions"], "active": ["log"], "state": ["active"], "tf": ["token"], "idf": ["tf"], "baseline": ["items"]}
+
+
+def _with(views: str, query: str) -> str:
+    order: list[str] = []
+
+    def add(name: str) -> None:
+        for needed in _NEEDS.get(name, []):
+            add(needed)
+        if name not in order:
+            order.append(name)
+
+    for name in views.split():
+        add(name)
+    heads = ",\n".join(f"{n} as ({_VIEWS[n]})" for n in order)
+    return f"with {heads}\n{query}"
+
+
+_ITEM_COLUMNS = "id, slug, average_rating, rating_count, release_date, popularity_score"
+_ORDERS = {"popularity": "popularity_score desc, id", "rating": "average_rating desc nulls last, rating_count desc, id", "release": "release_date desc nulls last, id", "title": "lower(title), id"}
+_UNITS = "cast(round(cast(greatest(0.0, least(1.0, {})) as decimal(20,18)) * 1000000) as bigint)"
+
+ORACLE_SQL: dict[str, str] = {f"catalog_page_{s}": _with("items", f"select {_ITEM_COLUMNS} from items order by {o} limit 20 offset 20") for s, o in _ORDERS.items()} | {
+    "catalog_search_literal": _with("part_items", r"select q, count(id) as total, ceil(count(id) / 20.0)::bigint as total_pages from (select unnest(['red', 'WIDGET', '%', '_', '\']) as q) left join part_items on contains(lower(title), lower(q)) group by q"),
+    "catalog_filter_taxonomy": _with("part_items part_genres part_tags part_platforms", """
+select id, title, popularity_score from part_items where contains(lower(title), 'r') and id in (select id from part_genres where slug = 'economy')
+  and id in (select id from part_tags where slug = 'red') and id in (select id from part_platforms where slug = 'n3') order by popularity_score desc, id limit 50"""),
+    "catalog_nested": _with("part_items part_genres part_tags part_platforms", """
+select i.id, coalesce(g.v, '') as genres, coalesce(t.v, '') as tags, coalesce(p.v, '') as platforms from part_items i
+left join (select id, string_agg(name, ',' order by name, slug) as v from part_genres group by id) g on g.id = i.id
+left join (select id, string_agg(name, ',' order by name, slug) as v from part_tags group by id) t on t.id = i.id
+left join (select id, string_agg(name, ',' order by name, slug) as v from part_platforms group by id) p on p.id = i.id"""),
+    "catalog_item": _with("part_items part_genres part_tags part_platforms", """
+select id, title, (select count(*) from part_genres g where g.id = i.id)::int as genres, (select count(*) from part_tags g where g.id = i.id)::int as tags,
+  (select count(*) from part_platforms g where g.id = i.id)::int as platforms from part_items i where id = 7"""),
+    "catalog_scan": _with("part_items part_genres part_tags part_platforms", """
+select i.slug, i.popularity_score::double as popularity_score, coalesce(g.v, '') as genres, coalesce(t.v, '') as tags, coalesce(p.v, '') as platforms from part_items i
+left join (select id, string_agg(slug, ',' order by slug) as v from part_genres group by id) g on g.id = i.id
+left join (select id, string_agg(slug, ',' order by slug) as v from part_tags group by id) t on t.id = i.id
+left join (select id, string_agg(slug, ',' order by slug) as v from part_platforms group by id) p on p.id = i.id"""),
+    "taxonomy_lists": _with("part_genres part_tags part_platforms", """
+select 'genre' as family, slug, name, count(distinct id) as items from part_genres group by all union all
+select 'tag', slug, name, count(distinct id) from part_tags group by all union all select 'platform', slug, name, count(distinct id) from part_platforms group by all"""),
+    "resolve_ids": _with("interactions items", "select user_id as request_id, n.id as place, item_id * 40 as id, i.slug from interactions n left join items i on i.id = item_id * 40 where item_id is not null"),
+    "popularity_baseline": _with("baseline", f"select slug, {_UNITS.format('popularity')} as popularity_units from baseline"),
+    "term_frequency": _with("tf", "select slug, count(*) as terms, sum(tf)::bigint as occurrences, max(tf) as most from tf group by slug"),
+    "document_frequency_idf": _with("idf", "select term, df, round(idf, 9) as idf from idf"),
+    "tfidf_weights": _with("tf idf", """
+select slug, term, round(raw / sqrt(sum(raw * raw) over (partition by slug)), 6) as weight from (select slug, term, (1 + ln(tf)) * idf as raw from tf join idf using (term))"""),
+    "context_checks": _with("preferences items", """
+, c as (select user_id as context_id, list(value order by value) filter (preference_type = 'game') as selected, (5 + user_id % 6) * 3 as top_k from preferences group by user_id)
+select context_id, 'top_k_out_of_range' as reason from c where top_k not between 1 and 20
+union all select distinct context_id, 'selected_unknown' from (select context_id, unnest(selected[1:5]) as slug from c) where slug not in (select slug from items)"""),
+    "active_feedback": _with("state", "select * from state"),
+    "feedback_pages": _with("state items", """
+select item_id, slug, reaction, played, wishlisted, rating, latest_at, count(*) over () as total from state join items on items.id = item_id where user_id = 3 order by latest_at desc, item_id limit 20"""),
+    "supersession_backfill": _with("log", "select id, user_id, item_id, interaction_type, superseded_at from log"),
+    "positive_sources": _with("state items", """
+select * from (select *, row_number() over (partition by user_id order by occurred_at desc, slug)::int as place from (
+  select user_id, slug, case when reaction = 'liked' then 'liked' when reaction is null and rating >= 7 then 'rating' end as kind,
+    case when reaction = 'liked' then reaction_at else rating_at end as occurred_at from state join items on items.id = item_id) where kind is not null) where place <= 5"""),
+    "replace_state": _with("interactions", f"""
+, before as (
+  select *, case when interaction_type in ('liked', 'disliked') then 'reaction' else interaction_type end as dimension from interactions where occurred_at < timestamp '{NOW}'
+), old as (
+  select *, interaction_type <> 'viewed' and row_number() over (partition by user_id, item_id, dimension order by occurred_at desc, id desc) = 1 as open from before
+), after as (
+  select *, case when interaction_type in ('liked', 'disliked') then 'reaction' else interaction_type end as dimension from interactions
+  where occurred_at >= timestamp '{NOW}' and interaction_type <> 'viewed'
+), wanted as (
+  select user_id, item_id, interaction_type, value from after qualify row_number() over (partition by user_id, item_id, dimension order by occurred_at desc, id desc) = 1
+), touched as (select distinct user_id, item_id from wanted), done as (
+  select o.user_id, case when o.open and t.user_id is not null and not (w.user_id is not null and w.value is not distinct from o.value) then 'closed' else 'kept' end as change,
+    o.open and not (t.user_id is not null and not (w.user_id is not null and w.value is not distinct from o.value)) as active
+  from old o left join touched t using (user_id, item_id) left join wanted w on w.user_id = o.user_id and w.item_id = o.item_id and w.interaction_type = o.interaction_type
+  union all select w.user_id, 'inserted', true from wanted w where not exists (
+    select 1 from old o where o.open and o.user_id = w.user_id and o.item_id = w.item_id and o.interaction_type = w.interaction_type and o.value is not distinct from w.value)
+)
+select user_id, change, count(*) as rows, count(*) filter (active) as active from done group by all"""),
+    "preferences_pivot": _with("preferences", """
+select user_id, coalesce(string_agg(value, ',' order by value) filter (preference_type = 'game'), '') as selected, coalesce(string_agg(value, ',' order by value) filter (preference_type = 'genre'), '') as genres,
+  coalesce(string_agg(value, ',' order by value) filter (preference_type = 'tag'), '') as tags, coalesce(string_agg(value, ',' order by value) filter (preference_type = 'platform'), '') as platforms
+from preferences group by user_id"""),
+    "preferences_replace": _with("preferences", """
+, desired as (
+  select user_id, preference_type, value from preferences where user_id % 3 = 0 and preference_type in ('game', 'genre')
+  union all select distinct user_id, 'platform', 'p' || user_id % 5 from preferences where user_id % 3 = 0)
+select coalesce(p.user_id, d.user_id) as user_id, coalesce(p.preference_type, d.preference_type) as preference_type, coalesce(p.value, d.value) as value, 1::decimal(4,3) as weight,
+  case when p.user_id is null then 'inserted' when d.user_id is null and p.user_id % 3 = 0 then 'deleted' else 'kept' end as change
+from preferences p full join desired d on p.user_id = d.user_id and p.preference_type = d.preference_type and p.value = d.value"""),
+    "unknown_references": _with("preferences known", "select user_id as request_id, preference_type as family, value as slug from preferences p where not exists (select 1 from known k where k.family = p.preference_type and k.slug = p.value)"),
+    "stale_references": _with("preferences known", """
+select * from (select user_id, reference, row_number() over (partition by user_id order by reference)::int as place from (
+  select distinct user_id, preference_type || ':' || value as reference from preferences p where not exists (select 1 from known k where k.family = p.preference_type and k.slug = p.value))) where place <= 26"""),
+    "upsert_classify": _with("part_items part_tags", f"""
+, old as (select i.slug, title, popularity_score, t.tags, i.id from part_items i join (select id, list(slug order by slug) as tags from part_tags group by id) t on t.id = i.id)
+select slug, title, case when id % 4 <> 3 and id % 5 = 0 then popularity_score - 1 else popularity_score end as popularity_score,
+  array_to_string(list_sort(case when id % 4 <> 3 and id % 7 = 0 then list_append(tags, 'sale') else tags end), ',') as tags,
+  case when id % 4 <> 3 and (id % 5 = 0 or id % 7 = 0) then timestamp '{NOW}' else timestamp '{CUTOFF}' end as updated_at,
+  case when id % 4 = 3 then 'kept' when id % 5 = 0 or id % 7 = 0 then 'updated' else 'unchanged' end as outcome from old
+union all select slug || '-b', title, popularity_score, array_to_string(tags, ','), timestamp '{NOW}', 'inserted' from old where id % 10 = 0"""),
+    "quality_checks": _with("items log users", """
+select 'items' as "table", 'slug_format' as rule, id::varchar as key from items where id % 13 = 0
+union all select 'interactions', 'value_only_for_ratings', id::varchar from log where id % 50 = 0
+union all select 'users', 'consent_lifecycle', id::varchar from users where id % 9 = 0 and consented_at is not null"""),
+    "unique_checks": _with("log part_items", """
+select 'interactions' as "table", 'one_active' as rule, user_id || ':' || item_id || ':' || d as key, count(*) as n
+from (select user_id, item_id, case when interaction_type in ('liked', 'disliked') then 'reaction' else interaction_type end as d from log where interaction_type <> 'viewed') group by user_id, item_id, d having count(*) > 1
+union all select 'part_items', 'title', title, count(*) from part_items group by title having count(*) > 1"""),
+    "fk_checks": _with("interactions items rec_events users", """
+select 'interactions' as "table", 'item_id' as rule, ref::varchar as key, count(*) as n from (select item_id + case when id % 20 = 0 then 10000000 else 0 end as ref from interactions)
+where ref is not null and ref not in (select id from items) group by ref
+union all select 'rec_events', 'user_id', user_id::varchar, count(*) from rec_events where user_id not in (select id from users) group by user_id"""),
+    "feedback_checks": _with("state", """
+select 'feedback' as "table", 'rating_range' as rule, user_id || ':' || item_id as key from state where rating + case when item_id % 10 = 0 then 5 else 0 end > 10"""),
+    "retention_preview": _with("rec_events users", f"""
+select e as events, x as expired_users, r as revoked_users, e + x + r as eligible from (select count(*) as e from rec_events where generated_at <= timestamp '{CUTOFF}'),
+  (select count(*) filter (consented_at is not null and revoked_at is null and expires_at <= timestamp '{NOW}') as x, count(*) filter (revoked_at <= timestamp '{NOW}') as r from users)"""),
+    "retention_purge": _with("rec_events users interactions preferences", f"""
+, gone as (select id from users where consented_at is not null and revoked_at is null and expires_at <= timestamp '{NOW}')
+select id as user_id, count(*) as rows, 'users' as "table" from users where id not in (select id from gone) group by id
+union all select user_id, count(*), 'events' from rec_events where generated_at > timestamp '{CUTOFF}' and user_id not in (select id from gone) group by user_id
+union all select user_id, count(*), 'interactions' from interactions where user_id not in (select id from gone) group by user_id
+union all select user_id, count(*), 'preferences' from preferences where user_id not in (select id from gone) group by user_id"""),
+    "revoke_cohort": _with("users", f"""
+select id, case when p then timestamp '{NOW}' else revoked_at end as revoked_at, p as processed from (
+  select *, coalesce(consented_at is not null and revoked_at is null and created_at <= timestamp '{CUTOFF}' and expires_at > timestamp '{NOW}', false) as p from users)"""),
+    "session_status": _with("users", f"""
+select id, case when consented_at is null or revoked_at is not null or expires_at <= timestamp '{NOW}' then 'required' when consent_version <> 'v1' then 'consent_outdated' else 'active' end as status from users"""),
+    "legacy_backfill": _with("users", f"select id, md5('legacy-revoked-v1:key-' || id) || lpad(lower(to_hex(id)), 32, '0') as anonymous_token_digest, timestamp '{NOW}' as revoked_at from users"),
+    "half_step_ratings": _with("interactions", "select id, value * 2 = floor(value * 2) and value between 0 and 10 as half_step, (value + 0.25) * 2 = floor((value + 0.25) * 2) and value + 0.25 between 0 and 10 as quarter_more from interactions where interaction_type = 'rated'"),
+}
+
+# decimals and dates are compared as doubles and text
+_PLAIN = {
+    "average_rating::double": [f"catalog_page_{s}" for s in _ORDERS],
+    "popularity_score::double": [*(f"catalog_page_{s}" for s in _ORDERS), "catalog_filter_taxonomy", "upsert_classify"],
+    "release_date::varchar": [f"catalog_page_{s}" for s in _ORDERS],
+    "rating::double": ["active_feedback", "feedback_pages"],
+    "weight::double": ["preferences_replace"],
+}
+for _cast, _names in _PLAIN.items():
+    for _name in _names:
+        ORACLE_SQL[_name] = f"select * replace ({_cast} as {_cast.partition(':')[0]}) from ({ORACLE_SQL[_name]})"

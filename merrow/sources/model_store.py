@@ -13,6 +13,7 @@ from merrow.functions.identity import canonical_json
 from merrow.operators.features import Features, fit
 from merrow.operators.popularity import popularity
 from merrow.operators.ranking import Model
+from merrow.scratch import written
 
 BUCKETS = 256
 MEMBERS = ("items", "idf", "weights", "popularity")
@@ -43,6 +44,12 @@ def build(items: DataFrame, identity: ModelIdentity | None = None) -> Model:
     return Model(items, fit(items, identity.features), popularity(items, "slug", identity.popularity))
 
 
+def held(model: Model) -> Model:
+    """The model in scratch tables, for rankings that read it several times."""
+    kept = Features(written(model.features.idf, "idf"), written(model.features.weights, "weights"))
+    return Model(written(model.items, "items"), kept, written(model.popularity, "popularity"))
+
+
 def summary(model: Model) -> DataFrame:
     """One row: items, terms, weights."""
     counts = [rows.agg(F.count("*").alias(name)) for rows, name in ((model.items, "items"), (model.features.idf, "terms"), (model.features.weights, "weights"))]
