@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merrow.llm.components import components
-from merrow.llm.shared import written
+from merrow.llm.shared import slices, written
 
 #: Shingles of distinct sets that a task counts at once, and from which count in these it reports one.
-COUNTED_AT_ONCE, REPORTED_FROM = 4_000_000, 3
+COUNTED_AT_ONCE, REPORTED_FROM = 2_000_000, 3
 #: Frequent shingles that are told to all tasks at most (16 MB), and from which sum of counts. They
 #: only decide the order, so what lies beyond the bound costs time and never a link.
 MOST_FREQUENT, FREQUENT_FROM = 1_000_000, 16
@@ -109,7 +109,7 @@ def _measured(docs: DataFrame, size: int) -> DataFrame:
             none = [pa.nulls(len(tokens), f.type) for f in fit][:4]
             return pa.RecordBatch.from_arrays([*none, pa.array(tokens), pa.array(counts[many].astype(np.int64))], schema=fit)
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for text in _texts(batch):
                 s = shingle(text)
@@ -130,8 +130,8 @@ def _measured(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, size: int, num: int, den: int, frequent) -> DataFrame:
-    """Rows (token, gid, n, place) of prefixes, and (gid, n, hi, lo, s0..s3) of the sets in groups."""
-    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("token", "gid", "n", "place", "hi", "lo", "s0", "s1", "s2", "s3")])
+    """Rows (token, gid, n, place, often) of prefixes, and (gid, n, hi, lo, s0..s3) of the sets in groups."""
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("token", "gid", "n", "place", "often", "hi", "lo", "s0", "s1", "s2", "s3")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -139,7 +139,7 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, frequent) -> DataF
         fit, shingle = to_arrow_schema(schema), Shingler(size)
         tokens, counts = frequent.value
         sets, groups = set(), set()
-        for batch in batches:
+        for batch in slices(batches, 1):
             posted, members = [], []
             for text in _texts(batch):
                 s = shingle(text)
@@ -147,29 +147,32 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, frequent) -> DataF
                     continue
                 sets.add(mark)
                 p = prefix_length(len(s), num, den)
-                first = s
+                first, rare = s, len(s)
                 if len(tokens):
                     near = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     common = tokens[near] == s
                     late = np.flatnonzero(common)
+                    rare = len(s) - len(late)
                     first = np.concatenate([s[~common], s[late[np.argsort(counts[near[late]], kind="stable")]]])
                 first = first[:p]
                 gid = int(mixed(first * _ODD[6] + np.arange(p, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64)) ^ len(s)
                 members.append((gid, len(s), *mark, *sketch(s).tolist()))
                 if gid not in groups:
                     groups.add(gid)
-                    posted.append((first.view(np.int64), gid, len(s)))
+                    posted.append((first.view(np.int64), gid, len(s), rare))
             if len(sets) > CACHE_WORDS:
                 sets.clear()
                 groups.clear()
             if posted:
-                sizes = [len(t) for t, _, _ in posted]
-                rows = [np.concatenate([t for t, _, _ in posted]), np.repeat([g for _, g, _ in posted], sizes), np.repeat([n for _, _, n in posted], sizes), np.concatenate([np.arange(k) for k in sizes])]
+                first, gid, n, rare = zip(*posted, strict=True)
+                sizes = list(map(len, first))
+                place = np.concatenate([np.arange(k) for k in sizes])
+                rows = [np.concatenate(first), np.repeat(gid, sizes), np.repeat(n, sizes), place, place >= np.repeat(rare, sizes)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(r.astype(np.int64)) for r in rows), *[pa.nulls(sum(sizes), pa.int64())] * 6], schema=fit)
             if members:
                 gid, n, *rest = zip(*members, strict=True)
                 none = pa.nulls(len(members), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(gid, pa.int64()), pa.array(n, pa.int64()), none, *(pa.array(r, pa.int64()) for r in rest)], schema=fit)
+                yield pa.RecordBatch.from_arrays([none, pa.array(gid, pa.int64()), pa.array(n, pa.int64()), none, none, *(pa.array(r, pa.int64()) for r in rest)], schema=fit)
 
     return docs.mapInArrow(run, schema)
 
@@ -248,11 +251,14 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     found = written(_prefixes(source.where("id is not null"), size, num, den, frequent), "prefixes")
     reps = rows.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("node"))
-    members = found.where("token is null").drop("token", "place").distinct().join(reps, ["hi", "lo"]).drop("hi", "lo")
+    members = found.where("token is null").drop("token", "place", "often").distinct().join(reps, ["hi", "lo"]).drop("hi", "lo")
     members = written(members, "members")
-    posted = found.where("token is not null").select("token", "gid", "n", "place")
-    shared = posted.groupBy("token").agg(F.min("gid").alias("x"), F.max("gid").alias("y")).where("x <> y").select("token")
-    lists = posted.join(shared, "token").distinct().join(members.drop("n"), "gid")
+    posted = found.where("token is not null").select("token", "gid", "n", "place", "often")
+    # rare shingles are dealt out once; most stand in one group only, or in two of different sizes
+    rare = posted.where("often = 0").drop("often").repartition("token")
+    groups = rare.groupBy("token").agg(F.count("*").alias("rows"), F.min("gid").alias("x"), F.max("gid").alias("y"), F.min("n").alias("low"), F.max("n").alias("high"))
+    shared = groups.where((F.col("x") != F.col("y")) & ((F.col("rows") > 2) | (den * F.col("low") >= num * F.col("high")))).select("token")
+    lists = rare.join(shared, "token").unionByName(posted.where("often = 1").drop("often")).dropDuplicates(["token", "gid"]).join(members.drop("n"), "gid")
     crowded = members.groupBy("gid").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("gid")
     inside = members.join(crowded, "gid").withColumns({"token": F.col("gid"), "place": F.lit(0).cast("long")})
     lists = written(lists.unionByName(inside.select(lists.columns)), "lists")
