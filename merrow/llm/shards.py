@@ -50,15 +50,18 @@ def _walk(df: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def longest_walk(spark: SparkSession, n: int, seed: int) -> int:
-    """Steps after which every walk through the spare cells has ended. The spare cells, under
-    sqrt(n) of them, are all walked."""
+    """Steps after which every walk that enters the spare cells has left them. The spare cells,
+    fewer than sqrt(n), are all walked; those that never leave are circles that nothing enters,
+    and walks of every length up to the longest occur, so no change means that only these are left."""
     a, b = grid(n)
-    cells, walked = spark.range(n, a * b).withColumnRenamed("id", "__y"), 0
-    # counted, not filtered: a filter would be pushed down with all the steps written out in it
-    while cells.agg(F.count_if(F.col("__y") >= n)).first()[0]:
-        if walked > a:
-            raise ValueError("a walk does not end; the network is no permutation")
-        cells, walked = _walk(cells, n, seed), walked + 1
+    cells, walked, inside = spark.range(n, a * b).withColumnRenamed("id", "__y"), 0, a * b - n
+    while inside:
+        cells = _walk(cells, n, seed)
+        # counted, not filtered: a filter would be pushed down with all the steps written out in it
+        now = cells.agg(F.count_if(F.col("__y") >= n)).first()[0]
+        if now == inside:
+            break
+        inside, walked = now, walked + 1
     return walked
 
 
