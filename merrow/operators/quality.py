@@ -105,7 +105,11 @@ def seed_problems(games: DataFrame, taxonomies: DataFrame, least_games: int = 25
     # digits of a number are bounded by its type; lengths and ranges as for items
     rules |= item_rules()
     out = out.unionByName(violations(games, "games", "slug", rules).select("rule", "key"))
-    pairs = F.flatten(F.array(*[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda s, f=f: F.struct(F.lit(f).alias("family"), s.alias("slug"))) for f, c in fields.items()]))
+
+    def named(family: str, column: str) -> Column:
+        return F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda s: F.struct(F.lit(family).alias("family"), s.alias("slug")))
+
+    pairs = F.flatten(F.array(*[named(*f) for f in fields.items()]))
     used = games.select(F.col("slug").alias("game"), F.explode(pairs).alias("r")).select("game", "r.*")
     unknown = used.join(taxonomies.select("family", "slug"), ["family", "slug"], "left_anti").select(F.concat(F.col("family"), F.lit("_unknown")).alias("rule"), F.concat_ws(":", "game", "slug").alias("key"))
     few = games.agg(F.count("*").alias("n")).where(F.col("n") < least_games).select(F.lit("too_few_games").alias("rule"), F.col("n").cast("string").alias("key"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,11 @@ def read_seed(spark: SparkSession, path: str) -> Seed:
         raise ValueError("the catalog has unknown fields: " + ", ".join(sorted(bad)))
     whole = spark.read.schema(SEED).option("multiLine", True).option("mode", "FAILFAST").json(path)
     families = {"genre": "genres", "tag": "tags", "platform": "platforms"}
-    lists = F.flatten(F.array(*[F.transform(F.col(f"taxonomies.{many}"), lambda t, one=one: F.struct(F.lit(one).alias("family"), t["slug"].alias("slug"), t["name"].alias("name"))) for one, many in families.items()]))
+
+    def listed(one: str, many: str) -> Column:
+        return F.transform(F.col(f"taxonomies.{many}"), lambda t: F.struct(F.lit(one).alias("family"), t["slug"].alias("slug"), t["name"].alias("name")))
+
+    lists = F.flatten(F.array(*[listed(*f) for f in families.items()]))
     taxonomies = whole.select(F.explode(lists).alias("t")).select("t.*")
     games = whole.select(F.posexplode("games").alias("place", "g")).select((F.col("place") + 1).cast("long").alias("id"), "g.*")
     bridges = {}
