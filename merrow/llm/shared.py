@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from merrow.scratch import discard as discard
+from merrow.scratch import written as written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the input folder, with the named columns only (all of them if none is named)."""
@@ -19,32 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="merrow-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once to the shared folder and read back, so that a lost
-    executor costs a read and not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/merrow/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._merrow_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files behind a ``written`` table that nothing will read again."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._merrow_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` mentions it.
 
