@@ -118,6 +118,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": """
+with doc as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+), item as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark
+), item_word as (
+  select item_id, unnest(w) as word, generate_subscripts(w, 1) as i, len(w) as n, least(13, len(w)) as size from item where len(w) > 0
+), win as (
+  select distinct item_id, size, g from (
+    select item_id, size, n, i, string_agg(word, ' ') over (partition by item_id order by i rows between current row and 12 following) as g from item_word) where i <= n - size + 1
+), word as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from doc
+), next as (
+  select doc_id, i, list(word) over (partition by doc_id order by i rows between current row and 12 following) as a from word
+), found as (
+  select n.doc_id, n.i, s.size, array_to_string(a[1:s.size], ' ') as g from next n, (select distinct size from win) s where len(a) >= s.size
+), hit as (
+  select doc_id, i, f.size, item_id from found f join win on win.size = f.size and win.g = f.g
+), counted as (
+  select doc_id, count(distinct i + k) as n_hit from hit, range(13) r(k) where k < size group by doc_id
+), named as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from hit) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from doc d left join counted c on c.doc_id = d.doc_id left join named n on n.doc_id = d.doc_id
+""",
     "op4_line_dedup": """
 with line as (
   select doc_id, i, string_split(text, chr(10))[i] as line
