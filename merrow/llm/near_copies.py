@@ -268,10 +268,13 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stars = stars.select(F.least("l.node", "h.node").alias("a"), F.greatest("l.node", "h.node").alias("b")).distinct()
     links = _verified(stars, source, size, num, den)
     roots = components(links)
-    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(placed, "placed")
-    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root"))
-    rest = placed.alias("l").join(placed.alias("r"), on & may_link("l", "r", num, den)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    root = F.coalesce("root", "node")
+    hub_root = hubs.select("token", "node").join(roots, "node", "left").select("token", root.alias("hub_root"))
+    placed = written(lists.join(roots, "node", "left").withColumn("root", root).join(hub_root, "token"), "placed")
+    # of two members in different components, one at least isn't in that of the list's hub
+    outside = placed.where("root <> hub_root").alias("l")
+    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.root") != F.col("r.root"))
+    rest = outside.join(placed.alias("r"), on & may_link("l", "r", num, den)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     links = links.unionByName(_verified(rest, source, size, num, den))
     roots = components(links)
     of_set = reps.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
