@@ -15,7 +15,6 @@ from merrow.operators.popularity import popularity
 from merrow.operators.ranking import Model
 from merrow.scratch import written
 
-BUCKETS = 256
 MEMBERS = ("items", "idf", "weights", "popularity")
 
 
@@ -28,14 +27,16 @@ def row_hash(items: DataFrame) -> Column:
 
 
 def fingerprint(items: DataFrame) -> DataFrame:
-    """One row: the fingerprint of the whole catalog, the same for any order of rows. Rows are
-    hashed, then the sorted hashes of each of 256 buckets, then the buckets' hashes.
-
-    A bucket's hashes meet in one task; beyond some billions of items raise BUCKETS."""
-    hashes = items.select(row_hash(items).alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, 2), 16, 10).cast("int"))
-    per_bucket = hashes.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda b: F.concat_ws(":", b["bucket"], b["h"])), ",")
-    return per_bucket.agg(F.sha2(joined, 256).alias("fingerprint"))
+    """One row: the fingerprint of the whole catalog, the same for any order of rows.
+
+    Rows are hashed; hashes that share six hex digits are sorted and hashed together, then those
+    groups by three digits, then the 4,096 that are left. No group of the first two levels grows
+    beyond a 16,777,216th or a 4,096th part of what is below it."""
+    rows = items.select(row_hash(items).alias("h")).withColumn("k", F.substring("h", 1, 6))
+    for digits in (6, 3, 0):
+        joined = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "k", "h"))), ",")
+        rows = rows.groupBy(F.substring("k", 1, digits).alias("part")).agg(F.sha2(joined, 256).alias("h")).withColumnRenamed("part", "k")
+    return rows.select(F.col("h").alias("fingerprint"))
 
 
 def build(items: DataFrame, identity: ModelIdentity | None = None) -> Model:
