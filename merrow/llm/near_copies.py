@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merrow.llm.components import components
-from merrow.llm.shared import slices, written
+from merrow.llm.shared import discard, slices, written
 
 #: Shingles of distinct sets that a task counts at once, and from which count in these it reports one.
 COUNTED_AT_ONCE, REPORTED_FROM = 2_000_000, 3
@@ -192,12 +192,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 def _verified(pairs: DataFrame, source: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose whole sets reach the threshold, from the texts in ``source``."""
     pairs = written(pairs, "pairs")
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    if needed.count() <= MOST_BROADCAST:
-        needed = F.broadcast(needed)
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    needed = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
     texts = source.withColumnRenamed("id", "node").join(needed, "node", "left_semi").select("node", "text")
     sets = written(_sets(texts, size), "shingles")
-    return written(_linked(pairs, sets, num, den), "links")
+    links = written(_linked(pairs, sets, num, den), "links")
+    for done in (pairs, nodes, sets):
+        discard(done)
+    return links
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -262,6 +264,7 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     crowded = members.groupBy("gid").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("gid")
     inside = members.join(crowded, "gid").withColumns({"token": F.col("gid"), "place": F.lit(0).cast("long")})
     lists = written(lists.unionByName(inside.select(lists.columns)), "lists")
+    discard(found)
 
     hubs = lists.groupBy("token").agg(F.min(F.struct("place", "node", "n", "s0", "s1", "s2", "s3")).alias("h")).select("token", "h.*")
     stars = lists.alias("l").join(hubs.alias("h"), (F.col("l.token") == F.col("h.token")) & (F.col("l.node") != F.col("h.node")) & may_link("l", "h", num, den))
@@ -271,6 +274,7 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     root = F.coalesce("root", "node")
     hub_root = hubs.select("token", "node").join(roots, "node", "left").select("token", root.alias("hub_root"))
     placed = written(lists.join(roots, "node", "left").withColumn("root", root).join(hub_root, "token"), "placed")
+    discard(lists)
     # of two members in different components, one at least isn't in that of the list's hub
     outside = placed.where("root <> hub_root").alias("l")
     on = (F.col("l.token") == F.col("r.token")) & (F.col("l.root") != F.col("r.root"))
