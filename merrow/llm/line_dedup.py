@@ -16,8 +16,8 @@ from merrow.llm.shared import bind, written
 #: Of the line pairs, one in so many starts a chunk.
 DIVISOR = 3
 LONG_LINE_WORDS = 50
-#: Repeated hashes that are broadcast at most (64 MB); more are joined by a shuffle of the chunks.
-MOST_BROADCAST = 4_000_000
+#: Repeated hashes that are broadcast at most (about 64 MB as a table); more are joined by a shuffle of the chunks.
+MOST_BROADCAST = 1_000_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
