@@ -109,7 +109,7 @@ def feedback_candidates(contexts: DataFrame, feedback: DataFrame, model: Model,
     """All eligible candidates of the users with their adjusted units."""
     base = base_candidates(contexts, feedback, model, ranking)
     sources = positive_sources(feedback, config).select("user_id", "slug")
-    profile = centroids(sources, model.features.weights, "user_id")
+    profile = written(centroids(sources, model.features.weights, "user_id"), "profiles")
     affinity = similarities(model.features.weights, profile, "user_id").select("user_id", "slug", quantize(F.col("similarity")).alias("affinity"))
     has_profile = sources.select("user_id").distinct().withColumn("has_profile", F.lit(True))
     excluded = feedback.where("reaction = 'disliked'").select("user_id", "slug").unionByName(sources).distinct()

@@ -12,6 +12,9 @@ from merrow.functions.fixedpoint import contribution, quantize
 from merrow.operators.features import Features, normalized, preference_vectors
 from merrow.scratch import written
 
+#: Rows of user vectors that are broadcast at most (about 64 MB).
+MOST_BROADCAST = 1_000_000
+
 
 @dataclass
 class Model:
@@ -63,8 +66,12 @@ def user_vectors(contexts: DataFrame, features: Features, config: RankingConfig
 
 
 def similarities(weights: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """(key, slug, similarity) for all items that share a term with a vector."""
+    """(key, slug, similarity) for all items that share a term with a vector.
+
+    ``vectors`` is a written table. Up to MOST_BROADCAST rows of it are broadcast, so that frequent
+    terms don't meet in one task and sums start where an item's weights lie; more are shuffled."""
     held = vectors.select(key, "term", F.col("weight").alias("user_weight"))
+    held = F.broadcast(held) if vectors.count() <= MOST_BROADCAST else held
     return weights.join(held, "term").groupBy(key, "slug").agg(F.sum(F.col("weight") * F.col("user_weight")).alias("similarity"))
 
 
