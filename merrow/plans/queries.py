@@ -126,9 +126,8 @@ def _contexts(v: Views) -> DataFrame:
 
 
 def _model(v: Views) -> ranking.Model:
-    """Items with short texts: what a catalog shows, not whole documents."""
-    items = written(v.nested_items().withColumn("description", F.array_join(F.slice(F.split("description", " "), 1, 60), " ")), "items")
-    return model_store.held(model_store.build(items))
+    """All items with their whole descriptions."""
+    return model_store.held(model_store.build(written(v.nested_items(), "items")))
 
 
 def _feedback(v: Views) -> DataFrame:
