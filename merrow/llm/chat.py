@@ -9,7 +9,7 @@ sorted, no white space.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merrow.llm.shared import discard, written
@@ -97,35 +97,47 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict] = TO
     Sorting a conversation by level, turn and call_id is a topological order; level is null in a
     circle and for results without a call. Of several calls of one id the first stays (by turn,
     then by name and arguments), of several results the first by turn and content; n_results
-    tells. Rows without an id link with nothing: such calls keep their row, such results go.
-    Arguments that are null or no JSON object are invalid. Empty tables give no rows; further
-    columns are left out."""
+    tells. Rows without an id link with nothing, and each keeps its row.
+    Arguments that are null or no JSON object are invalid; what is no JSON stands in the message as
+    a string. Empty tables give no rows; further columns are left out."""
     fields = ("turn", "conv_id", "name", "arguments", "uses")
     first = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct(*fields)).alias("c"), F.count("*").alias("n")).select("call_id", "c.*")
     lone = calls.where("call_id is null").select("call_id", *fields)
     answers = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     known = first.join(levels(first), "call_id").unionByName(lone.withColumn("level", F.lit(0).cast("long")))
-    both = known.join(answers, "call_id", "full_outer")
-    status = F.when(F.col("name").isNull() & F.col("turn").isNull(), "no_call").when(F.col("n_results").isNull(), "no_result").otherwise("linked")
+    stray = results.where("call_id is null").select(F.lit(None).cast("string").alias("call_id"), F.struct("turn", "content").alias("r"), F.lit(1).cast("long").alias("n_results"))
+    both = known.withColumn("is_call", F.lit(True)).join(answers, "call_id", "full_outer").unionByName(stray, allowMissingColumns=True)
+    status = F.when(F.col("is_call").isNull(), "no_call").when(F.col("n_results").isNull(), "no_result").otherwise("linked")
     errors = F.when(status != "no_call", errors_of(F.col("arguments"), F.col("name"), tools))
     out = both.withColumns({"status": status, "errors": errors, "result_turn": F.col("r.turn"), "content": F.col("r.content"), "n_results": F.coalesce("n_results", F.lit(0)).cast("long")})
-    call = F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("name"), F.struct("content", F.col("result_turn").alias("turn")).alias("result"))
+    call = F.struct(F.coalesce(F.try_parse_json("arguments"), F.col("arguments").cast("variant")).alias("arguments"), F.col("call_id").alias("id"), F.col("name"), F.struct("content", F.col("result_turn").alias("turn")).alias("result"))
     message = F.when(status != "no_call", F.to_json(call, {"ignoreNullFields": "false"}))
     return out.select("conv_id", "turn", "call_id", "name", "uses", "level", "status", "n_results", "result_turn", "content", (F.size("errors") == 0).alias("valid"), "errors", message.alias("message"))
 
 
 def calls_in(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results made from plain conversations, for tables that hold no tool calls of their
-    own: each assistant turn is taken as a call and the turn after it as the result. The tool and
-    its arguments follow from the turn's words, and some are wrong on purpose of the checks."""
-    turns = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    name_of = lambda conv, turn: F.concat_ws(":", F.lit("call"), conv, turn)
-    call = turns.where("role = 'assistant'").withColumns({"words": F.size(F.split("text", " ")), "call_id": name_of(F.col("conv_id"), F.col("turn"))})
-    part = F.substring("text", 1, 40)
+    own: each assistant turn is taken as a call, with its whole text in the arguments, and every
+    other turn as a result, of the turn before it or, where that is no call, of none. The tool and
+    its arguments follow from the turn's words, and some are wrong on purpose of the checks.
+
+    Further rows of one conversation and turn have identifiers that end in #2, #3 and so on, by
+    text; rows without a conv_id or a turn have none, so that nothing links them or merges them."""
+    place = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.concat_ws(":", "conv_id", "turn"))
+    is_call = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    turns = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), place.alias("place"), is_call.alias("is_call"))
+    # rows without a place are numbered by text, to be in no one group
+    same = Window.partitionBy("place", "is_call", F.when(F.col("place").isNull(), F.xxhash64("text"))).orderBy("text")
+    turns = turns.withColumn("k", F.row_number().over(same))
+    # concat is null where the conversation or the turn is
+    name_of = lambda turn: F.concat(F.lit("call:"), F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+    further = F.when(F.col("k") > 1, F.concat(F.lit("#"), F.col("k").cast("string"))).otherwise(F.lit(""))
+    call = turns.where("is_call").withColumns({"words": F.size(F.split("text", " ")), "call_id": F.concat(name_of(F.col("turn")), further)})
+    whole = F.col("text")
     n = F.col("words")
-    lookup = F.to_json(F.struct(F.when(n % 7 != 0, part).alias("query"), (n % 50).alias("limit")))
-    count = F.to_json(F.struct(F.when(n % 11 == 0, F.lit("lines")).otherwise(F.lit("words")).alias("unit"), part.alias("text")))
-    score = F.to_json(F.struct((n % 13 - 1).alias("value"), (n % 2 == 0).alias("strict"), F.struct(n.alias("words"), F.lit(1).alias("at")).alias("extra")))
-    call = call.withColumns({"name": F.element_at(F.array(F.lit("lookup"), F.lit("count"), F.lit("score")), n % 3 + 1), "arguments": F.when(n % 17 == 0, part).otherwise(F.element_at(F.array(lookup, count, score), n % 3 + 1)), "uses": name_of(F.col("conv_id"), F.col("turn") - 2)})
-    result = turns.where("role = 'user'").select(name_of(F.col("conv_id"), F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return call.select("call_id", "conv_id", "turn", "name", "arguments", "uses"), result.where("turn > 0")
+    lookup = F.to_json(F.struct(F.when(n % 7 != 0, whole).alias("query"), F.when(n % 7 == 0, whole).alias("text"), (n % 50).alias("limit")))
+    count = F.to_json(F.struct(F.when(n % 11 == 0, F.lit("lines")).otherwise(F.lit("words")).alias("unit"), whole.alias("text")))
+    score = F.to_json(F.struct((n % 13 - 1).alias("value"), (n % 2 == 0).alias("strict"), F.struct(n.alias("words"), F.lit(1).alias("at"), whole.alias("text")).alias("extra")))
+    call = call.withColumns({"name": F.element_at(F.array(F.lit("lookup"), F.lit("count"), F.lit("score")), n % 3 + 1), "arguments": F.when(n % 17 == 0, whole).otherwise(F.element_at(F.array(lookup, count, score), n % 3 + 1)), "uses": name_of(F.col("turn") - 2)})
+    result = turns.where("not is_call").select(F.concat(name_of(F.col("turn") - 1), further).alias("call_id"), "turn", F.col("text").alias("content"))
+    return call.select("call_id", "conv_id", "turn", "name", "arguments", "uses"), result

@@ -95,7 +95,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     calls, results = calls_in(table(spark, sf_dir, "conversations"))
     linked = link_calls(calls, results)
-    return linked.select("conv_id", "turn", "call_id", "name", "level", "status", "n_results", "valid", F.array_join("errors", "; ").alias("errors"), "message")
+    alone = F.when(F.col("status") == "no_call", F.col("content"))
+    return linked.select("conv_id", "turn", "call_id", "name", "level", "status", "n_results", "valid", F.array_join("errors", "; ").alias("errors"), "message", "result_turn", alone.alias("content"))
 
 
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
