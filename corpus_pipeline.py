@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that others, or they themselves, have before; one of which
     nothing is left goes."""
-    left = dedup_lines(docs).where((F.col("n_removed_chunks") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = dedup_lines(docs, passages=True).where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 

@@ -56,6 +56,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of line dedup: chunks, and repeated passages whatever chunks they are in."""
+    from merrow.llm.line_dedup import dedup_lines
+
+    left = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"), passages=True)
+    return left.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merrow.llm.quality import judge
 
@@ -110,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_language": op3_language,
     "op4_line_dedup": op4_line_dedup,
+    "op4_passages": op4_passages,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_token_counts": op7_token_counts,

@@ -31,3 +31,55 @@ def test_chat_null_and_repeated_places(spark):
     got = link_calls(*calls_in(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
     assert sum(r.status != "no_call" for r in got) == 6 and len({r.message for r in got if r.message}) == 5
     assert sorted((r.call_id or "", r.content) for r in got if r.content) == [("", "i"), ("call:1:1", "f"), ("call:1:1#2", "g"), ("call:1:1#3", "h"), ("call:2:-1", "j")]
+
+
+def brute_gone(texts, words=50):
+    """Lines (id, place) in a run of two or more lines with over ``words`` words that stands before."""
+    lines = {k: t.split("\n") for k, t in texts.items()}
+    first, gone = {}, set()
+    for k in sorted(lines):
+        for i in range(len(lines[k])):
+            n = 0
+            for e in range(i, len(lines[k])):
+                n += len(lines[k][e].split())
+                if n > words and e > i:
+                    run = tuple(lines[k][i : e + 1])
+                    d, at = first.setdefault(run, (k, i))
+                    if d != k or i >= at + len(run):
+                        gone.update((k, j) for j in range(i, e + 1))
+    return gone
+
+
+def test_repeated_passages_of_few_lines(spark):
+    import random
+
+    from merrow.llm.line_dedup import dedup_lines
+
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = {}
+    for size in range(2, 7):
+        for turn in range(8):
+            passage = [line(54 // size + rng.randrange(3)) for _ in range(size)]
+            if sum(len(x.split()) for x in passage) <= 50:
+                passage[0] += " " + line(20)
+            for _ in range(3):
+                texts[len(texts)] = "\n".join([line(4) for _ in range(rng.randrange(3))] + passage + [line(5) for _ in range(rng.randrange(3))])
+    texts[len(texts)] = "\n".join(["again and again"] * 60)
+    texts[len(texts)] = "\n".join(["short", line(20)])
+    texts[len(texts)] = texts[0] + "\n\nbetween\n\n" + texts[3]
+    rows = spark.createDataFrame([*texts.items(), (None, texts[1]), (1000, None), (1001, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in dedup_lines(rows, passages=True).collect()}
+    gone = brute_gone(texts)
+    chunks = {r.doc_id: r.n_removed_lines for r in dedup_lines(rows).collect()}
+    for k, text in texts.items():
+        left = [x for j, x in enumerate(text.split("\n")) if (k, j) not in gone]
+        mine = got[k].text.split("\n") if got[k].text else []
+        assert set(mine) <= set(left) and got[k].n_removed_lines >= chunks[k]
+        assert got[k].n_lines == len(text.split("\n")) and got[k].n_removed_lines == got[k].n_lines - len(mine)
+        if not chunks[k]:
+            assert mine == left
+    assert len(gone) > sum(chunks[k] for k in texts)
+    assert got[1000].text is None and got[1001].text == ""
+    kept = {x for r in got.values() if r.text for x in r.text.split("\n")}
+    assert kept >= {x for t in texts.values() for x in t.split("\n")}
