@@ -89,6 +89,12 @@ def item_by_id(items: DataFrame, id_: int, genres: DataFrame, tags: DataFrame, p
     return nest(own, *[b.where(F.col("id") == id_) for b in (genres, tags, platforms)])
 
 
+def items_by_ids(items: DataFrame, requested: DataFrame, genres: DataFrame, tags: DataFrame, platforms: DataFrame) -> DataFrame:
+    """The nested items of the requested ids (a table with id), each once; unknown ids have no row."""
+    ids = requested.select("id").distinct()
+    return nest(*[t.join(ids, "id", "left_semi") for t in (items, genres, tags, platforms)])
+
+
 def taxonomy_list(bridge: DataFrame) -> DataFrame:
     """The distinct values of a bridge by lower-cased name, with the items that have each."""
     return bridge.groupBy("slug", "name").agg(F.countDistinct("id").alias("items")).orderBy(F.lower("name"), "slug")

@@ -56,6 +56,14 @@ def feedback_page(active: DataFrame, items: DataFrame, user_id: int, page: int,
     return own.orderBy(F.desc("latest_at"), "item_id").offset((page - 1) * size).limit(size), own.agg(F.count("*").alias("total"))
 
 
+def feedback_pages(active: DataFrame, items: DataFrame, page: int, size: int) -> DataFrame:
+    """A page of every user's items with feedback, latest first, each row with the user's total."""
+    rows = feedback_state(active, items)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("latest_at"), "item_id"))
+    paged = rows.withColumn("place", place).where(F.col("place").between((page - 1) * size + 1, page * size))
+    return paged.join(rows.groupBy("user_id").agg(F.count("*").alias("total")), "user_id")
+
+
 def replace_state(log: DataFrame, desired: DataFrame, now: Column) -> DataFrame:
     """The log after setting the state of the pairs named in ``desired``, with a column ``change``
     (kept, closed, inserted). Rows without it are not touched.

@@ -53,11 +53,20 @@ def catalog_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The look-up of one item that its SQL names; ``catalog_items`` looks up all."""
     v = Views(spark, sf_dir)
     row = catalog.item_by_id(v.part_items(), 7, v.part_genres(), v.part_tags(), v.part_platforms())
     return row.select("id", "title", F.size("genres").alias("genres"), F.size("tags").alias("tags"), F.size("platforms").alias("platforms"))
 
 
+def catalog_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that orders or the parts themselves name."""
+    v = Views(spark, sf_dir)
+    asked = v.part_items().select("id").unionByName(v.table("lineitem").select(F.col("l_partkey").alias("id")))
+    rows = catalog.items_by_ids(v.part_items(), asked, v.part_genres(), v.part_tags(), v.part_platforms())
+    return rows.select("id", "title", F.size("genres").alias("genres"), F.size("tags").alias("tags"), F.size("platforms").alias("platforms"))
+
+
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
     rows = catalog.catalog_scan(v.part_items(), v.part_genres(), v.part_tags(), v.part_platforms())
@@ -158,11 +167,18 @@ def active_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of the one user that its SQL names; ``feedback_pages_all`` has every user's."""
     v = Views(spark, sf_dir)
     rows, total = feedback.feedback_page(feedback.active_rows(feedback.supersede(v.interactions())), v.items(), 3, 1, 20)
     return rows.crossJoin(total).select("item_id", "slug", "reaction", "played", "wishlisted", "rating", "latest_at", "total")
 
 
+def feedback_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Views(spark, sf_dir)
+    rows = feedback.feedback_pages(feedback.active_rows(feedback.supersede(v.interactions())), v.items(), 1, 20)
+    return rows.select("user_id", "place", "item_id", "slug", "reaction", "played", "wishlisted", "rating", "latest_at", "total")
+
+
 def supersession_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.supersede(Views(spark, sf_dir).interactions()).select("id", "user_id", "item_id", "interaction_type", "superseded_at")
 
@@ -337,8 +353,8 @@ def _plain(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"catalog_page_{s}": _plain(_page(s)) for s in catalog.SORTS} | {
     f.__name__.removesuffix("_query"): _plain(f)
     for f in (
-        catalog_search_literal, catalog_filter_taxonomy, catalog_nested, catalog_item, catalog_scan, taxonomy_lists, resolve_ids, popularity_baseline, term_frequency,
-        document_frequency_idf, tfidf_weights, content_documents, content_recommend, recommend_evidence, context_checks, active_feedback, feedback_pages,
+        catalog_search_literal, catalog_filter_taxonomy, catalog_nested, catalog_item, catalog_items, catalog_scan, taxonomy_lists, resolve_ids, popularity_baseline, term_frequency,
+        document_frequency_idf, tfidf_weights, content_documents, content_recommend, recommend_evidence, context_checks, active_feedback, feedback_pages, feedback_pages_all,
         supersession_backfill, replace_state, positive_sources, feedback_recommend, preferences_pivot, preferences_replace, unknown_references, stale_references,
         upsert_classify, quality_checks, unique_checks, fk_checks, feedback_checks, catalog_canonicalise, retention_preview, retention_purge, revoke_cohort,
         session_status, legacy_backfill, event_log_query, pseudonymise_users, redact_text, catalog_fingerprint, model_summary, half_step_ratings,

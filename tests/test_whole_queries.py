@@ -17,3 +17,28 @@ def test_model_reads_whole_descriptions(spark):
     want = v.nested_items().select("slug", F.size(F.array_distinct(terms(content_document()))).alias("n"))
     got = {r.slug: r.n for r in model.features.weights.groupBy("slug").agg(F.count("*").alias("n")).collect()}
     assert got == {r.slug: r.n for r in want.collect()}
+
+
+def test_every_users_first_page(spark):
+    state = queries.QUERIES["active_feedback"](spark, SF).collect()
+    items = {r.id: r.slug for r in Views(spark, SF).items().select("id", "slug").collect()}
+    got = queries.QUERIES["feedback_pages_all"](spark, SF).collect()
+    users = {}
+    for r in state:
+        if r.item_id in items:
+            users.setdefault(r.user_id, []).append(r)
+    want = set()
+    for user, rows in users.items():
+        rows.sort(key=lambda r: r.item_id)
+        rows.sort(key=lambda r: r.latest_at, reverse=True)
+        want |= {(user, k + 1, r.item_id, items[r.item_id], r.reaction, r.rating, len(rows)) for k, r in enumerate(rows[:20])}
+    assert {(r.user_id, r.place, r.item_id, r.slug, r.reaction, r.rating, r.total) for r in got} == want and len(users) > 1
+    one = queries.QUERIES["feedback_pages"](spark, SF).collect()
+    assert [(r.item_id, r.total) for r in one] == [(r.item_id, r.total) for r in sorted(got, key=lambda r: r.place) if r.user_id == 3]
+
+
+def test_every_item_by_id(spark):
+    got = {r.id: r for r in queries.QUERIES["catalog_items"](spark, SF).collect()}
+    lists = {r.id: [len([x for x in r[c].split(",") if x]) for c in ("genres", "tags", "platforms")] for r in queries.QUERIES["catalog_nested"](spark, SF).collect()}
+    assert {k: [r.genres, r.tags, r.platforms] for k, r in got.items()} == lists and len(got) > 1
+    assert queries.QUERIES["catalog_item"](spark, SF).collect() == [got[7]]
