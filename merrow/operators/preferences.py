@@ -51,6 +51,7 @@ def without_stale(preferences: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def contexts_of(preferences: DataFrame) -> DataFrame:
-    """Contexts of users, with the bounds of a request: five items and genres, ten tags, six platforms."""
+    """Contexts of users with all that they saved. ``ranking.context_problems`` reports those beyond
+    the bounds of a request (five items and genres, ten tags, six platforms)."""
     pivoted = pivot_preferences(preferences)
-    return pivoted.select("user_id", F.col("user_id").alias("context_id"), F.slice("selected", 1, 5).alias("selected"), F.slice("genres", 1, 5).alias("genres"), F.slice("tags", 1, 10).alias("tags"), F.slice("platforms", 1, 6).alias("platforms"), (5 + F.col("user_id") % 6).cast("int").alias("top_k"))
+    return pivoted.select("user_id", F.col("user_id").alias("context_id"), "selected", "genres", "tags", "platforms", (5 + F.col("user_id") % 6).cast("int").alias("top_k"))

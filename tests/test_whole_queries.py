@@ -42,3 +42,14 @@ def test_every_item_by_id(spark):
     lists = {r.id: [len([x for x in r[c].split(",") if x]) for c in ("genres", "tags", "platforms")] for r in queries.QUERIES["catalog_nested"](spark, SF).collect()}
     assert {k: [r.genres, r.tags, r.platforms] for k, r in got.items()} == lists and len(got) > 1
     assert queries.QUERIES["catalog_item"](spark, SF).collect() == [got[7]]
+
+
+def test_contexts_beyond_the_bounds_are_reported(spark):
+    from merrow.operators import preferences, ranking
+
+    saved = [(1, kind, f"{kind}{i}") for kind, n in (("game", 6), ("genre", 6), ("tag", 11), ("platform", 7)) for i in range(n)]
+    saved += [(2, kind, f"{kind}{i}") for kind, n in (("game", 5), ("genre", 5), ("tag", 10), ("platform", 6)) for i in range(n)]
+    contexts = preferences.contexts_of(spark.createDataFrame(saved, "user_id long, preference_type string, value string"))
+    items = spark.createDataFrame([(f"game{i}",) for i in range(6)], "slug string")
+    got = sorted((r.context_id, r.reason) for r in ranking.context_problems(contexts, items).collect())
+    assert got == [(1, f"{name}_too_many") for name in ("genres", "platforms", "selected", "tags")]
