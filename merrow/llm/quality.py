@@ -72,6 +72,26 @@ def line_facts(text: Column) -> Column:
     return F.filter(facts, lambda x: x["hash"].isNotNull())
 
 
+def _common(line: DataFrame, max_documents: int) -> DataFrame:
+    """(host, hash) of lines (host, hash, digest) in more than ``max_documents`` distinct texts of a host."""
+    return line.groupBy("host", "hash", "digest").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).drop("n")
+
+
+def without_common_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """``docs`` without the lines that ``judge`` counts in n_common_words; all other lines, those
+    without a word too, stay as they are. A null text stays null, one that loses all lines is empty."""
+    text, host = F.col(f"`{text_col}`"), F.col(f"`{host_col}`")
+    line = docs.select(host.alias("host"), F.xxhash64(text).alias("digest"), F.explode(line_facts(text)).alias("line")).select("host", "digest", F.col("line.hash").alias("hash"))
+    line = written(line.distinct(), "host-lines")
+    common = _common(line, max_documents)
+    on = line["host"].eqNullSafe(common["host"]) & (line["hash"] == common["hash"])
+    lost = line.join(common, on, "left_semi").groupBy("host", "digest").agg(F.collect_set("hash").alias("__lost")).withColumnsRenamed({"host": "__h", "digest": "__d"})
+    stays = lambda x: bind(normal_line(x), lambda n: (n == "") | ~F.array_contains("__lost", F.xxhash64(n)))
+    left = F.when(F.col("__lost").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n"))
+    out = docs.join(lost, host.eqNullSafe(F.col("__h")) & (F.xxhash64(text) == F.col("__d")), "left")
+    return out.select(*[left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT) -> DataFrame:
     """One row for each row of ``docs``: the id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_common_words (words in lines that more than ``max_documents`` distinct texts
@@ -86,7 +106,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     slim = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{host_col}`").alias("host"), F.xxhash64(text).alias("digest"), line_facts(text).alias("lines"), *[c.alias(n) for n, c in measures(text).items()])
     slim = written(slim.withColumn("row", F.monotonically_increasing_id()), "measures")
     line = slim.select("row", "host", "digest", F.explode("lines").alias("line")).select("row", "host", "digest", "line.*")
-    common = line.groupBy("host", "hash", "digest").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).drop("n")
+    common = _common(line, max_documents)
     on = line["host"].eqNullSafe(common["host"]) & (line["hash"] == common["hash"])
     lost = line.join(common, on, "left_semi").groupBy("row").agg(F.sum("words").alias("lost"))
     out = slim.join(lost, "row", "left").select("__id", "__words.*", "n_symbols", "n_dup_lines", F.coalesce("lost", F.lit(0)).cast("long").alias("n_common_words"))

@@ -83,3 +83,13 @@ def test_repeated_passages_of_few_lines(spark):
     assert got[1000].text is None and got[1001].text == ""
     kept = {x for r in got.values() if r.text for x in r.text.split("\n")}
     assert kept >= {x for t in texts.values() for x in t.split("\n")}
+
+
+def test_texts_without_common_lines(spark):
+    from merrow.llm.quality import without_common_lines
+
+    rows = [(i, f"own {i}\n\nShared   LINE\nend {i}", h) for h in ("a", None) for i in range(21)] + [(100, "shared line\nx", "b"), (101, "shared line", "a"), (102, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.text or "", r.source or "") for r in without_common_lines(docs).collect())
+    want = [(i, f"own {i}\n\nend {i}", h) for h in ("a", "") for i in range(21)] + [(100, "shared line\nx", "b"), (101, "", "a"), (102, "", "a")]
+    assert got == sorted(want)
