@@ -2,13 +2,16 @@
 
 Shingles have a global order: rare ones by hash, then those known to be frequent by their count.
 Two sets whose similarity reaches the threshold share a shingle among the first few of each in
-that order, so only those are joined on. Documents with equal prefix and size form a group; pairs
-of groups are filtered by the places of the shared shingle and by size, then groups are expanded
-and members verified on their whole sets.
-
-What is asked for is links' components. Each list of a shared shingle is first joined to one of
-its members only, which is linear; what that doesn't bring into one component is then joined
-pair by pair. So a group of many near copies costs its size, not its square.
+that order, so only those are joined on. Documents with equal sets are one node; nodes with equal
+prefix and size form a group. Pairs of groups are filtered by the places of the shared shingle and
+by size; only then are groups expanded to their nodes, which a sketch of parities filters again and
+whole sets decide.
+
+What is asked for is links' components. Each list of groups that share a shingle is first joined
+to one of its groups only, the one with the most partners in all lists, which is linear; what that
+doesn't bring into one component is then joined pair by pair. So a group of many near copies costs
+its size, not its square. Of a list that is still long then, only pairs that share a second shingle
+of the prefixes (one longer for that) are taken.
 """
 
 from __future__ import annotations
@@ -17,185 +20,192 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merrow.llm.components import components
 from merrow.llm.shared import discard, slices, written
+from merrow.llm.shingles import parities, parities_differ, sequence_marks, shingle_sets, signatures
 
 #: Shingles of distinct sets that a task counts at once, and from which count in these it reports one.
 COUNTED_AT_ONCE, REPORTED_FROM = 2_000_000, 3
 #: Frequent shingles that are told to all tasks at most (16 MB), and from which sum of counts. They
 #: only decide the order, so what lies beyond the bound costs time and never a link.
 MOST_FREQUENT, FREQUENT_FROM = 1_000_000, 16
-#: Candidate documents whose ids are broadcast at most (16 MB); beyond, texts are shuffled to them.
-MOST_BROADCAST = 1_000_000
-CACHE_WORDS = 400_000
-
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _ODD[4]
-    x = (x ^ (x >> np.uint64(29))) * _ODD[5]
-    return x ^ (x >> np.uint64(32))
-
-
-class Shingler:
-    """Sets of shingle hashes of texts, sorted."""
-
-    def __init__(self, size: int):
-        self.size, self.known = size, {}
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        own = text.translate(_LOWER).split() if text else []
-        if not own:
-            return np.empty(0, np.uint64)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        try:
-            row = np.array([known[w] for w in own], np.uint64)
-        except KeyError:
-            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(own) if w not in known)
-            row = np.array([known[w] for w in own], np.uint64)
-        size = min(self.size, len(row))
-        n = len(row) - size + 1
-        total = np.full(n, size, np.uint64)
-        for k in range(size):
-            total = (total + row[k : k + n]) * _ODD[k % 4] + np.uint64(k)
-        return np.unique(mixed(total))
+#: Sets that a task remembers, to report none twice (16 bytes each).
+REMEMBERED = 400_000
+#: Bytes of ids that are broadcast at most; beyond, texts are shuffled to them.
+MOST_BROADCAST_BYTES = 16_000_000
+#: A list with more open groups than this is joined by two shingles.
+LONG_LIST = 64
+#: A signature of more than one row in so many is joined by broadcast, so there are at most as many.
+HOT_SHARE = 1_000
 
 
-def signature(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set."""
-    a, b = (mixed(shingles * _ODD[6] + np.uint64(1)).sum(dtype=np.uint64), mixed(shingles * _ODD[7] + np.uint64(2)).sum(dtype=np.uint64))
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+def _long(*names: str) -> list[T.StructField]:
+    return [T.StructField(x, T.LongType()) for x in names]
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Four numbers, together the parities of the set's sizes in 256 parts. Two sets that differ
-    in d shingles differ in at most d parities."""
-    return np.packbits(np.bincount(shingles & np.uint64(255), minlength=256).astype(np.uint8) & 1).view(np.int64)
-
-
-def prefix_length(n: int, num: int, den: int) -> int:
+def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n - -(-num * n // den) + 1
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column(1).to_pylist()
-
-
 def _measured(docs: DataFrame, size: int) -> DataFrame:
     """Rows (id, n, hi, lo) for documents and (token, seen) for shingles that a task saw in several sets."""
-    schema = T.StructType([docs.schema[0], *[T.StructField(x, T.LongType()) for x in ("n", "hi", "lo", "token", "seen")]])
+    schema = T.StructType([docs.schema[0], *_long("n", "hi", "lo", "token", "seen")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        fit, shingle = to_arrow_schema(schema), Shingler(size)
+        fit = to_arrow_schema(schema)
         held, total, seen = [], 0, set()
 
         def frequent() -> pa.RecordBatch:
-            all_of = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
-            starts = np.flatnonzero(np.concatenate([[True], all_of[1:] != all_of[:-1]])) if len(all_of) else np.empty(0, int)
-            counts = np.diff(np.append(starts, len(all_of)))
+            tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
             many = counts >= REPORTED_FROM
-            tokens = all_of[starts[many]].view(np.int64)
-            none = [pa.nulls(len(tokens), f.type) for f in fit][:4]
-            return pa.RecordBatch.from_arrays([*none, pa.array(tokens), pa.array(counts[many].astype(np.int64))], schema=fit)
+            none = [pa.nulls(int(many.sum()), f.type) for f in fit][:4]
+            found = [pa.array(tokens[many].view(np.int64)), pa.array(counts[many].astype(np.int64))]
+            return pa.RecordBatch.from_arrays([*none, *found], schema=fit)
 
         for batch in slices(batches, 1):
-            rows = []
-            for text in _texts(batch):
-                s = shingle(text)
-                mark = signature(s)
-                rows.append((len(s), *mark))
-                if len(s) and mark not in seen:
+            values, bounds = shingle_sets(batch.column(1), size)
+            hi, lo = signatures(values, bounds)
+            n = np.diff(bounds)
+            for k, mark in enumerate(zip(hi.tolist(), lo.tolist(), strict=True)):
+                if n[k] and mark not in seen:
                     seen.add(mark)
-                    held.append(s)
-                    total += len(s)
-                if total >= COUNTED_AT_ONCE:
-                    yield frequent()
-                    held, total, seen = [], 0, set()
-            made = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *[pa.nulls(len(rows), pa.int64())] * 2], schema=fit)
+                    held.append(values[bounds[k] : bounds[k + 1]])
+                    total += n[k]
+                    if total >= COUNTED_AT_ONCE:
+                        yield frequent()
+                        held, total, seen = [], 0, set()
+            # the slice's own array isn't kept beyond it
+            held = [np.concatenate(held)] if held else []
+            made = [pa.array(c) for c in (n.astype(np.int64), hi, lo)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *[pa.nulls(len(n), pa.int64())] * 2], schema=fit)
         yield frequent()
 
     return docs.mapInArrow(run, schema)
 
 
 def _prefixes(docs: DataFrame, size: int, num: int, den: int, frequent) -> DataFrame:
-    """Rows (token, gid, n, place, often) of prefixes, and (gid, n, hi, lo, s0..s3) of the sets in groups."""
-    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("token", "gid", "n", "place", "often", "hi", "lo", "s0", "s1", "s2", "s3")])
+    """Rows (token, gid, n, place, often) of prefixes, and (gid, n, hi, lo, sketch) of the sets in groups.
+
+    A prefix has one shingle more than pairs need to share one: with it, they share two. Its last
+    place serves for nothing else, and the filter by place sees to that."""
+    schema = T.StructType([*_long("token", "gid", "n", "place", "often", "hi", "lo"), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        fit, shingle = to_arrow_schema(schema), Shingler(size)
+        fit = to_arrow_schema(schema)
         tokens, counts = frequent.value
         sets, groups = set(), set()
+
+        def rows(**columns) -> pa.RecordBatch:
+            of = len(columns["gid"])
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(of, f.type)) for f in fit], schema=fit)
+
         for batch in slices(batches, 1):
-            posted, members = [], []
-            for text in _texts(batch):
-                s = shingle(text)
-                if not len(s) or (mark := signature(s)) in sets:
+            values, bounds = shingle_sets(batch.column(1), size)
+            sketched, hi, lo = [], *signatures(values, bounds)
+            near = np.minimum(np.searchsorted(tokens, values), max(len(tokens) - 1, 0))
+            common = tokens[near] == values if len(tokens) else np.zeros(len(values), bool)
+            picked, firsts, rare = [], [], []
+            for k, mark in enumerate(zip(hi.tolist(), lo.tolist(), strict=True)):
+                part = slice(bounds[k], bounds[k + 1])
+                own = values[part]
+                if not len(own) or mark in sets:
                     continue
                 sets.add(mark)
-                p = prefix_length(len(s), num, den)
-                first, rare = s, len(s)
-                if len(tokens):
-                    near = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    common = tokens[near] == s
-                    late = np.flatnonzero(common)
-                    rare = len(s) - len(late)
-                    first = np.concatenate([s[~common], s[late[np.argsort(counts[near[late]], kind="stable")]]])
-                first = first[:p]
-                gid = int(mixed(first * _ODD[6] + np.arange(p, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64)) ^ len(s)
-                members.append((gid, len(s), *mark, *sketch(s).tolist()))
-                if gid not in groups:
-                    groups.add(gid)
-                    posted.append((first.view(np.int64), gid, len(s), rare))
-            if len(sets) > CACHE_WORDS:
+                p = min(int(prefix_length(len(own), num, den)) + 1, len(own))
+                late = np.flatnonzero(common[part])
+                first = own[~common[part]][:p] if len(late) else own[:p]
+                picked.append(k)
+                rare.append(len(own) - len(late))
+                if len(first) < p:
+                    by_count = late[np.argsort(counts[near[part][late]], kind="stable")]
+                    first = np.concatenate([first, own[by_count[: p - len(first)]]])
+                firsts.append(first)
+                sketched.append(parities(own))
+            if not picked:
+                continue
+            sizes = np.fromiter(map(len, firsts), np.int64, len(firsts))
+            all_of, at = np.concatenate(firsts), np.concatenate([[0], np.cumsum(sizes)])
+            n = np.diff(bounds)[picked].astype(np.int64)
+            gid = sequence_marks(all_of, at) ^ n
+            yield rows(gid=pa.array(gid), n=pa.array(n), hi=pa.array(hi[picked]), lo=pa.array(lo[picked]), sketch=pa.array(sketched, pa.binary()))
+            fresh = [k for k, g in enumerate(gid.tolist()) if g not in groups and not groups.add(g)]
+            if len(sets) > REMEMBERED:
                 sets.clear()
                 groups.clear()
-            if posted:
-                first, gid, n, rare = zip(*posted, strict=True)
-                sizes = list(map(len, first))
-                place = np.concatenate([np.arange(k) for k in sizes])
-                rows = [np.concatenate(first), np.repeat(gid, sizes), np.repeat(n, sizes), place, place >= np.repeat(rare, sizes)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(r.astype(np.int64)) for r in rows), *[pa.nulls(sum(sizes), pa.int64())] * 6], schema=fit)
-            if members:
-                gid, n, *rest = zip(*members, strict=True)
-                none = pa.nulls(len(members), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(gid, pa.int64()), pa.array(n, pa.int64()), none, none, *(pa.array(r, pa.int64()) for r in rest)], schema=fit)
+            if fresh:
+                s = sizes[fresh]
+                place = np.concatenate([np.arange(k) for k in s])
+                token = np.concatenate([firsts[k] for k in fresh]).view(np.int64)
+                often = (place >= np.repeat(np.array(rare)[fresh], s)).astype(np.int64)
+                yield rows(token=pa.array(token), gid=pa.array(np.repeat(gid[fresh], s)), n=pa.array(np.repeat(n[fresh], s)), place=pa.array(place), often=pa.array(often))
 
     return docs.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, shingles as bytes) of documents (node, text)."""
+def _shared_size(n: str, m: str, num: int, den: int) -> str:
+    """SQL for the least number of shared shingles at which sets of n and m reach the threshold."""
+    return f"(({num} * ({n} + {m}) + {num + den - 1}) div {num + den})"
+
+
+def _may_link(a: str, b: str, num: int, den: int) -> Column:
+    """Whether groups that share a shingle at their places can hold a link, if it is the first that
+    they share: what follows in each must be enough. This also bounds the sizes."""
+    least = _shared_size(f"{a}.n", f"{b}.n", num, den)
+    return F.expr(f"{a}.place <= {a}.n - {least} and {b}.place <= {b}.n - {least}")
+
+
+def _candidates(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of rows (a, b, n, m, one, other) whose sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(size)
         for batch in batches:
-            made = pa.array([shingle(t).tobytes() for t in _texts(batch)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["node", "shingles"])
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            most = n + m + 2 * (-num * (n + m) // (num + den))
+            differ = map(parities_differ, batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            keep = np.fromiter(differ, np.int64, len(batch)) <= most
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("node", docs.schema[0].dataType), T.StructField("shingles", T.BinaryType())]))
+    kind = pairs.schema["a"].dataType
+    return pairs.select("a", "b", "n", "m", "one", "other").mapInArrow(run, T.StructType([T.StructField(x, kind) for x in "ab"]))
+
+
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """(node, mark, shingles as bytes) of documents (node, text); the mark stands for the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            values, bounds = shingle_sets(batch.column(1), size)
+            made = pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures(values, bounds)[0]), made], names=names)
+
+    names = ["node", "mark", "shingles"]
+    schema = T.StructType([T.StructField("node", docs.schema[0].dataType), *_long("mark"), T.StructField("shingles", T.BinaryType())])
+    return docs.mapInArrow(run, schema)
+
+
+def small(table: DataFrame, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
+    """A table of one column, marked for broadcast if its measured bytes allow."""
+    (column,) = table.schema
+    width = F.octet_length(column.name) + 16 if isinstance(column.dataType, (T.StringType, T.BinaryType)) else F.lit(24)
+    return F.broadcast(table) if (table.agg(F.sum(width)).first()[0] or 0) <= most_bytes else table
 
 
 def _verified(pairs: DataFrame, source: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose whole sets reach the threshold, from the texts in ``source``."""
-    pairs = written(pairs, "pairs")
+    """The pairs (a, b) whose whole sets reach the threshold, from the texts in ``source``.
+
+    The set of b travels with the pair to that of a, which is there once, however many pairs it has."""
+    pairs = written(pairs.distinct(), "pairs")
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    needed = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
-    texts = source.withColumnRenamed("id", "node").join(needed, "node", "left_semi").select("node", "text")
-    sets = written(_sets(texts, size), "shingles")
+    texts = source.withColumnRenamed("id", "node").join(small(nodes), "node", "left_semi").select("node", "text")
+    sets = written(_sets(texts, size).dropDuplicates(["node", "mark"]).drop("mark"), "shingles")
     links = written(_linked(pairs, sets, num, den), "links")
     for done in (pairs, nodes, sets):
         discard(done)
@@ -203,8 +213,8 @@ def _verified(pairs: DataFrame, source: DataFrame, size: int, num: int, den: int
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    both = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,15 +228,117 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(run, T.StructType([T.StructField(x, both.schema["a"].dataType) for x in "ab"]))
 
 
-def may_link(a: str, b: str, num: int, den: int) -> Column:
-    """Whether two members, sharing a shingle at their places, can reach the threshold: by its
-    place in each prefix, which also bounds the sizes, and by their parities."""
-    text = f"""
-      {a}.place <= {a}.n - (({num} * ({a}.n + {b}.n) + {num + den - 1}) div {num + den})
-      and {b}.place <= {b}.n - (({num} * ({a}.n + {b}.n) + {num + den - 1}) div {num + den})
-      and {" + ".join(f"bit_count({a}.s{k} ^ {b}.s{k})" for k in range(4))} <= {a}.n + {b}.n - 2 * (({num} * ({a}.n + {b}.n) + {num + den - 1}) div {num + den})
-    """
-    return F.expr(text)
+class _Join:
+    """The tables of one join: rows (documents), members (nodes in groups), lists (groups that share
+    a shingle, with the list's length) and hubs (one group of each list)."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int):
+        self.size, self.num, self.den = size, num, den
+        self.source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+        measured = written(_measured(self.source, size), "sets")
+        self.rows = measured.where("n is not null").select("id", "n", "hi", "lo")
+        found = written(_prefixes(self.source.where("id is not null"), size, num, den, self._frequent(measured)), "prefixes")
+        copies = self.rows.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
+        self.reps = written(copies, "nodes")
+        members = found.where("gid is not null and hi is not null").select("gid", "n", "hi", "lo", "sketch").dropDuplicates(["gid", "hi", "lo"])
+        self.members = written(members.join(self.reps.drop("copies"), ["hi", "lo"]).drop("hi", "lo"), "members")
+        head = F.min(F.struct("node", "n", "sketch")).alias("head")
+        self.heads = self.members.groupBy("gid").agg(head, (F.count("*") > 1).alias("crowd")).select("gid", "head.*", "crowd")
+        #: Whether a place can be that of the first shared shingle of a pair.
+        self.leading = F.expr(f"{den} * place <= {den - num} * n")
+        self.lists = written(self._lists(found), "lists")
+        discard(found)
+
+    def _frequent(self, measured: DataFrame):
+        """The shingles seen most and their counts, by hash, told to all tasks."""
+        seen = measured.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT_FROM)
+        top = seen.orderBy(F.desc("seen"), "token").limit(MOST_FREQUENT).toArrow()
+        tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("seen").to_numpy()
+        order = np.argsort(tokens)
+        return measured.sparkSession.sparkContext.broadcast((tokens[order], counts[order]))
+
+    def _lists(self, found: DataFrame) -> DataFrame:
+        """(token, gid, n, place, k): groups by shingle, for shingles of k > 1 groups. Rare ones are
+        dealt out once; most stand in one group only, or in two whose sizes are too different.
+        Those known to be frequent are counted without being brought together."""
+        posted = found.where("token is not null").select("token", "gid", "n", "place", "often")
+        rare = posted.where("often = 0").drop("often").repartition("token")
+        counts = rare.groupBy("token", "gid").agg(F.min("n").alias("n")).groupBy("token")
+        counts = counts.agg(F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
+        shared = counts.where((F.col("k") > 2) | ((F.col("k") == 2) & (self.den * F.col("low") >= self.num * F.col("high")))).select("token", "k")
+        often = posted.where("often = 1").drop("often").dropDuplicates(["token", "gid"])
+        many = F.broadcast(often.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"))
+        return rare.join(shared, "token").dropDuplicates(["token", "gid"]).unionByName(often.join(many, "token"))
+
+    def stars(self) -> DataFrame:
+        """Candidate pairs of each group with its lists' hubs, and of a group's nodes with its head."""
+        weighed = self.lists.withColumn("weight", F.sum("k").over(Window.partitionBy("gid"))).where(self.leading)
+        best = weighed.groupBy("token").agg(F.max(F.struct("weight", (-F.col("place")).alias("front"), "gid", "n")).alias("h"))
+        self.hubs = written(best.select("token", "h.gid", "h.n", (-F.col("h.front")).alias("place")), "hubs")
+        on = (F.col("l.token") == F.col("h.token")) & (F.col("l.gid") != F.col("h.gid")) & _may_link("l", "h", self.num, self.den)
+        near = self.lists.where(self.leading).alias("l").join(self.hubs.alias("h"), on).select(F.col("h.gid").alias("hub"), F.col("l.gid").alias("gid")).distinct()
+        near = near.unionByName(self.heads.where("crowd").select(F.col("gid").alias("hub"), "gid"))
+        heads = self.heads.select(F.col("gid").alias("hub"), F.col("node").alias("a"), "n", F.col("sketch").alias("one"))
+        of = self.members.select("gid", F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+        return _candidates(near.join(heads, "hub").join(of, "gid").where("a <> b"), self.num, self.den)
+
+    def rest(self, roots: DataFrame) -> DataFrame:
+        """Candidate pairs of different components, given (node, root), that no star has tested."""
+        placed = written(self.members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+        classes = placed.groupBy("gid", "root").agg(F.min("n").alias("n"))
+        head = self.heads.select("gid", "node", "crowd").join(placed.select("gid", "node", "root").distinct(), ["gid", "node"])
+        head = head.select("gid", F.col("root").alias("hub_root"), "crowd")
+        hubs = self.hubs.join(head, "gid").select("token", F.col("gid").alias("hub"), "hub_root", "crowd")
+        # a hub that is one node has met all of its lists
+        lists = self.lists.where(self.leading).join(hubs, "token").where("crowd or (k > 2 and gid <> hub)")
+        within = head.where("crowd").select(F.col("gid").alias("token"), "gid", F.lit(0).cast("long").alias("place"), "hub_root")
+        entries = lists.select(within.columns).unionByName(within).join(classes, "gid")
+        entries = written(entries.withColumn("open", F.col("root") != F.col("hub_root")), "entries")
+        return self._expanded(self._open_pairs(entries), placed)
+
+    def _open_pairs(self, entries: DataFrame) -> DataFrame:
+        """Pairs (gid, root, other_gid, other_root) that share a token in entries (token, gid, n,
+        place, root, open), one of them open at least and their roots different."""
+        counts = written(entries.where("open").groupBy("token").agg(F.count("*").alias("k")), "open-lists")
+        if self.num * 2 <= self.den:  # sets may link that share one shingle only
+            return self._pairs(entries.join(counts, "token", "left_semi"), ["token"])
+        brief, long = (entries.join(counts.where(c), "token", "left_semi") for c in (F.col("k") <= LONG_LIST, F.col("k") > LONG_LIST))
+        then = self.lists.select("gid", F.col("token").alias("second"), F.col("place").alias("later"))
+        by_two = long.where("token <> gid").join(then, "gid").where("later > place").drop("later")
+        within = long.where("token = gid").withColumn("second", F.lit(0).cast("long"))
+        return self._pairs(brief, ["token"]).unionByName(self._pairs(by_two.unionByName(within), ["token", "second"])).distinct()
+
+    def _pairs(self, entries: DataFrame, keys: list[str]) -> DataFrame:
+        """Pairs of one list and of sizes in the same step, or the next, of the threshold's powers."""
+        step = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(self.den / self.num)))).cast("long")
+        left = entries.where("open").withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
+        on = (F.col("l.root") != F.col("r.root")) & F.expr("not r.open or l.root < r.root") & _may_link("l", "r", self.num, self.den)
+        for key in (*keys, "step"):
+            on = on & (F.col(f"l.{key}") == F.col(f"r.{key}"))
+        found = left.alias("l").join(entries.withColumn("step", step).alias("r"), on)
+        pair = {"gid": "l.gid", "root": "l.root", "other_gid": "r.gid", "other_root": "r.root"}
+        return found.select(*[F.col(c).alias(name) for name, c in pair.items()])
+
+    def _expanded(self, pairs: DataFrame, placed: DataFrame) -> DataFrame:
+        one = placed.select("gid", "root", F.col("node").alias("a"), "n", F.col("sketch").alias("one"))
+        other = {"gid": "other_gid", "root": "other_root", "node": "b", "n": "m", "sketch": "other"}
+        both = pairs.distinct().join(one, ["gid", "root"]).join(placed.select(*[F.col(c).alias(name) for c, name in other.items()]), ["other_gid", "other_root"])
+        return _candidates(both, self.num, self.den)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, self.source, self.size, self.num, self.den)
+
+    def by_row(self, of_set: DataFrame) -> DataFrame:
+        """``rows`` with the columns of ``of_set`` (hi, lo, copies, ...). Sets with very many rows are
+        few and broadcast, so that copies aren't brought together."""
+        total = self.rows.count()
+        hot = F.col("copies") > max(1, total // HOT_SHARE)
+        common, usual = of_set.where(hot).drop("copies"), of_set.where(~hot).drop("copies")
+        plain = self.rows.where("n = 0 or id is null")
+        full = self.rows.where("n > 0 and id is not null")
+        few = F.broadcast(common)
+        spread = full.join(few, ["hi", "lo"]).unionByName(full.join(few, ["hi", "lo"], "left_anti").join(usual, ["hi", "lo"], "left"))
+        return spread.unionByName(plain, allowMissingColumns=True)
 
 
 def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -240,48 +352,14 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A null or empty text has no shingles and no links: it is its own component. A row without an
     id is counted, but takes part in no link and has no component. Rows of equal id are one
-    document. An empty table gives no rows; other columns don't matter."""
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    measured = written(_measured(source, size), "sets")
-    rows = measured.where("n is not null").select("id", "n", "hi", "lo")
-    spark = docs.sparkSession
-    seen = measured.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT_FROM)
-    top = seen.orderBy(F.desc("seen"), "token").limit(MOST_FREQUENT).toArrow()
-    tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("seen").to_numpy()
-    order = np.argsort(tokens)
-    frequent = spark.sparkContext.broadcast((tokens[order], counts[order]))
-
-    found = written(_prefixes(source.where("id is not null"), size, num, den, frequent), "prefixes")
-    reps = rows.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("node"))
-    members = found.where("token is null").drop("token", "place", "often").distinct().join(reps, ["hi", "lo"]).drop("hi", "lo")
-    members = written(members, "members")
-    posted = found.where("token is not null").select("token", "gid", "n", "place", "often")
-    # rare shingles are dealt out once; most stand in one group only, or in two of different sizes
-    rare = posted.where("often = 0").drop("often").repartition("token")
-    groups = rare.groupBy("token").agg(F.count("*").alias("rows"), F.min("gid").alias("x"), F.max("gid").alias("y"), F.min("n").alias("low"), F.max("n").alias("high"))
-    shared = groups.where((F.col("x") != F.col("y")) & ((F.col("rows") > 2) | (den * F.col("low") >= num * F.col("high")))).select("token")
-    lists = rare.join(shared, "token").unionByName(posted.where("often = 1").drop("often")).dropDuplicates(["token", "gid"]).join(members.drop("n"), "gid")
-    crowded = members.groupBy("gid").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("gid")
-    inside = members.join(crowded, "gid").withColumns({"token": F.col("gid"), "place": F.lit(0).cast("long")})
-    lists = written(lists.unionByName(inside.select(lists.columns)), "lists")
-    discard(found)
-
-    hubs = lists.groupBy("token").agg(F.min(F.struct("place", "node", "n", "s0", "s1", "s2", "s3")).alias("h")).select("token", "h.*")
-    stars = lists.alias("l").join(hubs.alias("h"), (F.col("l.token") == F.col("h.token")) & (F.col("l.node") != F.col("h.node")) & may_link("l", "h", num, den))
-    stars = stars.select(F.least("l.node", "h.node").alias("a"), F.greatest("l.node", "h.node").alias("b")).distinct()
-    links = _verified(stars, source, size, num, den)
-    roots = components(links)
-    root = F.coalesce("root", "node")
-    hub_root = hubs.select("token", "node").join(roots, "node", "left").select("token", root.alias("hub_root"))
-    placed = written(lists.join(roots, "node", "left").withColumn("root", root).join(hub_root, "token"), "placed")
-    discard(lists)
-    # of two members in different components, one at least isn't in that of the list's hub
-    outside = placed.where("root <> hub_root").alias("l")
-    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.root") != F.col("r.root"))
-    rest = outside.join(placed.alias("r"), on & may_link("l", "r", num, den)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-    links = links.unionByName(_verified(rest, source, size, num, den))
-    roots = components(links)
-    of_set = reps.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
-    out = rows.join(of_set, ["hi", "lo"], "left")
+    document, linked by any of their texts. Ties don't occur: a root is
+    the smallest id. A text of any length is one set, and takes about 40 bytes a word while it is
+    made. An empty table gives no rows; other columns don't matter."""
+    join = _Join(docs, id_col, text_col, size, num, den)
+    roots = components(join.verified(join.stars()))
+    more = join.verified(join.rest(roots))
+    if not more.isEmpty():
+        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    of_set = join.reps.join(roots, "node", "left").select("hi", "lo", "copies", F.coalesce("root", "node").alias("root"))
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return join.by_row(of_set).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
