@@ -13,7 +13,7 @@ from merrow.llm.bpe import bpe_encode
 from merrow.llm.decontaminate import find_benchmark_passages
 from merrow.llm.language import UNKNOWN, identify, learn
 from merrow.llm.line_dedup import dedup_lines
-from merrow.llm.near_copies import MOST_BROADCAST, link_near_copies
+from merrow.llm.near_copies import link_near_copies, small
 from merrow.llm.queries import bpe_digests, tokenizer_path
 from merrow.llm.shared import table, written
 
@@ -35,9 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a similarity of 0.8); documents without an id stay."""
     linked = link_near_copies(docs)
     copies = written(linked.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "copies")
-    if copies.count() <= MOST_BROADCAST:
-        copies = F.broadcast(copies)
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(copies), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
