@@ -39,6 +39,8 @@ REMEMBERED = 400_000
 MOST_BROADCAST_BYTES = 16_000_000
 #: A list with more open groups than this is joined by two shingles.
 LONG_LIST = 64
+#: First shingles of a group that its rows carry, to take a pair where it meets first.
+CARRIED = 8
 #: A signature of more than one row in so many is joined by broadcast, so there are at most as many.
 HOT_SHARE = 1_000
 
@@ -162,6 +164,11 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
     return F.expr(f"{a}.place <= {a}.n - {least} and {b}.place <= {b}.n - {least}")
 
 
+def _before(place: str) -> Column:
+    """The tokens in ``first`` that stand before a place."""
+    return F.coalesce(F.transform(F.filter("first", lambda x: x["place"] < F.col(place)), lambda x: x["token"]), F.array().cast("array<long>"))
+
+
 def _candidates(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of rows (a, b, n, m, one, other) whose sketches allow a link."""
 
@@ -191,11 +198,12 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def small(table: DataFrame, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
+def small(table: DataFrame, most_bytes: int | None = None) -> DataFrame:
     """A table of one column, marked for broadcast if its measured bytes allow."""
     (column,) = table.schema
     width = F.octet_length(column.name) + 16 if isinstance(column.dataType, (T.StringType, T.BinaryType)) else F.lit(24)
-    return F.broadcast(table) if (table.agg(F.sum(width)).first()[0] or 0) <= most_bytes else table
+    most = MOST_BROADCAST_BYTES if most_bytes is None else most_bytes
+    return F.broadcast(table) if (table.agg(F.sum(width)).first()[0] or 0) <= most else table
 
 
 def _verified(pairs: DataFrame, source: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -292,27 +300,38 @@ class _Join:
         # a hub that is one node has met all of its lists
         lists = self.lists.where(self.leading).join(hubs, "token").where("crowd or (k > 2 and gid <> hub)")
         within = head.where("crowd").select(F.col("gid").alias("token"), "gid", F.lit(0).cast("long").alias("place"), "hub_root")
-        entries = lists.select(within.columns).unionByName(within).join(classes, "gid")
-        entries = written(entries.withColumn("open", F.col("root") != F.col("hub_root")), "entries")
+        entries = lists.select(within.columns).unionByName(within).join(classes, "gid").withColumn("open", F.col("root") != F.col("hub_root"))
+        entries = written(entries.join(self._first(), "gid", "left").withColumn("ahead", _before("place")), "entries")
         return self._expanded(self._open_pairs(entries), placed)
 
+    def _first(self) -> DataFrame:
+        """(gid, first): the first CARRIED of each group's shingles in lists, as structs of place and token."""
+        rank = F.row_number().over(Window.partitionBy("gid").orderBy("place"))
+        first = self.lists.where(self.leading).select("gid", "place", "token").withColumn("rank", rank).where(F.col("rank") <= CARRIED)
+        return first.groupBy("gid").agg(F.collect_list(F.struct("place", "token")).alias("first"))
+
     def _open_pairs(self, entries: DataFrame) -> DataFrame:
         """Pairs (gid, root, other_gid, other_root) that share a token in entries (token, gid, n,
-        place, root, open), one of them open at least and their roots different."""
+        place, root, open, first, ahead), one of them open at least and their roots different. Two
+        groups that share one of the shingles that they carry (ahead) meet there, and not here."""
+        apart = F.expr("(l.gid <> r.gid or l.token = l.gid) and not coalesce(arrays_overlap(l.ahead, r.ahead), false)")
         counts = written(entries.where("open").groupBy("token").agg(F.count("*").alias("k")), "open-lists")
         if self.num * 2 <= self.den:  # sets may link that share one shingle only
-            return self._pairs(entries.join(counts, "token", "left_semi"), ["token"])
+            return self._pairs(entries.join(counts, "token", "left_semi"), ["token"], apart)
         brief, long = (entries.join(counts.where(c), "token", "left_semi") for c in (F.col("k") <= LONG_LIST, F.col("k") > LONG_LIST))
         then = self.lists.select("gid", F.col("token").alias("second"), F.col("place").alias("later"))
-        by_two = long.where("token <> gid").join(then, "gid").where("later > place").drop("later")
-        within = long.where("token = gid").withColumn("second", F.lit(0).cast("long"))
-        return self._pairs(brief, ["token"]).unionByName(self._pairs(by_two.unionByName(within), ["token", "second"])).distinct()
-
-    def _pairs(self, entries: DataFrame, keys: list[str]) -> DataFrame:
+        by_two = long.where("token <> gid").join(then, "gid").where("later > place")
+        by_two = by_two.withColumn("between", F.array_remove(_before("later"), F.col("token"))).drop("later")
+        within = long.where("token = gid").withColumns({"second": F.lit(0).cast("long"), "between": F.array().cast("array<long>")})
+        first_two = apart & F.expr("not coalesce(arrays_overlap(l.between, r.between), false)")
+        pairs = self._pairs(brief, ["token"], apart).unionByName(self._pairs(by_two.unionByName(within), ["token", "second"], first_two))
+        return pairs.distinct()
+
+    def _pairs(self, entries: DataFrame, keys: list[str], apart: Column) -> DataFrame:
         """Pairs of one list and of sizes in the same step, or the next, of the threshold's powers."""
         step = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(self.den / self.num)))).cast("long")
         left = entries.where("open").withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
-        on = (F.col("l.root") != F.col("r.root")) & F.expr("not r.open or l.root < r.root") & _may_link("l", "r", self.num, self.den)
+        on = (F.col("l.root") != F.col("r.root")) & F.expr("not r.open or l.root < r.root") & _may_link("l", "r", self.num, self.den) & apart
         for key in (*keys, "step"):
             on = on & (F.col(f"l.{key}") == F.col(f"r.{key}"))
         found = left.alias("l").join(entries.withColumn("step", step).alias("r"), on)
