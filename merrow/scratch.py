@@ -9,26 +9,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where the session names none."""
+    """The folder named by ``spark.checkpoint.dir``. Where the session names none, a session on one
+    machine gets a temporary one; on a cluster that would be lost rows, so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="merrow-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that is this application's own."""
+    return f"{shared_folder(spark)}/merrow/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read back, so that a lost
     executor costs a read and not a recomputation, and later plans start from a scan."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/merrow/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._merrow_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files behind a ``written`` table that nothing will read again."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._merrow_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove the files behind ``written`` tables that nothing will read again."""
+    for df in tables:
+        _remove(df.sparkSession, df._merrow_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application wrote. For the owner of a job, once its results are
+    saved: a result that is read after this fails."""
+    _remove(spark, run_folder(spark))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
