@@ -38,9 +38,9 @@ REMEMBERED = 400_000
 #: Bytes of ids that are broadcast at most; beyond, texts are shuffled to them.
 MOST_BROADCAST_BYTES = 16_000_000
 #: A list with more open groups than this is joined by two shingles.
-LONG_LIST = 64
+LONG_LIST = 1_000
 #: First shingles of a group that its rows carry, to take a pair where it meets first.
-CARRIED = 8
+CARRIED = 4
 #: A signature of more than one row in so many is joined by broadcast, so there are at most as many.
 HOT_SHARE = 1_000
 
@@ -300,32 +300,34 @@ class _Join:
         # a hub that is one node has met all of its lists
         lists = self.lists.where(self.leading).join(hubs, "token").where("crowd or (k > 2 and gid <> hub)")
         within = head.where("crowd").select(F.col("gid").alias("token"), "gid", F.lit(0).cast("long").alias("place"), "hub_root")
-        entries = lists.select(within.columns).unionByName(within).join(classes, "gid").withColumn("open", F.col("root") != F.col("hub_root"))
-        entries = written(entries.join(self._first(), "gid", "left").withColumn("ahead", _before("place")), "entries")
+        entries = lists.select(within.columns).unionByName(within).join(classes, "gid")
+        entries = written(entries.withColumn("open", F.col("root") != F.col("hub_root")).drop("hub_root"), "entries")
         return self._expanded(self._open_pairs(entries), placed)
 
-    def _first(self) -> DataFrame:
-        """(gid, first): the first CARRIED of each group's shingles in lists, as structs of place and token."""
-        rank = F.row_number().over(Window.partitionBy("gid").orderBy("place"))
-        first = self.lists.where(self.leading).select("gid", "place", "token").withColumn("rank", rank).where(F.col("rank") <= CARRIED)
-        return first.groupBy("gid").agg(F.collect_list(F.struct("place", "token")).alias("first"))
-
     def _open_pairs(self, entries: DataFrame) -> DataFrame:
         """Pairs (gid, root, other_gid, other_root) that share a token in entries (token, gid, n,
-        place, root, open, first, ahead), one of them open at least and their roots different. Two
-        groups that share one of the shingles that they carry (ahead) meet there, and not here."""
-        apart = F.expr("(l.gid <> r.gid or l.token = l.gid) and not coalesce(arrays_overlap(l.ahead, r.ahead), false)")
+        place, root, open), one of them open at least and their roots different. An entry carries
+        the first few of its group's tokens before its own (ahead): two entries that have one of
+        them in common met there already, and not again here."""
         counts = written(entries.where("open").groupBy("token").agg(F.count("*").alias("k")), "open-lists")
-        if self.num * 2 <= self.den:  # sets may link that share one shingle only
-            return self._pairs(entries.join(counts, "token", "left_semi"), ["token"], apart)
-        brief, long = (entries.join(counts.where(c), "token", "left_semi") for c in (F.col("k") <= LONG_LIST, F.col("k") > LONG_LIST))
+        # with a threshold of a half or less, sets may link that share one shingle only
+        split = F.col("k") > LONG_LIST if self.num * 2 > self.den else F.lit(False)
+        rank = F.row_number().over(Window.partitionBy("gid").orderBy("place"))
+        useful = entries.join(counts, "token")
+        first = useful.where("token <> gid").select("gid", "place", "token").distinct().withColumn("rank", rank).where(F.col("rank") <= CARRIED)
+        first = first.groupBy("gid").agg(F.collect_list(F.struct("place", "token")).alias("first"))
+        useful = useful.withColumn("long", split).drop("k").join(first, "gid", "left")
+        apart = F.expr("(l.gid <> r.gid or l.token = l.gid) and not arrays_overlap(l.ahead, r.ahead)")
+        brief = useful.where("not long").withColumn("ahead", _before("place")).drop("first", "long")
+        pairs = self._pairs(brief, ["token"], apart)
+        if counts.where(split).isEmpty():
+            return pairs
         then = self.lists.select("gid", F.col("token").alias("second"), F.col("place").alias("later"))
-        by_two = long.where("token <> gid").join(then, "gid").where("later > place")
-        by_two = by_two.withColumn("between", F.array_remove(_before("later"), F.col("token"))).drop("later")
-        within = long.where("token = gid").withColumns({"second": F.lit(0).cast("long"), "between": F.array().cast("array<long>")})
-        first_two = apart & F.expr("not coalesce(arrays_overlap(l.between, r.between), false)")
-        pairs = self._pairs(brief, ["token"], apart).unionByName(self._pairs(by_two.unionByName(within), ["token", "second"], first_two))
-        return pairs.distinct()
+        by_two = useful.where("long and token <> gid").join(then, "gid").where("later > place")
+        within = useful.where("long and token = gid").withColumns({"second": F.lit(0).cast("long"), "later": F.col("place")})
+        by_two = by_two.unionByName(within).withColumns({"ahead": _before("place"), "between": F.array_remove(_before("later"), F.col("token"))})
+        apart_twice = apart & F.expr("not arrays_overlap(l.between, r.between)")
+        return pairs.unionByName(self._pairs(by_two.drop("first", "long", "later"), ["token", "second"], apart_twice))
 
     def _pairs(self, entries: DataFrame, keys: list[str], apart: Column) -> DataFrame:
         """Pairs of one list and of sizes in the same step, or the next, of the threshold's powers."""
