@@ -268,15 +268,16 @@ class _Join:
     def _lists(self, found: DataFrame) -> DataFrame:
         """(token, gid, n, place, k): groups by shingle, for shingles of k > 1 groups. Rare ones are
         dealt out once; most stand in one group only, or in two whose sizes are too different.
-        Those known to be frequent are counted without being brought together."""
+        Those known to be frequent are counted without being brought together. A group that two
+        tasks saw counts twice in k, which is then too large, but is one row."""
         posted = found.where("token is not null").select("token", "gid", "n", "place", "often")
-        rare = posted.where("often = 0").drop("often").repartition("token")
-        counts = rare.groupBy("token", "gid").agg(F.min("n").alias("n")).groupBy("token")
-        counts = counts.agg(F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
-        shared = counts.where((F.col("k") > 2) | ((F.col("k") == 2) & (self.den * F.col("low") >= self.num * F.col("high")))).select("token", "k")
+        same = Window.partitionBy("token")
+        counted = {"k": F.count("*").over(same), "low": F.min("n").over(same), "high": F.max("n").over(same)}
+        shared = (F.col("k") > 2) | ((F.col("k") == 2) & (self.den * F.col("low") >= self.num * F.col("high")))
+        rare = posted.where("often = 0").drop("often").withColumns(counted).where(shared).drop("low", "high")
         often = posted.where("often = 1").drop("often").dropDuplicates(["token", "gid"])
         many = F.broadcast(often.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"))
-        return rare.join(shared, "token").dropDuplicates(["token", "gid"]).unionByName(often.join(many, "token"))
+        return rare.dropDuplicates(["token", "gid"]).unionByName(often.join(many, "token"))
 
     def stars(self) -> DataFrame:
         """Candidate pairs of each group with its lists' hubs, and of a group's nodes with its head."""
@@ -327,16 +328,20 @@ class _Join:
         within = useful.where("long and token = gid").withColumns({"second": F.lit(0).cast("long"), "later": F.col("place")})
         by_two = by_two.unionByName(within).withColumns({"ahead": _before("place"), "between": F.array_remove(_before("later"), F.col("token"))})
         apart_twice = apart & F.expr("not arrays_overlap(l.between, r.between)")
-        return pairs.unionByName(self._pairs(by_two.drop("first", "long", "later"), ["token", "second"], apart_twice))
+        return pairs.unionByName(self._pairs(by_two.drop("first", "long", "later"), ["token", "second", "step"], apart_twice))
 
     def _pairs(self, entries: DataFrame, keys: list[str], apart: Column) -> DataFrame:
-        """Pairs of one list and of sizes in the same step, or the next, of the threshold's powers."""
-        step = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(self.den / self.num)))).cast("long")
-        left = entries.where("open").withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
+        """Pairs with equal keys. With the key ``step``, sizes in the same step or the next of the
+        threshold's powers meet, so that a long list is split by size."""
+        left, right = entries.where("open"), entries
+        if "step" in keys:
+            step = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(self.den / self.num)))).cast("long")
+            left = left.withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
+            right = right.withColumn("step", step)
         on = (F.col("l.root") != F.col("r.root")) & F.expr("not r.open or l.root < r.root") & _may_link("l", "r", self.num, self.den) & apart
-        for key in (*keys, "step"):
+        for key in keys:
             on = on & (F.col(f"l.{key}") == F.col(f"r.{key}"))
-        found = left.alias("l").join(entries.withColumn("step", step).alias("r"), on)
+        found = left.alias("l").join(right.alias("r"), on)
         pair = {"gid": "l.gid", "root": "l.root", "other_gid": "r.gid", "other_root": "r.root"}
         return found.select(*[F.col(c).alias(name) for name, c in pair.items()])
 
