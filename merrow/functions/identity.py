@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 
 def canonical_json(**fields: Column) -> Column:
-    """Compact JSON with sorted keys and explicit nulls; NaN is refused."""
+    """Compact JSON with sorted keys and explicit nulls; doubles are given through ``finite``."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def finite(number: Column) -> Column:
+    """A double that JSON can hold; NaN and the infinities are an error."""
+    wild = F.isnan(number) | (F.abs(number) == float("inf"))
+    return F.when(wild, F.raise_error(F.lit("a number is not finite")).cast("double")).otherwise(number)
+
+
 def pseudonym(identifier: Column, key: bytes, domain: bytes) -> Column:
     """HMAC-SHA-256 of domain and identifier as hex, by native hash functions."""
     block = hashlib.sha256(key).digest() if len(key) > 64 else key
@@ -22,7 +28,11 @@ def pseudonym(identifier: Column, key: bytes, domain: bytes) -> Column:
     return F.sha2(F.concat(F.lit(outer), F.unhex(first)), 256)
 
 
-def replacement_digest(key: Column, id_: Column, constant: str = "legacy-revoked-v1:") -> Column:
+# Fixed value: what stands before a legacy key in its stand-in's digest.
+LEGACY_PREFIX = "legacy-revoked-v1:"
+
+
+def replacement_digest(key: Column, id_: Column, constant: str = LEGACY_PREFIX) -> Column:
     """A 64-digit stand-in for a legacy key: MD5 of the key, then the id in 32 hex digits."""
     return F.concat(F.md5(F.concat(F.lit(constant), key)), F.lpad(F.lower(F.hex(id_)), 32, "0"))
 

@@ -17,6 +17,11 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def casefold(texts: pd.Series) -> pd.Series:
+    return texts.map(str.casefold, na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def _folded(texts: pd.Series) -> pd.Series:
     def fold(text: str) -> str:

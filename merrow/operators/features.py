@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from merrow.config import FEATURES, FeatureConfig
 from merrow.functions.text import content_document, preference_document, terms
+from merrow.scratch import written
+
+#: Terms of a vocabulary that are broadcast at most (about 64 MB).
+MOST_TERMS_BROADCAST = 500_000
 
 
 @dataclass
@@ -30,24 +34,27 @@ def inverse_frequencies(tf: DataFrame, n_documents: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n_documents)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def weigh(tf: DataFrame, idf: DataFrame, key: str = "slug") -> DataFrame:
-    """(key, term, weight): sublinear counts times idf, rows of norm 1; unknown terms drop out."""
-    raw = tf.join(idf.select("term", "idf"), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+def weigh(tf: DataFrame, idf: DataFrame, key: str = "slug", small: bool = False) -> DataFrame:
+    """(key, term, weight): sublinear counts times idf, rows of norm 1; unknown terms drop out. A
+    ``small`` vocabulary is broadcast, so that frequent terms don't meet in one task."""
+    known = idf.select("term", "idf")
+    raw = tf.join(F.broadcast(known) if small else known, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
     return normalized(raw, [key], "raw")
 
 
 def normalized(vectors: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, term, weight) with each vector at norm 1; vectors of norm 0 drop out."""
-    norms = vectors.groupBy(*keys).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm")).where("norm > 0")
-    return vectors.join(norms, keys).select(*keys, "term", (F.col(value) / F.col("norm")).alias("weight"))
+    """(keys, term, weight) with each vector at norm 1; vectors of norm 0 drop out. A vector has no
+    more rows than its document has terms, and is brought together once."""
+    rows = vectors.groupBy(*keys).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm"), F.collect_list(F.struct("term", F.col(value).alias("v"))).alias("terms"))
+    return rows.where("norm > 0").select(*keys, "norm", F.explode("terms").alias("t")).select(*keys, "t.term", (F.col("t.v") / F.col("norm")).alias("weight"))
 
 
 def fit(items: DataFrame, config: FeatureConfig = FEATURES) -> Features:
     """Features of nested items."""
     documents = items.select("slug", content_document(config).alias("document"))
-    tf = term_counts(documents)
-    idf = inverse_frequencies(tf, items.agg(F.count("*").alias("n")))
-    return Features(idf, weigh(tf, idf))
+    tf = written(term_counts(documents), "term-counts")
+    idf = written(inverse_frequencies(tf, items.agg(F.count("*").alias("n"))), "idf")
+    return Features(idf, weigh(tf, idf, small=idf.count() <= MOST_TERMS_BROADCAST))
 
 
 def preference_vectors(contexts: DataFrame, idf: DataFrame, key: str = "context_id") -> DataFrame:

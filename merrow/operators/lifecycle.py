@@ -94,9 +94,12 @@ def session_status(users: DataFrame, now: Column, version: str) -> DataFrame:
 
 
 def renew(users: DataFrame, ids: DataFrame, now: Column, version: str, ttl_seconds: int) -> DataFrame:
-    """Users with fresh consent for the live ones among ``ids``."""
+    """Users with fresh consent for those among ``ids`` whose session is live and of another version.
+    Expired, revoked and never consented ones stay as they are, and so do those of this version."""
     chosen = ids.select("id").distinct().withColumn("__chosen", F.lit(True))
-    rows = users.join(chosen, "id", "left").withColumn("__go", F.coalesce("__chosen", F.lit(False)) & F.col("revoked_at").isNull())
+    live = F.col("consented_at").isNotNull() & F.col("revoked_at").isNull() & (F.col("expires_at") > now)
+    rows = users.join(chosen, "id", "left").withColumn("__go", F.col("__chosen") & live & ~F.col("consent_version").eqNullSafe(F.lit(version)))
+    rows = rows.withColumn("__go", F.coalesce("__go", F.lit(False)))
     until = now + F.make_dt_interval(secs=F.lit(ttl_seconds))
     return rows.withColumns({"consent_version": F.when(F.col("__go"), version).otherwise(F.col("consent_version")), "consented_at": F.when(F.col("__go"), now).otherwise(F.col("consented_at")), "expires_at": F.when(F.col("__go"), until).otherwise(F.col("expires_at"))}).drop("__chosen", "__go")
 

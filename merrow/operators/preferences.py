@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FAMILIES = {"game": "selected", "genre": "genres", "tag": "tags", "platform": "platforms"}
@@ -50,8 +50,8 @@ def without_stale(preferences: DataFrame, known: DataFrame) -> DataFrame:
     return preferences.join(names, ["preference_type", "value"], "left_semi")
 
 
-def contexts_of(preferences: DataFrame) -> DataFrame:
-    """Contexts of users with all that they saved. ``ranking.context_problems`` reports those beyond
+def contexts_of(preferences: DataFrame, top_k: Column) -> DataFrame:
+    """Contexts of users with all that they saved, asking for ``top_k`` items (of user_id). ``ranking.context_problems`` reports those beyond
     the bounds of a request (five items and genres, ten tags, six platforms)."""
     pivoted = pivot_preferences(preferences)
-    return pivoted.select("user_id", F.col("user_id").alias("context_id"), "selected", "genres", "tags", "platforms", (5 + F.col("user_id") % 6).cast("int").alias("top_k"))
+    return pivoted.select("user_id", F.col("user_id").alias("context_id"), "selected", "genres", "tags", "platforms", top_k.cast("int").alias("top_k"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merrow.functions.text import normalize_text
+from merrow.functions.text import casefold, normalize_text
 
+# Fixed value: the grammar of a slug.
 SLUG = "^[a-z0-9]+(-[a-z0-9]+)*$"
 # The allowed names.
 INTERACTION_TYPES = ("viewed", "liked", "disliked", "played", "wishlisted", "rated")
@@ -97,7 +98,7 @@ def seed_problems(games: DataFrame, taxonomies: DataFrame, least_games: int = 25
     """(rule, key) for a catalog file: taxonomies (family, slug, name) unique by folded name and by
     slug, games unique by slug, no repeated or unknown references, at least one genre and platform,
     and enough games."""
-    folded = taxonomies.withColumn("folded", F.lower("name"))
+    folded = taxonomies.withColumn("folded", casefold(F.col("name")))
     out = duplicates(folded, "taxonomies", "name_repeated", ["family", "folded"]).unionByName(duplicates(taxonomies, "taxonomies", "slug_repeated", ["family", "slug"])).unionByName(duplicates(games, "games", "slug_repeated", ["slug"])).select("rule", "key")
     fields = {"genre": "genre_slugs", "tag": "tag_slugs", "platform": "platform_slugs"}
     rules = {f"{c}_repeated": holds(F.size(F.array_distinct(c)) == F.size(c)) for c in fields.values()}

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from merrow.config import RANKING, SCALE, RankingConfig
 from merrow.functions.fixedpoint import contribution, quantize
 from merrow.operators.features import Features, normalized, preference_vectors
 from merrow.scratch import written
 
-#: Rows of user vectors that are broadcast at most (about 64 MB).
-MOST_BROADCAST = 1_000_000
+#: Rows of user vectors that are told to all tasks at once (24 bytes each); more go in further blocks.
+BLOCK_ROWS = 4_000_000
 
 
 @dataclass
@@ -68,11 +72,46 @@ def user_vectors(contexts: DataFrame, features: Features, config: RankingConfig
 def similarities(weights: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """(key, slug, similarity) for all items that share a term with a vector.
 
-    ``vectors`` is a written table. Up to MOST_BROADCAST rows of it are broadcast, so that frequent
-    terms don't meet in one task and sums start where an item's weights lie; more are shuffled."""
-    held = vectors.select(key, "term", F.col("weight").alias("user_weight"))
-    held = F.broadcast(held) if vectors.count() <= MOST_BROADCAST else held
-    return weights.join(held, "term").groupBy(key, "slug").agg(F.sum(F.col("weight") * F.col("user_weight")).alias("similarity"))
+    ``vectors``, a written table, is the query set: it is told to the tasks in blocks of about
+    BLOCK_ROWS rows, and each item is multiplied with a whole block at once. Terms are compared by
+    64-bit hash. Nothing is shuffled but the items' rows, one for each slug."""
+    packed = written(weights.groupBy("slug").agg(F.collect_list(F.struct(F.xxhash64("term").alias("term"), "weight")).alias("row")), "packed")
+    n_blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
+    part = F.pmod(F.xxhash64(key), F.lit(n_blocks))
+    own = vectors.select(key, F.xxhash64("term").alias("term"), "weight")
+    blocks = [_multiplied(packed, own.where(part == k), key) for k in range(n_blocks)]
+    out = blocks[0]
+    for block in blocks[1:]:
+        out = out.unionByName(block)
+    return out
+
+
+def _multiplied(packed: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """(key, slug, similarity) of packed items and a block of vectors."""
+    rows = vectors.toArrow()
+    order = np.argsort(rows.column("term").to_numpy(), kind="stable")
+    names, of = np.unique(rows.column(key).to_numpy(), return_inverse=True)
+    block = (names, of[order].astype(np.int64), rows.column("term").to_numpy()[order], rows.column("weight").to_numpy()[order])
+    told = packed.sparkSession.sparkContext.broadcast(block)
+    schema = T.StructType([vectors.schema[key], packed.schema["slug"], T.StructField("similarity", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, of, terms, values = told.value
+        known = pa.array(names)
+        for batch in batches:
+            for slug, row in zip(batch.column(0), batch.column(1), strict=True):
+                own = row.values.field("term").to_numpy()
+                first, last = np.searchsorted(terms, own), np.searchsorted(terms, own, side="right")
+                sizes = last - first
+                at = np.arange(sizes.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+                products = values[at] * np.repeat(row.values.field("weight").to_numpy(), sizes)
+                total = np.bincount(of[at], products, len(names))
+                found = np.flatnonzero(total > 0)
+                if len(found):
+                    columns = [known.take(pa.array(found)), pa.repeat(slug, len(found)), pa.array(total[found])]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return packed.mapInArrow(run, schema)
 
 
 def score_candidates(contexts: DataFrame, model: Model, config: RankingConfig = RANKING) -> DataFrame:
@@ -153,5 +192,20 @@ def recommend(contexts: DataFrame, model: Model, config: RankingConfig = RANKING
     return contexts.select("context_id").join(ranked, "context_id", "left").withColumn("reason", reason)
 
 
+def recommend_for_ids(requests: DataFrame, model: Model, config: RankingConfig = RANKING) -> DataFrame:
+    """Ranked rows with display columns for requests (context_id, item_ids, genres, tags, platforms,
+    top_k) that name items by id. Nothing is stored. A request with an unknown id has one row, of
+    reason unknown_items. ``model.items`` has the ids."""
+    asked = requests.select("context_id", F.explode("item_ids").alias("id"))
+    slugs = asked.join(model.items.select("id", "slug"), "id", "left")
+    named = slugs.groupBy("context_id").agg(F.array_sort(F.collect_set("slug")).alias("selected"), F.bool_or(F.col("slug").isNull()).alias("lost"))
+    rows = written(requests.join(named, "context_id", "left").withColumn("selected", F.coalesce("selected", F.array().cast("array<string>"))), "requests")
+    refused = F.coalesce("lost", F.lit(False))
+    ranked = recommend(rows.where(~refused).drop("lost", "item_ids"), model, config)
+    shown = model.items.select("slug", "id", "title", "developer", F.col("average_rating").cast("double").alias("average_rating"), "rating_count")
+    out = ranked.join(shown, "slug", "left")
+    return out.unionByName(rows.where(refused).select("context_id", F.lit("unknown_items").alias("reason")), allowMissingColumns=True)
+
+
 def score_of(units: str) -> Column:
     return F.col(units) / float(SCALE)

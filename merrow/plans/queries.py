@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from merrow.functions import fixedpoint, identity, text
 from merrow.operators import catalog, features, feedback, lifecycle, popularity, preferences, quality, ranking
 from merrow.plans.sql import ORACLE_SQL as ORACLE_SQL
-from merrow.scratch import written
+from merrow.scratch import run_folder, written
 from merrow.sources import events as event_log
 from merrow.sources import model_store
 from merrow.sources.views import CUTOFF, NOW, Views
@@ -23,8 +24,9 @@ def _at(time: str):
 
 def _page(sort: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, _ = catalog.catalog_page(Views(spark, sf_dir).items(), sort, page=2, size=20)
-        return rows.select("id", "slug", "average_rating", "rating_count", "release_date", "popularity_score")
+        rows, totals = catalog.catalog_page(Views(spark, sf_dir).items(), sort, page=2, size=20)
+        rows = rows.select("id", "slug", "average_rating", "rating_count", "release_date", "popularity_score")
+        return rows.crossJoin(F.broadcast(totals))
 
     return run
 
@@ -131,7 +133,7 @@ def _known(v: Views) -> DataFrame:
 
 
 def _contexts(v: Views) -> DataFrame:
-    return written(preferences.contexts_of(preferences.without_stale(v.preferences(), _known(v))), "contexts")
+    return written(preferences.contexts_of(preferences.without_stale(v.preferences(), _known(v)), v.top_k()), "contexts")
 
 
 def _model(v: Views) -> ranking.Model:
@@ -148,6 +150,15 @@ def content_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.recommend(_contexts(v), _model(v))
 
 
+def recommend_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that name items by id, every fifth with an id that no item has."""
+    v = Views(spark, sf_dir)
+    ids = F.transform("selected", lambda s: F.substring(s, 5, 20).cast("long"))
+    ids = F.when(F.col("user_id") % 5 == 0, F.concat(ids, F.array(F.lit(999_999_999).cast("long")))).otherwise(ids)
+    rows = ranking.recommend_for_ids(_contexts(v).withColumn("item_ids", ids).drop("selected"), _model(v))
+    return rows.select("context_id", "rank", "id", "title", "developer", "average_rating", "rating_count", "base_units", "reason")
+
+
 def recommend_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
     contexts, model = _contexts(v), _model(v)
@@ -159,7 +170,7 @@ def recommend_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems of contexts as they are saved, stale references included."""
     v = Views(spark, sf_dir)
-    return ranking.context_problems(preferences.contexts_of(v.preferences()).withColumn("top_k", F.col("top_k") * 3), v.items())
+    return ranking.context_problems(preferences.contexts_of(v.preferences(), v.top_k() * 3), v.items())
 
 
 def active_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +211,8 @@ def positive_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    return feedback.feedback_recommend(_contexts(v), _feedback(v), _model(v))
+    rows = feedback.feedback_recommend(_contexts(v), _feedback(v), _model(v))
+    return rows.withColumn("adjustments", F.array_join("adjustments", ","))
 
 
 def preferences_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,6 +295,10 @@ def retention_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
     left = lifecycle.retention_purge(v.rec_events(), v.users(), {"interactions": v.interactions(), "preferences": v.preferences()}, _at(CUTOFF), _at(NOW))
+    return _rows_per_user(left)
+
+
+def _rows_per_user(left: dict[str, DataFrame]) -> DataFrame:
     per_user = [rows.groupBy(F.col("id" if name == "users" else "user_id").alias("user_id")).agg(F.count("*").alias("rows")).withColumn("table", F.lit(name)) for name, rows in left.items()]
     out = per_user[0]
     for rows in per_user[1:]:
@@ -305,10 +321,15 @@ def legacy_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    contexts, state = _contexts(v), _feedback(v)
-    ranked = feedback.feedback_recommend(contexts, state, _model(v))
+    state, model = _feedback(v), _model(v)
+    # who saved what isn't there any more isn't ranked, but told so
+    stale = preferences.stale_references(v.preferences(), _known(v)).select("user_id").distinct()
+    contexts = written(_contexts(v).join(stale, "user_id", "left_anti"), "contexts")
+    ranked = feedback.feedback_recommend(contexts, state, model).crossJoin(F.broadcast(model_store.fingerprint(model.items)))
+    prints = ranked.select("user_id", "fingerprint").distinct().withColumnRenamed("fingerprint", "catalog")
+    contexts = contexts.join(prints, "user_id")
     made = F.concat(F.lit("gen-"), F.sha2(F.col("user_id").cast("string"), 256).substr(1, 24))
-    rows = event_log.generation_events(ranked, contexts, state, _at(NOW), F.lit("0" * 64), made)
+    rows = event_log.generation_events(ranked, contexts, state, _at(NOW), F.col("catalog"), made)
     problems = event_log.payload_problems(rows).groupBy("generation_id").agg(F.count("*").alias("problems"))
     return rows.join(problems, "generation_id", "left").withColumn("problems", F.coalesce("problems", F.lit(0)))
 
@@ -333,6 +354,39 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_store.summary(model).crossJoin(features.fit_problems(model.items, model.features).agg(F.count("*").alias("problems")))
 
 
+def model_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model over all items, stored, read again and checked, with its status for the same catalog."""
+    v = Views(spark, sf_dir)
+    model = _model(v)
+    path = f"{run_folder(spark)}/model-{uuid.uuid4().hex}"
+    model_store.store(model, path, NOW)
+    rules = model_store.integrity(spark, path)
+    verdict = spark.range(1).select(F.lit(True).alias("valid"))
+    state = model_store.status(model_store.inspect(spark, path), model.items, verdict)
+    stale = model_store.stale_items(model.items, v.nested_items()).agg(F.count("*").alias("stale_items"))
+    return rules.crossJoin(F.broadcast(state.select("status"))).crossJoin(F.broadcast(stale))
+
+
+def session_renew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third user consents to the version of now, for 90 days."""
+    users = Views(spark, sf_dir).users()
+    rows = lifecycle.renew(users, users.where("id % 3 = 0").select("id"), _at(NOW), "v1", 90 * 86_400)
+    return rows.select("id", "consent_version", "consented_at", "expires_at")
+
+
+def delete_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each table, by user, when every fourth user is deleted with all that they own."""
+    v = Views(spark, sf_dir)
+    gone = v.users().where("id % 4 = 1").select(F.col("id").alias("user_id"))
+    left = lifecycle.delete_users(v.users(), gone, {"events": v.rec_events(), "interactions": v.interactions(), "preferences": v.preferences()})
+    return _rows_per_user(left)
+
+
+def legacy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = Views(spark, sf_dir).rec_events().withColumn("id", F.substring("generation_id", 5, 20).cast("long"))
+    return lifecycle.backfill_events(events).select("id", "user_id", "generation_id", "event_schema_version")
+
+
 def half_step_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Views(spark, sf_dir).interactions().where("interaction_type = 'rated'")
     return rows.select("id", fixedpoint.half_step_rating(F.col("value")).alias("half_step"), fixedpoint.half_step_rating(F.col("value") + F.lit(0.25).cast("decimal(5,2)")).alias("quarter_more"))
@@ -354,9 +408,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"catalog_page_{
     f.__name__.removesuffix("_query"): _plain(f)
     for f in (
         catalog_search_literal, catalog_filter_taxonomy, catalog_nested, catalog_item, catalog_items, catalog_scan, taxonomy_lists, resolve_ids, popularity_baseline, term_frequency,
-        document_frequency_idf, tfidf_weights, content_documents, content_recommend, recommend_evidence, context_checks, active_feedback, feedback_pages, feedback_pages_all,
+        document_frequency_idf, tfidf_weights, content_documents, content_recommend, recommend_by_ids, recommend_evidence, context_checks, active_feedback, feedback_pages, feedback_pages_all,
         supersession_backfill, replace_state, positive_sources, feedback_recommend, preferences_pivot, preferences_replace, unknown_references, stale_references,
         upsert_classify, quality_checks, unique_checks, fk_checks, feedback_checks, catalog_canonicalise, retention_preview, retention_purge, revoke_cohort,
-        session_status, legacy_backfill, event_log_query, pseudonymise_users, redact_text, catalog_fingerprint, model_summary, half_step_ratings,
+        session_status, legacy_backfill, event_log_query, pseudonymise_users, redact_text, catalog_fingerprint, model_summary, model_integrity, session_renew, delete_users, legacy_events, half_step_ratings,
     )
 }

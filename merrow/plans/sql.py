@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from merrow.sources.views import CUTOFF, NOW
 
+_UNITS = "cast(round(cast(greatest(0.0, least(1.0, {})) as decimal(20,18)) * 1000000) as bigint)"
+
 _VIEWS = {
     "interactions": """
   select event_id as id, user_id, json_extract(props, '$.k')::bigint as item_id, kind as interaction_type,
@@ -26,7 +28,7 @@ _VIEWS = {
     "part_genres": "select p_partkey as id, lower(p_type) as slug, p_type as name from part",
     "part_tags": "select distinct id, slug, slug as name from (select p_partkey as id, unnest(string_split(p_name, ' ')) as slug from part)",
     "part_platforms": """
-  select distinct l_partkey as id, 'n' || s_nationkey as slug, 'n' || s_nationkey as name from lineitem join supplier on l_suppkey = s_suppkey where l_linenumber = 1""",
+  select distinct l_partkey as id, 'n' || s_nationkey as slug, 'n' || s_nationkey as name from lineitem join supplier on l_suppkey = s_suppkey""",
     "preferences": """
   select user_id, 'game' as preference_type, 'doc-' || item_id as value from (
     select user_id, item_id, row_number() over (partition by user_id order by count(*) desc, item_id) as place from interactions
@@ -72,13 +74,82 @@ _VIEWS = {
     select slug, popularity_score::double as signal,
       rating_count::double / (rating_count + 50.0::double) * (coalesce(average_rating::double, m) / 10) + 50.0::double / (rating_count + 50.0::double) * (m / 10) as blended
     from items, (select coalesce(sum(average_rating::double * rating_count) / nullif(sum(rating_count::double) filter (average_rating is not null), 0), 5.0) as m from items)))""",
+    "document": """
+  select slug, tw || tw || [g, g, g] || [t, t, t] || [d] || dw as w from (
+    select slug, regexp_extract_all(lower(strip_accents(title)), '[a-z0-9]+') as tw, regexp_extract_all(lower(strip_accents(coalesce(description, ''))), '[a-z0-9]+') as dw,
+      'genre_' || replace(lang, '-', '_') as g, 'tag_' || replace(source, '-', '_') as t,
+      'developer_' || array_to_string(regexp_extract_all(lower(strip_accents(source)), '[a-z0-9]+'), '_') as d from items)""",
+    "content_token": """
+  select slug, word, row_number() over (partition by slug order by i) as i from (select slug, unnest(w) as word, generate_subscripts(w, 1) as i from document)
+  where length(word) >= 2""",
+    "content_tf": """
+  select slug, term, count(*) as tf from (
+    select slug, word as term from content_token
+    union all select slug, word || ' ' || next from (select slug, word, lead(word) over (partition by slug order by i) as next from content_token) where next is not null)
+  group by all""",
+    "content_idf": "select term, count(*) as df, ln((1 + (select count(*) from items)) / (1 + count(*))) + 1 as idf from content_tf group by term",
+    "weight": """
+  select slug, term, raw / sqrt(sum(raw * raw) over (partition by slug)) as weight from (select slug, term, (1 + ln(tf)) * idf as raw from content_tf join content_idf using (term))""",
+    "context": """
+  select user_id, coalesce(list_sort(list(distinct value) filter (preference_type = 'game')), []) as selected,
+    coalesce(list_sort(list(distinct value) filter (preference_type = 'genre')), []) as genres, coalesce(list_sort(list(distinct value) filter (preference_type = 'tag')), []) as tags,
+    coalesce(list_sort(list(distinct value) filter (preference_type = 'platform')), []) as platforms, 5 + user_id % 6 as top_k
+  from preferences p where exists (select 1 from known k where k.family = p.preference_type and k.slug = p.value) group by user_id""",
+    # what a context picks and prefers: its content ranking starts from these
+    "asked": "select * from context",
+    "wanted_term": """
+  select user_id, term, (1 + ln(tf)) * idf as raw from (
+    select user_id, term, count(*) as tf from (
+      select user_id, word as term from wanted_token union all select user_id, word || ' ' || next from (
+        select user_id, word, lead(word) over (partition by user_id order by i) as next from wanted_token) where next is not null) group by all) join content_idf using (term)""",
+    "wanted_token": """
+  select user_id, word, row_number() over (partition by user_id order by i) as i from (
+    select user_id, unnest(w) as word, generate_subscripts(w, 1) as i from (
+      select user_id, list_transform(genres, lambda x: 'genre_' || replace(x, '-', '_')) || list_transform(tags, lambda x: 'tag_' || replace(x, '-', '_')) as w from asked))
+  where length(word) >= 2""",
+    "vector": """
+  select user_id, term, w / sqrt(sum(w * w) over (partition by user_id)) as weight from (
+    select user_id, term, sum(w) as w from (
+      select m.user_id, term, m / sqrt(sum(m * m) over (partition by m.user_id)) * case when len(genres) + len(tags) > 0 then 0.65::double else 1 end as w
+      from (select user_id, term, sum(weight) / any_value(len(selected)) as m from (select *, unnest(selected) as slug from asked) join weight using (slug) group by user_id, term) m
+      join asked a on a.user_id = m.user_id
+      union all select w.user_id, term, raw / sqrt(sum(raw * raw) over (partition by w.user_id)) * case when len(selected) > 0 then 0.35::double else 1 end
+      from wanted_term w join asked a on a.user_id = w.user_id)
+    where user_id in (select user_id from asked where len(genres) + len(tags) = 0 union all select user_id from wanted_term)
+    group by user_id, term)""",
+    "scored": f"""
+  select user_id, slug, content_units, platform_units, popularity_units,
+    (content_units * 800000 + 500000) // 1000000 + (platform_units * 100000 + 500000) // 1000000 + (popularity_units * 100000 + 500000) // 1000000 as base_units
+  from (
+    select s.user_id, s.slug, content_units,
+      {_UNITS.format("case when len(platforms) > 0 then len(list_intersect(has, platforms)) / len(platforms)::double else 0.0 end")} as platform_units,
+      {_UNITS.format("popularity")} as popularity_units
+    from (select user_id, slug, {_UNITS.format("sum(v.weight * w.weight)")} as content_units from vector v join weight w using (term) group by user_id, slug) s
+    join asked a on a.user_id = s.user_id join (select slug, list(distinct slug_1) as has from (
+      select i.slug, t.slug as slug_1 from items i join taxonomy t on t.id = i.id and t.family = 'platform') group by slug) h on h.slug = s.slug
+    join baseline b on b.slug = s.slug where content_units > 0 and not list_contains(selected, s.slug))""",
+    "source": """
+  select * from (select *, row_number() over (partition by user_id order by occurred_at desc, slug)::int as place from (
+    select user_id, slug, case when reaction = 'liked' then 'liked' when reaction is null and rating >= 7 then 'rating' end as kind,
+      case when reaction = 'liked' then reaction_at else rating_at end as occurred_at from state join items on items.id = item_id) where kind is not null) where place <= 5""",
+    "slug_state": "select state.*, slug from state join items on items.id = item_id",
 }
 # each view and what it reads
-_NEEDS = {"items": ["interactions"], "taxonomy": ["items"], "preferences": ["interactions"], "known": ["taxonomy", "items"], "log": ["interactions"], "active": ["log"], "state": ["active"], "tf": ["token"], "idf": ["tf"], "baseline": ["items"]}
+_NEEDS = {
+    "document": ["items"], "content_token": ["document"], "content_tf": ["content_token"], "content_idf": ["content_tf", "items"], "weight": ["content_tf", "content_idf"],
+    "context": ["preferences", "known"], "asked": ["context"], "wanted_token": ["asked"], "wanted_term": ["wanted_token", "content_idf"], "vector": ["asked", "weight", "wanted_term"],
+    "scored": ["vector", "weight", "asked", "taxonomy", "baseline"], "source": ["state", "items"], "slug_state": ["state", "items"],
+} | {"items": ["interactions"], "taxonomy": ["items"], "preferences": ["interactions"], "known": ["taxonomy", "items"], "log": ["interactions"], "active": ["log"], "state": ["active"], "tf": ["token"], "idf": ["tf"], "baseline": ["items"]}
 
 
-def _with(views: str, query: str) -> str:
+#: Views that a query reads several times.
+_REUSED = {"content_tf", "content_idf", "weight", "asked", "wanted_term", "vector", "scored", "state", "source"}
+
+
+def _with(views: str, query: str, instead: dict[str, str] | None = None) -> str:
+    """A query after the views that it reads, some of them with a text of its own."""
     order: list[str] = []
+    texts = _VIEWS | (instead or {})
 
     def add(name: str) -> None:
         for needed in _NEEDS.get(name, []):
@@ -88,15 +159,14 @@ def _with(views: str, query: str) -> str:
 
     for name in views.split():
         add(name)
-    heads = ",\n".join(f"{n} as ({_VIEWS[n]})" for n in order)
+    heads = ",\n".join(f"{n} as materialized ({texts[n]})" if n in _REUSED else f"{n} as ({texts[n]})" for n in order)
     return f"with {heads}\n{query}"
 
 
 _ITEM_COLUMNS = "id, slug, average_rating, rating_count, release_date, popularity_score"
 _ORDERS = {"popularity": "popularity_score desc, id", "rating": "average_rating desc nulls last, rating_count desc, id", "release": "release_date desc nulls last, id", "title": "lower(title), id"}
-_UNITS = "cast(round(cast(greatest(0.0, least(1.0, {})) as decimal(20,18)) * 1000000) as bigint)"
 
-ORACLE_SQL: dict[str, str] = {f"catalog_page_{s}": _with("items", f"select {_ITEM_COLUMNS} from items order by {o} limit 20 offset 20") for s, o in _ORDERS.items()} | {
+ORACLE_SQL: dict[str, str] = {f"catalog_page_{s}": _with("items", f"select {_ITEM_COLUMNS}, count(*) over () as total, ceil(count(*) over () / 20.0)::bigint as total_pages from items order by {o} limit 20 offset 20") for s, o in _ORDERS.items()} | {
     "catalog_search_literal": _with("part_items", r"select q, count(id) as total, ceil(count(id) / 20.0)::bigint as total_pages from (select unnest(['red', 'WIDGET', '%', '_', '\']) as q) left join part_items on contains(lower(title), lower(q)) group by q"),
     "catalog_filter_taxonomy": _with("part_items part_genres part_tags part_platforms", """
 select id, title, popularity_score from part_items where contains(lower(title), 'r') and id in (select id from part_genres where slug = 'economy')
@@ -126,7 +196,7 @@ select slug, term, round(raw / sqrt(sum(raw * raw) over (partition by slug)), 6)
     "context_checks": _with("preferences items", """
 , c as (select user_id as context_id, list(value order by value) filter (preference_type = 'game') as selected, (5 + user_id % 6) * 3 as top_k from preferences group by user_id)
 select context_id, 'top_k_out_of_range' as reason from c where top_k not between 1 and 20
-union all select distinct context_id, 'selected_unknown' from (select context_id, unnest(selected[1:5]) as slug from c) where slug not in (select slug from items)"""),
+union all select distinct context_id, 'selected_unknown' from (select context_id, unnest(selected) as slug from c) where slug not in (select slug from items)"""),
     "active_feedback": _with("state", "select * from state"),
     "feedback_pages": _with("state items", """
 select item_id, slug, reaction, played, wishlisted, rating, latest_at, count(*) over () as total from state join items on items.id = item_id where user_id = 3 order by latest_at desc, item_id limit 20"""),
@@ -207,6 +277,67 @@ select id, case when consented_at is null or revoked_at is not null or expires_a
     "half_step_ratings": _with("interactions", "select id, value * 2 = floor(value * 2) and value between 0 and 10 as half_step, (value + 0.25) * 2 = floor((value + 0.25) * 2) and value + 0.25 between 0 and 10 as quarter_more from interactions where interaction_type = 'rated'"),
 }
 
+# a disliked pick doesn't count, and who has nothing left isn't ranked
+_EFFECTIVE = """
+  select * from (select * replace (list_filter(selected, lambda s: not coalesce(list_contains(d.slugs, s), false)) as selected)
+    from context left join (select user_id, list(slug) as slugs from slug_state where reaction = 'disliked' group by user_id) d using (user_id))
+  where len(selected) + len(genres) + len(tags) > 0"""
+_ADJUSTED = f"""
+, profile as (
+  select user_id, term, m / sqrt(sum(m * m) over (partition by user_id)) as weight from (
+    select user_id, term, sum(weight) / any_value(k) as m from (select user_id, slug, count(*) over (partition by user_id) as k from source) join weight using (slug) group by user_id, term)
+), affinity as (
+  select user_id, slug, {_UNITS.format("sum(p.weight * w.weight)")} as units from profile p join weight w using (term) group by user_id, slug
+), eligible as (
+  select s.*, case when k.user_id is not null then coalesce(a.units, 0) else 0 end as affinity_units,
+    case when k.user_id is not null then 900000 else 1000000 end::bigint as base_weight, case when k.user_id is not null then 100000 else 0 end::bigint as affinity_weight,
+    case when f.played then 500000 else 1000000 end::bigint as played_factor,
+    concat_ws(',', case when k.user_id is not null then 'feedback_affinity' end, case when f.played then 'played_adjustment' end) as adjustments
+  from scored s left join (select distinct user_id from source) k on k.user_id = s.user_id left join affinity a on a.user_id = s.user_id and a.slug = s.slug
+  left join slug_state f on f.user_id = s.user_id and f.slug = s.slug
+  where f.reaction is distinct from 'disliked' and not exists (select 1 from source o where o.user_id = s.user_id and o.slug = s.slug)
+), parted as (
+  select *, (base_units * base_weight + 500000) // 1000000 as base_contribution, (affinity_units * affinity_weight + 500000) // 1000000 as affinity_contribution from eligible
+), final as (
+  select *, (pre_played_units * played_factor + 500000) // 1000000 as final_units from (select *, base_contribution + affinity_contribution as pre_played_units from parted)
+), placed as (
+  select f.*, row_number() over (partition by f.user_id order by final_units desc, pre_played_units desc, base_units desc, affinity_units desc, content_units desc, popularity_units desc, f.slug)::int as rank
+  from final f
+)"""
+ORACLE_SQL |= {
+    "content_documents": _with("document", """
+select slug, length(d)::int as characters, (greatest(n, 0) + greatest(n - 1, 0))::int as terms, sha256(d) as sha256 from (
+  select slug, array_to_string(w, ' ') as d, len(list_filter(w, lambda x: length(x) >= 2)) as n from document)"""),
+    "model_summary": _with("items content_tf content_idf", "select (select count(*) from items) as items, (select count(*) from content_idf) as terms, (select count(*) from content_tf) as weights, 0::bigint as problems"),
+    "content_recommend": _with("scored context", """
+, placed as (
+  select *, row_number() over (partition by user_id order by base_units desc, content_units desc, popularity_units desc, slug)::int as rank from scored)
+select c.user_id as context_id, slug, content_units, platform_units, popularity_units, base_units, rank, case when slug is null then 'no_content_support' else 'recommendations' end as reason
+from context c left join placed p on p.user_id = c.user_id and rank <= top_k"""),
+    "recommend_by_ids": _with("scored context items", """
+, placed as (
+  select *, row_number() over (partition by user_id order by base_units desc, content_units desc, popularity_units desc, slug)::int as rank from scored)
+select c.user_id as context_id, p.rank, i.id, i.title, i.developer, i.average_rating::double as average_rating, i.rating_count, p.base_units,
+  case when c.user_id % 5 = 0 then 'unknown_items' when p.slug is null then 'no_content_support' else 'recommendations' end as reason
+from context c left join placed p on p.user_id = c.user_id and rank <= top_k and c.user_id % 5 <> 0 left join items i on i.slug = p.slug"""),
+    "session_renew": _with("users", f"""
+select id, case when go then 'v1' else consent_version end as consent_version, case when go then timestamp '{NOW}' else consented_at end as consented_at,
+  case when go then timestamp '{NOW}' + to_days(90) else expires_at end as expires_at
+from (select *, coalesce(id % 3 = 0 and consented_at is not null and revoked_at is null and expires_at > timestamp '{NOW}' and consent_version <> 'v1', false) as go from users)"""),
+    "delete_users": _with("rec_events users interactions preferences", """
+select id as user_id, count(*) as rows, 'users' as "table" from users where id % 4 <> 1 group by id
+union all select user_id, count(*), 'events' from rec_events where user_id % 4 <> 1 group by user_id
+union all select user_id, count(*), 'interactions' from interactions where user_id % 4 <> 1 group by user_id
+union all select user_id, count(*), 'preferences' from preferences where user_id % 4 <> 1 group by user_id"""),
+    "legacy_events": "select event_id as id, user_id, 'legacy-' || event_id as generation_id, 'legacy-v1' as event_schema_version from events where event_type = 'view'",
+    "feedback_recommend": _with("slug_state scored source context weight", _ADJUSTED + """
+select c.user_id, slug, content_units, platform_units, popularity_units, base_units, affinity_units, base_weight, affinity_weight, played_factor, base_contribution, affinity_contribution,
+  pre_played_units, final_units, final_units - pre_played_units as played_delta_units, adjustments, rank,
+  case when slug is not null then 'recommendations' when a.user_id is null then 'insufficient_context' when s.user_id is not null then 'no_eligible_candidates' else 'no_content_support' end as reason
+from context c left join placed p on p.user_id = c.user_id and rank <= c.top_k left join asked a on a.user_id = c.user_id left join (select distinct user_id from scored) s on s.user_id = c.user_id""",
+        {"asked": _EFFECTIVE}),
+}
+
 # decimals and dates are compared as doubles and text
 _PLAIN = {
     "average_rating::double": [f"catalog_page_{s}" for s in _ORDERS],

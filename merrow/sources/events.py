@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merrow.config import ModelIdentity
 from merrow.functions.identity import canonical_json, state_fingerprint
 from merrow.operators.feedback import positive_sources
+from merrow.operators.quality import SLUG
 
 # The bounds of an event's payload.
-MOST_ITEMS, MOST_CONTEXT_BYTES, MOST_RESULT_BYTES, MOST_LIST = 20, 8_192, 32_768, 100
+MOST_ITEMS, MOST_CONTEXT_BYTES, MOST_RESULT_BYTES, MOST_TOP_K = 20, 8_192, 32_768, 20
+MOST_OF_LIST = {"selected_game_slugs": 25, "preferred_genres": 20, "preferred_tags": 25, "preferred_platforms": 10, "positive_source_slugs": 5}
+MOST_OF_COUNT = {"disliked_count": 100_000, "played_count": 100_000, "positive_source_count": 5}
+MOST_SLUG = 220
 
 
 def effective_states(feedback: DataFrame) -> DataFrame:
@@ -20,8 +25,8 @@ def effective_states(feedback: DataFrame) -> DataFrame:
     return both.select("user_id", state_fingerprint(F.col("disliked"), F.col("played"), F.col("sources")).alias("fingerprint"), F.size("disliked").alias("disliked_count"), F.size("played").alias("played_count"), F.size("sources").alias("positive_source_count"), F.transform("sources", lambda s: s["slug"]).alias("positive_sources"))
 
 
-def generation_events(ranked: DataFrame, contexts: DataFrame, feedback: DataFrame, generated_at: Column, data_fingerprint: Column, generation_id: Column | None = None, policy: tuple[str, str] = ("merrow-feedback", "1.0.0")) -> DataFrame:
-    """One event for each user with ranked rows. Ids are random unless given; write the events
+def generation_events(ranked: DataFrame, contexts: DataFrame, feedback: DataFrame, generated_at: Column, data_fingerprint: Column, generation_id: Column | None = None, policy: tuple[str, str] = ("merrow-feedback", "1.0.0"), identity: ModelIdentity | None = None) -> DataFrame:
+    """One event for each user with ranked rows, with the model's name and version. Ids are random unless given; write the events
     before reading them again."""
     per_item = F.struct(F.col("affinity_units"), F.col("base_units"), F.col("final_units"), F.col("played_delta_units"), F.col("rank"), F.col("slug"))
     results = ranked.where("slug is not null").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", per_item.alias("r")))).alias("r"))
@@ -36,6 +41,8 @@ def generation_events(ranked: DataFrame, contexts: DataFrame, feedback: DataFram
         (generation_id if generation_id is not None else F.replace(F.uuid(), F.lit("-"), F.lit(""))).alias("generation_id"),
         "user_id",
         F.lit("stage-4-v1").alias("event_schema_version"),
+        F.lit((identity or ModelIdentity()).name).alias("model_name"),
+        F.lit((identity or ModelIdentity()).version).alias("model_version"),
         data_fingerprint.alias("data_fingerprint"),
         F.lit(policy[0]).alias("ranking_policy_name"),
         F.lit(policy[1]).alias("ranking_policy_version"),
@@ -47,13 +54,37 @@ def generation_events(ranked: DataFrame, contexts: DataFrame, feedback: DataFram
 
 def payload_problems(events: DataFrame) -> DataFrame:
     """(generation_id, reason) of events out of bounds."""
-    size = F.json_array_length("result_summary")
-    lists = [F.json_array_length(F.get_json_object("request_context", f"$.{k}")) > MOST_LIST for k in ("selected_game_slugs", "preferred_genres", "preferred_tags", "preferred_platforms")]
-    units = F.from_json("result_summary", "array<struct<base_units:bigint,final_units:bigint,affinity_units:bigint,rank:int>>")
-    outside = F.exists(units, lambda r: ~(r["base_units"].between(0, 1_000_000) & r["final_units"].between(0, 1_000_000) & r["affinity_units"].between(0, 1_000_000)))
-    found = [F.when(size > MOST_ITEMS, "items_too_many"), F.when(F.octet_length("request_context") > MOST_CONTEXT_BYTES, "context_too_long"), F.when(F.octet_length("result_summary") > MOST_RESULT_BYTES, "result_too_long"), F.when(outside, "units_out_of_range")]
-    found += [F.when(test, "list_too_long") for test in lists]
-    return events.select("generation_id", F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("reason"))
+    fields = ", ".join([*(f"{k} array<string>" for k in MOST_OF_LIST), *(f"{k} bigint" for k in MOST_OF_COUNT), "top_k bigint", "effective_state_fingerprint string"])
+    units = ("base_units", "final_units", "affinity_units")
+    items = F.from_json("result_summary", f"array<struct<slug: string, rank: bigint, played_delta_units: bigint, {', '.join(f'{u}: bigint' for u in units)}>>")
+    rows = events.select("generation_id", "request_context", "result_summary", F.from_json("request_context", fields).alias("c"), items.alias("items"))
+
+    def no_slug(x: Column) -> Column:
+        return ~F.coalesce(x.rlike(SLUG) & (F.length(x) <= MOST_SLUG), F.lit(False))
+
+    def outside(x: Column, low: int, high: int) -> Column:
+        return ~F.coalesce(x.between(low, high), F.lit(False))
+
+    def any_item(test) -> Column:
+        return F.exists("items", test)
+
+    out_of_range = any_item(lambda r: outside(r["base_units"], 0, 1_000_000) | outside(r["final_units"], 0, 1_000_000) | outside(r["affinity_units"], 0, 1_000_000))
+    lists = [F.col(f"c.{k}") for k in MOST_OF_LIST]
+    found = {
+        "items_too_many": F.size("items") > MOST_ITEMS,
+        "context_too_long": F.octet_length("request_context") > MOST_CONTEXT_BYTES,
+        "result_too_long": F.octet_length("result_summary") > MOST_RESULT_BYTES,
+        "units_out_of_range": out_of_range,
+        "rank_out_of_range": any_item(lambda r: outside(r["rank"], 1, MOST_ITEMS)),
+        "played_delta_out_of_range": any_item(lambda r: outside(r["played_delta_units"], -1_000_000, 0)),
+        "top_k_out_of_range": outside(F.col("c.top_k"), 1, MOST_TOP_K),
+        "slug_format": any_item(lambda r: no_slug(r["slug"])) | F.exists(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])), no_slug),
+        "fingerprint_format": ~F.coalesce(F.col("c.effective_state_fingerprint").rlike("^[0-9a-f]{64}$"), F.lit(False)),
+    }
+    found |= {f"{k}_too_long": F.size(f"c.{k}") > most for k, most in MOST_OF_LIST.items()}
+    found |= {f"{k}_out_of_range": outside(F.col(f"c.{k}"), 0, most) for k, most in MOST_OF_COUNT.items()}
+    reasons = F.array_compact(F.array(*[F.when(test, name) for name, test in found.items()]))
+    return rows.select("generation_id", F.explode(reasons).alias("reason"))
 
 
 def append_events(events: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merrow.config import ModelIdentity, ModelLimits
-from merrow.functions.identity import canonical_json
+from merrow.functions.identity import canonical_json, finite
 from merrow.operators.features import Features, fit
 from merrow.operators.popularity import popularity
 from merrow.operators.ranking import Model
@@ -22,7 +22,7 @@ def row_hash(items: DataFrame) -> Column:
     """SHA-256 of an item's canonical JSON; lists are taken by slug."""
     lists = {k: F.array_sort(k) for k in ("genres", "tags", "platforms")}
     names = ("slug", "title", "description", "developer", "publisher")
-    numbers = {k: F.col(k).cast("double") for k in ("average_rating", "popularity_score")} | {"rating_count": F.col("rating_count").cast("long")}
+    numbers = {k: finite(F.col(k).cast("double")) for k in ("average_rating", "popularity_score")} | {"rating_count": F.col("rating_count").cast("long")}
     return F.sha2(canonical_json(**{n: F.col(n) for n in names}, **numbers, **lists), 256)
 
 
@@ -58,7 +58,8 @@ def summary(model: Model) -> DataFrame:
 
 
 def store(model: Model, path: str, built_at: str, identity: ModelIdentity | None = None) -> None:
-    """Write a model to a path where nothing is. Without its manifest a model doesn't count."""
+    """Write a model to a path where nothing is. Its members are checked as written before the
+    manifest is; without its manifest a model doesn't count."""
     identity = identity or ModelIdentity()
     for name, rows in (("items", model.items), ("idf", model.features.idf), ("weights", model.features.weights), ("popularity", model.popularity)):
         rows.write.mode("errorifexists").parquet(f"{path}/{name}")
@@ -67,16 +68,22 @@ def store(model: Model, path: str, built_at: str, identity: ModelIdentity | None
     manifest = summary(held).crossJoin(fingerprint(held.items))
     config = json.dumps(asdict(identity), sort_keys=True, default=str)
     extra = {"name": F.lit(identity.name), "version": F.lit(identity.version), "config": F.lit(config), "built_at": F.lit(built_at)}
-    manifest.withColumns(extra).coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
+    manifest = spark.createDataFrame([manifest.withColumns(extra).first()], manifest.withColumns(extra).schema)
+    _refuse(_checks(held, manifest, identity, ModelLimits()))
+    manifest.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
+
+
+def _refuse(checks: DataFrame) -> None:
+    bad = [r.rule for r in checks.where(~F.col("passed")).collect()]
+    if bad:
+        raise ValueError("the stored model fails: " + ", ".join(bad))
 
 
 def load(spark: SparkSession, path: str, checked: bool = True, identity: ModelIdentity | None = None, limits: ModelLimits | None = None) -> Model:
     """A stored model; refused unless its checks pass."""
     model = Model(*_members(spark, path))
     if checked:
-        bad = [r.rule for r in integrity(spark, path, identity, limits).where(~F.col("passed")).collect()]
-        if bad:
-            raise ValueError("the stored model fails: " + ", ".join(bad))
+        _refuse(integrity(spark, path, identity, limits))
     return model
 
 
@@ -92,8 +99,10 @@ def inspect(spark: SparkSession, path: str) -> DataFrame:
 
 def integrity(spark: SparkSession, path: str, identity: ModelIdentity | None = None, limits: ModelLimits | None = None) -> DataFrame:
     """(rule, passed) of a stored model, from aggregates over its tables."""
-    identity, limits = identity or ModelIdentity(), limits or ModelLimits()
-    model, manifest = Model(*_members(spark, path)), inspect(spark, path)
+    return _checks(Model(*_members(spark, path)), inspect(spark, path), identity or ModelIdentity(), limits or ModelLimits())
+
+
+def _checks(model: Model, manifest: DataFrame, identity: ModelIdentity, limits: ModelLimits) -> DataFrame:
     counts = summary(model).select(*[F.col(c).alias(f"now_{c}") for c in ("items", "terms", "weights")])
     per_row = model.features.weights.groupBy("slug").agg(F.sum(F.col("weight") * F.col("weight")).alias("square"), F.count_if(~((F.col("weight") >= 0) & (F.col("weight") < float("inf")))).alias("wild"))
     wrong = F.abs(F.sqrt("square") - 1) > 1e-9 + 1e-12

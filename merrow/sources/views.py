@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW, CUTOFF = "2024-01-20 00:00:00", "2024-01-05 00:00:00"
@@ -59,7 +59,7 @@ class Views:
         return self.table("part").select(F.col("p_partkey").alias("id"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("slug")).withColumn("name", F.col("slug"))
 
     def part_platforms(self) -> DataFrame:
-        first = self.table("lineitem").where("l_linenumber = 1").select("l_partkey", "l_suppkey").distinct()
+        first = self.table("lineitem").select("l_partkey", "l_suppkey").distinct()
         pairs = first.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("slug")).distinct()
         return pairs.withColumn("name", F.col("slug"))
 
@@ -80,6 +80,11 @@ class Views:
         rest = users.select("user_id", F.explode(fixed).alias("p")).where("p.v is not null").select("user_id", F.col("p.t").alias("preference_type"), F.col("p.v").alias("value"))
         return games.unionByName(rest).withColumn("weight", F.lit(1).cast("decimal(4,3)"))
 
+    @staticmethod
+    def top_k() -> Column:
+        """How many items a user asks for."""
+        return 5 + F.col("user_id") % 6
+
     def users(self) -> DataFrame:
         first = self.table("events").groupBy("user_id").agg(F.min("ts").alias("created_at"))
         legacy = F.col("user_id") % 11 == 0

@@ -189,8 +189,8 @@ def test_retention_and_sessions(spark):
     assert status == {1: "required", 2: "required", 3: "required", 4: "consent_outdated", 5: "active"}
     gone = {r.id for r in lifecycle.revoke_cohort(users, cut(0), cut(6)).where("processed").collect()}
     assert gone == {5}
-    fresh = {r.id: r.expires_at for r in lifecycle.renew(users, spark.createDataFrame([(4,), (2,)], "id long"), cut(10), "v1", 3600).collect()}
-    assert fresh[4] == at(11) and fresh[2] == at(50)
+    fresh = {r.id: r.expires_at for r in lifecycle.renew(users, spark.createDataFrame([(i,) for i in range(1, 6)], "id long"), cut(10), "v1", 3600).collect()}
+    assert fresh == {1: at(5), 2: at(50), 3: None, 4: at(11), 5: at(50)}
     assert {r.id for r in lifecycle.delete_users(users, spark.createDataFrame([(1,)], "user_id long"), {})["users"].collect()} == {2, 3, 4, 5}
     row = lifecycle.summary(users, lifecycle.expired(cut(5)), "preview", cut(5)).first()
     assert (row["mode"], row.eligible, row.processed, row.remaining) == ("preview", 1, 0, 1)
@@ -226,14 +226,29 @@ def test_seed(spark, tmp_path):
 
 
 def test_event_payloads(spark, tmp_path):
-    item = '{"affinity_units":0,"base_units":1,"final_units":%d,"rank":1,"slug":"s"}'
-    rows = [("ok", "{}", "[" + item % 5 + "]"), ("many", "{}", "[" + ",".join([item % 5] * 21) + "]"), ("far", "{}", "[" + item % 2_000_000 + "]"), ("long", '{"x":"' + "y" * 9000 + '"}', "[]")]
-    frame = spark.createDataFrame([(*r, at(0)) for r in rows], "generation_id string, request_context string, result_summary string, generated_at timestamp_ntz")
-    assert {(r.generation_id, r.reason) for r in events.payload_problems(frame).collect()} == {("many", "items_too_many"), ("far", "units_out_of_range"), ("long", "context_too_long")}
+    good_item = {"affinity_units": 0, "base_units": 1, "final_units": 5, "played_delta_units": 0, "rank": 1, "slug": "s-1"}
+    good = {"top_k": 5, "selected_game_slugs": ["a"], "preferred_genres": [], "preferred_tags": [], "preferred_platforms": [], "positive_source_slugs": [], "disliked_count": 0, "played_count": 3, "positive_source_count": 0, "effective_state_fingerprint": "0f" * 32}
+    cases = {
+        "ok": (good, [good_item]),
+        "items_too_many": (good, [good_item] * 21),
+        "units_out_of_range": (good, [good_item | {"final_units": 2_000_000}]),
+        "rank_out_of_range": (good, [good_item | {"rank": 0}]),
+        "played_delta_out_of_range": (good, [good_item | {"played_delta_units": 1}]),
+        "slug_format": (good, [good_item | {"slug": "Not a slug"}]),
+        "context_too_long": (good | {"note": "y" * 9000}, []),
+        "top_k_out_of_range": (good | {"top_k": 21}, []),
+        "fingerprint_format": (good | {"effective_state_fingerprint": "x"}, []),
+        "selected_game_slugs_too_long": (good | {"selected_game_slugs": ["a"] * 26}, []),
+        "preferred_platforms_too_long": (good | {"preferred_platforms": ["a"] * 11}, []),
+        "played_count_out_of_range": (good | {"played_count": -1}, []),
+    }
+    rows = [(name, json.dumps(context), json.dumps(result), at(0)) for name, (context, result) in cases.items()]
+    frame = spark.createDataFrame(rows, "generation_id string, request_context string, result_summary string, generated_at timestamp_ntz")
+    assert {(r.generation_id, r.reason) for r in events.payload_problems(frame).collect()} == {(name, name) for name in cases if name != "ok"}
     path = str(tmp_path / "events")
     for _ in range(2):
         events.append_events(frame, path)
-    assert spark.read.parquet(path).count() == 8
+    assert spark.read.parquet(path).count() == 2 * len(rows)
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -49,7 +49,7 @@ def test_contexts_beyond_the_bounds_are_reported(spark):
 
     saved = [(1, kind, f"{kind}{i}") for kind, n in (("game", 6), ("genre", 6), ("tag", 11), ("platform", 7)) for i in range(n)]
     saved += [(2, kind, f"{kind}{i}") for kind, n in (("game", 5), ("genre", 5), ("tag", 10), ("platform", 6)) for i in range(n)]
-    contexts = preferences.contexts_of(spark.createDataFrame(saved, "user_id long, preference_type string, value string"))
+    contexts = preferences.contexts_of(spark.createDataFrame(saved, "user_id long, preference_type string, value string"), F.lit(5))
     items = spark.createDataFrame([(f"game{i}",) for i in range(6)], "slug string")
     got = sorted((r.context_id, r.reason) for r in ranking.context_problems(contexts, items).collect())
     assert got == [(1, f"{name}_too_many") for name in ("genres", "platforms", "selected", "tags")]
