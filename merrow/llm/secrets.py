@@ -1,18 +1,21 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for everything else.
 
-Runs of key-like characters are tested for randomness in the encoding that their characters
-suggest. Each of three tests asks how likely a value as random as the one seen would be in
-ordinary writing: the uniformity of the alphabet (chi-squared), the runs of character kinds, and
-the serial correlation of neighbouring kinds. A run is as random as the least of the three says.
-False discoveries are controlled over the whole table and separately by length, since long runs
-show more: all runs of a length class are one family of tests.
+Runs of key-like characters are decoded to the symbols of the encoding that they suggest, and three
+tests look at the symbols: chi-squared against a uniform alphabet, the runs (how seldom neighbours
+are on different sides of it) and the serial correlation of neighbours. An alphabet's order is that
+of its symbols' frequency in the table. How such values lie in ordinary writing is measured in the
+same table: all of its words, with nothing between them, are cut into pieces of each length, and the
+means and covariances of the three tests say how likely ordinary writing is to look as random as a
+run. False discoveries are controlled over the whole table and separately by length, since long
+runs show more: all runs of a length class are one family of tests.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from statistics import NormalDist
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,28 +27,37 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-KEY_LIKE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-PLAIN = re.compile(r"[A-Za-z]?(?:[a-z]+|[A-Z]+)\Z|[0-9]+\Z")
+KEY_LIKE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 #: Shortest length of each class.
 LENGTHS = (20, 28, 40, 64)
 #: Part of false finds among the random runs reported.
 FALSE_RATE = 0.05
-#: In writing: chance that the kind of character changes from one to the next, and the
-#: correlation of neighbours that follows when kinds seldom change.
-CHANGES, CORRELATION = 0.12, 0.6
-#: In writing, of ten equal parts of an alphabet in the order of frequency, the parts used.
-USE = (0.38, 0.22, 0.14, 0.1, 0.06, 0.04, 0.03, 0.015, 0.01, 0.005)
-STEPS_PER_TEN = 10
-
+#: Equal parts of an alphabet that the chi-squared test counts.
+PARTS = 4
+#: Pieces of ordinary writing that a length and encoding needs for its runs to be judged.
+LEAST_PIECES = 30
+#: Levels of randomness: tenths of a standard deviation below ordinary writing.
+MOST_LEVEL, STEPS = 400, 10
+
+# The symbols of the encodings, in their order.
+ALPHABETS = {
+    "digits": b"0123456789",
+    "letters": b"abcdefghijklmnopqrstuvwxyz",
+    "base36": b"abcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+ENCODINGS = tuple(ALPHABETS)
+#: Characters left in ordinary writing for each encoding; those that fold case are lower-cased first.
+_DROPPED = {name: bytes(b for b in range(256) if b not in own or b in b"+/") for name, own in ALPHABETS.items()}
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_URL = bytes.maketrans(b"-_", b"+/")
+
+SPAN_ARRAY = "array<struct<start:int,end:int,kind:int>>"
 SPAN = T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False), T.StructField("kind", T.IntegerType(), False)])
-TESTED = T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False), T.StructField("length_class", T.IntegerType(), False), T.StructField("level", T.IntegerType(), False)])
-OUTPUTS = T.StructType(
-    [
-        T.StructField("base", T.ArrayType(SPAN, False), False),
-        T.StructField("tested", T.ArrayType(TESTED, False), False),
-        T.StructField("plain_runs", T.ArrayType(T.LongType(), False), False),
-    ]
-)
+TESTED = T.StructType([*[T.StructField(x, T.IntegerType(), False) for x in ("start", "end", "length_class", "encoding")], T.StructField("values", T.ArrayType(T.DoubleType(), False), False)])
+#: Of each encoding and length: the number of pieces, the sums of the tests and of their products.
+N_MOMENTS = 1 + 3 + 9
+OUTPUTS = T.StructType([T.StructField("base", T.ArrayType(SPAN, False), False), T.StructField("tested", T.ArrayType(TESTED, False), False), T.StructField("ordinary", T.ArrayType(T.DoubleType(), False), False)])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -60,86 +72,112 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
-def encoding(run: str) -> tuple[str, int]:
-    """The alphabet that a run's characters suggest, and the size of it."""
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
-        return "hex", 16
-    if re.fullmatch(r"[A-Z2-7]+=*", run):
-        return "base32", 32
-    if re.fullmatch(r"[a-z0-9]+|[A-Z0-9]+", run):
-        return "base36", 36
-    return "base64", 64
-
-
-def kind_of(c: str) -> int:
-    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
-
-
-def below(z: float) -> float:
-    """Chance that a standard normal value is at most z."""
-    return 0.5 * math.erfc(-z / math.sqrt(2))
-
-
-def randomness(run: str) -> float:
-    """The largest of the three chances that ordinary writing looks as random as this run."""
-    _, size = encoding(run)
-    body = run.rstrip("=") or run
-    n = len(body)
-    counts: dict[str, int] = {}
-    for c in body:
-        counts[c] = counts.get(c, 0) + 1
-    used = sum(v * v for v in counts.values())
-    square = size * used / n - n  # Pearson's statistic against equal frequencies
-    weight = sum(u * u for u in USE) * 10 / size  # sum of squared frequencies in writing
-    mean = (n - 1) * (size * weight - 1) + size - 1
-    cubes = sum(u**3 for u in USE) * 100 / size**2
-    spread = size * math.sqrt(max(1e-9, 2 * (n - 1) / n * (weight - weight**2 + 2 * (n - 2) * (cubes - weight**2))))
-    uniform = below((square - mean) / spread)
-
-    kinds = [kind_of(c) for c in body]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    expected = (n - 1) * CHANGES
-    runs = 1 - below((changes - 0.5 - expected) / math.sqrt(expected * (1 - CHANGES)))
-
-    if len(set(kinds)) == 1:
-        return 1.0
-    average = sum(kinds) / n
-    around = sum((k - average) ** 2 for k in kinds)
-    serial = sum((a - average) * (b - average) for a, b in zip(kinds, kinds[1:], strict=False)) / around
-    return max(uniform, runs, below((serial - CORRELATION) * math.sqrt(n)))
+def encoding(run: bytes) -> str:
+    """The encoding that a run's characters suggest: the smallest alphabet that has them all."""
+    if run.isdigit():
+        return "digits"
+    if run.isalpha() and (run.islower() or run.isupper()):
+        return "letters"
+    if run.isalnum() and (run.islower() or run.isupper()):
+        return "base36"
+    return "base64"
+
+
+def folded(text: bytes, name: str) -> bytes:
+    return text if name == "base64" else text.translate(_LOWER)
+
+
+def ranks(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """For each encoding, of every byte its place in the order of frequency (counts of bytes)."""
+    out = {}
+    for name, own in ALPHABETS.items():
+        seen = counts.copy()
+        if name != "base64":
+            seen[97:123] += seen[65:91]
+        symbols = np.frombuffer(own, np.uint8)
+        place = np.zeros(256, np.int64)
+        place[symbols[np.argsort(-seen[symbols], kind="stable")]] = np.arange(len(symbols))
+        out[name] = place
+    return out
 
 
-def level(chance: float) -> int:
-    """Tenths of powers of ten below 1, whole ones only, so that a level's chance is never understated."""
-    return min(300, int(-STEPS_PER_TEN * math.log10(max(chance, 1e-30))))
+def battery(symbols: np.ndarray, size: int) -> np.ndarray:
+    """The three tests of each row of symbols (places in the order of frequency in an alphabet of
+    ``size``), each lower the more random: chi-squared over the alphabet's parts, the share of
+    neighbours on one side of its middle, and the absolute serial correlation."""
+    n = symbols.shape[1]
+    part = symbols * PARTS // size
+    expected = n * np.bincount(np.arange(size) * PARTS // size, minlength=PARTS) / size
+    square = sum(((part == k).sum(1) - expected[k]) ** 2 / expected[k] for k in range(PARTS))
+    side = symbols * 2 >= size
+    same = (side[:, 1:] == side[:, :-1]).mean(1)
+    around = symbols - symbols.mean(1, keepdims=True)
+    serial = (around[:, 1:] * around[:, :-1]).sum(1) / np.maximum((around**2).sum(1), 1e-9)
+    return np.stack([square, same, np.abs(serial) * np.sqrt(n)], 1)
+
+
+def moments(texts: list[bytes], places: dict[str, np.ndarray]) -> np.ndarray:
+    """The moments of ordinary writing in texts, for each encoding and length."""
+    out = np.zeros((len(ENCODINGS), len(LENGTHS), N_MOMENTS))
+    whole = b" ".join(KEY_LIKE.sub(b" ", t) for t in texts)
+    for e, name in enumerate(ENCODINGS):
+        left = np.frombuffer(folded(whole, name).translate(None, _DROPPED[name]), np.uint8)
+        for k, length in enumerate(LENGTHS):
+            pieces = places[name][left[: len(left) // length * length]].reshape(-1, length)
+            for start in range(0, len(pieces), 20_000):
+                values = battery(pieces[start : start + 20_000], len(ALPHABETS[name]))
+                out[e, k] += np.concatenate([[len(values)], values.sum(0), (values.T @ values).ravel()])
+    return out
 
 
 def length_class(n: int) -> int:
     return sum(n >= x for x in LENGTHS) - 1
 
 
-def scan_texts(texts: list[bytes | None]) -> list[pa.Array]:
-    base, tested, plain = [], [], []
+def scan_texts(texts: list[bytes | None], places: dict[str, np.ndarray]) -> list[pa.Array]:
+    base, tested = [], []
     for raw in texts:
         text = raw.decode("utf-8", "replace") if raw else ""
-        spans, runs, counts = base_spans(text), [], [0] * len(LENGTHS)
-        at = 0
-        for m in KEY_LIKE.finditer(text):
-            run, (start, end) = m[0], m.span()
-            which = length_class(end - start)
-            if PLAIN.match(run):
-                counts[which] += 1
-                continue
+        spans, runs, at, done, end = base_spans(text), [], 0, 0, 0
+        for m in KEY_LIKE.finditer(raw or b""):
+            start = end + len(raw[done : m.start()].decode("utf-8", "replace"))  # in code points
+            done, end = m.end(), start + len(m[0])
             while at < len(spans) and spans[at][1] <= start:
                 at += 1
-            if not any(s < end and e > start for s, e, _ in spans[at : at + 4]):
-                runs.append({"start": start, "end": end, "length_class": which, "level": level(randomness(run))})
+            if any(s < end and e > start for s, e, _ in spans[at : at + 4]):
+                continue
+            body = m[0].rstrip(b"=").translate(_URL)
+            name = encoding(body)
+            known = places[name][np.frombuffer(folded(body, name), np.uint8)]
+            values = battery(known[None], len(ALPHABETS[name]))[0] if len(body) > 2 else np.zeros(3)
+            runs.append({"start": start, "end": end, "length_class": length_class(end - start), "encoding": ENCODINGS.index(name), "values": values.tolist()})
         base.append([dict(zip(("start", "end", "kind"), s, strict=True)) for s in spans])
         tested.append(runs)
-        plain.append(counts)
+    # the moments of all texts stand in the first row
+    ordinary = [moments([t for t in texts if t], places).ravel().tolist(), *[[] for _ in texts[1:]]] if texts else []
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return [pa.array(x, f.type) for x, f in zip((base, tested, plain), to_arrow_schema(OUTPUTS), strict=True)]
+    return [pa.array(x, f.type) for x, f in zip((base, tested, ordinary), to_arrow_schema(OUTPUTS), strict=True)]
+
+
+def byte_counts(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How often each byte stands in the texts of ``docs``."""
+    counted = T.StructType([T.StructField("counts", T.ArrayType(T.LongType(), False), False)])
+
+    def make():
+        def work(texts):
+            total = np.bincount(np.frombuffer(b"".join(t or b"" for t in texts), np.uint8), minlength=256)
+            return [pa.array([total.tolist(), *[[] for _ in texts[1:]]] if texts else [], pa.list_(pa.int64()))]
+
+        return work
+
+    each = arrow_map(docs, text_col, counted, make, []).where(F.size("counts") > 0)
+    return np.array(each.agg(*[F.coalesce(F.sum(F.get("counts", F.lit(k))), F.lit(0)) for k in range(256)]).first(), np.int64)
+
+
+def chance(level: int) -> float:
+    """How often ordinary writing is so random or more."""
+    return NormalDist().cdf(-level / STEPS)
 
 
 def levels_to_reach(counts: dict[tuple[int, int], int], rate: float = FALSE_RATE) -> list[int | None]:
@@ -151,35 +189,69 @@ def levels_to_reach(counts: dict[tuple[int, int], int], rate: float = FALSE_RATE
         total, found, reach = sum(n for _, n in own), 0, None
         for lv, n in reversed(own):
             found += n
-            if lv and total * 10 ** (-lv / STEPS_PER_TEN) <= rate * found:
+            if lv and total * chance(lv) <= rate * found:
                 reach = lv
         out.append(reach)
     return out
 
 
+def _levels(ordinary: np.ndarray) -> Column:
+    """The level of a tested run ``t``: its three tests, each in standard deviations from ordinary
+    writing, added up, in standard deviations of that sum; 0 where ordinary writing is too little."""
+    known = []
+    for e in range(len(ENCODINGS)):
+        for k in range(len(LENGTHS)):
+            n, total, products = ordinary[e, k, 0], ordinary[e, k, 1:4], ordinary[e, k, 4:].reshape(3, 3)
+            if n < LEAST_PIECES:
+                known.append((0.0,) * 4)
+                continue
+            mean = total / n
+            spread = products / n - np.outer(mean, mean)
+            scale = np.where(np.diag(spread) > 1e-12, 1 / np.sqrt(np.maximum(np.diag(spread), 1e-12)), 0.0)
+            of_sum = float(np.sqrt(max(scale @ spread @ scale, 0.0))) or 1.0
+            weight = scale / of_sum
+            known.append((*weight.tolist(), float(-weight @ mean)))
+    table = F.array(*[F.array(*map(F.lit, row)) for row in known])
+    own = F.get(table, F.col("t.encoding") * len(LENGTHS) + F.col("t.length_class"))
+    total = F.get(own, F.lit(3))
+    for k in range(3):
+        total = total + F.get(own, F.lit(k)) * F.get("t.values", F.lit(k))
+    return F.least(F.greatest(F.floor(-STEPS * total), F.lit(0)), F.lit(MOST_LEVEL)).cast("int")
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = FALSE_RATE) -> DataFrame:
     """One row for each row of ``docs``: the id and spans (array of start, end, kind; code points,
     end exclusive; kinds number KINDS), by start and then kind.
 
-    Fixed patterns always stay. A random run is added where it doesn't overlap one and its test
-    passes the control over all runs of its length class in the table; single words and numbers
-    (no change of kind) count as tests that didn't pass. The levels needed come from counts by
-    class and level, at most 1,204 numbers, whatever the table's size.
-
-    A null or empty text has no spans. Equal rows get equal results. An empty table gives no
-    rows; other columns don't matter."""
-    source = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    scanned = written(arrow_map(source, "__text", OUTPUTS, lambda: scan_texts, ["__id"]), "secrets")
-    made = scanned.select(F.explode("tested").alias("t")).groupBy("t.length_class", "t.level").count().collect()
-    counts = {(r["length_class"], r["level"]): r["count"] for r in made}
-    plain = scanned.agg(*[F.sum(F.get("plain_runs", F.lit(k))).alias(str(k)) for k in range(len(LENGTHS))]).first()
-    for k in range(len(LENGTHS)):
-        counts[k, 0] = counts.get((k, 0), 0) + (plain[k] or 0)
-    reach = levels_to_reach(counts, rate)
-    needed = F.array(*[F.lit(301 if r is None else r) for r in reach])
-    random = F.transform(F.filter("tested", lambda t: t["level"] >= F.get(needed, t["length_class"])), lambda t: F.struct(t["start"], t["end"], F.lit(KINDS.index("random")).alias("kind")))
-    by_place = F.sort_array(F.transform(F.concat("base", random), lambda s: F.struct(s["start"], s["kind"], s["end"])))
-    return scanned.select(F.col("__id").alias(id_col), F.transform(by_place, lambda s: F.struct(s["start"], s["end"], s["kind"])).alias("spans"))
+    Fixed patterns always stay. A random run is added where it doesn't overlap one and its tests
+    pass the control over all runs of its length class in the table. What comes to the driver are
+    256 counts of bytes, the moments of ordinary writing and counts by class and level, some
+    thousand numbers whatever the table's size. In a table with too little ordinary writing no run
+    is called random.
+
+    A null or empty text has no spans. A text of any length is read whole, by tasks that hold about
+    4 MB of texts, or one, at a time. Equal rows get equal results, each its own row; ties of start
+    are by kind. An empty table gives no rows; other columns don't matter."""
+    source = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    places = docs.sparkSession.sparkContext.broadcast(ranks(byte_counts(source.select("__text"), "__text")))
+
+    def make():
+        return lambda texts: scan_texts(texts, places.value)
+
+    scanned = written(arrow_map(source, "__text", OUTPUTS, make, ["__row", "__id"]), "secrets")
+    cells = len(ENCODINGS) * len(LENGTHS) * N_MOMENTS
+    sums = scanned.where(F.size("ordinary") > 0).agg(*[F.coalesce(F.sum(F.get("ordinary", F.lit(k))), F.lit(0.0)) for k in range(cells)])
+    ordinary = np.array(sums.first()).reshape(len(ENCODINGS), len(LENGTHS), N_MOMENTS)
+    tested = scanned.select("__row", F.explode("tested").alias("t")).select("__row", "t.start", "t.end", "t.length_class", _levels(ordinary).alias("level"))
+    tested = written(tested, "tested-runs")
+    counts = {(r["length_class"], r["level"]): r["count"] for r in tested.groupBy("length_class", "level").count().collect()}
+    needed = F.array(*[F.lit(MOST_LEVEL + 1 if r is None else r) for r in levels_to_reach(counts, rate)])
+    random = tested.where(F.col("level") >= F.get(needed, F.col("length_class")))
+    random = random.groupBy("__row").agg(F.collect_list(F.struct("start", "end", F.lit(KINDS.index("random")).alias("kind"))).alias("random"))
+    both = scanned.select("__row", "__id", "base").join(random, "__row", "left")
+    all_of = F.concat("base", F.coalesce("random", F.array().cast(SPAN_ARRAY)))
+    by_place = F.sort_array(F.transform(all_of, lambda s: F.struct(s["start"], s["kind"], s["end"])))
+    return both.select(F.col("__id").alias(id_col), F.transform(by_place, lambda s: F.struct(s["start"], s["end"], s["kind"])).alias("spans"))
 
 
 def written_out(spans: Column) -> Column:

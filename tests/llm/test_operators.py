@@ -189,11 +189,51 @@ def test_secrets(spark, docs, odd):
         assert [(s.start, s.end, s.kind) for s in got[key].spans if s.kind < 3] == brute_base(text), key
     found = [k for k in range(40) if any(s.kind == 3 and texts[10_000 + k][s.start : s.end] == keys[k] for s in got[10_000 + k].spans)]
     assert len(found) >= 36
+    # of what stands in the documents themselves, nearly nothing is called random that isn't a key
+    loose = [texts[k][s.start : s.end] for k in texts if k < 10_000 for s in got[k].spans if s.kind == 3]
+    assert not [x for x in loose if x.isalpha() and x.islower()]
     masked = by_id(redact(rows, find_secrets(rows)))
     assert keys[found[0]] not in masked[10_000 + found[0]].text and "[secret]" in masked[20_000].text
     assert len(find_secrets(odd).collect()) == len(ODD) and find_secrets(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("symbols", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_planted_keys(spark, docs, symbols):
+    """Random keys of an encoding are found, and long words and names among them are left alone."""
+    import random
+
+    from merrow.llm.secrets import find_secrets
+
+    rng = random.Random(11)
+    plain = ["the", "nation", "other", "and", "these", "inner", "stone", "other", "rather", "tones", "are", "hard", "earnest"]
+    keys = {10_000 + k: "".join(rng.choice(symbols) for _ in range(rng.randrange(40, 64))) for k in range(60)}
+    names = {20_000 + k: "".join(rng.choice(plain) for _ in range(12))[: rng.randrange(40, 64)] for k in range(60)}
+    rows = [(k, f"some words then \u00e9 {x} and more") for k, x in (keys | names).items()]
+    got = by_id(find_secrets(docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))))
+    texts = dict(rows)
+    named = {k for k in texts if any(s.kind == 3 and texts[k][s.start : s.end] == (keys | names)[k] for s in got[k].spans)}
+    assert len(named & keys.keys()) >= 54 and len(named & names.keys()) <= 3
+
+
+def test_step_up_rule():
+    """Levels against the rule on single p-values."""
+    import random
+
+    from merrow.llm.secrets import LENGTHS, chance, levels_to_reach
+
+    rng = random.Random(2)
+    for _ in range(200):
+        runs = [(rng.randrange(len(LENGTHS)), max(0, min(400, int(rng.gauss(rng.choice([0, 30]), 8))))) for _ in range(rng.randrange(60))]
+        counts = {}
+        for r in runs:
+            counts[r] = counts.get(r, 0) + 1
+        for which, reach in enumerate(levels_to_reach(counts, 0.05)):
+            p = sorted(chance(lv) for c, lv in runs if c == which)
+            k = max((i + 1 for i, x in enumerate(p) if x <= 0.05 * (i + 1) / len(p)), default=0)
+            kept = [lv for c, lv in runs if c == which and reach is not None and lv >= reach]
+            assert len(kept) == k
+
+
 # --- token counts ---------------------------------------------------------------------------------
 
 
