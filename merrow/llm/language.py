@@ -22,6 +22,8 @@ UNKNOWN = "und"
 BUCKETS = 1 << 14
 ROWS_PER_LANGUAGE = 300
 EPOCHS, COST = 15, 10.0
+#: Languages that a model can learn; more distinct labels are taken for a broken column.
+MOST_LANGUAGES = 200
 
 # Language codes by family. A code that isn't listed is a family of its own.
 FAMILIES = {
@@ -111,8 +113,12 @@ class Model:
     languages: dict[str, Choice]
     weights: np.ndarray
 
+    @property
+    def knows(self) -> bool:
+        return bool(self.families.labels)
+
     def predict(self, text: bytes | None) -> tuple[str, float]:
-        if not text or not self.families.labels or not has_letter(text.decode("utf-8", "replace")):
+        if not text or not self.knows or not has_letter(text.decode("utf-8", "replace")):
             return UNKNOWN, 0.0
         margins = features(counts_of(text)) @ self.weights
         by_family = self.families.chances(margins)
@@ -157,23 +163,27 @@ def held_out(id_col: Column) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """A model of the languages in ``lang_col``, from documents that aren't held out.
 
-    At most ``rows_per_language`` documents of each language are used, those with the smallest
-    hashes of their ids; their whole texts are counted on the executors, and what comes to the
-    driver is one row of at most BUCKETS counts for each. Rows without text or language don't
-    take part; without any rows the model knows no language."""
+    At most ``rows_per_language`` rows of each language are used, those with the smallest hashes of
+    their id and text; their whole texts, of any length, are counted on the executors, and what
+    comes to the driver is one row of at most BUCKETS counts for each. Rows without text, letter,
+    language or id (a null id counts as held out) don't take part. Rows of equal id differ by text,
+    and of equal rows as many are used as the bound allows. Without any rows the model knows no
+    language; more than MOST_LANGUAGES labels are an error. Other columns don't matter."""
     known = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.col(f"`{lang_col}`").alias("__lang"))
     known = known.where(F.col("__lang").isNotNull() & F.col("__text").rlike(r"\p{L}") & ~held_out(F.col("__id")))
-    many = {r["__lang"]: r["count"] for r in known.groupBy("__lang").count().collect()}
+    many = {r["__lang"]: r["count"] for r in known.groupBy("__lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(many) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
     if not many:
         return fit([])
     part = F.lit(0.0)
     for language, count in many.items():
         part = F.when(F.col("__lang") == language, min(1.0, 1.5 * rows_per_language / count + 20 / count)).otherwise(part)
-    draw = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("__id", "__text"), F.lit(1 << 30))
     drawn = known.withColumn("__draw", draw).where(F.col("__draw") < part * (1 << 30))
-    rank = F.row_number().over(Window.partitionBy("__lang").orderBy("__draw", "__id"))
-    best = drawn.select("__lang", "__id", "__draw").withColumn("__rank", rank).where(F.col("__rank") <= rows_per_language)
-    sample = drawn.join(F.broadcast(best.select("__lang", "__id").distinct()), ["__lang", "__id"])
+    # each task keeps so many rows of a language at most before any text is sent
+    rank = F.row_number().over(Window.partitionBy("__lang").orderBy("__draw", "__id", "__text"))
+    sample = drawn.withColumn("__rank", rank).where(F.col("__rank") <= rows_per_language)
     cells = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType(), False), False), T.StructField("n", T.ArrayType(T.IntegerType(), False), False)])
 
     def make():
@@ -196,9 +206,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1), from the whole text and nothing else.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text for a model
-    that knows no language. Equal texts get equal predictions. Other columns pass through (those
-    in ``keep``); ones named like the results are replaced. An empty table stays empty."""
+    A text that is null, empty or has no letter is ``und`` with score 0, as is every text for a
+    model that knows no language. Of labels with equal chances the first by name is taken. A text
+    of any length is read whole, in parts of a task's batch of about 4 MB or itself. Equal rows get
+    equal predictions, each its own row. Other columns pass through (those in ``keep``); ones named
+    like the results are replaced. An empty table stays empty."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
