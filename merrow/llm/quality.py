@@ -73,16 +73,25 @@ def line_facts(text: Column) -> Column:
 
 
 def _common(line: DataFrame, max_documents: int) -> DataFrame:
-    """(host, hash) of lines (host, hash, digest) in more than ``max_documents`` distinct texts of a host."""
-    return line.groupBy("host", "hash", "digest").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).drop("n")
+    """(host, hash) of lines (host, hash, document) in more than ``max_documents`` documents of a host.
 
+    Rows are dealt by all three columns first, so that a line of a third of all documents is
+    counted in many tasks."""
+    once = line.select("host", "hash", "document").distinct()
+    return once.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).drop("n")
 
-def without_common_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+
+def _document(id_col: str) -> Column:
+    """What counts as one document: rows of an id, or a row without one."""
+    return F.coalesce(F.concat(F.lit("id:"), F.col(f"`{id_col}`").cast("string")), F.concat(F.lit("row:"), F.monotonically_increasing_id().cast("string")))
+
+
+def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """``docs`` without the lines that ``judge`` counts in n_common_words; all other lines, those
     without a word too, stay as they are. A null text stays null, one that loses all lines is empty."""
     text, host = F.col(f"`{text_col}`"), F.col(f"`{host_col}`")
-    line = docs.select(host.alias("host"), F.xxhash64(text).alias("digest"), F.explode(line_facts(text)).alias("line")).select("host", "digest", F.col("line.hash").alias("hash"))
-    line = written(line.distinct(), "host-lines")
+    line = docs.select(host.alias("host"), F.xxhash64(text).alias("digest"), _document(id_col).alias("document"), F.explode(line_facts(text)).alias("line"))
+    line = written(line.select("host", "digest", "document", F.col("line.hash").alias("hash")).distinct(), "host-lines")
     common = _common(line, max_documents)
     on = line["host"].eqNullSafe(common["host"]) & (line["hash"] == common["hash"])
     lost = line.join(common, on, "left_semi").groupBy("host", "digest").agg(F.collect_set("hash").alias("__lost")).withColumnsRenamed({"host": "__h", "digest": "__d"})
@@ -94,18 +103,20 @@ def without_common_lines(docs: DataFrame, text_col: str = "text", host_col: str
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT) -> DataFrame:
     """One row for each row of ``docs``: the id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, n_common_words (words in lines that more than ``max_documents`` distinct texts
-    of the host have), base_failed and kept.
+    n_repeat_words, n_common_words (words in lines that more than ``max_documents`` documents of the
+    host have), base_failed and kept.
 
     base_failed: under 50 words, or more than half of them in repeated 3-word windows. kept: not
     base_failed, and at least ``min_left`` hundredths of the words are outside common lines.
-    Copies of a text count as one document, so having copies makes no line common. Rows without a
-    host are of one host. A null text has no words and fails. Equal rows get equal verdicts, each
-    its own row. An empty table gives no rows; other columns don't matter."""
+    Rows of equal id are one document, rows without an id one each. Rows without a host are of one
+    host. A line of exactly ``max_documents`` documents stays, and so does a text with exactly
+    ``min_left`` left. A null or empty text has no words and fails; a text of any length is read
+    whole. Equal rows get equal verdicts, each its own row. An empty table gives no rows; other
+    columns don't matter. ``without_common_lines`` returns the texts."""
     text = F.col(f"`{text_col}`")
-    slim = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{host_col}`").alias("host"), F.xxhash64(text).alias("digest"), line_facts(text).alias("lines"), *[c.alias(n) for n, c in measures(text).items()])
+    slim = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{host_col}`").alias("host"), _document(id_col).alias("document"), line_facts(text).alias("lines"), *[c.alias(n) for n, c in measures(text).items()])
     slim = written(slim.withColumn("row", F.monotonically_increasing_id()), "measures")
-    line = slim.select("row", "host", "digest", F.explode("lines").alias("line")).select("row", "host", "digest", "line.*")
+    line = slim.select("row", "host", "document", F.explode("lines").alias("line")).select("row", "host", "document", "line.*")
     common = _common(line, max_documents)
     on = line["host"].eqNullSafe(common["host"]) & (line["hash"] == common["hash"])
     lost = line.join(common, on, "left_semi").groupBy("row").agg(F.sum("words").alias("lost"))

@@ -196,7 +196,7 @@ with doc as (
 ), normal as (
   select doc_id, source, text, line, trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g')) as n from line where regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ), common as (
-  select source, n from normal group by source, n having count(distinct text) > 20
+  select source, n from normal group by source, n having count(distinct doc_id) > 20
 ), per_doc as (
   select m.doc_id, count(*) - count(distinct line) as n_dup_lines,
     coalesce(sum(len(string_split(m.n, ' '))) filter (c.n is not null), 0) as n_common_words
