@@ -62,8 +62,32 @@ def errors_of(arguments: Column, name: Column, tools: dict[str, dict] = TOOLS) -
 
 
 def canonical(json: Column) -> Column:
-    """JSON with sorted keys and no white space; null for what isn't JSON."""
-    return F.to_json(F.try_parse_json(json))
+    """JSON with sorted keys and no white space; null for what isn't JSON. A number has one form,
+    whatever its notation: digits without an exponent, without zeros that say nothing, exact up to
+    38 digits; only what is under a thousandth or beyond 38 digits and came with an exponent keeps one."""
+    return one_number_form(F.to_json(F.try_parse_json(json)))
+
+
+def one_number_form(written: Column) -> Column:
+    """Compact JSON text with the numbers that have a point and a zero, or an exponent, in plain form."""
+    # two characters that JSON never has unescaped stand for escaped ones, so that every quote
+    # begins or ends a string and the parts between strings can be told by their place
+    marked = F.replace(F.replace(written, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+
+    def plain(token: Column) -> Column:
+        number = token.try_cast("double")
+        large, small = token.try_cast("decimal(38,0)"), token.try_cast("decimal(38,9)")
+        digits = F.regexp_replace(F.when(F.abs(number) >= 1e15, large.cast("string")).otherwise(small.cast("string")), r"\.?0+$", "")
+        trimmed = F.when(F.abs(number) >= 1e15, large.cast("string")).when(number == 0, "0").otherwise(digits)
+        odd = token.rlike(r"^-?[0-9]+\.0$|[eE]")
+        return F.when(odd & ((F.abs(number) >= 1e-3) | (number == 0)), F.coalesce(trimmed, token)).otherwise(token)
+
+    def outside(part: Column) -> Column:
+        tokens = F.split(part, r"(?<=[,:\[\]{}])|(?=[,:\[\]{}])", -1)
+        return F.when(part.rlike(r"\.0(?![0-9])|[0-9][eE]"), F.array_join(F.transform(tokens, plain), "")).otherwise(part)
+
+    parts = F.transform(F.split(marked, '"', -1), lambda x, i: F.when(i % 2 == 0, outside(x)).otherwise(x))
+    return F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
 
 
 def levels(calls: DataFrame, key: str = "call_id", uses: str = "uses") -> DataFrame:
@@ -111,7 +135,7 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict] = TO
     errors = F.when(status != "no_call", errors_of(F.col("arguments"), F.col("name"), tools))
     out = both.withColumns({"status": status, "errors": errors, "result_turn": F.col("r.turn"), "content": F.col("r.content"), "n_results": F.coalesce("n_results", F.lit(0)).cast("long")})
     call = F.struct(F.coalesce(F.try_parse_json("arguments"), F.col("arguments").cast("variant")).alias("arguments"), F.col("call_id").alias("id"), F.col("name"), F.struct("content", F.col("result_turn").alias("turn")).alias("result"))
-    message = F.when(status != "no_call", F.to_json(call, {"ignoreNullFields": "false"}))
+    message = F.when(status != "no_call", one_number_form(F.to_json(call, {"ignoreNullFields": "false"})))
     return out.select("conv_id", "turn", "call_id", "name", "uses", "level", "status", "n_results", "result_turn", "content", (F.size("errors") == 0).alias("valid"), "errors", message.alias("message"))
 
 
