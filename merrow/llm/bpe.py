@@ -27,6 +27,8 @@ from merrow.llm.shared import arrow_map
 #: Characters of text that are cut into words at once, and words that a task remembers.
 PIECE_CHARS = 1 << 19
 CACHE_WORDS = 600_000
+#: Longer words are encoded anew each time, so that what is remembered has bounded bytes.
+CACHED_LENGTH = 64
 #: Up to here lower-casing and composition need no tables: no marks to compose, no final sigma.
 _PLAIN = re.compile(r"[^\x00-\x1b\x20-˿]")
 _SPACE = re.compile(r"\s")
@@ -147,6 +149,9 @@ class WordBpe:
         self.known.update(zip(words, (array("i", ids).tobytes() for ids in self.encode_words(words)), strict=True))
         self.chunks.update((c, b"".join(map(self.known.__getitem__, ws))) for c, ws in of.items())
         self.chunks.update((c, np.int32(self.special[c[1:]]).tobytes()) for c in new if c[:1] == " ")
+        for w in words:
+            if len(w) > CACHED_LENGTH:
+                del self.known[w]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit numbers."""
@@ -172,6 +177,9 @@ class WordBpe:
         for k, chunks in held:
             out[k].append(b"".join(map(get, chunks)))
         held.clear()
+        for c in new:
+            if len(c) > CACHED_LENGTH:
+                self.chunks.pop(c, None)
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from merrow.llm.shared import arrow_map
+from merrow.llm.shared import arrow_map, slices
 
 WINDOW = 13
 #: Bytes of item texts in one automaton; more items are scanned for in further passes.
@@ -153,7 +153,7 @@ def _further_pass(docs: DataFrame, text_col: str, held, window: int) -> DataFram
         from pyspark.sql.pandas.types import to_arrow_schema
 
         fit, scanner = to_arrow_schema(schema), Scanner(held.value, window)
-        for batch in batches:
+        for batch in slices(batches, at[text_col]):
             texts = batch.column(at[text_col]).cast(pa.binary()).to_pylist()
             own = list(map(words, texts))
             before = zip(batch.column(at["hit_words"]).to_pylist(), batch.column(at["items"]).to_pylist(), strict=True)

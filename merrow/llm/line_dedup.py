@@ -16,15 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from merrow.llm.shared import bind, written
+from merrow.llm.shared import bind, is_small, small, written
 
 #: Of the line pairs, one in so many starts a chunk.
 DIVISOR = 3
 LONG_LINE_WORDS = 50
 #: A passage of more words than this goes where it is repeated.
 PASSAGE_WORDS = 50
-#: Repeated hashes that are broadcast at most (about 64 MB as a table); more are joined by a shuffle of the chunks.
-MOST_BROADCAST = 1_000_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -108,7 +106,7 @@ def _passages(base: DataFrame, gone: DataFrame) -> DataFrame:
     key = ["__id", "__digest"]
     held = written(base.select(*key, F.explode(runs_of(F.col("__text"))).alias("r")).select(*key, "r.*"), "runs")
     repeated = written(held.groupBy("hash").agg(F.count("*").alias("n"), F.min("__id").alias("stays_in")).where("n > 1").drop("n"), "repeated-runs")
-    told = F.broadcast(repeated) if repeated.count() <= MOST_BROADCAST else repeated
+    told = small(repeated)
     first = F.min(F.struct("at", "lines")).over(Window.partitionBy(*key, "hash"))
     found = held.join(told, "hash").withColumn("home", F.col("__id").eqNullSafe(F.col("stays_in"))).repartition(*key).withColumn("first", first)
     found = found.withColumns({"stays": F.col("home") & (F.col("at") == F.col("first.at")), "goes": ~F.col("home") | (F.col("at") >= F.col("first.at") + F.col("first.lines"))})
@@ -128,14 +126,14 @@ def _passages(base: DataFrame, gone: DataFrame) -> DataFrame:
     opened = written(per.select(*key, F.explode(bind(marks(ranges), left)).alias("x")).select(*key, "x.*", F.lit(False).alias("stays")), "open-runs")
     keep = found.where("stays").join(opened.select("hash").distinct(), "hash", "left_semi").select(*opened.columns)
     both = written(opened.unionByName(keep), "compared-runs")
-    few = both.count() <= MOST_BROADCAST
+    few = is_small(both)
     asked = both.groupBy(*key).agg(F.collect_set(F.struct("at", "lines", "hash", "stays")).alias("w")).select(F.col("__id").alias("__i"), F.col("__digest").alias("__d"), "w")
     asked = F.broadcast(asked) if few else asked
     same = F.col("__digest").eqNullSafe(F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i"))
     body = bind(F.split("__text", "\n", -1), lambda lines: F.transform("w", lambda x: F.struct(x["hash"].alias("hash"), x["at"].alias("at"), x["lines"].alias("lines"), x["stays"].alias("stays"), F.array_join(F.slice(lines, x["at"] + 1, x["lines"]), "\n").alias("run"))))
     texts = written(base.join(asked, same).select(*key, F.explode(body).alias("x")).select(*key, "x.*"), "run-texts")
-    stay = texts.where("stays").groupBy("hash").agg(F.min("run").alias("kept_run"))
-    equal = texts.where("not stays").join(stay, "hash").where("run = kept_run")
+    stay = written(texts.where("stays").groupBy("hash").agg(F.min("run").alias("kept_run")), "kept-runs")
+    equal = texts.where("not stays").join(small(stay), "hash").where("run = kept_run")
     return equal.groupBy(*key).agg(F.collect_set(F.struct("at", "lines")).alias("__runs")).select(F.col("__id").alias("__i"), F.col("__digest").alias("__d"), "__runs")
 
 
@@ -159,15 +157,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = F.transform(chunks_of(F.col("__text"), divisor, long_words), lambda c, i: F.struct(i.alias("place"), F.when(c["repeatable"], F.xxhash64(c["text"])).alias("hash"), *where(c)))
     held = written(base.select("__id", "__digest", F.explode(F.filter(hashed, lambda c: c["hash"].isNotNull())).alias("c")).select("__id", "__digest", "c.*"), "chunks")
     repeated = written(held.groupBy("hash").agg(F.count("*").alias("n"), F.min("__id").alias("stays_in")).where("n > 1").drop("n"), "repeated")
-    told = F.broadcast(repeated) if repeated.count() <= MOST_BROADCAST else repeated
+    told = small(repeated)
     found = held.join(told, "hash").groupBy("__id", "__digest").agg(F.sort_array(F.collect_set(F.struct("hash", "place", "stays_in"))).alias("__found"))
     going = F.transform(F.filter(F.transform("__found", _decided), lambda f: ~f["stays"]), lambda f: f["place"])
 
     cut = F.transform(chunks_of(F.col("__text"), divisor, long_words), lambda c, i: F.struct(i.alias("place"), F.when(c["repeatable"], F.xxhash64(c["text"])).alias("hash"), c["text"].alias("text")))
     texts = base.select("__id", "__digest", F.explode(F.filter(cut, lambda c: c["hash"].isNotNull())).alias("c")).select("__id", "__digest", "c.*").join(told, "hash")
     texts = written(texts, "repeated-texts")
+    # written apart, so that a chunk of very many documents is joined in parts, or by broadcast
     stay = texts.where(F.col("__id").eqNullSafe(F.col("stays_in"))).groupBy("hash").agg(F.min(F.struct("place", "text"))["text"].alias("kept_text"))
-    unequal = written(texts.join(stay, "hash").where("text <> kept_text").select("__id", "__digest", "place").distinct(), "unequal")
+    stay = written(stay, "kept-texts")
+    unequal = written(texts.join(small(stay), "hash").where("text <> kept_text").select("__id", "__digest", "place").distinct(), "unequal")
     gone = found.select(F.col("__id").alias("__i"), F.col("__digest").alias("__d"), going.alias("__gone"))
     if not unequal.isEmpty():
         spared = unequal.groupBy("__id", "__digest").agg(F.collect_set("place").alias("spared"))

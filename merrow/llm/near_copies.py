@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merrow.llm.components import components
-from merrow.llm.shared import discard, slices, written
+from merrow.llm.shared import discard, slices, small, written
 from merrow.llm.shingles import parities, parities_differ, sequence_marks, shingle_sets, signatures
 
 #: Shingles of distinct sets that a task counts at once, and from which count in these it reports one.
@@ -35,8 +35,6 @@ COUNTED_AT_ONCE, REPORTED_FROM = 2_000_000, 3
 MOST_FREQUENT, FREQUENT_FROM = 1_000_000, 16
 #: Sets that a task remembers, to report none twice (16 bytes each).
 REMEMBERED = 400_000
-#: Bytes of ids that are broadcast at most; beyond, texts are shuffled to them.
-MOST_BROADCAST_BYTES = 16_000_000
 #: A list with more open groups than this is joined by two shingles.
 LONG_LIST = 1_000
 #: First shingles of a group that its rows carry, to take a pair where it meets first.
@@ -198,14 +196,6 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def small(table: DataFrame, most_bytes: int | None = None) -> DataFrame:
-    """A table of one column, marked for broadcast if its measured bytes allow."""
-    (column,) = table.schema
-    width = F.octet_length(column.name) + 16 if isinstance(column.dataType, (T.StringType, T.BinaryType)) else F.lit(24)
-    most = MOST_BROADCAST_BYTES if most_bytes is None else most_bytes
-    return F.broadcast(table) if (table.agg(F.sum(width)).first()[0] or 0) <= most else table
-
-
 def _verified(pairs: DataFrame, source: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold, from the texts in ``source``.
 

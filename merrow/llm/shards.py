@@ -82,7 +82,8 @@ def number_rows(df: DataFrame, key: str, then: list[str], out: str = "row_number
     """``df`` with numbers from 0 without gaps, by bucket of the key, the key and the columns of
     ``then``; and how many there are. Each bucket is sorted on its own; only the buckets' counts
     (at most ``buckets`` rows) go to all tasks, as each one's first number."""
-    dealt = df.withColumn("__bucket", bucket_of(F.col(key), buckets))
+    # rows without a key are dealt by the other columns, not all into one bucket
+    dealt = df.withColumn("__bucket", bucket_of(F.coalesce(F.col(key).cast("string"), F.concat_ws(":", *then)), buckets))
     counts = dealt.groupBy("__bucket").agg(F.count("*").alias("__rows"))
     held = sorted((r["__bucket"], r["__rows"]) for r in counts.collect())
     first, total = [], 0

@@ -21,6 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Bytes of a table that is broadcast at most, measured before it is.
+MOST_BROADCAST_BYTES = 16_000_000
+
+
+def is_small(table: DataFrame, most: int | None = None) -> bool:
+    """Whether a written table's rows take at most ``most`` bytes, as measured now."""
+    widths = [F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8) for f in table.schema]
+    total = table.agg(F.sum(sum(widths, F.lit(16)))).first()[0] or 0
+    return total <= (MOST_BROADCAST_BYTES if most is None else most)
+
+
+def small(table: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(table) if is_small(table, most) else table
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` mentions it.
 

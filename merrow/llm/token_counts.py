@@ -21,6 +21,8 @@ from merrow.llm.shared import arrow_map
 
 #: Distinct words that a task remembers.
 CACHE_WORDS = 600_000
+#: Longer words are counted anew each time, so that what is remembered has bounded bytes.
+CACHED_BYTES = 64
 #: A word's first piece is an entry that starts with this byte.
 START = b" "
 
@@ -92,8 +94,8 @@ class Automaton:
         try:
             counts = [known[w] for w in words]
         except KeyError:
-            known.update((w, self.pieces(START + w)) for w in set(words) if w not in known)
-            counts = [known[w] for w in words]
+            known.update((w, self.pieces(START + w)) for w in set(words) if len(w) <= CACHED_BYTES and w not in known)
+            counts = [known[w] if len(w) <= CACHED_BYTES else self.pieces(START + w) for w in words]
         return len(counts), sum(counts), max(counts, default=0)
 
 

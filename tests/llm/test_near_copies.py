@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from merrow.llm import near_copies
+from merrow.llm import near_copies, shared
 from tests.llm.test_operators import brute_components
 
 
@@ -32,7 +32,7 @@ def families(seed: int = 5) -> list[tuple[int, str | None]]:
 def test_families(spark, monkeypatch, size, num, tight):
     if tight:  # every switch at its other end
         monkeypatch.setattr(near_copies, "LONG_LIST", 0)
-        monkeypatch.setattr(near_copies, "MOST_BROADCAST_BYTES", 0)
+        monkeypatch.setattr(shared, "MOST_BROADCAST_BYTES", 0)
         monkeypatch.setattr(near_copies, "HOT_SHARE", 100_000)
         monkeypatch.setattr(near_copies, "CARRIED", 1)
         monkeypatch.setattr(near_copies, "FREQUENT_FROM", 3)
