@@ -13,39 +13,49 @@ from merrow.llm.bpe import bpe_encode
 from merrow.llm.decontaminate import find_benchmark_passages
 from merrow.llm.language import UNKNOWN, identify, learn
 from merrow.llm.line_dedup import dedup_lines
-from merrow.llm.near_copies import link_near_copies, small
+from merrow.llm.near_copies import link_near_copies
 from merrow.llm.queries import bpe_digests, tokenizer_path
-from merrow.llm.shared import table, written
+from merrow.llm.shared import discard, small, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without text or without a letter go."""
-    return identify(docs, learn(docs)).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    """Documents in a language: those whose text is null, empty or without a letter go, as do ones of
+    a language that can't be told. Where no row has a language to learn from, all with a letter stay.
+    Repeated rows and rows without an id each stay; no column of the input is lost or changed."""
+    model = learn(docs)
+    if not model.knows:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that others, or they themselves, have before; one of which
-    nothing is left goes."""
+    nothing is left goes. A null or empty text stays as it is. n_chars is counted anew. Of several
+    documents that have a passage, that of the smallest id keeps it; rows of equal id and text are
+    one document, and each stays."""
     left = dedup_lines(docs, passages=True).where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies (shingles of five words,
-    a similarity of 0.8); documents without an id stay."""
+    a similarity of 0.8); documents without an id stay, as do null and empty texts. Rows of equal id
+    stay or go together."""
     linked = link_near_copies(docs)
     copies = written(linked.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "copies")
     return docs.join(small(copies), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no passages of the benchmark contaminate."""
+    """Documents that no passages of the benchmark contaminate. Null and empty texts stay, and so
+    does everything if the benchmark is empty."""
     found = find_benchmark_passages(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document and the text that they decode to, as counts and digests."""
+    """The token ids of each document and the text that they decode to, as counts and digests; a
+    null text counts as an empty one. One row for each row."""
     return bpe_digests(bpe_encode(docs, tokenizer_path(), decoded_col="decoded", keep=["doc_id"]))
 
 
@@ -63,7 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows for ``documents``. A stage's table goes once the next one's is written;
+    ``merrow.scratch.clear`` removes what is left when the result is saved."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
