@@ -171,19 +171,22 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     language; more than MOST_LANGUAGES labels are an error. Other columns don't matter."""
     known = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.col(f"`{lang_col}`").alias("__lang"))
     known = known.where(F.col("__lang").isNotNull() & F.col("__text").rlike(r"\p{L}") & ~held_out(F.col("__id")))
-    many = {r["__lang"]: r["count"] for r in known.groupBy("__lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(many) > MOST_LANGUAGES:
+    known = known.withColumn("__draw", F.xxhash64("__id", "__text"))
+    # of each language the draws of as many rows as are used, without their texts; a task keeps so
+    # many of a language at most before anything is sent
+    rank = F.row_number().over(Window.partitionBy("__lang").orderBy("__draw"))
+    lowest = known.select("__lang", "__draw").withColumn("__rank", rank).where(F.col("__rank") <= rows_per_language)
+    ends = lowest.groupBy("__lang").agg(F.max("__draw").alias("__end")).limit(MOST_LANGUAGES + 1).collect()
+    if len(ends) > MOST_LANGUAGES:
         raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
-    if not many:
+    if not ends:
         return fit([])
-    part = F.lit(0.0)
-    for language, count in many.items():
-        part = F.when(F.col("__lang") == language, min(1.0, 1.5 * rows_per_language / count + 20 / count)).otherwise(part)
-    draw = F.pmod(F.xxhash64("__id", "__text"), F.lit(1 << 30))
-    drawn = known.withColumn("__draw", draw).where(F.col("__draw") < part * (1 << 30))
-    # each task keeps so many rows of a language at most before any text is sent
+    chosen = F.lit(False)
+    for r in ends:
+        chosen = chosen | ((F.col("__lang") == r["__lang"]) & (F.col("__draw") <= r["__end"]))
+    # equal rows are drawn alike, so they are counted once more
     rank = F.row_number().over(Window.partitionBy("__lang").orderBy("__draw", "__id", "__text"))
-    sample = drawn.withColumn("__rank", rank).where(F.col("__rank") <= rows_per_language)
+    sample = known.where(chosen).withColumn("__rank", rank).where(F.col("__rank") <= rows_per_language)
     cells = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType(), False), False), T.StructField("n", T.ArrayType(T.IntegerType(), False), False)])
 
     def make():

@@ -93,3 +93,87 @@ def test_texts_without_common_lines(spark):
     got = sorted((r.doc_id, r.text or "", r.source or "") for r in without_common_lines(docs).collect())
     want = [(i, f"own {i}\n\nend {i}", h) for h in ("a", "") for i in range(21)] + [(100, "shared line\nx", "b"), (101, "", "a"), (102, "", "a")]
     assert got == sorted(want)
+
+
+def test_chat_query_by_brute_force(spark):
+    """Every column of op9_chat from the turns alone."""
+    from merrow.llm.queries import QUERIES
+
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    calls = {(t.conv_id, t.turn): t.text or "" for t in turns if t.role == "assistant"}
+    others = {}
+    for t in turns:
+        if t.role != "assistant":
+            others.setdefault((t.conv_id, t.turn - 1), []).append((t.turn, t.text or ""))
+
+    def level(conv, turn):
+        return 1 + level(conv, turn - 2) if (conv, turn - 2) in calls else 0
+
+    want = {}
+    for (conv, turn), text in calls.items():
+        n = len(text.split(" "))
+        name, errors = ("lookup", "count", "score")[n % 3], []
+        if name == "lookup":
+            arguments = {"limit": n % 50, "query" if n % 7 else "text": text}
+            errors += ["query: missing", "not allowed: text"] if n % 7 == 0 else ["query: longer than 200"] if len(text) > 200 else []
+            errors += ["limit: under 1"] if n % 50 == 0 else ["limit: over 40"] if n % 50 > 40 else []
+        elif name == "count":
+            arguments = {"text": text, "unit": "words" if n % 11 else "lines"}
+            errors += [] if n % 11 else ["unit: not one of its values"]
+        else:
+            arguments = {"extra": {"at": 1, "text": text, "words": n}, "strict": n % 2 == 0, "value": n % 13 - 1}
+            errors += ["value: under 0"] if n % 13 == 0 else []
+        if n % 17 == 0:
+            arguments, errors = text, ["arguments: no JSON object"]
+        found = sorted(others.get((conv, turn), []))
+        result = dict(zip(("turn", "content"), found[0], strict=True)) if found else {"turn": None, "content": None}
+        message = {"arguments": arguments, "id": f"call:{conv}:{turn}", "name": name, "result": result}
+        text_of = json.dumps(message, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        want[conv, turn] = (name, level(conv, turn), "linked" if found else "no_result", len(found), not errors, "; ".join(sorted(errors)), text_of)
+    got = [r for r in QUERIES["op9_chat"](spark, SF).collect() if r.status != "no_call"]
+    assert {(r.conv_id, r.turn): (r.name, r.level, r.status, r.n_results, r.valid, r.errors, r.message) for r in got} == want and len(got) == len(want)
+
+
+def test_numbers_have_one_form(spark):
+    from pyspark.sql import functions as F
+
+    from merrow.llm.chat import canonical
+
+    alike = [["100", "100.0", "1e2", "100.00", "1E+2", "10000e-2"], ["0", "0.0", "-0.0", "0e9"], ["-2.5", "-2.50", "-25e-1"], ["10000000000", "1e10", "10000000000.0"], ["1250000000000000000000", "1.25e21"]]
+    rows = [(k, f'{{"x":[{number},"1.0e2 \\\\\\" 1.0"],"a":{number}}}') for k, group in enumerate(alike) for number in group]
+    got = spark.createDataFrame(rows, "k int, j string").select("k", canonical(F.col("j")).alias("c")).distinct().collect()
+    assert {r.k: r.c for r in got} == {k: f'{{"a":{group[0]},"x":[{group[0]},"1.0e2 \\\\\\" 1.0"]}}' for k, group in enumerate(alike)} and len(got) == len(alike)
+
+
+def test_language_rows_of_one_id_and_without(spark):
+    """A repeated or missing id neither keeps a language out nor brings more rows than the bound."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from merrow.llm import language
+
+    english = [(7, f"the house and the garden number {i} are over there with them", "en") for i in range(400)]
+    spanish = [(k, f"la casa y el jardin numero {k} estan ahora con ellos siempre", "es") for k in range(100, 130)]
+    rows = spark.createDataFrame([*english, *spanish, (None, "der hund und die katze", "de"), (8, None, "en"), (9, "", "fr")], "doc_id long, text string, lang string")
+    assert [r.h for r in spark.range(7, 8).select(language.held_out(F.col("id")).alias("h")).collect()] == [False]
+    model = language.learn(rows, rows_per_language=50)
+    got = {(r.doc_id, r.lang): r.lang_pred for r in language.identify(rows, model).collect()}
+    assert got[7, "en"] == "en" and got[100, "es"] == "es" and got[8, "en"] == "und" and got[9, "fr"] == "und"
+    copies = spark.createDataFrame(english[:1] * 900, "doc_id long, text string, lang string")
+    assert language.learn(copies, rows_per_language=50).families.labels == ["germanic"]
+    with pytest.raises(ValueError, match="more than"):
+        language.learn(spark.createDataFrame([(k, "some text here", f"l{k}") for k in range(600)], "doc_id long, text string, lang string"))
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """No label, nulls, empty and repeated rows: clean rows stay, and nothing fails."""
+    import corpus_pipeline
+
+    rows = [(1, "one fine day in the garden", None, "s", 1), (1, "one fine day in the garden", None, "s", 1), (2, None, None, None, None), (3, "", None, "s", 0), (None, "no id at all here", None, "s", 3), (4, "12 34", None, "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {r.doc_id for r in out.collect()} >= {1, None}, name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+    assert sorted(r.text for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == ["no id at all here", *["one fine day in the garden"] * 2]
