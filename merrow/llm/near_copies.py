@@ -379,3 +379,23 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_set = join.reps.join(roots, "node", "left").select("hi", "lo", "copies", F.coalesce("root", "node").alias("root"))
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")))
     return join.by_row(of_set).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def near_copy_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, as pairs (a, b) of nodes, and (id, node, n_links) of the
+    documents: a node is the smallest id of those with one set, and n_links counts the documents of
+    other nodes that a document links with. Copies of one text aren't written out as pairs.
+
+    The same join without its short cut: every pair of a list is tested, whether or not its
+    documents are in one component already. Nulls, empty texts and equal ids count as for
+    ``link_near_copies``: a document without shingles is its own node, one without an id has none."""
+    join = _Join(docs, id_col, text_col, size, num, den)
+    apart = docs.sparkSession.createDataFrame([], T.StructType([T.StructField(x, join.rows.schema["id"].dataType) for x in ("node", "root")]))
+    pairs = join.verified(join.stars()).unionByName(join.verified(join.rest(apart)))
+    links = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    copies = join.reps.select(F.col("node").alias("b"), "copies")
+    n_links = both.join(copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("n_links"))
+    of_set = join.reps.join(n_links, "node", "left").select("hi", "lo", "copies", "node", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    node = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("id")))
+    return links, join.by_row(of_set).select(F.col("id").alias(id_col), node.alias("node"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -40,3 +40,27 @@ def test_families(spark, monkeypatch, size, num, tight):
     rows = families()
     got = near_copies.link_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=size, num=num, den=100)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, size, num, 100)
+
+
+@pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 60)])
+def test_all_links(spark, size, num):
+    """Every pair of different texts that link, and each document's number of links."""
+    rows = [r for r in families(9) if r[1] is None or len(r[1].split()) < 130][:200]
+    links, members = near_copies.near_copy_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=size, num=num, den=100)
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        k = min(size, len(words))
+        return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if words else frozenset()
+
+    nodes, copies = {}, {}
+    for key, text in sorted(rows, key=lambda r: r[0]):
+        own = shingles(text)
+        nodes.setdefault(own or key, key)
+        copies[own or key] = copies.get(own or key, 0) + 1
+    sets = [s for s in nodes if isinstance(s, frozenset)]
+    want = {tuple(sorted((nodes[a], nodes[b]))) for i, a in enumerate(sets) for b in sets[:i] if 100 * len(a & b) >= num * len(a | b)}
+    assert {(r.a, r.b) for r in links.collect()} == want and want
+    by_node = {v: k for k, v in nodes.items()}
+    count = {key: sum(copies[by_node[b if a == key else a]] for a, b in want if key in (a, b)) for key in nodes.values()}
+    assert {r.doc_id: (r.node, r.n_links) for r in members.collect()} == {k: (nodes[shingles(t) or k], count[nodes[shingles(t) or k]]) for k, t in rows}
