@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from merrow.operators.feedback import dimension
 
-STATE = "interaction_type string, value string, occurred_at timestamp, id long"
-OUT = "user_id long, item_id long, dimension string, interaction_type string, value string, occurred_at timestamp, id long"
-
-
-def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best = state.get if state.exists else None
-    for batch in batches:
-        for row in batch[["interaction_type", "value", "occurred_at", "id"]].itertuples(index=False, name=None):
-            if best is None or (row[2], row[3]) > (pd.Timestamp(best[2]), best[3]):
-                best = row
-    if best is None:
-        return
-    state.update((best[0], best[1], pd.Timestamp(best[2]).to_pydatetime(), int(best[3])))
-    yield pd.DataFrame([(*key, *best)], columns=["user_id", "item_id", "dimension", "interaction_type", "value", "occurred_at", "id"])
-
 
 def active_state_stream(interactions: DataFrame) -> DataFrame:
-    """The newest row of each user, item and dimension, emitted again whenever a batch touches it.
+    """The newest row of each user, item and dimension, emitted again whenever a batch touches it
+    (output mode ``update``).
 
     Rows may come in any order and twice: the newest by time, then id, wins as in the batch
-    backfill. Views aren't state and don't take part."""
-    rows = interactions.where("interaction_type <> 'viewed'").select("user_id", "item_id", dimension().alias("dimension"), "interaction_type", F.col("value").cast("string").alias("value"), F.col("occurred_at").cast("timestamp").alias("occurred_at"), "id")
-    return rows.groupBy("user_id", "item_id", "dimension").applyInPandasWithState(_newest, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    backfill. Views aren't state and don't take part. A batch is reduced to one row a key before it
+    is shuffled. The state is the result itself, one row a key, which no time makes invalid, so it
+    isn't dropped by a watermark; keep it in a state store on disk (RocksDB) where it is large."""
+    keys = ("user_id", "item_id", "dimension")
+    rows = interactions.where("interaction_type <> 'viewed'").withColumn("dimension", dimension())
+    newest = F.max(F.struct("occurred_at", "id", "interaction_type", "value"))
+    return rows.groupBy(*keys).agg(newest.alias("newest")).select(*keys, "newest.interaction_type", "newest.value", "newest.occurred_at", "newest.id")
