@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merrow.functions import fixedpoint, identity, text
@@ -252,13 +252,32 @@ def upsert_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("slug", "title", "popularity_score", F.array_join(F.array_sort("tags"), ",").alias("tags"), "updated_at", "outcome")
 
 
+def _planted(rows: DataFrame, key: str, parts: int, changes: dict[int, dict]) -> DataFrame:
+    """``rows`` with values set where the key leaves a remainder."""
+    values: dict[str, Column] = {}
+    for rest, columns in changes.items():
+        for name, value in columns.items():
+            kind = rows.schema[name].dataType
+            values[name] = F.when(F.col(key) % parts == rest, F.lit(value).cast(kind)).otherwise(values.get(name, F.col(name)))
+    return rows.withColumns(values)
+
+
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of items, interactions, preferences and users, with rows that break each of them."""
     v = Views(spark, sf_dir)
-    items = v.items().withColumn("slug", F.when(F.col("id") % 13 == 0, F.upper("slug")).otherwise(F.col("slug")))
-    log = feedback.supersede(v.interactions()).withColumn("value", F.when(F.col("id") % 50 == 0, F.lit(11)).otherwise(F.col("value")))
+    wrong = {0: {"slug": "Not A Slug"}, 1: {"slug": "a" * 221}, 2: {"title": "t" * 201}, 3: {"average_rating": 11}, 4: {"rating_count": -1}, 5: {"popularity_score": -1}}
+    items = _planted(v.items(), "id", 13, wrong)
+    log = _planted(feedback.supersede(v.interactions()), "id", 50, {0: {"value": 11}})
+    shared = (F.col("id") % 50 == 1) & (F.col("interaction_type") != "rated")
+    early = F.when(F.col("id") % 50 == 2, F.col("occurred_at") - F.expr("interval 1 day")).otherwise(F.col("superseded_at"))
+    log = log.withColumns({"interaction_type": F.when(shared, "shared").otherwise(F.col("interaction_type")), "superseded_at": early})
+    saved = v.preferences().withColumn("key", F.concat_ws(":", "user_id", "preference_type", "value"))
+    tags = saved.where("preference_type = 'tag'")
+    tags = _planted(tags, "user_id", 7, {0: {"preference_type": "mood"}, 1: {"value": ""}, 2: {"weight": 2}})
     users = v.users().withColumn("expires_at", F.when(F.col("id") % 9 == 0, F.col("consented_at")).otherwise(F.col("expires_at")))
     found = quality.violations(items, "items", "id", quality.item_rules())
     found = found.unionByName(quality.violations(log, "interactions", "id", quality.interaction_rules()))
+    found = found.unionByName(quality.violations(saved.where("preference_type <> 'tag'").unionByName(tags), "preferences", "key", quality.preference_rules()))
     return found.unionByName(quality.violations(users, "users", "id", quality.user_rules()))
 
 
@@ -277,7 +296,21 @@ def fk_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = active_feedback(spark, sf_dir).withColumn("rating", F.when(F.col("item_id") % 10 == 0, F.col("rating") + 5).otherwise(F.col("rating")))
+    """Rules of feedback rows, with rows that break each of them."""
+    state = active_feedback(spark, sf_dir)
+    part = F.col("item_id") % 10
+    reacted = F.col("reaction").isNotNull()
+    empty = part == 4
+    state = state.withColumns(
+        {
+            "rating": F.when(part == 0, F.col("rating") + 5).when(~empty, F.col("rating")),
+            "reaction": F.when((part == 1) & reacted, "meh").when(~empty, F.col("reaction")),
+            "reaction_at": F.when((part != 2) & ~empty, F.col("reaction_at")),
+            "rating_at": F.when((part != 3) & ~empty, F.col("rating_at")),
+            "played": F.col("played") & ~empty,
+            "wishlisted": F.col("wishlisted") & ~empty,
+        }
+    )
     return quality.violations(state.withColumn("key", F.concat_ws(":", "user_id", "item_id")), "feedback", "key", quality.feedback_rules())
 
 

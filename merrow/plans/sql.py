@@ -245,10 +245,35 @@ select slug, title, case when id % 4 <> 3 and id % 5 = 0 then popularity_score -
   case when id % 4 <> 3 and (id % 5 = 0 or id % 7 = 0) then timestamp '{NOW}' else timestamp '{CUTOFF}' end as updated_at,
   case when id % 4 = 3 then 'kept' when id % 5 = 0 or id % 7 = 0 then 'updated' else 'unchanged' end as outcome from old
 union all select slug || '-b', title, popularity_score, array_to_string(tags, ','), timestamp '{NOW}', 'inserted' from old where id % 10 = 0"""),
-    "quality_checks": _with("items log users", """
-select 'items' as "table", 'slug_format' as rule, id::varchar as key from items where id % 13 = 0
-union all select 'interactions', 'value_only_for_ratings', id::varchar from log where id % 50 = 0
-union all select 'users', 'consent_lifecycle', id::varchar from users where id % 9 = 0 and consented_at is not null"""),
+    "quality_checks": _with("items log users preferences", """
+, item as (
+  select id, case id % 13 when 0 then 'Not A Slug' when 1 then repeat('a', 221) else slug end as slug, case when id % 13 = 2 then repeat('t', 201) else title end as title,
+    case when id % 13 = 3 then 11 else average_rating end as average_rating, case when id % 13 = 4 then -1 else rating_count end as rating_count,
+    case when id % 13 = 5 then -1 else popularity_score end as popularity_score from items
+), entry as (
+  select id, case when id % 50 = 1 and interaction_type <> 'rated' then 'shared' else interaction_type end as kind, case when id % 50 = 0 then 11 else value end as value, occurred_at,
+    case when id % 50 = 2 then occurred_at - interval 1 day else superseded_at end as superseded_at from log
+), saved as (
+  select user_id || ':' || preference_type || ':' || value as key, case when tag and user_id % 7 = 0 then 'mood' else preference_type end as kind, case when tag and user_id % 7 = 1 then '' else value end as value,
+    case when tag and user_id % 7 = 2 then 2 else 1 end as weight from (select *, preference_type = 'tag' as tag from preferences)
+), person as (
+  select id, consent_version, consented_at, case when id % 9 = 0 then consented_at else expires_at end as expires_at, revoked_at from users
+)
+select 'items' as "table", 'slug_format' as rule, id::varchar as key from item where not regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$')
+union all select 'items', 'slug_length', id::varchar from item where length(slug) > 220
+union all select 'items', 'title_length', id::varchar from item where length(title) > 200
+union all select 'items', 'average_rating_range', id::varchar from item where average_rating not between 0 and 10
+union all select 'items', 'rating_count_range', id::varchar from item where rating_count < 0
+union all select 'items', 'popularity_range', id::varchar from item where popularity_score < 0
+union all select 'interactions', 'type_known', id::varchar from entry where kind not in ('viewed', 'liked', 'disliked', 'played', 'wishlisted', 'rated')
+union all select 'interactions', 'value_only_for_ratings', id::varchar from entry where case when kind = 'rated' then value is null or value not between 0 and 10 else value is not null end
+union all select 'interactions', 'superseded_after', id::varchar from entry where superseded_at < occurred_at
+union all select 'preferences', 'type_known', key from saved where kind not in ('genre', 'tag', 'platform', 'game')
+union all select 'preferences', 'value_length', key from saved where length(value) not between 1 and 220
+union all select 'preferences', 'weight_range', key from saved where weight not between 0 and 1
+union all select 'users', 'consent_lifecycle', id::varchar from person
+where not coalesce(consent_version is null and consented_at is null and expires_at is null and revoked_at is not null, false)
+  and not coalesce(length(trim(consent_version)) > 0 and consented_at is not null and expires_at > consented_at, false)"""),
     "unique_checks": _with("log part_items", """
 select 'interactions' as "table", 'one_active' as rule, user_id || ':' || item_id || ':' || d as key, count(*) as n
 from (select user_id, item_id, case when interaction_type in ('liked', 'disliked') then 'reaction' else interaction_type end as d from log where interaction_type <> 'viewed') group by user_id, item_id, d having count(*) > 1
@@ -258,7 +283,17 @@ select 'interactions' as "table", 'item_id' as rule, ref::varchar as key, count(
 where ref is not null and ref not in (select id from items) group by ref
 union all select 'rec_events', 'user_id', user_id::varchar, count(*) from rec_events where user_id not in (select id from users) group by user_id"""),
     "feedback_checks": _with("state", """
-select 'feedback' as "table", 'rating_range' as rule, user_id || ':' || item_id as key from state where rating + case when item_id % 10 = 0 then 5 else 0 end > 10"""),
+, changed as (
+  select user_id || ':' || item_id as key, part, case when part = 0 then rating + 5 when part <> 4 then rating end as rating,
+    case when part = 1 and reaction is not null then 'meh' when part <> 4 then reaction end as reaction, case when part not in (2, 4) then reaction_at end as reaction_at,
+    case when part not in (3, 4) then rating_at end as rating_at, played and part <> 4 as played, wishlisted and part <> 4 as wishlisted
+  from (select *, item_id % 10 as part from state)
+)
+select 'feedback' as "table", 'reaction_known' as rule, key from changed where reaction not in ('liked', 'disliked')
+union all select 'feedback', 'reaction_time', key from changed where (reaction is null) <> (reaction_at is null)
+union all select 'feedback', 'rating_range', key from changed where rating not between 0 and 10
+union all select 'feedback', 'rating_time', key from changed where (rating is null) <> (rating_at is null)
+union all select 'feedback', 'has_a_value', key from changed where reaction is null and rating is null and not coalesce(played, false) and not coalesce(wishlisted, false)"""),
     "retention_preview": _with("rec_events users", f"""
 select e as events, x as expired_users, r as revoked_users, e + x + r as eligible from (select count(*) as e from rec_events where generated_at <= timestamp '{CUTOFF}'),
   (select count(*) filter (consented_at is not null and revoked_at is null and expires_at <= timestamp '{NOW}') as x, count(*) filter (revoked_at <= timestamp '{NOW}') as r from users)"""),
@@ -304,7 +339,10 @@ _ADJUSTED = f"""
   select f.*, row_number() over (partition by f.user_id order by final_units desc, pre_played_units desc, base_units desc, affinity_units desc, content_units desc, popularity_units desc, f.slug)::int as rank
   from final f
 )"""
+_KEY = b"a key of the test tables".ljust(64, b"\0")
+_INNER, _OUTER = ("".join(f"\\x{b ^ pad:02X}" for b in _KEY) for pad in (0x36, 0x5C))
 ORACLE_SQL |= {
+    "pseudonymise_users": _with("users", f"select id, sha256('{_OUTER}'::blob || unhex(sha256('{_INNER}'::blob || encode('session:token-' || id)))) as digest from users"),
     "content_documents": _with("document", """
 select slug, length(d)::int as characters, (greatest(n, 0) + greatest(n - 1, 0))::int as terms, sha256(d) as sha256 from (
   select slug, array_to_string(w, ' ') as d, len(list_filter(w, lambda x: length(x) >= 2)) as n from document)"""),
