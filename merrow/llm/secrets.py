@@ -95,7 +95,7 @@ def ranks(counts: np.ndarray) -> dict[str, np.ndarray]:
         if name != "base64":
             seen[97:123] += seen[65:91]
         symbols = np.frombuffer(own, np.uint8)
-        place = np.zeros(256, np.int64)
+        place = np.zeros(256, np.uint8)
         place[symbols[np.argsort(-seen[symbols], kind="stable")]] = np.arange(len(symbols))
         out[name] = place
     return out
@@ -106,13 +106,15 @@ def battery(symbols: np.ndarray, size: int) -> np.ndarray:
     ``size``), each lower the more random: chi-squared over the alphabet's parts, the share of
     neighbours on one side of its middle, and the absolute serial correlation."""
     n = symbols.shape[1]
-    part = symbols * PARTS // size
-    expected = n * np.bincount(np.arange(size) * PARTS // size, minlength=PARTS) / size
-    square = sum(((part == k).sum(1) - expected[k]) ** 2 / expected[k] for k in range(PARTS))
-    side = symbols * 2 >= size
+    part = (np.arange(size) * PARTS // size).astype(np.uint8)
+    expected = n * np.bincount(part, minlength=PARTS) / size
+    parts = part[symbols]
+    square = sum(((parts == k).sum(1) - expected[k]) ** 2 / expected[k] for k in range(PARTS))
+    side = parts >= PARTS // 2
     same = (side[:, 1:] == side[:, :-1]).mean(1)
-    around = symbols - symbols.mean(1, keepdims=True)
-    serial = (around[:, 1:] * around[:, :-1]).sum(1) / np.maximum((around**2).sum(1), 1e-9)
+    around = symbols.astype(np.float32)
+    around -= around.mean(1, keepdims=True)
+    serial = np.einsum("ij,ij->i", around[:, 1:], around[:, :-1]) / np.maximum(np.einsum("ij,ij->i", around, around), 1e-9)
     return np.stack([square, same, np.abs(serial) * np.sqrt(n)], 1)
 
 
