@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 
-from tests.llm.test_operators import brute_base, brute_hits
+from tests.llm.test_operators import brute_base, brute_components, brute_hits
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,6 +67,41 @@ def test_op3_op8(spark, texts):
     assert sorted(r.slot * 24 + r.shard for r in got.values()) == list(range(len(texts)))
 
 
+def test_op7(spark, texts):
+    """Each row against greedy longest matches, word by word."""
+    import public_tokenizers
+
+    from merrow.llm.token_counts import vocabulary
+
+    entries, seen = set(vocabulary(public_tokenizers.path("byte_bpe_50k.json"))), {}
+
+    def pieces(word):
+        n, i = 0, 0
+        while i < len(word):
+            i = next(k for k in range(len(word), i, -1) if word[i:k] in entries)
+            n += 1
+        return n
+
+    for key, r in rows(spark, "op7_token_counts").items():
+        counts = [seen.setdefault(w, pieces(b" " + w)) if w not in seen else seen[w] for w in (texts[key] or "").encode().split()]
+        assert (r.n_words, r.n_tokens, r.most_in_word) == (len(counts), sum(counts), max(counts, default=0))
+
+
+def test_op8_sizes(spark, texts):
+    for key, r in rows(spark, "op8_shards").items():
+        raw = (texts[key] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+    counts = {}
+    for r in rows(spark, "op8_shards").values():
+        counts[r.shard] = counts.get(r.shard, 0) + 1
+    assert len(counts) == 24 and max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_op10(spark, texts):
+    got = {k: (r.n_shingles, r.component_id) for k, r in rows(spark, "op10_near_copies").items()}
+    assert got == brute_components(list(texts.items()), 3, 90, 100)
+
+
 def test_pipeline(spark):
     """Each stage against what its operator says of the stage's own input."""
     import corpus_pipeline
