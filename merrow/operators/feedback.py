@@ -74,18 +74,24 @@ def replace_state(log: DataFrame, desired: DataFrame, now: Column) -> DataFrame:
     request again changes nothing."""
     keys = ["user_id", "item_id"]
     touched = desired.select(*keys).distinct().withColumn("touched", F.lit(True))
-    wanted = desired.where("interaction_type is not null").select(*keys, "interaction_type", F.col("value").cast(log.schema["value"].dataType).alias("want"), F.lit(True).alias("wanted"))
+    value = F.col("value").cast(log.schema["value"].dataType)
+    wanted = desired.where("interaction_type is not null")
+    wanted = wanted.select(*keys, "interaction_type", value.alias("want"), F.lit(True).alias("wanted"))
     is_active = F.col("superseded_at").isNull() & F.col("interaction_type").isin(*STATE_TYPES)
     current = log.join(touched, keys, "left").withColumn("open", F.coalesce("touched", F.lit(False)) & is_active)
     marked = current.join(wanted, [*keys, "interaction_type"], "left")
     same = F.coalesce("wanted", F.lit(False)) & F.col("want").eqNullSafe(F.col("value"))
     close = F.col("open") & ~same
-    kept = marked.select(*[F.when(close, now).otherwise(F.col(c)).alias(c) if c == "superseded_at" else F.col(c) for c in log.columns], F.when(close, "closed").otherwise("kept").alias("change"))
+    ended = F.when(close, now).otherwise(F.col("superseded_at")).alias("superseded_at")
+    columns = [ended if c == "superseded_at" else F.col(c) for c in log.columns]
+    kept = marked.select(*columns, F.when(close, "closed").otherwise("kept").alias("change"))
     there = marked.where(F.col("open") & same).select(*keys, "interaction_type")
     new = wanted.join(there, [*keys, "interaction_type"], "left_anti")
     made = {"value": F.col("want"), "occurred_at": now, "superseded_at": F.lit(None)}
     types = {f.name: f.dataType for f in log.schema}
-    inserted = new.select(*[(made[c] if c in made else F.col(c) if c in new.columns else F.lit(None)).cast(types[c]).alias(c) for c in log.columns], F.lit("inserted").alias("change"))
+    known = {c: F.col(c) for c in new.columns} | made
+    columns = [known.get(c, F.lit(None)).cast(types[c]).alias(c) for c in log.columns]
+    inserted = new.select(*columns, F.lit("inserted").alias("change"))
     return kept.unionByName(inserted)
 
 
@@ -94,7 +100,9 @@ def positive_sources(feedback: DataFrame, config: FeedbackConfig = FEEDBACK) ->
     seven where there is no reaction; slugs break ties of time."""
     liked = F.col("reaction") == "liked"
     rated = F.col("reaction").isNull() & (F.col("rating") >= config.positive_rating)
-    rows = feedback.select("user_id", "slug", F.when(liked, "liked").when(rated, "rating").alias("kind"), F.when(liked, F.col("reaction_at")).otherwise(F.col("rating_at")).alias("occurred_at"))
+    kind = F.when(liked, "liked").when(rated, "rating")
+    time = F.when(liked, F.col("reaction_at")).otherwise(F.col("rating_at"))
+    rows = feedback.select("user_id", "slug", kind.alias("kind"), time.alias("occurred_at"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("occurred_at"), "slug"))
     return rows.where("kind is not null").withColumn("place", place).where(F.col("place") <= config.most_sources)
 
@@ -122,11 +130,20 @@ def feedback_candidates(contexts: DataFrame, feedback: DataFrame, model: Model,
     has_profile = sources.select("user_id").distinct().withColumn("has_profile", F.lit(True))
     excluded = feedback.where("reaction = 'disliked'").select("user_id", "slug").unionByName(sources).distinct()
     played = feedback.where("played").select("user_id", "slug").distinct().withColumn("is_played", F.lit(True))
-    rows = base.join(excluded, ["user_id", "slug"], "left_anti").join(affinity, ["user_id", "slug"], "left").join(has_profile, "user_id", "left").join(played, ["user_id", "slug"], "left")
+    pair = ["user_id", "slug"]
+    rows = base.join(excluded, pair, "left_anti").join(affinity, pair, "left")
+    rows = rows.join(has_profile, "user_id", "left").join(played, pair, "left")
     with_profile = F.coalesce("has_profile", F.lit(False))
     is_played = F.coalesce("is_played", F.lit(False))
-    rows = rows.withColumns({"affinity_units": F.when(with_profile, F.coalesce("affinity", F.lit(0))).otherwise(F.lit(0)).cast("long"), "base_weight": F.when(with_profile, config.base_weight).otherwise(SCALE).cast("long"), "affinity_weight": F.when(with_profile, config.affinity_weight).otherwise(0).cast("long"), "played_factor": F.when(is_played, config.played_factor).otherwise(SCALE).cast("long")})
-    rows = rows.withColumns({"base_contribution": contribution(F.col("base_units"), F.col("base_weight")), "affinity_contribution": contribution(F.col("affinity_units"), F.col("affinity_weight"))})
+    weights = {
+        "affinity_units": F.when(with_profile, F.coalesce("affinity", F.lit(0))).otherwise(F.lit(0)),
+        "base_weight": F.when(with_profile, config.base_weight).otherwise(SCALE),
+        "affinity_weight": F.when(with_profile, config.affinity_weight).otherwise(0),
+        "played_factor": F.when(is_played, config.played_factor).otherwise(SCALE),
+    }
+    rows = rows.withColumns({name: value.cast("long") for name, value in weights.items()})
+    parts = {f"{x}_contribution": contribution(F.col(f"{x}_units"), F.col(f"{x}_weight")) for x in ("base", "affinity")}
+    rows = rows.withColumns(parts)
     rows = rows.withColumn("pre_played_units", F.col("base_contribution") + F.col("affinity_contribution"))
     rows = rows.withColumn("final_units", contribution(F.col("pre_played_units"), F.col("played_factor")))
     reasons = F.array_compact(F.array(F.when(with_profile, "feedback_affinity"), F.when(is_played, "played_adjustment")))
@@ -145,5 +162,6 @@ def feedback_recommend(contexts: DataFrame, feedback: DataFrame, model: Model, c
     none = contexts.join(ranked.select("user_id").distinct(), "user_id", "left_anti")
     supported = base_candidates(none, feedback, model, ranking).select("user_id").distinct().withColumn("supported", F.lit(True))
     out = contexts.select("user_id").join(ranked, "user_id", "left").join(supported, "user_id", "left").join(lost, "user_id", "left")
-    reason = F.when(F.col("slug").isNotNull(), "recommendations").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("supported"), "no_eligible_candidates").otherwise("no_content_support")
+    reason = F.when(F.col("slug").isNotNull(), "recommendations").when(F.col("reason").isNotNull(), F.col("reason"))
+    reason = reason.when(F.col("supported"), "no_eligible_candidates").otherwise("no_content_support")
     return out.withColumn("reason", reason).drop("supported")

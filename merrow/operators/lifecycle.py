@@ -28,7 +28,8 @@ def upsert_items(existing: DataFrame, incoming: DataFrame, now: Column, key: str
     outcome = F.when(F.col("is_new").isNull(), "kept").when(F.col("is_old").isNull(), "inserted").when(differs, "updated").otherwise("unchanged")
     both = both.withColumn("outcome", outcome)
     fresh = F.col("outcome").isin("inserted", "updated")
-    cols = [F.when(fresh, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in scalars or c in sets else F.when(fresh, now).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in existing.columns]
+    changed = {c: F.col(f"new_{c}") for c in (*scalars, *sets)} | {"updated_at": now}
+    cols = [F.when(fresh, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in existing.columns]
     return both.select(*cols, "outcome")
 
 
@@ -101,7 +102,9 @@ def renew(users: DataFrame, ids: DataFrame, now: Column, version: str, ttl_secon
     rows = users.join(chosen, "id", "left").withColumn("__go", F.col("__chosen") & live & ~F.col("consent_version").eqNullSafe(F.lit(version)))
     rows = rows.withColumn("__go", F.coalesce("__go", F.lit(False)))
     until = now + F.make_dt_interval(secs=F.lit(ttl_seconds))
-    return rows.withColumns({"consent_version": F.when(F.col("__go"), version).otherwise(F.col("consent_version")), "consented_at": F.when(F.col("__go"), now).otherwise(F.col("consented_at")), "expires_at": F.when(F.col("__go"), until).otherwise(F.col("expires_at"))}).drop("__chosen", "__go")
+    fresh = {"consent_version": F.lit(version), "consented_at": now, "expires_at": until}
+    changed = {c: F.when(F.col("__go"), value).otherwise(F.col(c)) for c, value in fresh.items()}
+    return rows.withColumns(changed).drop("__chosen", "__go")
 
 
 def backfill_identities(users: DataFrame, now: Column) -> DataFrame:
@@ -112,4 +115,6 @@ def backfill_identities(users: DataFrame, now: Column) -> DataFrame:
 def backfill_events(events: DataFrame) -> DataFrame:
     """Events of the old scheme: a generation id from the id, the legacy schema, no policy."""
     none = F.lit(None).cast("string")
-    return events.withColumns({"generation_id": F.concat(F.lit("legacy-"), F.col("id").cast("string")), "event_schema_version": F.lit("legacy-v1"), "data_fingerprint": none, "ranking_policy_name": none, "ranking_policy_version": none})
+    empty = dict.fromkeys(("data_fingerprint", "ranking_policy_name", "ranking_policy_version"), none)
+    made = {"generation_id": F.concat(F.lit("legacy-"), F.col("id").cast("string")), "event_schema_version": F.lit("legacy-v1")}
+    return events.withColumns(made | empty)

@@ -121,12 +121,14 @@ def score_candidates(contexts: DataFrame, model: Model, config: RankingConfig =
     content = similarities(model.features.weights, vectors, "context_id")
     content = content.select("context_id", "slug", quantize(F.col("similarity")).alias("content_units")).where("content_units > 0")
     picked = contexts.select("context_id", F.explode("selected").alias("slug"))
-    facts = model.items.select("slug", F.transform("platforms", lambda p: p["slug"]).alias("has")).join(model.popularity.select("slug", quantize(F.col("popularity")).alias("popularity_units")), "slug")
+    popular = model.popularity.select("slug", quantize(F.col("popularity")).alias("popularity_units"))
+    facts = model.items.select("slug", F.transform("platforms", lambda p: p["slug"]).alias("has")).join(popular, "slug")
     wanted = contexts.select("context_id", F.col("platforms").alias("wanted"))
     overlap = F.size(F.array_intersect("has", "wanted")) / F.size("wanted")
     rows = content.join(picked, ["context_id", "slug"], "left_anti").join(facts, "slug").join(wanted, "context_id")
     rows = rows.withColumn("platform_units", quantize(F.when(F.size("wanted") > 0, overlap).otherwise(F.lit(0.0))))
-    base = contribution(F.col("content_units"), config.content_weight) + contribution(F.col("platform_units"), config.platform_weight) + contribution(F.col("popularity_units"), config.popularity_weight)
+    weights = {"content": config.content_weight, "platform": config.platform_weight, "popularity": config.popularity_weight}
+    base = sum((contribution(F.col(f"{name}_units"), weight) for name, weight in weights.items()), F.lit(0))
     return rows.select("context_id", "slug", "content_units", "platform_units", "popularity_units", base.alias("base_units"))
 
 
@@ -178,8 +180,14 @@ def with_evidence(ranked: DataFrame, contexts: DataFrame, model: Model, config:
     rows = rows.withColumn("similar", F.coalesce("similar", F.array().cast("array<struct<slug:string,title:string,units:bigint>>")))
     match = lambda k: F.filter(F.array_sort(k), lambda v: F.array_contains(F.col(f"want_{k}"), v["slug"]))
     rows = rows.withColumns({"matching_genres": match("genres"), "matching_tags": match("tags"), "matching_platforms": match("platforms")})
-    part = lambda name, raw, weight: F.struct(F.lit(name).alias("name"), F.col(raw).alias("raw_units"), F.lit(weight).cast("long").alias("weight_units"), contribution(F.col(raw), weight).alias("contribution_units"))
-    parts = F.array(part("content", "content_units", config.content_weight), part("platform", "platform_units", config.platform_weight), part("popularity", "popularity_units", config.popularity_weight))
+
+    def part(name: str, weight: int) -> Column:
+        raw = F.col(f"{name}_units")
+        fields = {"raw_units": raw, "weight_units": F.lit(weight).cast("long"), "contribution_units": contribution(raw, weight)}
+        return F.struct(F.lit(name).alias("name"), *[value.alias(field) for field, value in fields.items()])
+
+    weights_of = {"content": config.content_weight, "platform": config.platform_weight, "popularity": config.popularity_weight}
+    parts = F.array(*[part(name, weight) for name, weight in weights_of.items()])
     reasons = explain(F.col("similar"), F.col("matching_genres"), F.col("matching_tags"), F.col("matching_platforms"), F.col("popularity_units"), config)
     rows = rows.withColumns({"components": parts, "reasons": reasons})
     return rows.withColumn("summary", F.element_at("reasons", 1)).drop("genres", "tags", "platforms", "want_genres", "want_tags", "want_platforms")

@@ -20,9 +20,18 @@ MOST_SLUG = 220
 def effective_states(feedback: DataFrame) -> DataFrame:
     """(user_id, fingerprint, disliked_count, played_count, positive_source_count, positive_sources)."""
     sources = positive_sources(feedback).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("place", "slug", "kind"))).alias("s"))
-    sets = feedback.groupBy("user_id").agg(F.array_sort(F.collect_set(F.when(F.col("reaction") == "disliked", F.col("slug")))).alias("disliked"), F.array_sort(F.collect_set(F.when(F.col("played"), F.col("slug")))).alias("played"))
-    both = sets.join(sources, "user_id", "left").withColumn("sources", F.transform(F.coalesce("s", F.array().cast("array<struct<place:int,slug:string,kind:string>>")), lambda x: F.struct(x["kind"], x["slug"])))
-    return both.select("user_id", state_fingerprint(F.col("disliked"), F.col("played"), F.col("sources")).alias("fingerprint"), F.size("disliked").alias("disliked_count"), F.size("played").alias("played_count"), F.size("sources").alias("positive_source_count"), F.transform("sources", lambda s: s["slug"]).alias("positive_sources"))
+    those = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("slug"))))
+    sets = feedback.groupBy("user_id").agg(those(F.col("reaction") == "disliked").alias("disliked"), those(F.col("played")).alias("played"))
+    known = F.coalesce("s", F.array().cast("array<struct<place:int,slug:string,kind:string>>"))
+    both = sets.join(sources, "user_id", "left").withColumn("sources", F.transform(known, lambda x: F.struct(x["kind"], x["slug"])))
+    return both.select(
+        "user_id",
+        state_fingerprint(F.col("disliked"), F.col("played"), F.col("sources")).alias("fingerprint"),
+        F.size("disliked").alias("disliked_count"),
+        F.size("played").alias("played_count"),
+        F.size("sources").alias("positive_source_count"),
+        F.transform("sources", lambda s: s["slug"]).alias("positive_sources"),
+    )
 
 
 def generation_events(ranked: DataFrame, contexts: DataFrame, feedback: DataFrame, generated_at: Column, data_fingerprint: Column, generation_id: Column | None = None, policy: tuple[str, str] = ("merrow-feedback", "1.0.0"), identity: ModelIdentity | None = None) -> DataFrame:
@@ -32,9 +41,20 @@ def generation_events(ranked: DataFrame, contexts: DataFrame, feedback: DataFram
     results = ranked.where("slug is not null").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", per_item.alias("r")))).alias("r"))
     rows = results.join(contexts, "user_id").join(effective_states(feedback), "user_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    none = F.array().cast("array<string>")
+    # who has no feedback has the fingerprint of an empty state
+    empty_state = state_fingerprint(none, none, F.array().cast("array<struct<kind:string,slug:string>>"))
     context = canonical_json(
-        disliked_count=zero("disliked_count"), effective_state_fingerprint=F.coalesce("fingerprint", F.lit("")), played_count=zero("played_count"), positive_source_count=zero("positive_source_count"),
-        positive_source_slugs=F.coalesce("positive_sources", F.array().cast("array<string>")), preferred_genres=F.col("genres"), preferred_platforms=F.col("platforms"), preferred_tags=F.col("tags"), selected_game_slugs=F.col("selected"), top_k=F.col("top_k"),
+        disliked_count=zero("disliked_count"),
+        effective_state_fingerprint=F.coalesce("fingerprint", empty_state),
+        played_count=zero("played_count"),
+        positive_source_count=zero("positive_source_count"),
+        positive_source_slugs=F.coalesce("positive_sources", none),
+        preferred_genres=F.col("genres"),
+        preferred_platforms=F.col("platforms"),
+        preferred_tags=F.col("tags"),
+        selected_game_slugs=F.col("selected"),
+        top_k=F.col("top_k"),
     )
     result = F.to_json(F.transform("r", lambda x: x["r"]))
     return rows.select(

@@ -18,10 +18,15 @@ class Views:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def interactions(self) -> DataFrame:
-        kind = F.when(F.col("event_type") == "view", "viewed").when(F.col("event_type") == "click", "liked").when(F.col("event_type") == "error", "disliked").when(F.col("event_type") == "signup", "wishlisted").when(F.col("event_id") % 2 == 0, "rated").otherwise("played")
+        kind = F.when(F.col("event_type") == "view", "viewed")
+        for event, meaning in (("click", "liked"), ("error", "disliked"), ("signup", "wishlisted")):
+            kind = kind.when(F.col("event_type") == event, meaning)
+        kind = kind.when(F.col("event_id") % 2 == 0, "rated").otherwise("played")
         value = F.when(F.col("interaction_type") == "rated", F.round(F.least(F.col("value"), F.lit(100.0)) / 5) / 2).cast("decimal(5,2)")
         events = self.table("events").withColumn("interaction_type", kind)
-        return events.select(F.col("event_id").alias("id"), "user_id", F.get_json_object("props", "$.k").cast("long").alias("item_id"), "interaction_type", value.alias("value"), F.col("ts").alias("occurred_at"))
+        item = F.get_json_object("props", "$.k").cast("long")
+        time = F.col("ts").alias("occurred_at")
+        return events.select(F.col("event_id").alias("id"), "user_id", item.alias("item_id"), "interaction_type", value.alias("value"), time)
 
     def items(self) -> DataFrame:
         """Items made of documents; average_rating only where a label exists."""
@@ -50,7 +55,14 @@ class Views:
         return self.items().select("*", one("lang").alias("genres"), one("source").alias("tags"), F.transform(platforms, lambda p: F.struct(p.alias("slug"), p.alias("name"))).alias("platforms"))
 
     def part_items(self) -> DataFrame:
-        return self.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.concat(F.lit("part-"), "p_partkey").alias("slug"), F.col("p_brand").alias("developer"), F.col("p_size").alias("rating_count"), F.col("p_retailprice").cast("decimal(10,4)").alias("popularity_score"))
+        return self.table("part").select(
+            F.col("p_partkey").alias("id"),
+            F.col("p_name").alias("title"),
+            F.concat(F.lit("part-"), "p_partkey").alias("slug"),
+            F.col("p_brand").alias("developer"),
+            F.col("p_size").alias("rating_count"),
+            F.col("p_retailprice").cast("decimal(10,4)").alias("popularity_score"),
+        )
 
     def part_genres(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").alias("id"), F.lower("p_type").alias("slug"), F.col("p_type").alias("name"))
@@ -60,7 +72,8 @@ class Views:
 
     def part_platforms(self) -> DataFrame:
         first = self.table("lineitem").select("l_partkey", "l_suppkey").distinct()
-        pairs = first.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("slug")).distinct()
+        pairs = first.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        pairs = pairs.select(F.col("l_partkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("slug")).distinct()
         return pairs.withColumn("name", F.col("slug"))
 
     def preferences(self) -> DataFrame:
