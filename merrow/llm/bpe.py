@@ -208,7 +208,8 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
     does. ``path`` is a tokenizer file that every executor has, as installed with the library.
 
     A null or empty text, or one of white space only, has no ids. Texts of any length are encoded
-    whole, in pieces that end at white space. Other columns pass through (those in ``keep``); one
+    whole, in pieces that end at white space. Equal rows get equal ids, each its own row; of merges
+    that could be made next the lowest rank goes first, at its places from left to right. Other columns pass through (those in ``keep``); one
     with the name of ``ids_col`` is replaced. An empty table gives an empty result."""
 
     fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)]

@@ -149,7 +149,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null and has no lines; an empty one has one empty line. Rows of equal id
     count as one document in choosing what stays; where only rows without an id have a chunk, all
-    of them keep it. A text of which all chunks go is empty. No rows give no rows. Columns named
+    of them keep it. A text of which all chunks go is empty; one of any length is cut whole. No rows give no rows. Columns named
     like the added ones are replaced; all others pass through."""
     added = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
     base = docs.drop(*added).withColumns({"__id": F.col(f"`{id_col}`"), "__text": F.col(f"`{text_col}`")}).withColumn("__digest", F.xxhash64("__text"))

@@ -102,7 +102,8 @@ def shard_rows(docs: DataFrame, n_shards: int, seed: int = 17, key: str = "doc_i
     The law is by rows: the counts of two shards differ by one at most. The shuffle is the same in
     every run and for every partitioning of the input. Rows with equal keys are ordered by
     checksum and size; rows equal in these too are interchangeable. A null key counts as a key. A
-    null text has no bytes: size 8 and checksum 0, as an empty one. Only key, size and checksum
+    null text has no bytes: size 8 and checksum 0, as an empty one; a text of any length is only
+    measured. Every row of a repeated one is placed. Only key, size and checksum
     are shuffled, never texts. An empty table gives no rows; other columns don't matter."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     slim = docs.select(F.col(f"`{key}`").alias("__key"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
