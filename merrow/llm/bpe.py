@@ -24,9 +24,10 @@ from pyspark.sql import types as T
 
 from merrow.llm.shared import arrow_map
 
-#: Characters of text that are cut into words at once, and words that a task remembers.
+#: Characters of text that are cut into words at once, and what a task remembers: stretches of text
+#: between white space, and the words in them.
 PIECE_CHARS = 1 << 19
-CACHE_WORDS = 600_000
+CACHED_CHUNKS, CACHED_WORDS = 350_000, 100_000
 #: Longer words are encoded anew each time, so that what is remembered has bounded bytes.
 CACHED_LENGTH = 64
 #: Up to here lower-casing and composition need no tables: no marks to compose, no final sigma.
@@ -140,10 +141,11 @@ class WordBpe:
         return [w.encode() for w in self.plain_words(chunk)]
 
     def learn(self, new: Iterable[str]) -> None:
-        if len(self.chunks) + len(self.known) > CACHE_WORDS:
+        if len(self.chunks) > CACHED_CHUNKS:
             self.chunks.clear()
-            self.known.clear()
             self.chunks[""] = b""
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
         of = {c: self.words_of(c) for c in new if c[:1] != " "}
         words = list({w for ws in of.values() for w in ws if w not in self.known})
         self.known.update(zip(words, (array("i", ids).tobytes() for ids in self.encode_words(words)), strict=True))
@@ -169,7 +171,7 @@ class WordBpe:
 
     def _flush(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
         new = set().union(*(c for _, c in held))
-        if len(self.chunks) + len(self.known) > CACHE_WORDS:
+        if len(self.chunks) > CACHED_CHUNKS:
             self.learn(new)
         elif new := new - self.chunks.keys():
             self.learn(new)

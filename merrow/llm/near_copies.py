@@ -34,7 +34,7 @@ COUNTED_AT_ONCE, REPORTED_FROM = 2_000_000, 3
 #: only decide the order, so what lies beyond the bound costs time and never a link.
 MOST_FREQUENT, FREQUENT_FROM = 1_000_000, 16
 #: Sets that a task remembers, to report none twice (16 bytes each).
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: A list with more open groups than this is joined by two shingles.
 LONG_LIST = 1_000
 #: First shingles of a group that its rows carry, to take a pair where it meets first.
