@@ -27,7 +27,7 @@ from merrow.llm.shared import arrow_map
 #: Characters of text that are cut into words at once, and what a task remembers: stretches of text
 #: between white space, and the words in them.
 PIECE_CHARS = 1 << 19
-CACHED_CHUNKS, CACHED_WORDS = 350_000, 100_000
+CACHED_CHUNKS, CACHED_WORDS = 250_000, 60_000
 #: Longer words are encoded anew each time, so that what is remembered has bounded bytes.
 CACHED_LENGTH = 64
 #: Up to here lower-casing and composition need no tables: no marks to compose, no final sigma.
