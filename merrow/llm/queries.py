@@ -113,6 +113,20 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_near_copies(table(spark, sf_dir, "documents", "doc_id", "text"), size=3, num=90, den=100)
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merrow.llm.resample import resample
+
+    drawn = resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"), keep=["doc_id"])
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merrow.llm.vector_codes import compress, hex_codes
+
+    coded = compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", hex_codes(F.col("codes")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
@@ -125,8 +139,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_chat": op9_chat,
     "op10_near_copies": op10_near_copies,
+    "op11_resample": op11_resample,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+def _codes_sql() -> str:
+    """Two rounds that move the entries, and a last assignment."""
+    nearest = """
+near{r} as materialized (
+  select no, part, (min(d * 64 + entry) % 64)::int as entry, min(d) as d from (
+    select p.no, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+    from part p join book{r} b on b.part = p.part) group by no, part
+)"""
+    moved = """
+book{s} as materialized (
+  select b.part, b.entry, coalesce(m.x, b.x) as x from book{r} b left join (
+    select part, entry, list(mean order by i) as x from (
+      select n.part, n.entry, i, floor(sum(p.x[i]) / count(*))::bigint as mean
+      from near{r} n join part p using (no, part), range(1, 1 + (select max(width) from kept)) k(i) group by all) group by part, entry
+  ) m on m.part = b.part and m.entry = b.entry
+)"""
+    return f"""
+with kept as materialized (
+  select row_number() over (order by vec_id) as no, vec_id, label, len(embedding) // 16 as width,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), part as materialized (
+  select no, part, v[part * width + 1 : (part + 1) * width] as x from kept, range(16) p(part)
+), book0 as (
+  select part, (no - 1)::int as entry, x from part where no <= 64
+),{nearest.format(r=0)},{moved.format(r=0, s=1)},{nearest.format(r=1)},{moved.format(r=1, s=2)},{nearest.format(r=2)}, coded as (
+  select no, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error from near2 group by no
+), digest as (
+  select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from book2
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from coded join kept using (no), digest
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": """
 with doc as (
@@ -211,4 +261,46 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * (n_words - n_common_words) >= 50 * n_words as kept
 from facts
 """,
+    "op11_resample": """
+with recursive step(n, i, c) as (
+  select n, 0, n from range(256) r(n)
+  union all
+  select n, i + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from step where i < 8
+), crc as (
+  select list(c order by n) as t from step where i = 8
+), doc as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+), item as (
+  select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark
+), raw as (
+  select doc_id, word, count(*) as n from (select doc_id, unnest(w) as word from doc) group by all
+), target as (
+  select word, count(*) as n from (select unnest(w) as word from item) group by all
+), word as (
+  select word, hex(encode(word)) as h from (select word from raw union select word from target)
+), bytes as (
+  select word, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::bigint) as b from word
+), hashed as (
+  select word, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as bucket from bytes, crc
+), raw_bucket as (
+  select bucket, sum(n)::double as s from raw join hashed using (word) group by bucket
+), target_bucket as (
+  select bucket, sum(n)::double as t from target join hashed using (word) group by bucket
+), whole as (
+  select (select coalesce(sum(s), 0) from raw_bucket) as s_all, (select coalesce(sum(t), 0) from target_bucket) as t_all
+), gain as (
+  select h.bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (s_all + 10000) / ((coalesce(s, 0) + 1) * (t_all + 10000))))::bigint as gain
+  from (select distinct bucket from hashed) h left join raw_bucket r on r.bucket = h.bucket left join target_bucket g on g.bucket = h.bucket, whole
+), weighed as (
+  select doc_id, sum(n * gain)::bigint as weight from raw join hashed using (word) join gain using (bucket) group by doc_id
+), scored as (
+  select d.doc_id, len(w)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from doc d left join weighed using (doc_id)
+), placed as (
+  select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from scored where n_features >= 20
+)
+select s.doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank from scored s left join placed using (doc_id)
+""",
+    "op13_vector_codes": _codes_sql(),
 }
