@@ -131,10 +131,12 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     no rows. Other columns pass through (those named in ``keep``); one that has the name of a
     result is replaced."""
     gain = gains(bucket_counts(docs, text_col, order, buckets), bucket_counts(target, text_col, order, buckets))
-    columns = docs.columns if keep is None else keep
     names = ("n_words", "n_features", "weight", "score", "rank")
-    rows = docs.withColumn("__id", F.col(f"`{id_col}`"))
-    rows = weigh(rows, gain, text_col, order, [*(c for c in columns if c not in names), "__id"])
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    # own names while at work, whatever the names of other columns are
+    held = [f"__c{i}" for i in range(len(columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(h) for h, c in zip(held, columns, strict=True)], F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    rows = weigh(rows, gain, "__text", order, [*held, "__id"])
     half = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("__id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((half + 0.5) / 4294967296.0))).cast("long")
     rows = written(rows.withColumn("score", F.col("weight") + noise), "scored")
@@ -144,4 +146,5 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     rows = rows.withColumns({"__able": able, "__tie": F.monotonically_increasing_id()})
     placed = numbered(rows, [F.desc("__able"), F.desc("score"), F.col("__id").asc_nulls_last(), F.col("__tie")], "__place", "ranked")
     rank = F.when(F.col("__able") & (F.col("__place") <= percent * n // 100), F.col("__place"))
-    return placed.withColumn("rank", rank).select(*(c for c in columns if c not in names), *names)
+    placed = placed.withColumn("rank", rank)
+    return placed.select(*[F.col(h).alias(c) for h, c in zip(held, columns, strict=True)], *names)

@@ -56,11 +56,11 @@ def test_resample_odd_rows(spark, order):
     long = " ".join(f"Word{i % 701} ÄÖ{i % 13}" for i in range(60_000))
     docs = [(1, None), (2, ""), (3, "One two\x00THREE one two three"), (3, "other text"), (None, "one two"), (5, long), (6, "one-two three")] + [(9, "the same words")] * 9
     target = [None, "", "one two three", "word7 word8"]
-    table = spark.createDataFrame([(*d, 7, "x") for d in docs], "doc_id long, text string, weight int, __other string").repartition(3)
+    table = spark.createDataFrame([(*d, 7, "x") for d in docs], "doc_id long, text string, weight int, __id string").repartition(3)
     items = spark.createDataFrame([(t,) for t in target], "text string")
     got = resample(table, items, order=order, buckets=50, least_words=2, percent=40)
     rows = got.collect()
-    assert got.columns == ["doc_id", "text", "__other", "n_words", "n_features", "weight", "score", "rank"]
+    assert got.columns == ["doc_id", "text", "__id", "n_words", "n_features", "weight", "score", "rank"]
     want = brute_resample(docs, target, order, 50, least=2, percent=40)
     assert sorted(((r.doc_id, r.n_features, r.weight, r.score, r["rank"]) for r in rows), key=str) == want
     assert resample(table.where("false"), items).collect() == []
