@@ -120,6 +120,13 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from merrow.llm.repeats import remove_repeats
+
+    left = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merrow.llm.vector_codes import compress, hex_codes
 
@@ -140,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_near_copies": op10_near_copies,
     "op11_resample": op11_resample,
+    "op12_repeats": op12_repeats,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -301,6 +309,27 @@ with recursive step(n, i, c) as (
   select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from scored where n_features >= 20
 )
 select s.doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank from scored s left join placed using (doc_id)
+""",
+    "op12_repeats": """
+with doc as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), win as (
+  select doc_id, p, substr(h, 2 * p + 1, 200) as w from (select doc_id, h, unnest(range(0, len(h) // 2 - 99)) as p from doc)
+), again as (
+  select doc_id, p from win qualify row_number() over (partition by w order by doc_id, p) > 1
+), marked as (
+  select doc_id, p, case when p > lag(p) over (partition by doc_id order by p) + 100 then 1 else 0 end as fresh from again
+), run as (
+  select doc_id, min(p) as a, max(p) + 100 as b from (select *, sum(fresh) over (partition by doc_id order by p) as r from marked) group by doc_id, r
+), gap as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a0, a as b0, a, b from run
+), whole as (
+  select doc_id, sum(b - a) as gone, count(*) as spans, max(b) as last, string_agg(substr(h, 2 * a0 + 1, 2 * (b0 - a0)), '' order by a) as body
+  from gap join doc using (doc_id) group by doc_id
+)
+select d.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(body, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from doc d left join whole using (doc_id)
 """,
     "op13_vector_codes": _codes_sql(),
 }
