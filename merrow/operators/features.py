@@ -1,66 +1,143 @@
-"""Content features: term counts, document frequencies and normalised TF-IDF weights, in long form."""
+"""Content features: term counts, document frequencies and normalised TF-IDF weights, packed by row.
+
+A document is one row from its text to its vector. Only document frequencies are shuffled. The
+vocabulary is then frozen: its terms are numbered by falling frequency, over ranges of that order.
+The most frequent ones, up to a fixed number, are told to all tasks, which look them up row by row;
+rarer ones, of which there may be any number, meet their documents in a join on the term. As only
+rare terms are joined, none of its keys is hot.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from merrow.arrow import spread
 from merrow.config import FEATURES, FeatureConfig
 from merrow.functions.text import content_document, preference_document, terms
+from merrow.operators.order import numbered
+from merrow.operators.packed import NUMBERS, WEIGHTS, document_frequencies, lists, map_rows, opened, packed_counts, summed, terms_of, unit
 from merrow.scratch import written
 
-#: Terms of a vocabulary that are broadcast at most (about 64 MB).
-MOST_TERMS_BROADCAST = 500_000
+#: The most frequent terms, which every task is told (some 20 MB).
+MOST_TERMS_TOLD = 500_000
 
 
 @dataclass
 class Features:
-    """idf: (term, df, idf); weights: (slug, term, weight)."""
+    """idf: (term, df, idf, number), numbers from 1 by falling df; vectors: (slug, numbers, weights)
+    of norm 1, numbers sorted."""
 
     idf: DataFrame
-    weights: DataFrame
+    vectors: DataFrame
+
+    @property
+    def weights(self) -> DataFrame:
+        """(slug, term, weight), a row for each entry of a vector."""
+        return long_form(self.vectors, self.idf)
 
 
 def term_counts(documents: DataFrame, key: str = "slug") -> DataFrame:
     """(key, term, tf) of documents (key, document)."""
-    return documents.select(key, F.explode(terms(F.col("document"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    pairs = F.explode(F.arrays_zip("terms", "counts")).alias("t")
+    return packed_counts(documents, key).select(key, pairs).select(key, "t.terms", "t.counts").toDF(key, "term", "tf")
 
 
-def inverse_frequencies(tf: DataFrame, n_documents: DataFrame) -> DataFrame:
-    """(term, df, idf) with smooth idf; ``n_documents`` has one row with n."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+def inverse_frequencies(df: DataFrame, n_documents: DataFrame) -> DataFrame:
+    """(term, df, idf) with smooth idf, of (term, df); ``n_documents`` has one row with n."""
     return df.crossJoin(F.broadcast(n_documents)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def weigh(tf: DataFrame, idf: DataFrame, key: str = "slug", small: bool = False) -> DataFrame:
-    """(key, term, weight): sublinear counts times idf, rows of norm 1; unknown terms drop out. A
-    ``small`` vocabulary is broadcast, so that frequent terms don't meet in one task."""
-    known = idf.select("term", "idf")
-    raw = tf.join(F.broadcast(known) if small else known, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    return normalized(raw, [key], "raw")
+def vocabulary(documents: DataFrame) -> DataFrame:
+    """(term, df, idf, number) of documents (document), a written table."""
+    idf = inverse_frequencies(document_frequencies(documents), documents.agg(F.count("*").alias("n")))
+    return numbered(idf, [F.desc("df"), F.col("term")], "number", "idf")
+
+
+def vectors_of(documents: DataFrame, idf: DataFrame, key: str = "slug") -> DataFrame:
+    """(key, numbers, weights): sublinear counts times idf, at norm 1, of documents (key, document)
+    in a vocabulary; unknown terms drop out, and so do documents without a known one."""
+    told = idf.where(F.col("number") <= MOST_TERMS_TOLD).select("term", "number", "idf").toArrow()
+    spark, whole = documents.sparkSession, idf.where(F.col("number") > MOST_TERMS_TOLD).isEmpty()
+    held = spark.sparkContext.broadcast((told.column("term").to_pylist(), told.column("number").to_numpy(), told.column("idf").to_numpy()))
+    rest = [T.StructField("rest", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])))]
+
+    def work(columns):
+        known, number, weight = _dictionary(held)
+        n = len(columns["document"])
+        of, term, times, names = terms_of(columns["document"])
+        place = np.fromiter((known.get(x, -1) for x in names), np.int64, len(names))[term]
+        own = place >= 0
+        rows, numbers, values = summed(of[own], number[place[own]], (1 + np.log(times[own])) * weight[place[own]])
+        if whole:
+            return lists(rows, n, numbers, unit(rows, values, n))
+        left = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(term[~own])), pa.array(times[~own])], names=["term", "tf"])
+        return [*lists(rows, n, numbers, values), *lists(of[~own], n, left)]
+
+    rows = map_rows(documents.select(key, "document"), [NUMBERS, WEIGHTS, *([] if whole else rest)], "document", work, [key])
+    if not whole:
+        rows = written(rows, "half-packed")
+        rare = idf.where(F.col("number") > MOST_TERMS_TOLD).select("term", "number", "idf")
+        more = rows.select(key, F.explode("rest").alias("r")).select(key, "r.*").join(rare, "term")
+        entry = F.struct("number", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+        more = more.groupBy(key).agg(F.collect_list(entry).alias("more"))
+        more = more.select(F.col(key).alias("__key"), F.transform("more", lambda e: e["number"]).alias("n"), F.transform("more", lambda e: e["raw"]).alias("w"))
+        both = rows.join(more, F.col(key) == F.col("__key"), "left")
+        added = lambda own, new: F.concat(own, F.coalesce(new, F.array().cast(rows.schema[own].dataType))).alias(own)
+        rows = at_norm_1(both.select(key, added("numbers", "n"), added("weights", "w")), [key])
+    return rows.where(F.size("numbers") > 0)
+
+
+_held: list[tuple] = []
+
+
+def _dictionary(told) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """The vocabulary of a broadcast, made ready once in a worker."""
+    value = told.value
+    if not _held or _held[0] is not value:
+        _held[:] = [value, ({name: i for i, name in enumerate(value[0])}, *value[1:])]
+    return _held[1]
+
+
+def at_norm_1(vectors: DataFrame, keep: list[str]) -> DataFrame:
+    """Vectors (keep, numbers, weights) with entries of one number added up, sorted, at norm 1."""
+
+    def work(columns):
+        n = len(columns["numbers"])
+        of, numbers, values = summed(*opened(columns["numbers"], columns["weights"]))
+        return lists(of, n, numbers, unit(of, values, n))
+
+    return map_rows(vectors.withColumnsRenamed({"numbers": "__n", "weights": "__w"}).select(*keep, F.col("__n").alias("numbers"), F.col("__w").alias("weights")), [NUMBERS, WEIGHTS], "numbers", work, keep)
 
 
-def normalized(vectors: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, term, weight) with each vector at norm 1; vectors of norm 0 drop out. A vector has no
-    more rows than its document has terms, and is brought together once."""
-    rows = vectors.groupBy(*keys).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm"), F.collect_list(F.struct("term", F.col(value).alias("v"))).alias("terms"))
-    return rows.where("norm > 0").select(*keys, "norm", F.explode("terms").alias("t")).select(*keys, "t.term", (F.col("t.v") / F.col("norm")).alias("weight"))
+def long_form(vectors: DataFrame, idf: DataFrame, key: str = "slug") -> DataFrame:
+    """(key, term, weight) of packed vectors."""
+    entries = vectors.select(key, F.explode(F.arrays_zip("numbers", "weights")).alias("e")).select(key, "e.numbers", "e.weights").toDF(key, "number", "weight")
+    names = idf.select("number", "term")
+    few = idf.limit(MOST_TERMS_TOLD + 1).count() <= MOST_TERMS_TOLD
+    return entries.join(F.broadcast(names) if few else names, "number").select(key, "term", "weight")
 
 
 def fit(items: DataFrame, config: FeatureConfig = FEATURES) -> Features:
-    """Features of nested items."""
-    documents = items.select("slug", content_document(config).alias("document"))
-    tf = written(term_counts(documents), "term-counts")
-    idf = written(inverse_frequencies(tf, items.agg(F.count("*").alias("n"))), "idf")
-    return Features(idf, weigh(tf, idf, small=idf.count() <= MOST_TERMS_BROADCAST))
+    """Features of nested items. Documents are made once and written."""
+    documents = written(spread(items).select("slug", content_document(config).alias("document")), "documents")
+    idf = vocabulary(documents)
+    return Features(idf, vectors_of(documents, idf))
 
 
 def preference_vectors(contexts: DataFrame, idf: DataFrame, key: str = "context_id") -> DataFrame:
-    """(key, term, weight) of each context's preferred genres and tags, in a fitted vocabulary."""
-    documents = contexts.select(key, preference_document(F.col("genres"), F.col("tags")).alias("document"))
-    return weigh(term_counts(documents, key), idf, key)
+    """(key, numbers, weights), not at norm 1, of each context's preferred genres and tags in a
+    fitted vocabulary: a context has a few terms, which are looked up by a join."""
+    document = preference_document(F.col("genres"), F.col("tags"))
+    asked = contexts.select(key, F.explode(terms(document)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    raw = asked.join(idf.select("term", "number", "idf"), "term").select(key, F.struct("number", ((1 + F.log("tf")) * F.col("idf")).alias("raw")).alias("e"))
+    packed = raw.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("e"))
+    return packed.select(key, F.transform("e", lambda e: e["number"]).alias("numbers"), F.transform("e", lambda e: e["raw"]).alias("weights"))
 
 
 def fit_problems(items: DataFrame, features: Features) -> DataFrame:
@@ -68,7 +145,8 @@ def fit_problems(items: DataFrame, features: Features) -> DataFrame:
     aren't finite, an empty vocabulary."""
     documents = items.select("slug", content_document().alias("document"))
     empty = documents.where(F.size(terms(F.col("document"))) == 0).select(F.lit("document_empty").alias("rule"), F.col("slug").alias("key"))
-    zero = items.select("slug").join(features.weights.select("slug").distinct(), "slug", "left_anti").select(F.lit("row_without_weights").alias("rule"), F.col("slug").alias("key"))
-    wild = features.weights.where(F.isnan("weight") | (F.abs("weight") == float("inf"))).select(F.lit("weight_not_finite").alias("rule"), F.col("slug").alias("key")).distinct()
+    zero = items.select("slug").join(features.vectors.select("slug"), "slug", "left_anti").select(F.lit("row_without_weights").alias("rule"), F.col("slug").alias("key"))
+    odd = F.exists("weights", lambda w: F.isnan(w) | (F.abs(w) == float("inf")))
+    wild = features.vectors.where(odd).select(F.lit("weight_not_finite").alias("rule"), F.col("slug").alias("key"))
     none = features.idf.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("vocabulary_empty").alias("rule"), F.lit(None).cast("string").alias("key"))
     return empty.unionByName(zero).unionByName(wild).unionByName(none)

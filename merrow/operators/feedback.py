@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merrow.config import FEEDBACK, RANKING, SCALE, STATE_TYPES, FeedbackConfig, RankingConfig
-from merrow.functions.fixedpoint import contribution, quantize
-from merrow.operators.ranking import Model, centroids, score_candidates, similarities, top_ranked
+from merrow.functions.fixedpoint import contribution
+from merrow.operators.features import at_norm_1
+from merrow.operators.ranking import Model, centroids, packed_items, queries_of, top_ranked
+from merrow.operators.tiles import Policy, best_items
 from merrow.scratch import written
 
 
@@ -115,28 +117,26 @@ def effective_contexts(contexts: DataFrame, feedback: DataFrame) -> tuple[DataFr
     return out.where(~empty), out.where(empty).select("user_id", F.lit("insufficient_context").alias("reason"))
 
 
-def base_candidates(contexts: DataFrame, feedback: DataFrame, model: Model, ranking: RankingConfig = RANKING) -> DataFrame:
-    """The users' candidates by content, before any exclusion."""
+def adjusted_queries(contexts: DataFrame, feedback: DataFrame, model: Model, config: FeedbackConfig = FEEDBACK, ranking: RankingConfig = RANKING) -> DataFrame:
+    """The users' contexts (user_id, without disliked picks) as queries, with the vector of what
+    they liked, the items that may not be ranked, and those that they played."""
     usable, _ = effective_contexts(contexts, feedback)
-    return score_candidates(usable.withColumn("context_id", F.col("user_id")), model, ranking).withColumnRenamed("context_id", "user_id")
-
-
-def feedback_candidates(contexts: DataFrame, feedback: DataFrame, model: Model, config: FeedbackConfig = FEEDBACK, ranking: RankingConfig = RANKING) -> DataFrame:
-    """All eligible candidates of the users with their adjusted units."""
-    base = base_candidates(contexts, feedback, model, ranking)
     sources = positive_sources(feedback, config).select("user_id", "slug")
-    profile = written(centroids(sources, model.features.weights, "user_id"), "profiles")
-    affinity = similarities(model.features.weights, profile, "user_id").select("user_id", "slug", quantize(F.col("similarity")).alias("affinity"))
-    has_profile = sources.select("user_id").distinct().withColumn("has_profile", F.lit(True))
-    excluded = feedback.where("reaction = 'disliked'").select("user_id", "slug").unionByName(sources).distinct()
-    played = feedback.where("played").select("user_id", "slug").distinct().withColumn("is_played", F.lit(True))
-    pair = ["user_id", "slug"]
-    rows = base.join(excluded, pair, "left_anti").join(affinity, pair, "left")
-    rows = rows.join(has_profile, "user_id", "left").join(played, pair, "left")
-    with_profile = F.coalesce("has_profile", F.lit(False))
-    is_played = F.coalesce("is_played", F.lit(False))
+    profile = at_norm_1(centroids(sources, model.features.vectors, "user_id"), ["user_id"]).withColumnsRenamed({"numbers": "other_numbers", "weights": "other_weights"})
+    # a user whose sources have no vector has a profile all the same, of no affinity
+    empty = {c: F.coalesce(c, F.array().cast(profile.schema[c].dataType)) for c in ("other_numbers", "other_weights")}
+    profile = sources.select("user_id").distinct().join(profile, "user_id", "left").withColumns(empty)
+    barred = feedback.where("reaction = 'disliked'").select("user_id", "slug").unionByName(sources)
+    sets = [rows.groupBy("user_id").agg(F.collect_set("slug").alias(name)) for rows, name in ((barred, "excluded"), (feedback.where("played"), "played"))]
+    extra = profile.join(sets[0], "user_id", "full_outer").join(sets[1], "user_id", "full_outer").withColumnRenamed("user_id", "context_id")
+    return queries_of(usable.withColumn("context_id", F.col("user_id")), model, ranking, extra)
+
+
+def with_adjustments(rows: DataFrame, config: FeedbackConfig = FEEDBACK) -> DataFrame:
+    """Scored rows with what became of their base units, step by step."""
+    with_profile, is_played = F.col("has_profile"), F.col("is_played")
     weights = {
-        "affinity_units": F.when(with_profile, F.coalesce("affinity", F.lit(0))).otherwise(F.lit(0)),
+        "affinity_units": F.when(with_profile, F.col("affinity_units")).otherwise(F.lit(0)),
         "base_weight": F.when(with_profile, config.base_weight).otherwise(SCALE),
         "affinity_weight": F.when(with_profile, config.affinity_weight).otherwise(0),
         "played_factor": F.when(is_played, config.played_factor).otherwise(SCALE),
@@ -148,19 +148,27 @@ def feedback_candidates(contexts: DataFrame, feedback: DataFrame, model: Model,
     rows = rows.withColumn("final_units", contribution(F.col("pre_played_units"), F.col("played_factor")))
     reasons = F.array_compact(F.array(F.when(with_profile, "feedback_affinity"), F.when(is_played, "played_adjustment")))
     rows = rows.withColumns({"played_delta_units": F.col("final_units") - F.col("pre_played_units"), "adjustments": reasons})
-    return rows.drop("affinity", "has_profile", "is_played")
+    return rows.drop("has_profile", "is_played")
+
+
+def feedback_candidates(contexts: DataFrame, feedback: DataFrame, model: Model, config: FeedbackConfig = FEEDBACK, ranking: RankingConfig = RANKING) -> DataFrame:
+    """All eligible candidates of the users with their adjusted units."""
+    queries = adjusted_queries(contexts, feedback, model, config, ranking).withColumnRenamed("context_id", "user_id")
+    rows = best_items(queries, packed_items(model), "user_id", Policy(ranking, config, cut=False))
+    return with_adjustments(rows.where("slug is not null"), config)
 
 
 def feedback_recommend(contexts: DataFrame, feedback: DataFrame, model: Model, config: FeedbackConfig = FEEDBACK, ranking: RankingConfig = RANKING) -> DataFrame:
     """Ranked rows of all users under their feedback; a user without any has one row with a reason
-    (no_content_support, no_eligible_candidates or insufficient_context)."""
+    (no_content_support, no_eligible_candidates or insufficient_context). Items are passed once:
+    base and affinity are products of one pass, which also tells who has support at all."""
     order = ("final_units", "pre_played_units", "base_units", "affinity_units", "content_units", "popularity_units")
-    candidates = feedback_candidates(contexts, feedback, model, config, ranking)
-    ranked = written(top_ranked(candidates, contexts, "user_id", order, ranking.most_top_k), "ranked")
+    queries = adjusted_queries(contexts, feedback, model, config, ranking).withColumnRenamed("context_id", "user_id")
+    best = written(best_items(queries, packed_items(model), "user_id", Policy(ranking, config)), "best")
+    candidates = with_adjustments(best.where("slug is not null"), config)
+    ranked = top_ranked(candidates, contexts, "user_id", order, ranking.most_top_k)
     _, lost = effective_contexts(contexts, feedback)
-    # only the users without results are scored again, to tell why they have none
-    none = contexts.join(ranked.select("user_id").distinct(), "user_id", "left_anti")
-    supported = base_candidates(none, feedback, model, ranking).select("user_id").distinct().withColumn("supported", F.lit(True))
+    supported = best.where("slug is null").select("user_id").distinct().withColumn("supported", F.lit(True))
     out = contexts.select("user_id").join(ranked, "user_id", "left").join(supported, "user_id", "left").join(lost, "user_id", "left")
     reason = F.when(F.col("slug").isNotNull(), "recommendations").when(F.col("reason").isNotNull(), F.col("reason"))
     reason = reason.when(F.col("supported"), "no_eligible_candidates").otherwise("no_content_support")

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from merrow.config import RANKING, SCALE, RankingConfig
+from merrow.config import RANKING, RankingConfig
 from merrow.functions.fixedpoint import contribution, quantize
-from merrow.operators.features import Features, normalized, preference_vectors
+from merrow.operators.features import Features, preference_vectors
+from merrow.operators.packed import NUMBERS, WEIGHTS, lists, map_rows, opened, products, summed, unit
+from merrow.operators.tiles import QUERY, Policy, best_items
 from merrow.scratch import written
 
-#: Rows of user vectors that are told to all tasks at once (24 bytes each); more go in further blocks.
-BLOCK_ROWS = 4_000_000
-
 
 @dataclass
 class Model:
@@ -43,93 +39,76 @@ def context_problems(contexts: DataFrame, items: DataFrame, config: RankingConfi
     return shape.unionByName(unknown)
 
 
-def centroids(picked: DataFrame, weights: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight): the mean of the picked items' rows (key, slug), at norm 1. Terms that an
-    item lacks count 0, so sums are divided by the number of items, not of rows."""
+def centroids(picked: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """(key, numbers, weights): the vectors of the picked items (key, slug) put together, each entry
+    divided by the number of picks; what an item lacks counts 0. Not at norm 1, nor added up."""
     sizes = picked.groupBy(key).agg(F.countDistinct("slug").alias("k"))
-    sums = weights.join(picked.distinct(), "slug").groupBy(key, "term").agg(F.sum("weight").alias("s"))
-    return normalized(sums.join(sizes, key).select(key, "term", (F.col("s") / F.col("k")).alias("mean")), [key], "mean")
+    parts = picked.distinct().join(vectors, "slug").groupBy(key).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("numbers", "weights")])
+    return parts.join(sizes, key).select(key, "numbers", F.transform("weights", lambda w: w / F.col("k")).alias("weights"))
 
 
 def user_vectors(contexts: DataFrame, features: Features, config: RankingConfig = RANKING) -> DataFrame:
-    """(context_id, term, weight) of norm 1. Picked items and preferences, each of norm 1, are mixed
-    65 : 35; either alone has all the weight. A context whose preferences match no known term has
-    no vector, even if it picked items."""
-    picked = contexts.select("context_id", F.explode("selected").alias("slug"))
+    """(context_id, numbers, weights) of norm 1. Picked items and preferences, each of norm 1, are
+    mixed 65 : 35; either alone has all the weight. A context whose preferences match no known term
+    has no vector, even if it picked items. All of a context is in its own row."""
     prefers = (F.size("genres") > 0) | (F.size("tags") > 0)
     wants = contexts.select("context_id", (F.size("selected") > 0).alias("picks"), prefers.alias("prefers"))
-    chosen = centroids(picked, features.weights, "context_id")
-    liked = preference_vectors(contexts.where(prefers), features.idf)
-    matched = liked.select("context_id").distinct().withColumn("matched", F.lit(True))
-    usable = wants.join(matched, "context_id", "left").where(~F.col("prefers") | F.col("matched"))
-    share = lambda own, other, part: F.when(F.col(other), part).otherwise(F.lit(1.0))
-    both = chosen.join(usable, "context_id").select("context_id", "term", (F.col("weight") * share("picks", "prefers", config.selected_share)).alias("w")).unionByName(
-        liked.join(usable, "context_id").select("context_id", "term", (F.col("weight") * share("prefers", "picks", config.preference_share)).alias("w"))
-    )
-    return normalized(both.groupBy("context_id", "term").agg(F.sum("w").alias("w")), ["context_id"], "w")
-
-
-def similarities(weights: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """(key, slug, similarity) for all items that share a term with a vector.
-
-    ``vectors``, a written table, is the query set: it is told to the tasks in blocks of about
-    BLOCK_ROWS rows, and each item is multiplied with a whole block at once. Terms are compared by
-    64-bit hash. Nothing is shuffled but the items' rows, one for each slug."""
-    packed = written(weights.groupBy("slug").agg(F.collect_list(F.struct(F.xxhash64("term").alias("term"), "weight")).alias("row")), "packed")
-    n_blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    part = F.pmod(F.xxhash64(key), F.lit(n_blocks))
-    own = vectors.select(key, F.xxhash64("term").alias("term"), "weight")
-    blocks = [_multiplied(packed, own.where(part == k), key) for k in range(n_blocks)]
-    out = blocks[0]
-    for block in blocks[1:]:
-        out = out.unionByName(block)
-    return out
-
-
-def _multiplied(packed: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """(key, slug, similarity) of packed items and a block of vectors."""
-    rows = vectors.toArrow()
-    order = np.argsort(rows.column("term").to_numpy(), kind="stable")
-    names, of = np.unique(rows.column(key).to_numpy(), return_inverse=True)
-    block = (names, of[order].astype(np.int64), rows.column("term").to_numpy()[order], rows.column("weight").to_numpy()[order])
-    told = packed.sparkSession.sparkContext.broadcast(block)
-    schema = T.StructType([vectors.schema[key], packed.schema["slug"], T.StructField("similarity", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, of, terms, values = told.value
-        known = pa.array(names)
-        for batch in batches:
-            for slug, row in zip(batch.column(0), batch.column(1), strict=True):
-                own = row.values.field("term").to_numpy()
-                first, last = np.searchsorted(terms, own), np.searchsorted(terms, own, side="right")
-                sizes = last - first
-                at = np.arange(sizes.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-                products = values[at] * np.repeat(row.values.field("weight").to_numpy(), sizes)
-                total = np.bincount(of[at], products, len(names))
-                found = np.flatnonzero(total > 0)
-                if len(found):
-                    columns = [known.take(pa.array(found)), pa.repeat(slug, len(found)), pa.array(total[found])]
-                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return packed.mapInArrow(run, schema)
+    chosen = centroids(contexts.select("context_id", F.explode("selected").alias("slug")), features.vectors, "context_id")
+    liked = preference_vectors(contexts.where(prefers), features.idf).withColumnsRenamed({"numbers": "liked_numbers", "weights": "liked_weights"})
+    rows = wants.join(chosen, "context_id", "left").join(liked, "context_id", "left").where(~F.col("prefers") | F.col("liked_numbers").isNotNull())
+    none = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("numbers", "weights", "liked_numbers", "liked_weights")}
+
+    def mixed(columns):
+        n = len(columns["numbers"])
+        shares = ((columns["prefers"], config.selected_share), (columns["picks"], config.preference_share))
+        parts = []
+        for side, (other, share) in zip(("", "liked_"), shares, strict=True):
+            of, number, value = summed(*opened(columns[f"{side}numbers"], columns[f"{side}weights"]))
+            parts.append((of, number, unit(of, value, n) * np.where(other.to_numpy(zero_copy_only=False), share, 1.0)[of]))
+        of, number, value = summed(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+        return lists(of, n, number, unit(of, value, n))
+
+    rows = rows.withColumns(none).withColumnsRenamed({"numbers": "n", "weights": "w"})
+    rows = rows.select("context_id", "picks", "prefers", F.col("n").alias("numbers"), F.col("w").alias("weights"), "liked_numbers", "liked_weights")
+    # the outputs take the names of the picked items' part, which isn't kept
+    return map_rows(rows, [NUMBERS, WEIGHTS], "numbers", mixed, ["context_id"]).where(F.size("numbers") > 0)
+
+
+def packed_items(model: Model) -> DataFrame:
+    """(slug, numbers, weights, has, popularity_units): all that scoring needs of an item, one row,
+    as a written table."""
+    popular = model.popularity.select("slug", quantize(F.col("popularity")).alias("popularity_units"))
+    has = F.coalesce(F.transform("platforms", lambda p: p["slug"]), F.array().cast("array<string>"))
+    facts = model.items.select("slug", has.alias("has")).join(popular, "slug")
+    return written(model.features.vectors.join(facts, "slug"), "packed-items")
+
+
+def queries_of(contexts: DataFrame, model: Model, config: RankingConfig = RANKING, extra: DataFrame | None = None) -> DataFrame:
+    """Contexts as the queries of a tile join, a written table. ``extra`` has further columns of a
+    query by context_id: other_numbers, other_weights, excluded, played."""
+    none = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    asked = contexts.select("context_id", "top_k", F.col("platforms").alias("wanted"), F.col("selected").alias("picked"))
+    rows = asked.join(user_vectors(contexts, model.features, config), "context_id")
+    if extra is not None:
+        rows = rows.join(extra, "context_id", "left")
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in QUERY if f.name not in rows.columns}
+    rows = rows.withColumns(missing)
+    return written(rows.select("context_id", *[none(f.name) if f.dataType == QUERY["wanted"].dataType else F.col(f.name) for f in QUERY]), "queries")
 
 
 def score_candidates(contexts: DataFrame, model: Model, config: RankingConfig = RANKING) -> DataFrame:
     """Every candidate of every context: (context_id, slug, content_units, platform_units,
     popularity_units, base_units), without picked items and those of no content units."""
-    vectors = written(user_vectors(contexts, model.features, config), "vectors")
-    content = similarities(model.features.weights, vectors, "context_id")
-    content = content.select("context_id", "slug", quantize(F.col("similarity")).alias("content_units")).where("content_units > 0")
-    picked = contexts.select("context_id", F.explode("selected").alias("slug"))
-    popular = model.popularity.select("slug", quantize(F.col("popularity")).alias("popularity_units"))
-    facts = model.items.select("slug", F.transform("platforms", lambda p: p["slug"]).alias("has")).join(popular, "slug")
-    wanted = contexts.select("context_id", F.col("platforms").alias("wanted"))
-    overlap = F.size(F.array_intersect("has", "wanted")) / F.size("wanted")
-    rows = content.join(picked, ["context_id", "slug"], "left_anti").join(facts, "slug").join(wanted, "context_id")
-    rows = rows.withColumn("platform_units", quantize(F.when(F.size("wanted") > 0, overlap).otherwise(F.lit(0.0))))
-    weights = {"content": config.content_weight, "platform": config.platform_weight, "popularity": config.popularity_weight}
-    base = sum((contribution(F.col(f"{name}_units"), weight) for name, weight in weights.items()), F.lit(0))
-    return rows.select("context_id", "slug", "content_units", "platform_units", "popularity_units", base.alias("base_units"))
+    return _base(best_items(queries_of(contexts, model, config), packed_items(model), "context_id", Policy(config, cut=False)))
+
+
+def best_candidates(contexts: DataFrame, model: Model, config: RankingConfig = RANKING) -> DataFrame:
+    """The candidates that can be among a context's top_k, as of ``score_candidates``."""
+    return _base(best_items(queries_of(contexts, model, config), packed_items(model), "context_id", Policy(config)))
+
+
+def _base(rows: DataFrame) -> DataFrame:
+    return rows.where("slug is not null").select("context_id", "slug", "content_units", "platform_units", "popularity_units", "base_units")
 
 
 def top_ranked(candidates: DataFrame, contexts: DataFrame, key: str = "context_id", order: tuple[str, ...] = ("base_units", "content_units", "popularity_units"), most: int = RANKING.most_top_k) -> DataFrame:
@@ -165,12 +144,13 @@ def explain(similar: Column, genres: Column, tags: Column, platforms: Column, po
 def with_evidence(ranked: DataFrame, contexts: DataFrame, model: Model, config: RankingConfig = RANKING) -> DataFrame:
     """Ranked rows with components, matches, similar picked items, reasons and summary. Similarities
     of pairs are computed for ranked items only."""
-    weights = model.features.weights
     picked = contexts.select("context_id", F.explode("selected").alias("picked"))
-    pairs = ranked.select("context_id", "slug").join(picked, "context_id")
-    ours = pairs.join(weights, "slug").select("context_id", "slug", "picked", "term", "weight")
-    theirs = weights.select(F.col("slug").alias("picked"), "term", F.col("weight").alias("other"))
-    close = ours.join(theirs, ["picked", "term"]).groupBy("context_id", "slug", "picked").agg(quantize(F.sum(F.col("weight") * F.col("other"))).alias("units")).where("units > 0")
+    pairs = written(ranked.select("context_id", "slug").join(picked, "context_id"), "evidence-pairs")
+    own = model.features.vectors
+    other = own.select(F.col("slug").alias("picked"), F.col("numbers").alias("other_numbers"), F.col("weights").alias("other_weights"))
+    # a pair of items is multiplied once, however many contexts show it
+    met = products(pairs.select("slug", "picked").distinct().join(own, "slug").join(other, "picked"))
+    close = pairs.join(met.select("slug", "picked", quantize(F.col("product")).alias("units")).where("units > 0"), ["slug", "picked"])
     titles = model.items.select(F.col("slug").alias("picked"), "title")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("units")).alias("order"), F.col("picked").alias("slug"), "title", "units"))), 1, config.most_similar)
     similar = close.join(titles, "picked").groupBy("context_id", "slug").agg(F.transform(best, lambda x: F.struct(x["slug"], x["title"], x["units"])).alias("similar"))
@@ -195,7 +175,7 @@ def with_evidence(ranked: DataFrame, contexts: DataFrame, model: Model, config:
 
 def recommend(contexts: DataFrame, model: Model, config: RankingConfig = RANKING) -> DataFrame:
     """The ranked rows of all contexts; a context without any has one row with a reason."""
-    ranked = top_ranked(score_candidates(contexts, model, config), contexts)
+    ranked = top_ranked(best_candidates(contexts, model, config), contexts)
     reason = F.when(F.col("slug").isNull(), "no_content_support").otherwise("recommendations")
     return contexts.select("context_id").join(ranked, "context_id", "left").withColumn("reason", reason)
 
@@ -213,7 +193,3 @@ def recommend_for_ids(requests: DataFrame, model: Model, config: RankingConfig =
     shown = model.items.select("slug", "id", "title", "developer", F.col("average_rating").cast("double").alias("average_rating"), "rating_count")
     out = ranked.join(shown, "slug", "left")
     return out.unionByName(rows.where(refused).select("context_id", F.lit("unknown_items").alias("reason")), allowMissingColumns=True)
-
-
-def score_of(units: str) -> Column:
-    return F.col(units) / float(SCALE)

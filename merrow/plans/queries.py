@@ -9,8 +9,9 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from merrow.arrow import spread
 from merrow.functions import fixedpoint, identity, text
-from merrow.operators import catalog, features, feedback, lifecycle, popularity, preferences, quality, ranking
+from merrow.operators import catalog, features, feedback, lifecycle, packed, popularity, preferences, quality, ranking
 from merrow.plans.sql import ORACLE_SQL as ORACLE_SQL
 from merrow.scratch import run_folder, written
 from merrow.sources import events as event_log
@@ -101,21 +102,22 @@ def _ascii_documents(v: Views) -> DataFrame:
 
 
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = features.term_counts(_ascii_documents(Views(spark, sf_dir)))
-    return tf.groupBy("slug").agg(F.count("*").alias("terms"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"))
+    rows = packed.packed_counts(spread(_ascii_documents(Views(spark, sf_dir))))
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+    rows = rows.select("slug", F.size("counts").cast("long").alias("terms"), total.alias("occurrences"), F.array_max("counts").alias("most"))
+    return rows.where("terms > 0")
 
 
 def document_frequency_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _ascii_documents(Views(spark, sf_dir))
-    idf = features.inverse_frequencies(features.term_counts(docs), docs.agg(F.count("*").alias("n")))
+    idf = features.inverse_frequencies(packed.document_frequencies(spread(docs)), docs.agg(F.count("*").alias("n")))
     return idf.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _ascii_documents(Views(spark, sf_dir))
-    tf = features.term_counts(docs)
-    weights = features.weigh(tf, features.inverse_frequencies(tf, docs.agg(F.count("*").alias("n"))))
-    return weights.select("slug", "term", F.round("weight", 6).alias("weight"))
+    docs = spread(_ascii_documents(Views(spark, sf_dir)))
+    idf = features.vocabulary(docs)
+    return features.long_form(features.vectors_of(docs, idf), idf).select("slug", "term", F.round("weight", 6).alias("weight"))
 
 
 def content_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +164,7 @@ def recommend_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recommend_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
     contexts, model = _contexts(v), _model(v)
-    ranked = written(ranking.top_ranked(ranking.score_candidates(contexts, model), contexts), "ranked")
+    ranked = written(ranking.top_ranked(ranking.best_candidates(contexts, model), contexts), "ranked")
     rows = ranking.with_evidence(ranked, contexts, model)
     return rows.select("context_id", "rank", "slug", "base_units", "similar", "matching_genres", "matching_tags", "matching_platforms", "components", "reasons", "summary")
 

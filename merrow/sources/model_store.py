@@ -15,7 +15,7 @@ from merrow.operators.popularity import popularity
 from merrow.operators.ranking import Model
 from merrow.scratch import written
 
-MEMBERS = ("items", "idf", "weights", "popularity")
+MEMBERS = ("items", "idf", "vectors", "popularity")
 
 
 def row_hash(items: DataFrame) -> Column:
@@ -47,13 +47,14 @@ def build(items: DataFrame, identity: ModelIdentity | None = None) -> Model:
 
 def held(model: Model) -> Model:
     """The model in scratch tables, for rankings that read it several times."""
-    kept = Features(written(model.features.idf, "idf"), written(model.features.weights, "weights"))
+    kept = Features(written(model.features.idf, "idf"), written(model.features.vectors, "vectors"))
     return Model(written(model.items, "items"), kept, written(model.popularity, "popularity"))
 
 
 def summary(model: Model) -> DataFrame:
     """One row: items, terms, weights."""
-    counts = [rows.agg(F.count("*").alias(name)) for rows, name in ((model.items, "items"), (model.features.idf, "terms"), (model.features.weights, "weights"))]
+    counts = [rows.agg(F.count("*").alias(name)) for rows, name in ((model.items, "items"), (model.features.idf, "terms"))]
+    counts.append(model.features.vectors.agg(F.coalesce(F.sum(F.size("numbers")), F.lit(0)).cast("long").alias("weights")))
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2])
 
 
@@ -61,7 +62,7 @@ def store(model: Model, path: str, built_at: str, identity: ModelIdentity | None
     """Write a model to a path where nothing is. Its members are checked as written before the
     manifest is; without its manifest a model doesn't count."""
     identity = identity or ModelIdentity()
-    for name, rows in (("items", model.items), ("idf", model.features.idf), ("weights", model.features.weights), ("popularity", model.popularity)):
+    for name, rows in (("items", model.items), ("idf", model.features.idf), ("vectors", model.features.vectors), ("popularity", model.popularity)):
         rows.write.mode("errorifexists").parquet(f"{path}/{name}")
     spark = model.items.sparkSession
     held = load(spark, path, checked=False)
@@ -88,8 +89,8 @@ def load(spark: SparkSession, path: str, checked: bool = True, identity: ModelId
 
 
 def _members(spark: SparkSession, path: str) -> tuple[DataFrame, Features, DataFrame]:
-    items, idf, weights, popular = (spark.read.parquet(f"{path}/{name}") for name in MEMBERS)
-    return items, Features(idf, weights), popular
+    items, idf, vectors, popular = (spark.read.parquet(f"{path}/{name}") for name in MEMBERS)
+    return items, Features(idf, vectors), popular
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
@@ -104,13 +105,16 @@ def integrity(spark: SparkSession, path: str, identity: ModelIdentity | None = N
 
 def _checks(model: Model, manifest: DataFrame, identity: ModelIdentity, limits: ModelLimits) -> DataFrame:
     counts = summary(model).select(*[F.col(c).alias(f"now_{c}") for c in ("items", "terms", "weights")])
-    per_row = model.features.weights.groupBy("slug").agg(F.sum(F.col("weight") * F.col("weight")).alias("square"), F.count_if(~((F.col("weight") >= 0) & (F.col("weight") < float("inf")))).alias("wild"))
-    wrong = F.abs(F.sqrt("square") - 1) > 1e-9 + 1e-12
-    rows = per_row.agg(F.count("*").alias("rows"), F.count_if(wrong).alias("norms"), F.coalesce(F.sum("wild"), F.lit(0)).alias("wild"))
-    twice = model.features.weights.groupBy("slug", "term").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("twice"))
+    square = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w)
+    odd = F.exists("weights", lambda w: ~((w >= 0) & (w < float("inf"))))
+    order = F.transform("numbers", lambda n, i: F.get("numbers", i + 1) > n)
+    # numbers rise, so that none is there twice; no weight lacks its number
+    uneven = F.size("numbers") != F.size("weights")
+    per_row = model.features.vectors.select("slug", (F.abs(F.sqrt(square) - 1) > 1e-9 + 1e-12).alias("off"), odd.alias("wild"), (F.exists(order, lambda x: ~x) | uneven).alias("twice"))
+    rows = per_row.agg(F.count("*").alias("rows"), F.count_if("off").alias("norms"), F.count_if("wild").alias("wild"), (F.count_if("twice") + F.count("slug") - F.countDistinct("slug")).alias("twice"))
     idf = model.features.idf.agg(F.count_if(~(F.col("idf") >= 1)).alias("low_idf"))
     popular = model.popularity.agg(F.count("*").alias("popular"), F.count_if(~F.coalesce(F.col("popularity").between(0, 1), F.lit(False))).alias("out_of_range"))
-    facts = manifest.crossJoin(counts).crossJoin(rows).crossJoin(twice).crossJoin(idf).crossJoin(popular).crossJoin(fingerprint(model.items).withColumnRenamed("fingerprint", "now_fingerprint"))
+    facts = manifest.crossJoin(counts).crossJoin(rows).crossJoin(idf).crossJoin(popular).crossJoin(fingerprint(model.items).withColumnRenamed("fingerprint", "now_fingerprint"))
     config = json.dumps(asdict(identity), sort_keys=True, default=str)
     under = lambda column, limit: F.lit(True) if limit is None else F.col(column) <= limit
     rules = {
