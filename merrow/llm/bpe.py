@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from merrow.llm.shared import arrow_map
+from merrow.llm.shared import arrow_map, bounded_batches
 
 #: Characters of text that are cut into words at once, and what a task remembers: stretches of text
 #: between white space, and the words in them.
@@ -247,6 +247,7 @@ def bpe_decode(docs: DataFrame, path: str, ids_col: str = "ids", decoded_col: st
             decoded = join_tokens(batch.column(at), tokens)
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, decoded_col])
 
+    bounded_batches(kept.sparkSession)
     return kept.mapInArrow(run, schema)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merrow.llm.components import components
-from merrow.llm.shared import discard, slices, small, written
+from merrow.llm.shared import bounded_batches, discard, slices, small, written
 from merrow.llm.shingles import parities, parities_differ, sequence_marks, shingle_sets, signatures
 
 #: Shingles of distinct sets that a task counts at once, and from which count in these it reports one.
@@ -86,6 +86,7 @@ def _measured(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *made, *[pa.nulls(len(n), pa.int64())] * 2], schema=fit)
         yield frequent()
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -147,6 +148,7 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, frequent) -> DataF
                 often = (place >= np.repeat(np.array(rare)[fresh], s)).astype(np.int64)
                 yield rows(token=pa.array(token), gid=pa.array(np.repeat(gid[fresh], s)), n=pa.array(np.repeat(n[fresh], s)), place=pa.array(place), often=pa.array(often))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -193,6 +195,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     names = ["node", "mark", "shingles"]
     schema = T.StructType([T.StructField("node", docs.schema[0].dataType), *_long("mark"), T.StructField("shingles", T.BinaryType())])
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

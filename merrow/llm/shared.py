@@ -57,12 +57,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000
             start = end
 
 
+#: Rows of an Arrow batch, where the session doesn't say otherwise. Spark's own number suits short
+#: rows; of whole texts it makes batches of tens of megabytes, several of which a task holds.
+BATCH_ROWS = "1000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, unless the session has set their size itself."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def arrow_map(df: DataFrame, text_col: str, outputs: T.StructType, make: Callable[[], Callable], keep: list[str] | None = None) -> DataFrame:
     """``df`` with columns computed from whole texts by Arrow batches.
 
     ``make`` runs once in each task and gives a function from a list of texts (bytes or None) to
     one Arrow array per field of ``outputs``. ``keep`` names the columns passed through (default:
     all). A column that has the name of an output is replaced by it."""
+    bounded_batches(df.sparkSession)
     names = [f.name for f in outputs]
     kept = [f for f in df.schema if f.name not in names and (keep is None or f.name in keep)]
     columns = [F.col(f"`{f.name}`") for f in kept]

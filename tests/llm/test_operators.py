@@ -51,15 +51,16 @@ def brute_hits(text, items):
     return len(own), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("block", [1_000_000, 3_000])
-def test_decontamination(spark, docs, block):
+def test_decontamination(spark, docs):
     from merrow.llm.decontaminate import find_benchmark_passages
 
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
     planted = docs.limit(20).withColumn("doc_id", F.col("doc_id") + 10_000).withColumn("text", F.concat(F.lit("Lead-in, "), F.lit(items[3][1].upper()), F.lit(" tail "), F.substring("text", 1, 300)))
     rows = docs.unionByName(planted)
-    got = by_id(find_benchmark_passages(rows, bench, block_bytes=block, keep=["doc_id", "text"]))
+    found = find_benchmark_passages(rows, bench, keep=["doc_id", "text"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = by_id(found)
     for r in rows.collect():
         g, (n, hits, names) = got[r.doc_id], brute_hits(r.text, items)
         assert (g.n_words, g.n_hit, g["items"]) == (n, hits, names)
@@ -68,6 +69,33 @@ def test_decontamination(spark, docs, block):
     assert one.text[one.spans[0].start : one.spans[0].end].lower().startswith(items[3][1][:10].lower())
 
 
+def test_blocks_and_what_is_around(monkeypatch):
+    """Few words, so that items overlap themselves, one another and the texts in every way."""
+    import random
+
+    from merrow.llm.decontaminate import scan_all, scanners_of
+
+    rng = random.Random(9)
+    for turn in range(300):
+        monkeypatch.setattr("merrow.llm.decontaminate.DIGITS", 2 + turn % 2)
+        monkeypatch.setattr("merrow.llm.decontaminate.MOST_WORDS", 1 + turn % 50)
+        some = lambda n: [rng.choice(["a", "b", "c"][: 1 + turn % 3]) for _ in range(n)]
+        window = rng.choice([1, 2, 3, 5, 8, 13])
+        items = [(str(i), " ".join(some(rng.randint(0, 40)))) for i in range(3)]
+        text = some(40) + items[0][1].split()[rng.randint(0, 9) :] + some(5) + items[1][1].split()[: rng.randint(0, 40)]
+        runs, ids = scan_all(scanners_of([(i, t.encode()) for i, t in items], window), [w.encode() for w in text])
+        hit, names = set(), set()
+        for name, item in items:
+            own = item.split()
+            size = min(window, len(own))
+            for s in range(len(own) - size + 1 if size else 0):
+                for p in range(len(text) - size + 1):
+                    if text[p : p + size] == own[s : s + size]:
+                        hit.update(range(p, p + size))
+                        names.add(name)
+        assert {i for a, b in zip(runs[::2], runs[1::2]) for i in range(a, b)} == hit and ids == names
+
+
 def test_decontamination_odd(spark, odd):
     from merrow.llm.decontaminate import find_benchmark_passages
 

@@ -177,3 +177,19 @@ def test_pipeline_stages_on_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
     assert sorted(r.text for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == ["no id at all here", *["one fine day in the garden"] * 2]
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    """Columns named as the operators' results, and a very long text, come through every stage."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    names = ("score", "lang_pred", "n_words", "n_hit", "items", "spans", "contaminated", "n_lines", "n_chunks", "component_id", "__other_0", "__text")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = docs.limit(1).select(F.lit(10**6).cast("long").alias("doc_id"), F.concat_ws(" ", "text", F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.concat(F.lit("word"), i))).alias("text"), "lang", "source", "n_chars")
+    docs = docs.unionByName(long).withColumns({n: F.concat(F.lit(f"{n}:"), "doc_id") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        wrong = [F.count_if(F.col(f"`{n}`") != F.concat(F.lit(f"{n}:"), "doc_id")) for n in names]
+        assert tuple(out.agg(F.count_if("doc_id = 1000000"), *wrong).first()) == (1, *[0] * len(names)), name
