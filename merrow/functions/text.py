@@ -34,8 +34,9 @@ def _folded(texts: pd.Series) -> pd.Series:
 
 
 def normalize_text(text: Column) -> Column:
-    """NFKC, all white space runs as one space, trimmed. A blank text becomes empty."""
-    spaced = F.regexp_replace(nfkc(text), r"(?U)\s+", " ")
+    """NFKC, all white space runs as one space, trimmed. A blank text becomes empty. The four
+    separators from U+001C on are white space too."""
+    spaced = F.regexp_replace(nfkc(text), r"(?U)[\s\x1c-\x1f]+", " ")
     return F.trim(spaced)
 
 
@@ -93,8 +94,8 @@ def terms(document: Column) -> Column:
 
 # The secrets that log redaction knows, and what replaces each.
 REDACTIONS = (
-    (r"(?i)\b(postgresql(?:\+[a-z0-9_-]+)?://[^:\s/@]+:)([^@\s/]+)(@)", "$1***$3"),
-    (r"(?i)\b(password|passwd|pwd|secret|token|csrf)(\s*[=:]\s*)([^\s,;]+)", "$1$2***"),
+    (r"(?iU)\b(postgresql(?:\+[a-z0-9_-]+)?://[^:\s/@]+:)([^@\s/]+)(@)", "$1***$3"),
+    (r"(?iU)\b(password|passwd|pwd|secret|token|csrf)(\s*[=:]\s*)([^\s,;]+)", "$1$2***"),
     (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{43}(?![A-Za-z0-9_-])", "***"),
 )
 

@@ -15,7 +15,7 @@ from merrow.operators import catalog, features, feedback, lifecycle, packed, pop
 from merrow.plans.sql import ORACLE_SQL as ORACLE_SQL
 from merrow.scratch import run_folder, written
 from merrow.sources import events as event_log
-from merrow.sources import model_store
+from merrow.sources import hash_tree, model_store
 from merrow.sources.views import CUTOFF, NOW, Views
 
 
@@ -355,18 +355,20 @@ def legacy_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event for each user with ranked rows; users who saved what isn't there any more aren't
+    ranked, and have a row that says so."""
     v = Views(spark, sf_dir)
-    state, model = _feedback(v), _model(v)
-    # who saved what isn't there any more isn't ranked, but told so
-    stale = preferences.stale_references(v.preferences(), _known(v)).select("user_id").distinct()
-    contexts = written(_contexts(v).join(stale, "user_id", "left_anti"), "contexts")
-    ranked = feedback.feedback_recommend(contexts, state, model).crossJoin(F.broadcast(model_store.fingerprint(model.items)))
-    prints = ranked.select("user_id", "fingerprint").distinct().withColumnRenamed("fingerprint", "catalog")
-    contexts = contexts.join(prints, "user_id")
+    state, model, everyone = _feedback(v), _model(v), _contexts(v)
+    refused = event_log.refusals(everyone, preferences.stale_references(v.preferences(), _known(v)))
+    refused = written(refused.withColumn("references", F.array_join("references", ",")), "refused")
+    contexts = written(everyone.join(refused, "user_id", "left_anti"), "contexts")
+    ranked = feedback.feedback_recommend(contexts, state, model)
+    contexts = contexts.crossJoin(F.broadcast(model_store.fingerprint(model.items).withColumnRenamed("fingerprint", "catalog")))
     made = F.concat(F.lit("gen-"), F.sha2(F.col("user_id").cast("string"), 256).substr(1, 24))
-    rows = event_log.generation_events(ranked, contexts, state, _at(NOW), F.col("catalog"), made)
+    rows = written(event_log.generation_events(ranked, contexts, state, _at(NOW), F.col("catalog"), made), "events")
     problems = event_log.payload_problems(rows).groupBy("generation_id").agg(F.count("*").alias("problems"))
-    return rows.join(problems, "generation_id", "left").withColumn("problems", F.coalesce("problems", F.lit(0)))
+    rows = rows.join(problems, "generation_id", "left").withColumn("problems", F.coalesce("problems", F.lit(0)))
+    return rows.unionByName(refused, allowMissingColumns=True)
 
 
 def pseudonymise_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,6 +385,32 @@ def catalog_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_store.fingerprint(rows).crossJoin(rows.agg(F.count("*").alias("items")))
 
 
+def catalog_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a catalog's tree of hashes says of one with some items removed, changed and added, when
+    only the branches of these are hashed again."""
+    items = Views(spark, sf_dir).nested_items()
+    old = hash_tree.held(hash_tree.tree(items))
+    removed = items.where("id % 9 = 0")
+    edited = items.where("id % 9 <> 0 and id % 7 = 0").withColumn("title", F.concat("title", F.lit("!")))
+    added = items.where("id % 10 = 1").withColumn("slug", F.concat("slug", F.lit("-b")))
+    return hash_tree.changes(old, hash_tree.held(hash_tree.refreshed(old, edited.unionByName(added), removed)))
+
+
+def model_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of a model made of all items: for the same catalog, for one that has changed, for
+    one that is invalid, and where there is no model."""
+    items = Views(spark, sf_dir).nested_items()
+    manifest = written(model_store.fingerprint(items), "manifest")
+    later = items.withColumn("title", F.when(F.col("id") == F.lit(1), "another").otherwise(F.col("title"))).unionByName(items.limit(1).withColumn("slug", F.lit("one-more")))
+    verdict = lambda valid: spark.range(1).select(F.lit(valid).alias("valid"))
+    cases = {"same": (manifest, items, True), "changed": (manifest, later, True), "invalid": (manifest, items, False), "none": (None, items, True)}
+    out = None
+    for name, (model, catalog_now, valid) in cases.items():
+        row = model_store.status(model, catalog_now, verdict(valid)).select(F.lit(name).alias("case"), "status", "reason")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of a model over all items, and the problems of its fit."""
     model = _model(Views(spark, sf_dir))
@@ -446,6 +474,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"catalog_page_{
         document_frequency_idf, tfidf_weights, content_documents, content_recommend, recommend_by_ids, recommend_evidence, context_checks, active_feedback, feedback_pages, feedback_pages_all,
         supersession_backfill, replace_state, positive_sources, feedback_recommend, preferences_pivot, preferences_replace, unknown_references, stale_references,
         upsert_classify, quality_checks, unique_checks, fk_checks, feedback_checks, catalog_canonicalise, retention_preview, retention_purge, revoke_cohort,
-        session_status, legacy_backfill, event_log_query, pseudonymise_users, redact_text, catalog_fingerprint, model_summary, model_integrity, session_renew, delete_users, legacy_events, half_step_ratings,
+        session_status, legacy_backfill, event_log_query, pseudonymise_users, redact_text, catalog_fingerprint, catalog_changes, model_states, model_summary, model_integrity, session_renew, delete_users, legacy_events, half_step_ratings,
     )
 }

@@ -9,6 +9,7 @@ from merrow.config import ModelIdentity
 from merrow.functions.identity import canonical_json, state_fingerprint
 from merrow.operators.feedback import positive_sources
 from merrow.operators.quality import SLUG
+from merrow.sources.files import exists
 
 # The bounds of an event's payload.
 MOST_ITEMS, MOST_CONTEXT_BYTES, MOST_RESULT_BYTES, MOST_TOP_K = 20, 8_192, 32_768, 20
@@ -107,6 +108,23 @@ def payload_problems(events: DataFrame) -> DataFrame:
     return rows.select("generation_id", F.explode(reasons).alias("reason"))
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append events in folders by date."""
-    events.withColumn("event_date", F.col("generated_at").cast("date")).write.mode("append").partitionBy("event_date").parquet(path)
+def refusals(contexts: DataFrame, stale: DataFrame) -> DataFrame:
+    """(user_id, reason, references) of users who aren't ranked because they saved what isn't there
+    any more; ``stale`` is of ``preferences.stale_references``."""
+    own = stale.groupBy("user_id").agg(F.array_sort(F.collect_list("reference")).alias("references"))
+    return contexts.select("user_id").join(own, "user_id").select("user_id", F.lit("stale_references").alias("reason"), "references")
+
+
+def append_events(events: DataFrame, path: str, batch: str) -> None:
+    """Append the events of a generation batch, in folders by date and batch.
+
+    A batch is named by its maker and has the same events whenever it is made again: running it
+    twice, or again after it failed half-way, replaces its own folders and no others. An event
+    whose generation_id another batch has isn't appended again, nor one that stands twice in the
+    batch."""
+    spark = events.sparkSession
+    rows = events.dropDuplicates(["generation_id"]).withColumns({"event_date": F.col("generated_at").cast("date"), "batch": F.lit(batch)})
+    if exists(spark, path):
+        others = spark.read.schema(rows.select("generation_id", "batch").schema).parquet(path).where(F.col("batch") != batch)
+        rows = rows.join(others.select("generation_id"), "generation_id", "left_anti")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path)

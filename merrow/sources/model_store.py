@@ -1,42 +1,29 @@
-"""Stored models: written once, with the manifest last as the commit mark; checked before use."""
+"""Stored models: staged, checked and promoted as a whole; checked again before use."""
 
 from __future__ import annotations
 
 import json
 from dataclasses import asdict
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merrow.config import ModelIdentity, ModelLimits
-from merrow.functions.identity import canonical_json, finite
 from merrow.operators.features import Features, fit
 from merrow.operators.popularity import popularity
 from merrow.operators.ranking import Model
 from merrow.scratch import written
+from merrow.sources import files, hash_tree
 
 MEMBERS = ("items", "idf", "vectors", "popularity")
 
 
-def row_hash(items: DataFrame) -> Column:
-    """SHA-256 of an item's canonical JSON; lists are taken by slug."""
-    lists = {k: F.array_sort(k) for k in ("genres", "tags", "platforms")}
-    names = ("slug", "title", "description", "developer", "publisher")
-    numbers = {k: finite(F.col(k).cast("double")) for k in ("average_rating", "popularity_score")} | {"rating_count": F.col("rating_count").cast("long")}
-    return F.sha2(canonical_json(**{n: F.col(n) for n in names}, **numbers, **lists), 256)
-
-
 def fingerprint(items: DataFrame) -> DataFrame:
-    """One row: the fingerprint of the whole catalog, the same for any order of rows.
-
-    Rows are hashed; hashes that share six hex digits are sorted and hashed together, then those
-    groups by three digits, then the 4,096 that are left. No group of the first two levels grows
-    beyond a 16,777,216th or a 4,096th part of what is below it."""
-    rows = items.select(row_hash(items).alias("h")).withColumn("k", F.substring("h", 1, 6))
-    for digits in (6, 3, 0):
-        joined = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "k", "h"))), ",")
-        rows = rows.groupBy(F.substring("k", 1, digits).alias("part")).agg(F.sha2(joined, 256).alias("h")).withColumnRenamed("part", "k")
-    return rows.select(F.col("h").alias("fingerprint"))
+    """One row: the fingerprint of the whole catalog, the same for any order of rows: the root of
+    its tree of hashes, in which no node has many children."""
+    return hash_tree.tree(items).root
 
 
 def build(items: DataFrame, identity: ModelIdentity | None = None) -> Model:
@@ -58,20 +45,43 @@ def summary(model: Model) -> DataFrame:
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2])
 
 
+def digests(model: Model) -> DataFrame:
+    """One row: for each member a digest of its rows, whatever their order."""
+    out = None
+    for name, rows in _members_of(model).items():
+        one = rows.select(F.xxhash64(*rows.columns).alias("h")).select("h", F.xxhash64("h", F.lit(7)).alias("g"))
+        digest = F.concat_ws(":", F.count("*"), F.hex(F.coalesce(F.expr("bit_xor(h)"), F.lit(0).cast("long"))), F.hex(F.coalesce(F.expr("bit_xor(g)"), F.lit(0).cast("long"))))
+        one = one.agg(digest.alias(f"{name}_digest"))
+        out = one if out is None else out.crossJoin(one)
+    return out
+
+
+def _members_of(model: Model) -> dict[str, DataFrame]:
+    return {"items": model.items, "idf": model.features.idf, "vectors": model.features.vectors, "popularity": model.popularity}
+
+
 def store(model: Model, path: str, built_at: str, identity: ModelIdentity | None = None) -> None:
-    """Write a model to a path where nothing is. Its members are checked as written before the
-    manifest is; without its manifest a model doesn't count."""
+    """Write a model to a path where nothing is.
+
+    All is written and checked in a hidden folder beside the path, then renamed to it at once, so
+    that the path has a whole model or none. A writer that ends before its end leaves only its
+    stage, which ``files.abandoned`` removes; storing again succeeds. Of several writers one wins,
+    and the others get an error."""
     identity = identity or ModelIdentity()
-    for name, rows in (("items", model.items), ("idf", model.features.idf), ("vectors", model.features.vectors), ("popularity", model.popularity)):
-        rows.write.mode("errorifexists").parquet(f"{path}/{name}")
     spark = model.items.sparkSession
-    held = load(spark, path, checked=False)
-    manifest = summary(held).crossJoin(fingerprint(held.items))
+    if files.exists(spark, path):
+        raise FileExistsError(f"{path} exists")
+    staged = files.staging(path)
+    for name, rows in _members_of(model).items():
+        rows.write.mode("errorifexists").parquet(f"{staged}/{name}")
+    held = load(spark, staged, checked=False)
+    manifest = summary(held).crossJoin(fingerprint(held.items)).crossJoin(digests(held))
     config = json.dumps(asdict(identity), sort_keys=True, default=str)
     extra = {"name": F.lit(identity.name), "version": F.lit(identity.version), "config": F.lit(config), "built_at": F.lit(built_at)}
     manifest = spark.createDataFrame([manifest.withColumns(extra).first()], manifest.withColumns(extra).schema)
     _refuse(_checks(held, manifest, identity, ModelLimits()))
-    manifest.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
+    manifest.coalesce(1).write.mode("errorifexists").parquet(f"{staged}/manifest")
+    files.promote(spark, staged, path)
 
 
 def _refuse(checks: DataFrame) -> None:
@@ -115,6 +125,7 @@ def _checks(model: Model, manifest: DataFrame, identity: ModelIdentity, limits:
     idf = model.features.idf.agg(F.count_if(~(F.col("idf") >= 1)).alias("low_idf"))
     popular = model.popularity.agg(F.count("*").alias("popular"), F.count_if(~F.coalesce(F.col("popularity").between(0, 1), F.lit(False))).alias("out_of_range"))
     facts = manifest.crossJoin(counts).crossJoin(rows).crossJoin(idf).crossJoin(popular).crossJoin(fingerprint(model.items).withColumnRenamed("fingerprint", "now_fingerprint"))
+    facts = facts.crossJoin(digests(model).toDF(*[f"digest_of_{n}" for n in MEMBERS]))
     config = json.dumps(asdict(identity), sort_keys=True, default=str)
     under = lambda column, limit: F.lit(True) if limit is None else F.col(column) <= limit
     rules = {
@@ -122,6 +133,7 @@ def _checks(model: Model, manifest: DataFrame, identity: ModelIdentity, limits:
         "config": F.col("config") == config,
         "counts": (F.col("items") == F.col("now_items")) & (F.col("terms") == F.col("now_terms")) & (F.col("weights") == F.col("now_weights")),
         "fingerprint": F.col("fingerprint") == F.col("now_fingerprint"),
+        "digests": reduce(and_, [F.col(f"{n}_digest") == F.col(f"digest_of_{n}") for n in MEMBERS]),
         "unique_weights": F.col("twice") == 0,
         "finite_weights": F.col("wild") == 0,
         "unit_rows": F.col("norms") == 0,
@@ -147,7 +159,4 @@ def status(manifest: DataFrame | None, canonical: DataFrame, verdict: DataFrame)
 
 def stale_items(stored: DataFrame, current: DataFrame) -> DataFrame:
     """(slug, change) of items that differ: added, removed or changed."""
-    old = stored.select("slug", row_hash(stored).alias("old"))
-    new = current.select("slug", row_hash(current).alias("new"))
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
-    return old.join(new, "slug", "full_outer").select("slug", change.alias("change")).where("change is not null")
+    return hash_tree.changes(*(hash_tree.held(hash_tree.tree(items)) for items in (stored, current)))
