@@ -166,7 +166,13 @@ def recommend_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     contexts, model = _contexts(v), _model(v)
     ranked = written(ranking.top_ranked(ranking.best_candidates(contexts, model), contexts), "ranked")
     rows = ranking.with_evidence(ranked, contexts, model)
-    return rows.select("context_id", "rank", "slug", "base_units", "similar", "matching_genres", "matching_tags", "matching_platforms", "components", "reasons", "summary")
+
+    def listed(name: str, *fields: str) -> Column:
+        return F.array_join(F.transform(name, lambda x: F.concat_ws(":", *[x[f] for f in fields])), ",").alias(name)
+
+    shown = [listed("similar", "slug", "units"), *[listed(f"matching_{k}", "slug") for k in ("genres", "tags", "platforms")]]
+    parts = listed("components", "name", "raw_units", "weight_units", "contribution_units")
+    return rows.select("context_id", "rank", "slug", "base_units", *shown, parts, F.array_join("reasons", " ").alias("reasons"), "summary")
 
 
 def context_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

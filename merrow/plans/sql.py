@@ -179,6 +179,15 @@ left join (select id, string_agg(name, ',' order by name, slug) as v from part_p
     "catalog_item": _with("part_items part_genres part_tags part_platforms", """
 select id, title, (select count(*) from part_genres g where g.id = i.id)::int as genres, (select count(*) from part_tags g where g.id = i.id)::int as tags,
   (select count(*) from part_platforms g where g.id = i.id)::int as platforms from part_items i where id = 7"""),
+    "catalog_items": _with("part_items part_genres part_tags part_platforms", """
+select id, title, (select count(*) from part_genres g where g.id = i.id)::int as genres, (select count(*) from part_tags g where g.id = i.id)::int as tags,
+  (select count(*) from part_platforms g where g.id = i.id)::int as platforms from part_items i"""),
+    "catalog_changes": _with("items", """
+select slug, 'removed' as change from items where id % 9 = 0
+union all select slug, 'changed' from items where id % 9 <> 0 and id % 7 = 0
+union all select slug || '-b', 'added' from items where id % 10 = 1"""),
+    "model_states": """
+select * from (values ('same', 'ready', null), ('changed', 'unavailable', 'catalog_stale'), ('invalid', 'unavailable', 'catalog_invalid'), ('none', 'not_configured', null)) t("case", status, reason)""",
     "catalog_scan": _with("part_items part_genres part_tags part_platforms", """
 select i.slug, i.popularity_score::double as popularity_score, coalesce(g.v, '') as genres, coalesce(t.v, '') as tags, coalesce(p.v, '') as platforms from part_items i
 left join (select id, string_agg(slug, ',' order by slug) as v from part_genres group by id) g on g.id = i.id
@@ -200,6 +209,43 @@ union all select distinct context_id, 'selected_unknown' from (select context_id
     "active_feedback": _with("state", "select * from state"),
     "feedback_pages": _with("state items", """
 select item_id, slug, reaction, played, wishlisted, rating, latest_at, count(*) over () as total from state join items on items.id = item_id where user_id = 3 order by latest_at desc, item_id limit 20"""),
+    "feedback_pages_all": _with("state items", """
+select * from (
+  select user_id, row_number() over (partition by user_id order by latest_at desc, item_id)::int as place, item_id, slug, reaction, played, wishlisted, rating, latest_at,
+    count(*) over (partition by user_id) as total from state join items on items.id = item_id) where place <= 20"""),
+    "recommend_evidence": _with("scored context weight items taxonomy", """
+, placed as (
+  select * from (select s.*, top_k, selected, genres, tags, platforms, row_number() over (
+    partition by s.user_id order by base_units desc, content_units desc, popularity_units desc, slug)::int as rank from scored s join context c on c.user_id = s.user_id) where rank <= top_k
+), close as (
+  select p.user_id, p.slug, k.picked, cast(round(cast(least(1.0, sum(a.weight * b.weight)) as decimal(20,18)) * 1000000) as bigint) as units
+  from placed p, unnest(selected) k(picked), weight a, weight b where a.slug = p.slug and b.slug = k.picked and a.term = b.term group by all
+), near as (
+  select user_id, c.slug, list({'slug': picked, 'title': title, 'units': units} order by units desc, picked) as "similar"
+  from close c join items i on i.slug = c.picked where units > 0 group by all
+), has as (
+  select i.slug, list({'slug': t.slug, 'name': t.slug} order by t.slug) filter (family = 'genre') as genres, list({'slug': t.slug, 'name': t.slug} order by t.slug) filter (family = 'tag') as tags,
+    list({'slug': t.slug, 'name': t.slug} order by t.slug) filter (family = 'platform') as platforms from items i join taxonomy t on t.id = i.id group by i.slug
+), facts as (
+  select p.user_id, p.rank, p.slug, base_units, content_units, platform_units, popularity_units, coalesce("similar"[1:3], []) as "similar",
+    list_filter(h.genres, lambda v: list_contains(p.genres, v.slug)) as matching_genres, list_filter(h.tags, lambda v: list_contains(p.tags, v.slug)) as matching_tags,
+    list_filter(h.platforms, lambda v: list_contains(p.platforms, v.slug)) as matching_platforms
+  from placed p join has h on h.slug = p.slug left join near n on n.user_id = p.user_id and n.slug = p.slug
+), told as (
+  select *, list_filter([
+    case when len("similar") > 0 then 'Its content profile is similar to ' || array_to_string(list_transform("similar"[1:2], lambda v: v.title), ', ') || '.' end,
+    case when len(matching_genres) > 0 then 'It matches your preferred genres: ' || array_to_string(list_transform(matching_genres[1:3], lambda v: v.name), ', ') || '.' end,
+    case when len(matching_tags) > 0 then 'It matches your preferred tags: ' || array_to_string(list_transform(matching_tags[1:3], lambda v: v.name), ', ') || '.' end,
+    case when len(matching_platforms) > 0 then 'It is available on preferred platforms: ' || array_to_string(list_transform(matching_platforms[1:3], lambda v: v.name), ', ') || '.' end,
+    case when popularity_units >= 700000 then 'Its catalog rating and popularity signals provide supporting evidence.' end], lambda x: x is not null) as found from facts
+)
+select user_id as context_id, rank, slug, base_units, array_to_string(list_transform("similar", lambda x: x.slug || ':' || x.units), ',') as "similar",
+  array_to_string(list_transform(matching_genres, lambda x: x.slug), ',') as matching_genres, array_to_string(list_transform(matching_tags, lambda x: x.slug), ',') as matching_tags,
+  array_to_string(list_transform(matching_platforms, lambda x: x.slug), ',') as matching_platforms,
+  array_to_string(list_transform([('content', content_units, 800000), ('platform', platform_units, 100000), ('popularity', popularity_units, 100000)],
+    lambda x: x[1] || ':' || x[2] || ':' || x[3] || ':' || (x[2] * x[3] + 500000) // 1000000), ',') as components,
+  array_to_string(shown, ' ') as reasons, shown[1] as summary
+from (select *, case when len(found) > 0 then found else ['Its catalog content is related to the context you selected.'] end as shown from told)"""),
     "supersession_backfill": _with("log", "select id, user_id, item_id, interaction_type, superseded_at from log"),
     "positive_sources": _with("state items", """
 select * from (select *, row_number() over (partition by user_id order by occurred_at desc, slug)::int as place from (
@@ -381,7 +427,7 @@ _PLAIN = {
     "average_rating::double": [f"catalog_page_{s}" for s in _ORDERS],
     "popularity_score::double": [*(f"catalog_page_{s}" for s in _ORDERS), "catalog_filter_taxonomy", "upsert_classify"],
     "release_date::varchar": [f"catalog_page_{s}" for s in _ORDERS],
-    "rating::double": ["active_feedback", "feedback_pages"],
+    "rating::double": ["active_feedback", "feedback_pages", "feedback_pages_all"],
     "weight::double": ["preferences_replace"],
 }
 for _cast, _names in _PLAIN.items():
