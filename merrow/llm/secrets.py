@@ -4,9 +4,9 @@ Runs of key-like characters are decoded to the symbols of the encoding that they
 tests look at the symbols: chi-squared against a uniform alphabet, the runs (how seldom neighbours
 are on different sides of it) and the serial correlation of neighbours. An alphabet's order is that
 of its symbols' frequency in the table. How such values lie in ordinary writing is measured in the
-same table: all of its words, with nothing between them, are cut into pieces of each length, and the
-means and covariances of the three tests say how likely ordinary writing is to look as random as a
-run. False discoveries are controlled over the whole table and separately by length, since long
+same table: all of its words, with nothing between them and joined as names are, are cut into pieces
+of each length, and the means and covariances of the three tests say how likely ordinary writing is
+to look as random as a run. False discoveries are controlled over the whole table and separately by length, since long
 runs show more: all runs of a length class are one family of tests.
 """
 
@@ -49,13 +49,20 @@ ALPHABETS = {
 ENCODINGS = tuple(ALPHABETS)
 #: Characters left in ordinary writing for each encoding; those that fold case are lower-cased first.
 _DROPPED = {name: bytes(b for b in range(256) if b not in own or b in b"+/") for name, own in ALPHABETS.items()}
+#: Ways to join ordinary words into names, told from running text in the widest encoding: camelCase
+#: and snake_case (paths and kebab-case too, since the last two symbols are alike rare; CONSTANT_CASE
+#: as well, since a run without small letters is lower-cased).
+STYLES = ("camel", "snake")
+#: What runs are held against: running text in each encoding, and joined words in the last one.
+NULLS = (*ENCODINGS, *STYLES)
+_WORD, _SMALL = re.compile(rb"[A-Za-z]+"), re.compile(rb"[a-z]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _URL = bytes.maketrans(b"-_", b"+/")
 
 SPAN_ARRAY = "array<struct<start:int,end:int,kind:int>>"
 SPAN = T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False), T.StructField("kind", T.IntegerType(), False)])
 TESTED = T.StructType([*[T.StructField(x, T.IntegerType(), False) for x in ("start", "end", "length_class", "encoding")], T.StructField("values", T.ArrayType(T.DoubleType(), False), False)])
-#: Of each encoding and length: the number of pieces, the sums of the tests and of their products.
+#: Of each kind of writing and length: the number of pieces, the sums of the tests and of their products.
 N_MOMENTS = 1 + 3 + 9
 OUTPUTS = T.StructType([T.StructField("base", T.ArrayType(SPAN, False), False), T.StructField("tested", T.ArrayType(TESTED, False), False), T.StructField("ordinary", T.ArrayType(T.DoubleType(), False), False)])
 
@@ -119,15 +126,28 @@ def battery(symbols: np.ndarray, size: int) -> np.ndarray:
 
 
 def moments(texts: list[bytes], places: dict[str, np.ndarray]) -> np.ndarray:
-    """The moments of ordinary writing in texts, for each encoding and length."""
-    out = np.zeros((len(ENCODINGS), len(LENGTHS), N_MOMENTS))
-    whole = b" ".join(KEY_LIKE.sub(b" ", t) for t in texts)
-    for e, name in enumerate(ENCODINGS):
-        left = np.frombuffer(folded(whole, name).translate(None, _DROPPED[name]), np.uint8)
+    """The moments of ordinary writing in texts, for each of NULLS and each length. Pieces are cut
+    within a text, so that they are the same however texts are dealt out."""
+    out = np.zeros((len(NULLS), len(LENGTHS), N_MOMENTS))
+    texts = [KEY_LIKE.sub(b" ", t) for t in texts]
+    names = [b"/".join(_WORD.findall(t)).lower() for t in texts]
+    for e, null in enumerate(NULLS):
+        name = null if null in ENCODINGS else ENCODINGS[-1]
+        if null == "camel":
+            written = [b"".join([w.capitalize() for w in n.split(b"/")]) for n in names]
+        elif null in STYLES:
+            written = names
+        else:
+            written = [folded(t, name).translate(None, _DROPPED[name]) for t in texts]
+        left, sizes = places[name][np.frombuffer(b"".join(written), np.uint8)], np.array([len(w) for w in written], np.int64)
+        begins = np.cumsum(sizes) - sizes
         for k, length in enumerate(LENGTHS):
-            pieces = places[name][left[: len(left) // length * length]].reshape(-1, length)
-            for start in range(0, len(pieces), 20_000):
-                values = battery(pieces[start : start + 20_000], len(ALPHABETS[name]))
+            n = sizes // length
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(begins, n) + step * length
+            for start in range(0, len(at), 20_000):
+                pieces = left[at[start : start + 20_000, None] + np.arange(length)]
+                values = battery(pieces, len(ALPHABETS[name]))
                 out[e, k] += np.concatenate([[len(values)], values.sum(0), (values.T @ values).ravel()])
     return out
 
@@ -150,7 +170,8 @@ def scan_texts(texts: list[bytes | None], places: dict[str, np.ndarray]) -> list
                 continue
             body = m[0].rstrip(b"=").translate(_URL)
             name = encoding(body)
-            known = places[name][np.frombuffer(folded(body, name), np.uint8)]
+            body = folded(body, name) if _SMALL.search(body) else body.lower()
+            known = places[name][np.frombuffer(body, np.uint8)]
             values = battery(known[None], len(ALPHABETS[name]))[0] if len(body) > 2 else np.zeros(3)
             runs.append({"start": start, "end": end, "length_class": length_class(end - start), "encoding": ENCODINGS.index(name), "values": values.tolist()})
         base.append([dict(zip(("start", "end", "kind"), s, strict=True)) for s in spans])
@@ -199,26 +220,34 @@ def levels_to_reach(counts: dict[tuple[int, int], int], rate: float = FALSE_RATE
 
 def _levels(ordinary: np.ndarray) -> Column:
     """The level of a tested run ``t``: its three tests, each in standard deviations from ordinary
-    writing, added up, in standard deviations of that sum; 0 where ordinary writing is too little."""
-    known = []
-    for e in range(len(ENCODINGS)):
+    writing, added up, in standard deviations of that sum; 0 where ordinary writing is too little.
+    A run of the widest encoding is held against joined words too, and has the lowest level."""
+    known: list[list[tuple[float, ...] | None]] = []
+    for e in range(len(NULLS)):
+        known.append([])
         for k in range(len(LENGTHS)):
             n, total, products = ordinary[e, k, 0], ordinary[e, k, 1:4], ordinary[e, k, 4:].reshape(3, 3)
             if n < LEAST_PIECES:
-                known.append((0.0,) * 4)
+                known[-1].append(None)
                 continue
             mean = total / n
             spread = products / n - np.outer(mean, mean)
             scale = np.where(np.diag(spread) > 1e-12, 1 / np.sqrt(np.maximum(np.diag(spread), 1e-12)), 0.0)
             of_sum = float(np.sqrt(max(scale @ spread @ scale, 0.0))) or 1.0
             weight = scale / of_sum
-            known.append((*weight.tolist(), float(-weight @ mean)))
-    table = F.array(*[F.array(*map(F.lit, row)) for row in known])
-    own = F.get(table, F.col("t.encoding") * len(LENGTHS) + F.col("t.length_class"))
-    total = F.get(own, F.lit(3))
-    for k in range(3):
-        total = total + F.get(own, F.lit(k)) * F.get("t.values", F.lit(k))
-    return F.least(F.greatest(F.floor(-STEPS * total), F.lit(0)), F.lit(MOST_LEVEL)).cast("int")
+            known[-1].append((*weight.tolist(), float(-weight @ mean)))
+
+    def total(rows: list[tuple[float, ...] | None], none: float) -> Column:
+        """By length class the sum of a run's tests against one kind of writing."""
+        own = F.get(F.array(*[F.array(*map(F.lit, r or (0.0, 0.0, 0.0, none))) for r in rows]), F.col("t.length_class"))
+        return sum((F.get(own, F.lit(k)) * F.get("t.values", F.lit(k)) for k in range(3)), F.get(own, F.lit(3)))
+
+    # joined words of which there are too few say nothing
+    widest = F.greatest(*[total(known[e], 0.0 if e < len(ENCODINGS) else float(-MOST_LEVEL)) for e in range(len(ENCODINGS) - 1, len(NULLS))])
+    chosen = F.when(F.col("t.encoding") == len(ENCODINGS) - 1, widest)
+    for e in range(len(ENCODINGS) - 1):
+        chosen = chosen.when(F.col("t.encoding") == e, total(known[e], 0.0))
+    return F.least(F.greatest(F.floor(-STEPS * chosen), F.lit(0)), F.lit(MOST_LEVEL)).cast("int")
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = FALSE_RATE) -> DataFrame:
@@ -241,9 +270,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return lambda texts: scan_texts(texts, places.value)
 
     scanned = written(arrow_map(source, "__text", OUTPUTS, make, ["__row", "__id"]), "secrets")
-    cells = len(ENCODINGS) * len(LENGTHS) * N_MOMENTS
+    cells = len(NULLS) * len(LENGTHS) * N_MOMENTS
     sums = scanned.where(F.size("ordinary") > 0).agg(*[F.coalesce(F.sum(F.get("ordinary", F.lit(k))), F.lit(0.0)) for k in range(cells)])
-    ordinary = np.array(sums.first()).reshape(len(ENCODINGS), len(LENGTHS), N_MOMENTS)
+    ordinary = np.array(sums.first()).reshape(len(NULLS), len(LENGTHS), N_MOMENTS)
     tested = scanned.select("__row", F.explode("tested").alias("t")).select("__row", "t.start", "t.end", "t.length_class", _levels(ordinary).alias("level"))
     tested = written(tested, "tested-runs")
     counts = {(r["length_class"], r["level"]): r["count"] for r in tested.groupBy("length_class", "level").count().collect()}

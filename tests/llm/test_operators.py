@@ -243,6 +243,38 @@ def test_planted_keys(spark, docs, symbols):
     assert len(named & keys.keys()) >= 54 and len(named & names.keys()) <= 3
 
 
+def test_names_are_no_keys(spark, docs):
+    """Names of joined words, in every style, beside keys of several encodings and lengths; the same
+    however the rows are dealt out."""
+    import random
+    import re
+    import string
+
+    from merrow.llm.secrets import KINDS, find_secrets
+
+    rng = random.Random(3)
+    words = [w.lower() for r in docs.select("text").collect() for w in re.findall(r"[A-Za-z]{3,9}", r.text or "")]
+    styles = {"camel": lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), "pascal": lambda w: "".join(x.capitalize() for x in w)}
+    styles |= {"snake": "_".join, "path": "/".join, "kebab": "-".join, "constant": lambda w: "_".join(w).upper()}
+    symbols = {"base36": string.ascii_lowercase + string.digits, "base64": string.ascii_letters + string.digits + "+/", "alnum": string.ascii_letters + string.digits}
+    symbols |= {"upper": string.ascii_uppercase + string.digits, "letters": string.ascii_lowercase}
+    planted = [(name, make([rng.choice(words) for _ in range(8)])) for name, make in styles.items() for _ in range(40)]
+    planted += [(name, "".join(rng.choice(own) for _ in range(n))) for name, own in symbols.items() for n in (20, 32, 64) for _ in range(30)]
+    rows = [(10**6 + i, f"see {x} here") for i, (_, x) in enumerate(planted)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = []
+    for parts in (1, 7):
+        out = find_secrets(table.repartition(parts)).collect()
+        found.append({(r.doc_id, s.start, s.end) for r in out for s in r.spans if KINDS[s.kind] == "random"})
+    assert found[0] == found[1]
+    hit = {i for i, _, _ in found[0]}
+    for name in (*styles, *symbols):
+        own = [10**6 + i for i, (n, _) in enumerate(planted) if n == name]
+        share = sum(i in hit for i in own) / len(own)
+        assert share <= 0.05 if name in styles else share >= 0.85, (name, share)
+    assert sum(10**6 + i in hit for i, (n, _) in enumerate(planted) if n in symbols) >= 0.9 * sum(n in symbols for n, _ in planted)
+
+
 def test_step_up_rule():
     """Levels against the rule on single p-values."""
     import random
