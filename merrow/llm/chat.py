@@ -115,7 +115,7 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict] = TO
     """One row for each call and for each result without a call.
 
     ``calls``: call_id, conv_id, turn, name, arguments (JSON text), uses (a call_id or null).
-    ``results``: call_id, turn, content. Result: these, and status (linked, no_result, no_call),
+    ``results``: call_id, turn, content, and conv_id if known. Result: these, and status (linked, no_result, no_call),
     n_results, level, valid, errors and message (canonical JSON of the call with its result).
 
     Sorting a conversation by level, turn and call_id is a topological order; level is null in a
@@ -123,17 +123,22 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict] = TO
     then by name and arguments), of several results the first by turn and content; n_results
     tells. Rows without an id link with nothing, and each keeps its row.
     Arguments that are null or no JSON object are invalid; what is no JSON stands in the message as
-    a string. Empty tables give no rows; further columns are left out."""
+    a string. A result without a call keeps its own conv_id, so that it can be put back into its
+    conversation by result_turn. Texts of any length are whole in arguments and messages. Empty
+    tables give no rows; further columns are left out, whatever their names."""
     fields = ("turn", "conv_id", "name", "arguments", "uses")
     first = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct(*fields)).alias("c"), F.count("*").alias("n")).select("call_id", "c.*")
     lone = calls.where("call_id is null").select("call_id", *fields)
-    answers = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
+    if "conv_id" not in results.columns:
+        results = results.withColumn("conv_id", F.lit(None).cast(calls.schema["conv_id"].dataType))
+    answer = F.struct("turn", "content", "conv_id")
+    answers = results.where("call_id is not null").groupBy("call_id").agg(F.min(answer).alias("r"), F.count("*").alias("n_results"))
     known = first.join(levels(first), "call_id").unionByName(lone.withColumn("level", F.lit(0).cast("long")))
-    stray = results.where("call_id is null").select(F.lit(None).cast("string").alias("call_id"), F.struct("turn", "content").alias("r"), F.lit(1).cast("long").alias("n_results"))
+    stray = results.where("call_id is null").select(F.lit(None).cast("string").alias("call_id"), answer.alias("r"), F.lit(1).cast("long").alias("n_results"))
     both = known.withColumn("is_call", F.lit(True)).join(answers, "call_id", "full_outer").unionByName(stray, allowMissingColumns=True)
     status = F.when(F.col("is_call").isNull(), "no_call").when(F.col("n_results").isNull(), "no_result").otherwise("linked")
     errors = F.when(status != "no_call", errors_of(F.col("arguments"), F.col("name"), tools))
-    out = both.withColumns({"status": status, "errors": errors, "result_turn": F.col("r.turn"), "content": F.col("r.content"), "n_results": F.coalesce("n_results", F.lit(0)).cast("long")})
+    out = both.withColumns({"status": status, "errors": errors, "conv_id": F.coalesce("conv_id", "r.conv_id"), "result_turn": F.col("r.turn"), "content": F.col("r.content"), "n_results": F.coalesce("n_results", F.lit(0)).cast("long")})
     call = F.struct(F.coalesce(F.try_parse_json("arguments"), F.col("arguments").cast("variant")).alias("arguments"), F.col("call_id").alias("id"), F.col("name"), F.struct("content", F.col("result_turn").alias("turn")).alias("result"))
     message = F.when(status != "no_call", one_number_form(F.to_json(call, {"ignoreNullFields": "false"})))
     return out.select("conv_id", "turn", "call_id", "name", "uses", "level", "status", "n_results", "result_turn", "content", (F.size("errors") == 0).alias("valid"), "errors", message.alias("message"))
@@ -146,7 +151,9 @@ def calls_in(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     its arguments follow from the turn's words, and some are wrong on purpose of the checks.
 
     Further rows of one conversation and turn have identifiers that end in #2, #3 and so on, by
-    text; rows without a conv_id or a turn have none, so that nothing links them or merges them."""
+    text; rows without a conv_id or a turn have none, so that nothing links them or merges them.
+    Texts of any length are taken whole, a null one as an empty one; an empty table gives empty
+    ones, and further columns are left out."""
     place = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.concat_ws(":", "conv_id", "turn"))
     is_call = F.coalesce(F.col("role") == "assistant", F.lit(False))
     turns = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), place.alias("place"), is_call.alias("is_call"))
@@ -163,5 +170,5 @@ def calls_in(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     count = F.to_json(F.struct(F.when(n % 11 == 0, F.lit("lines")).otherwise(F.lit("words")).alias("unit"), whole.alias("text")))
     score = F.to_json(F.struct((n % 13 - 1).alias("value"), (n % 2 == 0).alias("strict"), F.struct(n.alias("words"), F.lit(1).alias("at"), whole.alias("text")).alias("extra")))
     call = call.withColumns({"name": F.element_at(F.array(F.lit("lookup"), F.lit("count"), F.lit("score")), n % 3 + 1), "arguments": F.when(n % 17 == 0, whole).otherwise(F.element_at(F.array(lookup, count, score), n % 3 + 1)), "uses": name_of(F.col("turn") - 2)})
-    result = turns.where("not is_call").select(F.concat(name_of(F.col("turn") - 1), further).alias("call_id"), "turn", F.col("text").alias("content"))
+    result = turns.where("not is_call").select(F.concat(name_of(F.col("turn") - 1), further).alias("call_id"), "conv_id", "turn", F.col("text").alias("content"))
     return call.select("call_id", "conv_id", "turn", "name", "arguments", "uses"), result

@@ -21,12 +21,17 @@ def test_chat_keeps_every_turn(spark):
             assert json.loads(before.message)["result"]["content"] == t.text
         else:
             assert rest[f"call:{t.conv_id}:{t.turn - 1}", t.turn] == t.text
+            assert any((r.conv_id, r.result_turn) == (t.conv_id, t.turn) for r in out if r.status == "no_call")
     assert any("query: longer than 200" in (r.errors or "") for r in out)
 
 
 def test_chat_null_and_repeated_places(spark):
     from merrow.llm.chat import calls_in, link_calls
 
+    # every row of the output can be put back into its conversation
+    turns = spark.createDataFrame([(1, 0, "system", "be brief", "x"), (1, 1, "user", "hello", "y"), (2, 5, "user", "w " * 200_000, "z")], "conv_id long, turn long, role string, text string, call_id string")
+    back = link_calls(*calls_in(turns)).collect()
+    assert sorted((r.conv_id, r.result_turn, len(r.content)) for r in back) == [(1, 0, 8), (1, 1, 5), (2, 5, 400_000)]
     rows = [(None, 1, "assistant", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (1, None, "assistant", "c"), (1, 1, "assistant", "d"), (1, 1, "assistant", "e"), (1, 2, "user", "f"), (1, 2, "user", "g"), (1, 2, "system", "h"), (None, 2, "user", "i"), (2, 0, None, "j")]
     got = link_calls(*calls_in(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
     assert sum(r.status != "no_call" for r in got) == 6 and len({r.message for r in got if r.message}) == 5
