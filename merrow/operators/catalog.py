@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merrow.operators.order import numbered
+from merrow.scratch import written
 
 # The sort orders of a catalog page.
 SORTS = ("popularity", "rating", "release", "title")
@@ -49,6 +51,20 @@ def page_of(rows: DataFrame, order: list[Column], page: int, size: int) -> DataF
     return rows.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_index(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with their place from 1 in an order, as a table written in that order, for callers
+    who turn many pages of it: a page is then a range of places, and its files and row groups are
+    found by their bounds, however deep it is."""
+    return written(numbered(rows, order), "page-index")
+
+
+def indexed_page(index: DataFrame, page: int, size: int) -> DataFrame:
+    """One page of a ``page_index``, numbered from 1; empty beyond the last one."""
+    if page < 1 or size < 1:
+        raise ValueError("pages and sizes start at 1")
+    return index.where(F.col("place").between((page - 1) * size + 1, page * size)).orderBy("place")
+
+
 def totals(rows: DataFrame, size: int) -> DataFrame:
     """One row: total rows, and total_pages of a size (0 without rows)."""
     return rows.agg(F.count("*").alias("total")).withColumn("total_pages", F.ceil(F.col("total") / size).cast("long"))

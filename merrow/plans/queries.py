@@ -32,6 +32,18 @@ def _page(sort: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def catalog_deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first, a middle and the last page of every sort, each as a range of the sort's index."""
+    items, out = written(Views(spark, sf_dir).items().drop("description"), "items"), None
+    last = max(1, -(-items.count() // 20))
+    for sort in catalog.SORTS:
+        index = catalog.page_index(items, catalog.sort_columns(sort))
+        for page in sorted({1, (last + 1) // 2, last}):
+            rows = catalog.indexed_page(index, page, 20).select(F.lit(sort).alias("sort"), F.lit(page).cast("long").alias("page"), "place", "id")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def catalog_search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a few searches; the wildcards of SQL are ordinary characters."""
     items = Views(spark, sf_dir).part_items()
@@ -476,7 +488,7 @@ def _plain(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"catalog_page_{s}": _plain(_page(s)) for s in catalog.SORTS} | {
     f.__name__.removesuffix("_query"): _plain(f)
     for f in (
-        catalog_search_literal, catalog_filter_taxonomy, catalog_nested, catalog_item, catalog_items, catalog_scan, taxonomy_lists, resolve_ids, popularity_baseline, term_frequency,
+        catalog_deep_pages, catalog_search_literal, catalog_filter_taxonomy, catalog_nested, catalog_item, catalog_items, catalog_scan, taxonomy_lists, resolve_ids, popularity_baseline, term_frequency,
         document_frequency_idf, tfidf_weights, content_documents, content_recommend, recommend_by_ids, recommend_evidence, context_checks, active_feedback, feedback_pages, feedback_pages_all,
         supersession_backfill, replace_state, positive_sources, feedback_recommend, preferences_pivot, preferences_replace, unknown_references, stale_references,
         upsert_classify, quality_checks, unique_checks, fk_checks, feedback_checks, catalog_canonicalise, retention_preview, retention_purge, revoke_cohort,

@@ -167,6 +167,10 @@ _ITEM_COLUMNS = "id, slug, average_rating, rating_count, release_date, popularit
 _ORDERS = {"popularity": "popularity_score desc, id", "rating": "average_rating desc nulls last, rating_count desc, id", "release": "release_date desc nulls last, id", "title": "lower(title), id"}
 
 ORACLE_SQL: dict[str, str] = {f"catalog_page_{s}": _with("items", f"select {_ITEM_COLUMNS}, count(*) over () as total, ceil(count(*) over () / 20.0)::bigint as total_pages from items order by {o} limit 20 offset 20") for s, o in _ORDERS.items()} | {
+    "catalog_deep_pages": _with("items", ", placed as (" + " union all ".join(
+        f"select '{sort}' as sort, row_number() over (order by {order}) as place, id, (select greatest(1, (count(*) + 19) // 20) from items) as last from items" for sort, order in _ORDERS.items()) + """
+), paged as (select *, (place - 1) // 20 + 1 as page from placed)
+select sort, page, place, id from paged where page in (1, (last + 1) // 2, last)"""),
     "catalog_search_literal": _with("part_items", r"select q, count(id) as total, ceil(count(id) / 20.0)::bigint as total_pages from (select unnest(['red', 'WIDGET', '%', '_', '\']) as q) left join part_items on contains(lower(title), lower(q)) group by q"),
     "catalog_filter_taxonomy": _with("part_items part_genres part_tags part_platforms", """
 select id, title, popularity_score from part_items where contains(lower(title), 'r') and id in (select id from part_genres where slug = 'economy')

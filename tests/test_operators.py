@@ -75,6 +75,23 @@ def test_catalog(spark, items):
     assert [r.slug for r in known.collect()] == ["item-1"] and [r.id for r in unknown.collect()] == [99]
 
 
+def test_deep_pages(spark):
+    """Every page of an index equals that of a sort, and the last one reads no more rows than the first."""
+    rng = random.Random(3)
+    rows = [(i, None, f"Title {rng.randrange(9)}", f"item-{i}", "d", None, None, None, Decimal(rng.randrange(4)) if i % 5 else None, rng.randrange(3), Decimal(rng.randrange(6)), None) for i in range(97)]
+    table = spark.createDataFrame(rows, ITEM)
+    for sort in catalog.SORTS:
+        order = catalog.sort_columns(sort)
+        index = catalog.page_index(table, order)
+        for page in (1, 2, 5, 10, 11):
+            own = [r.id for r in catalog.indexed_page(index, page, 10).collect()]
+            assert own == [r.id for r in catalog.page_of(table, order, page, 10).collect()]
+            plan = catalog.indexed_page(index, page, 10)._jdf.queryExecution().executedPlan().toString()
+            assert "GreaterThanOrEqual(place" in plan and "LessThanOrEqual(place" in plan
+    with pytest.raises(ValueError, match="start at 1"):
+        catalog.indexed_page(index, 0, 10)
+
+
 def test_popularity(spark, items):
     got = {r.slug: r.popularity for r in popularity.popularity(items).collect()}
     mean = (9 * 5 + 9 * 9 + 1) / 15
