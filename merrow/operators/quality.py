@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from merrow.functions.text import casefold, normalize_text
@@ -70,6 +70,21 @@ def violations(rows: DataFrame, table: str, key: str, rules: dict[str, Column])
     return rows.select(F.lit(table).alias("table"), F.explode(broken).alias("rule"), F.col(key).cast("string").alias("key"))
 
 
+def split(rows: DataFrame, rules: dict[str, Column], path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Clean rows, rejected rows with their ``reasons``, and how many rows there are and break each
+    rule, from one scan of ``rows``: both kinds are written side by side where nothing is, while
+    the counts are observed. An empty table gives two empty ones."""
+    broken = F.array_compact(F.array(*[F.when(~test, F.lit(name)) for name, test in rules.items()]))
+    # the flag is made once; a row that breaks a rule goes to the other folder
+    marked = rows.withColumn("reasons", broken).withColumn("verdict", F.when(F.size("reasons") == 0, "clean").otherwise("reject"))
+    watch = Observation()
+    counts = [F.count_if(F.array_contains("reasons", name)).alias(name) for name in rules]
+    observed = marked.observe(watch, F.count(F.lit(1)).alias("rows"), *counts)
+    observed.write.mode("errorifexists").partitionBy("verdict").parquet(path)
+    both = rows.sparkSession.read.schema(marked.schema).parquet(path)
+    return both.where("verdict = 'clean'").drop("reasons", "verdict"), both.where("verdict = 'reject'").drop("verdict"), dict(watch.get)
+
+
 def duplicates(rows: DataFrame, table: str, rule: str, keys: list[str], where: Column | None = None) -> DataFrame:
     """(table, rule, key, n) of keys that occur more than once among the rows that ``where`` selects."""
     part = rows.where(where) if where is not None else rows

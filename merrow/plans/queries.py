@@ -282,11 +282,25 @@ def _planted(rows: DataFrame, key: str, parts: int, changes: dict[int, dict]) ->
     return rows.withColumns(values)
 
 
+#: Values that break each rule of items, by the remainder of the id.
+WRONG_ITEMS = {0: {"slug": "Not A Slug"}, 1: {"slug": "a" * 221}, 2: {"title": "t" * 201}, 3: {"average_rating": 11}, 4: {"rating_count": -1}, 5: {"popularity_score": -1}}
+
+
+def quality_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items split into clean and rejected ones: rows that break each rule, as observed while they
+    were written, and the rows of both tables."""
+    items = _planted(Views(spark, sf_dir).items(), "id", 13, WRONG_ITEMS)
+    clean, rejected, counts = quality.split(items, quality.item_rules(), f"{run_folder(spark)}/split-{uuid.uuid4().hex}")
+    by_rule = spark.createDataFrame([(rule, n) for rule, n in counts.items() if n and rule != "rows"], "rule string, n long")
+    for name, rows in (("clean", clean), ("rejected", rejected)):
+        by_rule = by_rule.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n"))
+    return by_rule
+
+
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of items, interactions, preferences and users, with rows that break each of them."""
     v = Views(spark, sf_dir)
-    wrong = {0: {"slug": "Not A Slug"}, 1: {"slug": "a" * 221}, 2: {"title": "t" * 201}, 3: {"average_rating": 11}, 4: {"rating_count": -1}, 5: {"popularity_score": -1}}
-    items = _planted(v.items(), "id", 13, wrong)
+    items = _planted(v.items(), "id", 13, WRONG_ITEMS)
     log = _planted(feedback.supersede(v.interactions()), "id", 50, {0: {"value": 11}})
     shared = (F.col("id") % 50 == 1) & (F.col("interaction_type") != "rated")
     early = F.when(F.col("id") % 50 == 2, F.col("occurred_at") - F.expr("interval 1 day")).otherwise(F.col("superseded_at"))
@@ -491,7 +505,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"catalog_page_{
         catalog_deep_pages, catalog_search_literal, catalog_filter_taxonomy, catalog_nested, catalog_item, catalog_items, catalog_scan, taxonomy_lists, resolve_ids, popularity_baseline, term_frequency,
         document_frequency_idf, tfidf_weights, content_documents, content_recommend, recommend_by_ids, recommend_evidence, context_checks, active_feedback, feedback_pages, feedback_pages_all,
         supersession_backfill, replace_state, positive_sources, feedback_recommend, preferences_pivot, preferences_replace, unknown_references, stale_references,
-        upsert_classify, quality_checks, unique_checks, fk_checks, feedback_checks, catalog_canonicalise, retention_preview, retention_purge, revoke_cohort,
+        upsert_classify, quality_checks, quality_split, unique_checks, fk_checks, feedback_checks, catalog_canonicalise, retention_preview, retention_purge, revoke_cohort,
         session_status, legacy_backfill, event_log_query, pseudonymise_users, redact_text, catalog_fingerprint, catalog_changes, model_states, model_summary, model_integrity, session_renew, delete_users, legacy_events, half_step_ratings,
     )
 }

@@ -426,6 +426,12 @@ from context c left join placed p on p.user_id = c.user_id and rank <= c.top_k l
         {"asked": _EFFECTIVE}),
 }
 
+_FOUND = f"""(select * from ({ORACLE_SQL["quality_checks"]}) where "table" = 'items')"""
+ORACLE_SQL["quality_split"] = f"""
+select rule, count(*) as n from {_FOUND} group by rule
+union all select 'clean', (select count(*) from documents) - count(distinct key) from {_FOUND}
+union all select 'rejected', count(distinct key) from {_FOUND}"""
+
 # decimals and dates are compared as doubles and text
 _PLAIN = {
     "average_rating::double": [f"catalog_page_{s}" for s in _ORDERS],

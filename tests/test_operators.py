@@ -168,6 +168,26 @@ def test_rules(spark):
     assert {(r.rule, r.key) for r in quality.violations(frame, "e", "generation_id", quality.event_rules()).collect()} == {("event_identity", "g2"), ("context_is_object", "g2"), ("result_is_array", "g2")}
 
 
+def test_split_in_one_scan(spark, tmp_path):
+    rows = log(spark, (1, 1, "rated", None, 0), (1, 2, "other", "11", 0), (1, 3, "liked", None, 0), (1, 4, "rated", "10", 0), (1, 5, "viewed", None, 1))
+    scans = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        scans.add(1)
+        return x
+
+    counted = rows.withColumn("id", seen.asNondeterministic()("id"))
+    clean, rejects, counts = quality.split(counted, quality.interaction_rules(), str(tmp_path / "split"))
+    assert scans.value == 5 and counts == {"rows": 5, "type_known": 1, "value_only_for_ratings": 2, "superseded_after": 0}
+    assert {r.item_id for r in clean.collect()} == {3, 4, 5} and clean.columns == rows.columns
+    assert {r.item_id: r.reasons for r in rejects.collect()} == {1: ["value_only_for_ratings"], 2: ["type_known", "value_only_for_ratings"]}
+    with pytest.raises(Exception, match="(?i)exist"):
+        quality.split(rows, quality.interaction_rules(), str(tmp_path / "split"))
+    none = quality.split(rows.where("false"), quality.interaction_rules(), str(tmp_path / "none"))
+    assert none[0].count() == none[1].count() == 0 and none[2]["rows"] == 0
+
+
 def test_canonical_items(spark):
     ok = (1, None, " A  title ", "a-1", "text", None, "", "  ", Decimal("5.00"), 1, Decimal(1), None, [("b", "B"), ("a", "A")], [], [])
     bad = (2, None, "　", "Bad Slug", "t", None, None, None, None, -1, Decimal(1), None, [("a", "A"), ("a", "B")], [], [])
