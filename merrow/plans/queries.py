@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from merrow.arrow import spread
 from merrow.functions import fixedpoint, identity, text
-from merrow.operators import catalog, features, feedback, lifecycle, packed, popularity, preferences, quality, ranking
+from merrow.operators import catalog, features, feedback, lifecycle, packed, popularity, preferences, quality, ranking, search
 from merrow.plans.sql import ORACLE_SQL as ORACLE_SQL
 from merrow.scratch import run_folder, written
 from merrow.sources import events as event_log
@@ -54,6 +54,16 @@ def catalog_search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def catalog_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals through the trigrams of titles."""
+    items = written(Views(spark, sf_dir).part_items(), "items")
+    index, out = search.index_titles(items), None
+    for q in ("red", "WIDGET", "%", "_", "\\"):
+        row = catalog.totals(search.search_indexed(items, index, q), 20).withColumn("q", F.lit(q))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def catalog_filter_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
     rows, _ = catalog.catalog_page(v.part_items(), "popularity", 1, 50, query="r", genre=(v.part_genres(), "economy"), tag=(v.part_tags(), "red"), platform=(v.part_platforms(), "n3"))
@@ -502,7 +512,7 @@ def _plain(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"catalog_page_{s}": _plain(_page(s)) for s in catalog.SORTS} | {
     f.__name__.removesuffix("_query"): _plain(f)
     for f in (
-        catalog_deep_pages, catalog_search_literal, catalog_filter_taxonomy, catalog_nested, catalog_item, catalog_items, catalog_scan, taxonomy_lists, resolve_ids, popularity_baseline, term_frequency,
+        catalog_deep_pages, catalog_search_literal, catalog_search_indexed, catalog_filter_taxonomy, catalog_nested, catalog_item, catalog_items, catalog_scan, taxonomy_lists, resolve_ids, popularity_baseline, term_frequency,
         document_frequency_idf, tfidf_weights, content_documents, content_recommend, recommend_by_ids, recommend_evidence, context_checks, active_feedback, feedback_pages, feedback_pages_all,
         supersession_backfill, replace_state, positive_sources, feedback_recommend, preferences_pivot, preferences_replace, unknown_references, stale_references,
         upsert_classify, quality_checks, quality_split, unique_checks, fk_checks, feedback_checks, catalog_canonicalise, retention_preview, retention_purge, revoke_cohort,

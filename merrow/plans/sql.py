@@ -426,6 +426,7 @@ from context c left join placed p on p.user_id = c.user_id and rank <= c.top_k l
         {"asked": _EFFECTIVE}),
 }
 
+ORACLE_SQL["catalog_search_indexed"] = ORACLE_SQL["catalog_search_literal"]
 _FOUND = f"""(select * from ({ORACLE_SQL["quality_checks"]}) where "table" = 'items')"""
 ORACLE_SQL["quality_split"] = f"""
 select rule, count(*) as n from {_FOUND} group by rule

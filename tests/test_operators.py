@@ -92,6 +92,18 @@ def test_deep_pages(spark):
         catalog.indexed_page(index, 0, 10)
 
 
+def test_indexed_search_equals_the_scan(spark):
+    from merrow.operators import search
+
+    titles = ["Red Sky", "RED%", "under_score", "Back\\slash \\ red", "東京タワー 東京", "İstanbul", "ab", "", None, "aaaa", "red red red", "%_%", "re d", "Straße rot"]
+    items = spark.createDataFrame(list(enumerate(titles)), "id long, title string").repartition(3)
+    index = search.index_titles(items)
+    for q in ("red", "RED", "%", "_", "\\", "a", "aaa", "aaaaa", "東京", "京タワ", "İst", "straße", "%_%", "sky ", "nothing", "", "d red", "red re", "h \\ r"):
+        own = sorted(r.id for r in search.search_indexed(items, index, q).collect())
+        assert own == sorted(r.id for r in catalog.search_title(items, q).collect()), q
+    assert search.search_indexed(items, index, "red").count() >= 4
+
+
 def test_popularity(spark, items):
     got = {r.slug: r.popularity for r in popularity.popularity(items).collect()}
     mean = (9 * 5 + 9 * 9 + 1) / 15
