@@ -49,19 +49,22 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs), keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def _lines_left(left: DataFrame) -> DataFrame:
+    return left.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of line dedup: chunks, and repeated passages whatever chunks they are in."""
     from merrow.llm.line_dedup import dedup_lines
 
-    left = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return left.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+    return _lines_left(dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"), passages=True))
 
 
-def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole of line dedup: chunks, and repeated passages whatever chunks they are in."""
+def op4_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup by chunks alone, which SQL can state."""
     from merrow.llm.line_dedup import dedup_lines
 
-    left = dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"), passages=True)
-    return left.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+    return _lines_left(dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_language": op3_language,
     "op4_line_dedup": op4_line_dedup,
-    "op4_passages": op4_passages,
+    "op4_chunks": op4_chunks,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
     "op7_token_counts": op7_token_counts,
@@ -213,7 +216,7 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from doc d left join counted c on c.doc_id = d.doc_id left join named n on n.doc_id = d.doc_id
 """,
-    "op4_line_dedup": """
+    "op4_chunks": """
 with line as (
   select doc_id, i, string_split(text, chr(10))[i] as line
   from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)

@@ -90,6 +90,50 @@ def test_repeated_passages_of_few_lines(spark):
     assert kept >= {x for t in texts.values() for x in t.split("\n")}
 
 
+def brute_chunks(texts, divisor=3):
+    """Lines (id, place) of chunks that stand before, and how many chunks each text has and loses."""
+    import hashlib
+
+    seen, gone, counts = set(), set(), {}
+    for k in sorted(texts):
+        lines, chunks, before = texts[k].split("\n"), [], None
+        for i, line in enumerate(lines):
+            h, is_long = int(hashlib.md5(line.encode()).hexdigest()[:7], 16), len(line.split()) >= 50
+            if before is None or is_long or before[1] or (31 * before[0] + h) % divisor == 0:
+                chunks.append([])
+            chunks[-1].append(i)
+            before = (h, is_long)
+        lost = 0
+        for c in chunks:
+            body = "\n".join(lines[i] for i in c)
+            if (len(c) > 1 or len(body.split()) >= 50) and body.split():
+                if body in seen:
+                    lost += 1
+                    gone.update((k, i) for i in c)
+                seen.add(body)
+        counts[k] = (len(chunks), lost)
+    return gone, counts
+
+
+def test_line_dedup_query_by_brute_force(spark):
+    """Chunks are told exactly; every line that goes stands before in a chunk or a long passage, and
+    every line of a long repeated passage goes."""
+    import hashlib
+
+    from merrow.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    by_chunk, counts = brute_chunks(texts)
+    gone = by_chunk | brute_gone(texts)
+    rows = QUERIES["op4_line_dedup"](spark, SF).collect()
+    assert len(rows) == len(texts) and len(gone) > len(by_chunk)
+    for r in rows:
+        lines = texts[r.doc_id].split("\n")
+        left = [x for i, x in enumerate(lines) if (r.doc_id, i) not in gone]
+        assert (r.n_lines, r.n_chunks, r.n_removed_chunks) == (len(lines), *counts[r.doc_id])
+        assert (r.n_removed_lines, r.text_sha256) == (len(lines) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest()), r.doc_id
+
+
 def test_texts_without_common_lines(spark):
     from merrow.llm.quality import without_common_lines
 
