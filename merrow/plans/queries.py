@@ -459,6 +459,16 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_store.summary(model).crossJoin(features.fit_problems(model.items, model.features).agg(F.count("*").alias("problems")))
 
 
+def feature_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of a fit over all items, some of which have nothing to say."""
+    items = Views(spark, sf_dir).nested_items()
+    empty = {c: F.when(F.col("id") % 17 != 0, F.col(c)) for c in ("title", "description", "developer")}
+    lists = {c: F.when(F.col("id") % 17 != 0, F.col(c)).otherwise(F.array().cast(items.schema[c].dataType)) for c in ("genres", "tags")}
+    items = written(items.withColumns(empty | lists), "items")
+    found = features.fit(items)
+    return features.fit_problems(items, features.Features(found.idf, written(found.vectors, "vectors")))
+
+
 def model_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model over all items, stored, read again and checked, with its status for the same catalog."""
     v = Views(spark, sf_dir)
@@ -516,6 +526,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"catalog_page_{
         document_frequency_idf, tfidf_weights, content_documents, content_recommend, recommend_by_ids, recommend_evidence, context_checks, active_feedback, feedback_pages, feedback_pages_all,
         supersession_backfill, replace_state, positive_sources, feedback_recommend, preferences_pivot, preferences_replace, unknown_references, stale_references,
         upsert_classify, quality_checks, quality_split, unique_checks, fk_checks, feedback_checks, catalog_canonicalise, retention_preview, retention_purge, revoke_cohort,
-        session_status, legacy_backfill, event_log_query, pseudonymise_users, redact_text, catalog_fingerprint, catalog_changes, model_states, model_summary, model_integrity, session_renew, delete_users, legacy_events, half_step_ratings,
+        session_status, legacy_backfill, event_log_query, pseudonymise_users, redact_text, catalog_fingerprint, catalog_changes, model_states, feature_checks, model_summary, model_integrity, session_renew, delete_users, legacy_events, half_step_ratings,
     )
 }

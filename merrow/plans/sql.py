@@ -192,6 +192,8 @@ union all select slug, 'changed' from items where id % 9 <> 0 and id % 7 = 0
 union all select slug || '-b', 'added' from items where id % 10 = 1"""),
     "model_states": """
 select * from (values ('same', 'ready', null), ('changed', 'unavailable', 'catalog_stale'), ('invalid', 'unavailable', 'catalog_invalid'), ('none', 'not_configured', null)) t("case", status, reason)""",
+    "feature_checks": _with("items", """
+select rule, slug as key from items, (select unnest(['document_empty', 'row_without_weights']) as rule) where id % 17 = 0"""),
     "catalog_scan": _with("part_items part_genres part_tags part_platforms", """
 select i.slug, i.popularity_score::double as popularity_score, coalesce(g.v, '') as genres, coalesce(t.v, '') as tags, coalesce(p.v, '') as platforms from part_items i
 left join (select id, string_agg(slug, ',' order by slug) as v from part_genres group by id) g on g.id = i.id
