@@ -1,6 +1,7 @@
 """Row-changing jobs: upsert, retention, revocation, session states, legacy backfills.
 
-Each maps old tables to new ones and a summary; the caller writes them to a new place."""
+Each maps old tables to new ones and a summary; the caller writes them to a new place, or
+``row_jobs`` applies them in place to the partitions that change."""
 
 from __future__ import annotations
 
@@ -94,13 +95,17 @@ def session_status(users: DataFrame, now: Column, version: str) -> DataFrame:
     return users.select("id", status.alias("status"))
 
 
+def renewable(now: Column, version: str) -> Column:
+    """Live sessions that consented to another version."""
+    live = F.col("consented_at").isNotNull() & F.col("revoked_at").isNull() & (F.col("expires_at") > now)
+    return F.coalesce(live & ~F.col("consent_version").eqNullSafe(F.lit(version)), F.lit(False))
+
+
 def renew(users: DataFrame, ids: DataFrame, now: Column, version: str, ttl_seconds: int) -> DataFrame:
     """Users with fresh consent for those among ``ids`` whose session is live and of another version.
     Expired, revoked and never consented ones stay as they are, and so do those of this version."""
     chosen = ids.select("id").distinct().withColumn("__chosen", F.lit(True))
-    live = F.col("consented_at").isNotNull() & F.col("revoked_at").isNull() & (F.col("expires_at") > now)
-    rows = users.join(chosen, "id", "left").withColumn("__go", F.col("__chosen") & live & ~F.col("consent_version").eqNullSafe(F.lit(version)))
-    rows = rows.withColumn("__go", F.coalesce("__go", F.lit(False)))
+    rows = users.join(chosen, "id", "left").withColumn("__go", F.coalesce("__chosen", F.lit(False)) & renewable(now, version))
     until = now + F.make_dt_interval(secs=F.lit(ttl_seconds))
     fresh = {"consent_version": F.lit(version), "consented_at": now, "expires_at": until}
     changed = {c: F.when(F.col("__go"), value).otherwise(F.col(c)) for c, value in fresh.items()}
