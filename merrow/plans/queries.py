@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 
 from merrow.arrow import spread
 from merrow.functions import fixedpoint, identity, text
-from merrow.operators import catalog, features, feedback, lifecycle, packed, popularity, preferences, quality, ranking, search
+from merrow.operators import catalog, features, feedback, lifecycle, packed, popularity, preferences, quality, ranking, row_jobs, search
 from merrow.plans.sql import ORACLE_SQL as ORACLE_SQL
 from merrow.scratch import run_folder, written
 from merrow.sources import events as event_log
 from merrow.sources import hash_tree, model_store
+from merrow.sources.layout import Layout, lay_out, plain
 from merrow.sources.views import CUTOFF, NOW, Views
 
 
@@ -224,17 +226,31 @@ def supersession_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.supersede(Views(spark, sf_dir).interactions()).select("id", "user_id", "item_id", "interaction_type", "superseded_at")
 
 
-def replace_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log up to a time, after setting the state that later rows ask for."""
-    v = Views(spark, sf_dir)
+def _log_and_wanted(v: Views) -> tuple[DataFrame, DataFrame]:
+    """The log up to a time, and the state that later rows ask for."""
     log = v.interactions()
     before = feedback.supersede(log.where(F.col("occurred_at") < _at(NOW)))
     wanted = log.where((F.col("occurred_at") >= _at(NOW)) & (F.col("interaction_type") != "viewed"))
     newest = feedback.active_rows(feedback.supersede(wanted)).select("user_id", "item_id", "interaction_type", "value")
-    done = feedback.replace_state(before, newest, _at(NOW))
+    return before, newest
+
+
+def replace_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after setting the wanted state."""
+    before, wanted = _log_and_wanted(Views(spark, sf_dir))
+    done = feedback.replace_state(before, wanted, _at(NOW))
     return done.groupBy("user_id", "change").agg(F.count("*").alias("rows"), F.count_if(F.col("superseded_at").isNull() & (F.col("interaction_type") != "viewed")).alias("active"))
 
 
+def state_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and active rows of each user in the log after the wanted state was set in its table."""
+    before, wanted = _log_and_wanted(Views(spark, sf_dir))
+    log = _laid_out(before, "log", "user_id")
+    row_jobs.replace_state(spark, log, wanted, _at(NOW))
+    active = F.count_if(F.col("superseded_at").isNull() & (F.col("interaction_type") != "viewed")).alias("active")
+    return plain(spark, log).groupBy("user_id").agg(F.count("*").alias("rows"), active)
+
+
 def positive_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.positive_sources(_feedback(Views(spark, sf_dir)))
 
@@ -270,18 +286,38 @@ def stale_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preferences.stale_references(v.preferences(), _known(v))
 
 
-def upsert_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts merged with a changed feed: new prices, other tags, some new parts; some not in it."""
-    v = Views(spark, sf_dir)
+def _laid_out(rows: DataFrame, name: str, key: str, time: str | None = None, buckets: int = 16) -> Layout:
+    """A table in this run's own folder, for a job to change in place."""
+    layout = Layout(f"{run_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}", key, buckets, time)
+    lay_out(rows, layout)
+    return layout
+
+
+def _parts_and_feed(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Parts, and a changed feed: new prices, other tags, some new parts; some not in it."""
     tags = v.part_tags().groupBy("id").agg(F.array_sort(F.collect_set("slug")).alias("tags"))
     old = v.part_items().join(tags, "id").withColumn("updated_at", _at(CUTOFF)).select("slug", "title", "popularity_score", "tags", "updated_at", "id")
     cheaper = F.when(F.col("id") % 5 == 0, F.col("popularity_score") - 1).otherwise(F.col("popularity_score")).cast("decimal(10,4)")
     feed = old.where("id % 4 <> 3").select("slug", "title", cheaper.alias("popularity_score"), F.when(F.col("id") % 7 == 0, F.array_append("tags", F.lit("sale"))).otherwise(F.reverse("tags")).alias("tags"))
     new = old.where("id % 10 = 0").select(F.concat("slug", F.lit("-b")).alias("slug"), "title", "popularity_score", "tags")
-    merged = lifecycle.upsert_items(old, feed.unionByName(new), _at(NOW))
+    return old, feed.unionByName(new)
+
+
+def upsert_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts merged with the feed."""
+    old, feed = _parts_and_feed(Views(spark, sf_dir))
+    merged = lifecycle.upsert_items(old, feed, _at(NOW))
     return merged.select("slug", "title", "popularity_score", F.array_join(F.array_sort("tags"), ",").alias("tags"), "updated_at", "outcome")
 
 
+def upsert_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of parts after the feed was merged into the buckets that it changes."""
+    old, feed = _parts_and_feed(Views(spark, sf_dir))
+    parts = _laid_out(old, "parts", "slug")
+    row_jobs.upsert_items(spark, parts, feed, _at(NOW))
+    return plain(spark, parts).select("slug", "title", "popularity_score", F.array_join(F.array_sort("tags"), ",").alias("tags"), "updated_at")
+
+
 def _planted(rows: DataFrame, key: str, parts: int, changes: dict[int, dict]) -> DataFrame:
     """``rows`` with values set where the key leaves a remainder."""
     values: dict[str, Column] = {}
@@ -375,6 +411,16 @@ def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows_per_user(left)
 
 
+def retention_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each table, by user, after the purge of tables laid out by user, events by day too."""
+    v = Views(spark, sf_dir)
+    owned = {"interactions": v.interactions(), "preferences": v.preferences()}
+    children = {name: _laid_out(rows, name, "user_id") for name, rows in owned.items()}
+    users, events = _laid_out(v.users(), "users", "id"), _laid_out(v.rec_events(), "events", "user_id", "generated_at")
+    row_jobs.purge(spark, events, users, children, datetime.fromisoformat(CUTOFF), _at(NOW))
+    return _rows_per_user({name: plain(spark, layout) for name, layout in ({"users": users, "events": events} | children).items()})
+
+
 def _rows_per_user(left: dict[str, DataFrame]) -> DataFrame:
     per_user = [rows.groupBy(F.col("id" if name == "users" else "user_id").alias("user_id")).agg(F.count("*").alias("rows")).withColumn("table", F.lit(name)) for name, rows in left.items()]
     out = per_user[0]
@@ -526,6 +572,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"catalog_page_{
         document_frequency_idf, tfidf_weights, content_documents, content_recommend, recommend_by_ids, recommend_evidence, context_checks, active_feedback, feedback_pages, feedback_pages_all,
         supersession_backfill, replace_state, positive_sources, feedback_recommend, preferences_pivot, preferences_replace, unknown_references, stale_references,
         upsert_classify, quality_checks, quality_split, unique_checks, fk_checks, feedback_checks, catalog_canonicalise, retention_preview, retention_purge, revoke_cohort,
+        upsert_in_place, state_in_place, retention_in_place,
         session_status, legacy_backfill, event_log_query, pseudonymise_users, redact_text, catalog_fingerprint, catalog_changes, model_states, feature_checks, model_summary, model_integrity, session_renew, delete_users, legacy_events, half_step_ratings,
     )
 }

@@ -429,6 +429,9 @@ from context c left join placed p on p.user_id = c.user_id and rank <= c.top_k l
 }
 
 ORACLE_SQL["catalog_search_indexed"] = ORACLE_SQL["catalog_search_literal"]
+ORACLE_SQL["retention_in_place"] = ORACLE_SQL["retention_purge"]
+ORACLE_SQL["upsert_in_place"] = f"""select * exclude (outcome) from ({ORACLE_SQL["upsert_classify"]})"""
+ORACLE_SQL["state_in_place"] = f"""select user_id, sum(rows)::bigint as rows, sum(active)::bigint as active from ({ORACLE_SQL["replace_state"]}) group by user_id"""
 _FOUND = f"""(select * from ({ORACLE_SQL["quality_checks"]}) where "table" = 'items')"""
 ORACLE_SQL["quality_split"] = f"""
 select rule, count(*) as n from {_FOUND} group by rule
@@ -438,7 +441,7 @@ union all select 'rejected', count(distinct key) from {_FOUND}"""
 # decimals and dates are compared as doubles and text
 _PLAIN = {
     "average_rating::double": [f"catalog_page_{s}" for s in _ORDERS],
-    "popularity_score::double": [*(f"catalog_page_{s}" for s in _ORDERS), "catalog_filter_taxonomy", "upsert_classify"],
+    "popularity_score::double": [*(f"catalog_page_{s}" for s in _ORDERS), "catalog_filter_taxonomy", "upsert_classify", "upsert_in_place"],
     "release_date::varchar": [f"catalog_page_{s}" for s in _ORDERS],
     "rating::double": ["active_feedback", "feedback_pages", "feedback_pages_all"],
     "weight::double": ["preferences_replace"],
