@@ -17,6 +17,7 @@ from merrow.plans.sql import ORACLE_SQL as ORACLE_SQL
 from merrow.scratch import run_folder, written
 from merrow.sources import events as event_log
 from merrow.sources import hash_tree, model_store
+from merrow.sources.buckets import store_bucketed
 from merrow.sources.layout import Layout, lay_out, plain
 from merrow.sources.views import CUTOFF, NOW, Views
 
@@ -96,7 +97,19 @@ def catalog_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    rows = catalog.catalog_scan(v.part_items(), v.part_genres(), v.part_tags(), v.part_platforms())
+    return _scanned(v.part_items(), v.part_genres(), v.part_tags(), v.part_platforms())
+
+
+def catalog_scan_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from tables bucketed by id, which the scan joins where they are."""
+    v = Views(spark, sf_dir)
+    mark = uuid.uuid4().hex
+    stored = lambda rows, name: store_bucketed(rows, f"{name}_{mark}", f"{run_folder(spark)}/{name}-{mark}", "id", 16)
+    return _scanned(stored(v.part_items(), "items"), stored(v.part_genres(), "genres"), stored(v.part_tags(), "tags"), stored(v.part_platforms(), "platforms"))
+
+
+def _scanned(*tables: DataFrame) -> DataFrame:
+    rows = catalog.catalog_scan(*tables)
     slugs = lambda k: F.array_join(F.transform(k, lambda x: x["slug"]), ",").alias(k)
     return rows.select("slug", "popularity_score", slugs("genres"), slugs("tags"), slugs("platforms"))
 
@@ -568,7 +581,7 @@ def _plain(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"catalog_page_{s}": _plain(_page(s)) for s in catalog.SORTS} | {
     f.__name__.removesuffix("_query"): _plain(f)
     for f in (
-        catalog_deep_pages, catalog_search_literal, catalog_search_indexed, catalog_filter_taxonomy, catalog_nested, catalog_item, catalog_items, catalog_scan, taxonomy_lists, resolve_ids, popularity_baseline, term_frequency,
+        catalog_deep_pages, catalog_search_literal, catalog_search_indexed, catalog_filter_taxonomy, catalog_nested, catalog_item, catalog_items, catalog_scan, catalog_scan_bucketed, taxonomy_lists, resolve_ids, popularity_baseline, term_frequency,
         document_frequency_idf, tfidf_weights, content_documents, content_recommend, recommend_by_ids, recommend_evidence, context_checks, active_feedback, feedback_pages, feedback_pages_all,
         supersession_backfill, replace_state, positive_sources, feedback_recommend, preferences_pivot, preferences_replace, unknown_references, stale_references,
         upsert_classify, quality_checks, quality_split, unique_checks, fk_checks, feedback_checks, catalog_canonicalise, retention_preview, retention_purge, revoke_cohort,

@@ -429,6 +429,7 @@ from context c left join placed p on p.user_id = c.user_id and rank <= c.top_k l
 }
 
 ORACLE_SQL["catalog_search_indexed"] = ORACLE_SQL["catalog_search_literal"]
+ORACLE_SQL["catalog_scan_bucketed"] = ORACLE_SQL["catalog_scan"]
 ORACLE_SQL["retention_in_place"] = ORACLE_SQL["retention_purge"]
 ORACLE_SQL["upsert_in_place"] = f"""select * exclude (outcome) from ({ORACLE_SQL["upsert_classify"]})"""
 ORACLE_SQL["state_in_place"] = f"""select user_id, sum(rows)::bigint as rows, sum(active)::bigint as active from ({ORACLE_SQL["replace_state"]}) group by user_id"""

@@ -180,3 +180,25 @@ def test_states_and_preferences_are_replaced(spark, tmp_path):
     assert 0 < row_jobs.replace_preferences(spark, place, asked, named)["preferences"] <= 3
     assert rows_of(plain(spark, place)) == expected
     assert row_jobs.replace_preferences(spark, place, asked, named) == {"preferences": 0}
+
+
+def test_bucketed_tables_are_nested_in_place(spark, tmp_path):
+    from merrow.operators import catalog
+    from merrow.sources.buckets import attach_bucketed, store_bucketed
+
+    items = spark.createDataFrame([(k, f"s{k}", float(k)) for k in range(60)], "id bigint, slug string, popularity_score double")
+    tags = spark.createDataFrame([(k, f"t{j}", f"T{j}") for k in range(50) for j in range(k % 4)], "id bigint, slug string, name string")
+    kept = [store_bucketed(rows, name, str(tmp_path / name), "id", 4) for rows, name in ((items, "items_b"), (tags, "tags_b"))]
+    again = attach_bucketed(spark, tags.schema.toDDL(), "tags_again", str(tmp_path / "tags_b"), "id", 4)
+    with pytest.raises(FileExistsError):
+        store_bucketed(items, "items_c", str(tmp_path / "items_b"), "id", 4)
+    assert len([n for n in os.listdir(tmp_path / "tags_b") if n.endswith(".parquet")]) == 4
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nested = catalog.catalog_scan(kept[0], kept[1], again, kept[1])
+        assert "Exchange" not in nested._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in catalog.catalog_scan(items, tags, tags, tags)._jdf.queryExecution().executedPlan().toString()
+        assert rows_of(nested) == rows_of(catalog.catalog_scan(items, tags, tags, tags))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
