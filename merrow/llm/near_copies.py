@@ -35,8 +35,9 @@ COUNTED_AT_ONCE, REPORTED_FROM = 2_000_000, 3
 MOST_FREQUENT, FREQUENT_FROM = 1_000_000, 16
 #: Sets that a task remembers, to report none twice (16 bytes each).
 REMEMBERED = 100_000
-#: A list with more open groups than this is joined by two shingles.
-LONG_LIST = 1_000
+#: A list with more open groups than this, or with more pairs of an open and any other entry than one
+#: task tests in some seconds, is joined by two shingles.
+LONG_LIST, LONG_PAIRS = 1_000, 50_000_000
 #: First shingles of a group that its rows carry, to take a pair where it meets first.
 CARRIED = 4
 #: A signature of more than one row in so many is joined by broadcast, so there are at most as many.
@@ -303,9 +304,11 @@ class _Join:
         place, root, open), one of them open at least and their roots different. An entry carries
         the first few of its group's tokens before its own (ahead): two entries that have one of
         them in common met there already, and not again here."""
-        counts = written(entries.where("open").groupBy("token").agg(F.count("*").alias("k")), "open-lists")
+        counts = entries.groupBy("token").agg(F.count_if("open").alias("k"), F.count("*").alias("all"))
+        is_long = (F.col("k") > LONG_LIST) | (F.col("k") * F.col("all") > LONG_PAIRS)
+        counts = written(counts.where("k > 0").select("token", "k", is_long.alias("long")), "open-lists")
         # with a threshold of a half or less, sets may link that share one shingle only
-        split = F.col("k") > LONG_LIST if self.num * 2 > self.den else F.lit(False)
+        split = F.col("long") if self.num * 2 > self.den else F.lit(False)
         rank = F.row_number().over(Window.partitionBy("gid").orderBy("place"))
         useful = entries.join(counts, "token")
         first = useful.where("token <> gid").select("gid", "place", "token").distinct().withColumn("rank", rank).where(F.col("rank") <= CARRIED)

@@ -41,6 +41,14 @@ def test_families(spark, monkeypatch, size, num, tight):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, size, num, 100)
 
 
+def test_lists_of_few_open_and_many_closed_groups(spark, monkeypatch):
+    """Lists are long by their pairs too, whatever the number of open groups is."""
+    monkeypatch.setattr(near_copies, "LONG_PAIRS", 0)
+    rows = families(11)
+    got = near_copies.link_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=5, num=80, den=100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 5, 80, 100)
+
+
 @pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 60)])
 def test_all_links(spark, size, num):
     """Every pair of different texts that link, and each document's number of links."""
