@@ -37,7 +37,9 @@ _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts (UTF-8 or bytes; null: none) in a row, and how many each text has."""
-    lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_binary()).view(pa.large_string()), ""))
+    # copied, as ascii_lower gives wrong bytes for a slice that was cast
+    whole = texts.cast(pa.large_binary()).take(pa.array(np.arange(len(texts))))
+    lowered = pc.ascii_lower(pc.fill_null(whole.view(pa.large_string()), ""))
     split = pc.split_pattern_regex(lowered, pattern=_SEPARATORS)
     flat, of = pc.list_flatten(split), pc.list_parent_indices(split)
     real = pc.not_equal(pc.binary_length(flat), 0)

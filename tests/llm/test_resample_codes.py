@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from merrow.llm import vector_codes
-from merrow.llm.resample import resample
+from merrow.llm.resample import bucket_counts, resample, words_of
 from merrow.llm.vector_codes import compress, hex_codes, integers, nearest
 
 SF = "/root/testdata/sf0.001"
@@ -67,6 +68,21 @@ def test_resample_odd_rows(spark, order):
     assert all(r["rank"] is None for r in resample(table.where("doc_id < 3"), items.where("false")).collect())
 
 
+@pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary(), pa.string()])
+def test_words_of_slices(kind):
+    texts = ["a b"] * 3 + ["Ä X", "y\x00Z", "", "tail"]
+    flat, n_words = words_of(pa.array([t.encode() for t in texts], pa.binary()).cast(kind).slice(3, 3))
+    assert flat.to_pylist() == ["Ä", "x", "y", "z"] and n_words.tolist() == [2, 2, 0]
+
+
+def test_counts_of_batches_cut_in_parts(spark):
+    # one batch of more than the 4 MB that are worked on at once
+    texts = [" ".join(f"Word{i % 97} other{k}" for i in range(130_000)) for k in range(4)]
+    want = Counter(zlib.crc32(f.encode()) % 500 for t in texts for f in brute_features(t, 1)[1])
+    got = bucket_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), buckets=500)
+    assert got.tolist() == [want[b] for b in range(500)]
+
+
 def brute_codes(rows, parts, entries, rounds):
     kept = [(i, v, lab) for i, v, lab in rows if v and all(x is not None and math.isfinite(x) for x in v)]
     kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
