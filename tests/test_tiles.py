@@ -170,3 +170,40 @@ def test_no_scored_pair_is_shuffled(spark):
         assert per_tile.count() > 9 and plan(rows).count("Exchange") == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def shuffled(spark, work):
+    """Bytes that stages write to shuffles while ``work`` runs."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+    quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def total():
+        stages = store.stageList(none, False, False, quantiles, none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    work()
+    return total() - before
+
+
+def test_items_are_shuffled_once_for_all_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    items = [(f"i{k}", *vector(rng, 3_000), [], 5) for k in range(3_000)]
+    items = written(spark.createDataFrame(items, "slug string, numbers array<long>, weights array<double>, has array<string>, popularity_units long"), "items")
+    asked = [(k, 3, *vector(rng, 3_000), None, None, [], [], [], []) for k in range(30)]
+    asked = written(spark.createDataFrame(asked, "context_id int, top_k int, numbers array<long>, weights array<double>, other_numbers array<long>, other_weights array<double>, wanted array<string>, picked array<string>, excluded array<string>, played array<string>"), "asked")
+    sizes = []
+    for entries in (4_000_000, 10):
+        monkeypatch.setattr(tiles, "QUERY_ENTRIES", entries)
+        sizes.append(shuffled(spark, lambda: tiles.best_items(asked, items, "context_id", tiles.Policy()).write.format("noop").mode("overwrite").save()))
+    assert sizes[1] < 2 * sizes[0]
+
+
+def test_alike_rows(spark):
+    rows = [(5, ["a"], None), (3, ["a"], None), (4, ["a"], []), (9, ["b"], None), (7, ["b"], None)]
+    table = spark.createDataFrame(rows, "context_id int, selected array<string>, tags array<string>")
+    members = ranking.alike(table, "context_id")
+    assert sorted(map(tuple, members.collect())) == [(3, 3), (4, 4), (5, 3), (7, 7), (9, 7)]
+    assert sorted(r.context_id for r in ranking.firsts(table, members, "context_id").collect()) == [3, 4, 7]
+    made = spark.createDataFrame([(3, "x"), (7, "y")], "context_id int, slug string")
+    assert sorted(map(tuple, ranking.for_all(made, members, "context_id").collect())) == [(3, "x"), (5, "x"), (7, "y"), (9, "y")]
