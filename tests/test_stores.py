@@ -156,3 +156,20 @@ def test_stream_equals_supersede(spark, tmp_path):
     again = spark.createDataFrame(again.collect(), again.schema)
     keep_changes(out)(again, 1)
     same(shuffled)
+
+
+def test_items_are_hashed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(title):
+        seen.add(1)
+        return title
+
+    items = catalog(spark, [f"s-{i}" for i in range(20)])
+    old = hash_tree.held(hash_tree.tree(items.withColumn("title", counted("title"))))
+    assert seen.value == 20
+    edited = items.where("slug in ('s-1', 's-2')").withColumn("title", counted(F.concat("title", F.lit("!"))))
+    new = hash_tree.held(hash_tree.refreshed(old, edited, items.where("slug = 's-3'")))
+    assert seen.value == 22
+    assert sorted(map(tuple, hash_tree.changes(old, new).collect())) == [("s-1", "changed"), ("s-2", "changed"), ("s-3", "removed")]
