@@ -207,3 +207,11 @@ def test_alike_rows(spark):
     assert sorted(r.context_id for r in ranking.firsts(table, members, "context_id").collect()) == [3, 4, 7]
     made = spark.createDataFrame([(3, "x"), (7, "y")], "context_id int, slug string")
     assert sorted(map(tuple, ranking.for_all(made, members, "context_id").collect())) == [(3, "x"), (5, "x"), (7, "y"), (9, "y")]
+
+
+def test_document_frequencies_are_summed_behind_the_shuffle_only(spark):
+    docs = spark.createDataFrame(documents(spark), "slug string, document string")
+    counted = packed.document_frequencies(docs)
+    assert "Aggregate" not in plan(counted).split("Exchange")[1]
+    want = Counter(t for _, d in documents(spark) for t in brute_terms(d))
+    assert {r.term: r.df for r in counted.collect()} == dict(want)
