@@ -173,3 +173,11 @@ def test_items_are_hashed_once(spark):
     new = hash_tree.held(hash_tree.refreshed(old, edited, items.where("slug = 's-3'")))
     assert seen.value == 22
     assert sorted(map(tuple, hash_tree.changes(old, new).collect())) == [("s-1", "changed"), ("s-2", "changed"), ("s-3", "removed")]
+
+
+def test_held_tables_are_not_written_again(spark):
+    items = catalog(spark, ["a-b", "c-d"])
+    once = model_store.held(model_store.build(items))
+    again = model_store.held(once)
+    assert again.items is once.items and again.popularity is once.popularity
+    assert again.features.idf is once.features.idf and again.features.vectors is once.features.vectors
