@@ -129,22 +129,36 @@ class Model:
         return choice.labels[k], float(by_family[f] * by_language[k])
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """A model from (language, counts) rows."""
-    by_language: dict[str, list[np.ndarray]] = {}
+#: Counts of a text: the buckets that have any, and how many.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def dense(rows: list[Sparse]) -> np.ndarray:
+    """The features of some rows."""
+    out = np.zeros((len(rows), BUCKETS), np.float32)
+    for own, (at, n) in zip(out, rows, strict=True):
+        own[at] = n
+        own[:] = features(own)
+    return out
+
+
+def fit(rows: list[tuple[str, Sparse]]) -> Model:
+    """A model from (language, counts) rows, which stay sparse but for those of the pair that is
+    fitted: 64 KB a row otherwise, for as many rows as all languages have."""
+    by_language: dict[str, list[Sparse]] = {}
     for language, counts in rows:
-        by_language.setdefault(language, []).append(features(counts))
+        by_language.setdefault(language, []).append(counts)
     by_family: dict[str, list[str]] = {}
     for language in sorted(by_language):
         by_family.setdefault(family_of(language), []).append(language)
     weights: list[np.ndarray] = []
 
-    def choose(labels: list[str], rows_of: dict[str, list[np.ndarray]]) -> Choice:
+    def choose(labels: list[str], rows_of: dict[str, list[Sparse]]) -> Choice:
         columns = []
         for a in range(len(labels)):
             for b in range(a + 1, len(labels)):
                 one, other = rows_of[labels[a]], rows_of[labels[b]]
-                weights.append(fit_pair(np.stack(one + other), np.arange(len(one) + len(other)) < len(one)))
+                weights.append(fit_pair(dense(one + other), np.arange(len(one) + len(other)) < len(one)))
                 columns.append((a, b, len(weights) - 1))
         return Choice(labels, columns)
 
@@ -198,11 +212,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
         return work
 
-    rows = []
-    for r in sorted(arrow_map(sample, "__text", cells, make, ["__lang", "__id"]).collect(), key=lambda r: (r["__lang"], str(r["__id"]), r["at"])):
-        counts = np.zeros(BUCKETS, np.int64)
-        counts[r["at"]] = r["n"]
-        rows.append((r["__lang"], counts))
+    # as Arrow: lists of Python integers would take some thirty times the bytes
+    found = arrow_map(sample, "__text", cells, make, ["__lang", "__id"]).toArrow()
+    names, ids = found.column("__lang").to_pylist(), found.column("__id").to_pylist()
+    at, n = (found.column(c).combine_chunks() for c in ("at", "n"))
+    rows = [(names[i], (at[i].values.to_numpy(), n[i].values.to_numpy()), str(ids[i])) for i in range(len(names))]
+    # big-endian bytes are in the order of the numbers
+    rows = [r[:2] for r in sorted(rows, key=lambda r: (r[0], r[2], r[1][0].astype(">u4").tobytes()))]
     return fit(rows)
 
 

@@ -148,6 +148,24 @@ def test_language_held_out(spark, odd):
     assert identify(odd.limit(0), model).count() == 0
 
 
+def test_language_learns_within_bounded_driver_memory(spark):
+    import tracemalloc
+
+    from merrow.llm.language import learn
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").cache()
+    docs.count()
+    tracemalloc.start()
+    try:
+        model = learn(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        docs.unpersist()
+    # a pair of machines has at most 600 rows of 64 KB; dense rows of all languages took over 100 MB
+    assert model.knows and peak < 70_000_000
+
+
 # --- line dedup -----------------------------------------------------------------------------------
 
 
