@@ -115,6 +115,22 @@ def brute_chunks(texts, divisor=3):
     return gone, counts
 
 
+def test_line_dedup_leaves_only_the_tables_that_its_result_reads(spark):
+    from pathlib import Path
+
+    from merrow.llm.line_dedup import dedup_lines
+    from merrow.scratch import run_folder
+
+    folder = Path(run_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*")) if folder.exists() else set()
+    passage = "\n".join(f"word{i} " * 12 for i in range(6))
+    rows = spark.createDataFrame([(i, f"{passage}\nown line {i}") for i in range(4)], "doc_id long, text string")
+    left = dedup_lines(rows, passages=True)
+    there = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert there == {"gone-chunks", "gone-runs"}
+    assert sorted(r.n_removed_lines for r in left.collect()) == [0, 6, 6, 6]
+
+
 def test_line_dedup_query_by_brute_force(spark):
     """Chunks are told exactly; every line that goes stands before in a chunk or a long passage, and
     every line of a long repeated passage goes."""
