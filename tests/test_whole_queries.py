@@ -53,3 +53,34 @@ def test_contexts_beyond_the_bounds_are_reported(spark):
     items = spark.createDataFrame([(f"game{i}",) for i in range(6)], "slug string")
     got = sorted((r.context_id, r.reason) for r in ranking.context_problems(contexts, items).collect())
     assert got == [(1, f"{name}_too_many") for name in ("genres", "platforms", "selected", "tags")]
+
+
+def test_term_weights_number_no_vocabulary_and_join_rare_terms_only(spark, monkeypatch):
+    from collections import Counter
+    from math import log, sqrt
+    from pathlib import Path
+
+    from merrow.operators import features
+    from merrow.scratch import run_folder, written
+
+    texts = {"a": "red fox red fox", "b": "red hen", "c": "blue hen sat", "d": "x", "e": None}
+    rows = written(spark.createDataFrame([*texts.items()], "slug string, document string"), "texts")
+
+    def counted(text):
+        words = [w for w in (text or "").split() if len(w) > 1]
+        return Counter(words + [f"{x} {y}" for x, y in zip(words, words[1:])])
+
+    tf = {k: counted(t) for k, t in texts.items()}
+    df = Counter(t for own in tf.values() for t in own)
+    want = {}
+    for k, own in tf.items():
+        raw = {t: (1 + log(n)) * (log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in own.items()}
+        want |= {(k, t): round(x / sqrt(sum(y * y for y in raw.values())), 9) for t, x in raw.items()}
+    folder = Path(run_folder(spark).removeprefix("file:"))
+    for most in (500_000, 2, 0):
+        monkeypatch.setattr(features, "MOST_TERMS_TOLD", most)
+        before = set(folder.glob("*"))
+        got = {(r.slug, r.term): round(r.weight, 9) for r in features.term_weights(rows).collect()}
+        assert got == want
+        there = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+        assert there == {"document-frequencies"} | ({"half-weighted"} if most < 500_000 else set())
